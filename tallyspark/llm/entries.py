@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import table
+from tallyspark.llm import oracles
+from tallyspark.llm.common import shared_path, stored, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import decontaminate as D
+
+    return D.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +26,42 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_windows(digests, window=4096, shards=packing.shards_for(docs.count()))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import language_id as L
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = L.fit(docs.where(~L.held_out(F.col("doc_id"))))
+    return L.predict(docs, model).select("doc_id", L.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import secret_scan as S
+
+    docs = table(spark, sf_dir, "documents")
+    found = S.scan_versions(docs, shared_path(spark, "secret-ledger"), path="doc_id")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = S.spans_text(F.col("spans"))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import warc as W
+
+    pages = table(spark, sf_dir, "pages")
+    manifest = stored(W.write_archives(pages, shared_path(spark, "warc")), "warc-manifest")
+    read = W.read_archives(manifest, tasks=manifest.count())
+    return read.where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import html_text as H
+
+    return H.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict:
-    return {"op2_packing": op2_packing}
+    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op7_warc": op7_warc, "op8_html_text": op8_html_text}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_secret_scan": oracles.SECRETS, "op7_warc": oracles.WARC}
