@@ -6,10 +6,10 @@ from __future__ import annotations
 def _kind(kind: str, rank: int, pattern: str, least: int) -> str:
     """Spans of one kind: matches are marked, the text is split at the marks, and lengths are summed up."""
     return f"""
-    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, at AS s, at + len(split_part(piece, chr(2), 1)) + n AS e
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, pos AS s, pos + len(split_part(piece, chr(2), 1)) + n AS e
     FROM (
         SELECT doc_id, piece, k,
-            sum(CASE WHEN k = 1 THEN len(piece) ELSE len(piece) - 2 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at,
+            sum(CASE WHEN k = 1 THEN len(piece) ELSE len(piece) - 2 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pos,
             len(split_part(split_part(piece, chr(3), 1), chr(2), 2)) AS n
         FROM (
             SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k
