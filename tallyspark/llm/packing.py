@@ -12,11 +12,14 @@ kept as it is. Repeated rows are packed as often as they occur. Other columns ar
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,50 +38,132 @@ PIECES = T.StructType(
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-class WordIds(dict):
-    """Ids of the words met so far, for a tokenizer that never joins across ASCII white space.
+class Numbered(dict):
+    """Numbers keys as they come; ``fresh`` are those not yet dealt with."""
 
-    Maps a word to its number; its ids are ``flat[offset[n] : offset[n] + length[n]]``.
+    def __init__(self) -> None:
+        self.fresh: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class Runs:
+    """Many short arrays of ids in one."""
+
+    def __init__(self) -> None:
+        self.offset = self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the arrays with these numbers, one after the other, and the number of ids of each."""
+        lengths = self.length[numbers]
+        at = np.arange(int(lengths.sum())) + np.repeat(self.offset[numbers] - np.cumsum(lengths) + lengths, lengths)
+        return self.flat[at], lengths
+
+
+class WordIds:
+    """Ids of words by a tokenizer that never joins across ASCII white space, each word encoded once.
+
+    The tokenizer lower-cases, splits words into runs of letters, single digits and runs of other signs, and marks
+    the last id of each such part; so new words are split into parts, and new parts are encoded many at a time.
+    Words with other than simple Latin characters, and words of which this isn't sure, are encoded by themselves.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    SIMPLE = re.compile(r"[!-&(-~\xa1-\u012f\u0131-\u017f]+")
+    PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str, most: int = 600_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.last[i] = token.endswith("</w>")
         self.most = most
-        self.fresh: list[bytes] = []
-        self.offset = self.length = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.runs = Numbered(), Runs()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for x in got for i in x), np.uint16, int(lengths.sum())), lengths
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = self.encode([" ".join(parts[i : i + 500]) for i in range(0, len(parts), 500)])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(parts):
+            return self.encode(parts)
+        return flat, np.diff(ends, prepend=0)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds the words' ids: words of simple letters as one part, other simple words as several, the rest whole."""
+        whole, parts, odd = [], [], []
+        rank = np.zeros(len(words), np.int64)
+        counts = []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                whole.append(w.decode())
+            elif self.SIMPLE.fullmatch(t := w.decode()) is None or "<|" in t:
+                rank[i] = 2
+                odd.append(t)
+            elif t.isalpha():
+                whole.append(t.lower())
+            else:
+                rank[i] = 1
+                parts += (found := self.PART.findall(t.lower()))
+                counts.append(len(found))
+        got = Runs()
+        if whole:
+            got.add(*self.encode_parts(whole))
+        if parts:
+            flat, lengths = self.encode_parts(parts)
+            got.add(flat, np.add.reduceat(lengths, np.cumsum(counts) - counts))
+        if odd:
+            got.add(*self.encode(odd))
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(rank, kind="stable")] = np.arange(len(words))
+        self.runs.add(*got.take(place))
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after the other, and the number of ids of each word."""
-        if len(self) > self.most:
-            self.clear()
-            self.offset = self.length = np.zeros(0, np.int64)
-            self.flat = np.zeros(0, np.uint32)
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in self.fresh], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))])
-            self.fresh = []
-        lengths = self.length[numbers]
-        total = int(lengths.sum())
-        at = np.arange(total) + np.repeat(self.offset[numbers] - np.cumsum(lengths) + lengths, lengths)
-        return self.flat[at], lengths
+        if len(self.words) > self.most:
+            self.forget()
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.fresh:
+            self.learn(self.words.fresh)
+            self.words.fresh = []
+        return self.runs.take(numbers)
+
+
+_known: dict[str, WordIds] = {}
+
+
+def vocabulary(path: str) -> WordIds:
+    """One for each Python worker, which keeps what it has met from task to task."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
+#: A stop after a letter is a part of its own; apart from the word, both are met more often.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s)")
 
 
 def _words(data: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text; those of a long one in several lists, cut at white space."""
     if b"<|" not in data:
-        data = data.lower()
+        data = _STOP.sub(rb" \1", data.lower())
     at = 0
     while len(data) - at > most:
         cut = max(data.rfind(x, at, at + most) for x in (b" ", b"\n", b"\t"))
@@ -97,7 +182,7 @@ def tokenize_windows(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = WordIds(tokenizer)
+        known = vocabulary(tokenizer)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 data, ends = utf8_bytes(part.column(1))
@@ -107,11 +192,11 @@ def tokenize_windows(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
                 if len(lists) > 1:  # short texts: all at once
                     flat = [w for x in lists for y in x for w in y]
                     counts = np.array([sum(map(len, x)) for x in lists])
-                    every, lengths = vocabulary.ids(flat)
+                    every, lengths = known.ids(flat)
                     to = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
                     found = (every[a:b] for a, b in zip(to[:-1], to[1:], strict=True))
                 else:
-                    found = (np.concatenate([vocabulary.ids(y)[0] for y in x]) for x in lists)
+                    found = (np.concatenate([known.ids(y)[0] for y in x]) for x in lists)
                 for key, ids in zip(part.column(0).to_pylist(), found, strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     rows += [(key, at, min(window, len(ids) - at), len(ids), ids[at : at + window].tobytes()) for at in range(0, len(ids), window)]

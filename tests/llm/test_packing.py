@@ -11,7 +11,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_ids_equal_whole_text_encoding(spark):
-    texts = [None, "", "Hello  World's\tit is x\x1cy", "<|endoftext|> <|ENDOFTEXT|> A", "İstanbul ΣΑΣ éa" * 50, "word " * 9000, "\n\n", "x" * 100]
+    texts = [None, "", "Hello  World's\tit is x\x1cy", "<|endoftext|> <|ENDOFTEXT|> A", "İstanbul ΣΑΣ éa" * 50, "word " * 9000, "\n\n", "x" * 100, "don't we'll a1b22 x²³ ½ \u00a0y z\u00a0 q\x85 ªº ŉ İ ÀÉ—“q” 日本 e\u0301 K ’s ...!? _a_"]
     rows = [(i, t, "z") for i, t in enumerate(texts)] + [(None, "a", "z"), (1, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string")
     whole = Tokenizer.from_file(PATH)
