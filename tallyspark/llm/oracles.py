@@ -52,3 +52,23 @@ FROM (
     )
 )
 """
+
+
+def _escaped_length(text: str) -> str:
+    """Code points of a text with backslashes and control strings escaped."""
+    return f"len(regexp_replace(replace({text}, chr(92), chr(92) || chr(92)), '(<)(/?s>)|(\\[)(/?INST\\])', '\\1\\3' || chr(1) || '\\2\\4', 'g'))"
+
+
+CHAT = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+joined AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(20 + {_escaped_length("role")} + {_escaped_length("text")})::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
+"""
