@@ -74,8 +74,20 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import substring_dedup as S
+
+    return S.remove_repeats(table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import jaccard_join as J
+
+    return J.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text}
+    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict:
