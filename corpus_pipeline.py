@@ -1,2 +1,80 @@
-"""Corpus preparation in stages."""
-STAGES = []
+"""Corpus preparation in five stages, each on all that its predecessor kept.
+
+1. language_id drops documents without any letter, and those that no language's model compresses.
+2. near_duplicates keeps one document, that with the smallest id, of each class of near copies (five words, Jaccard 0.8).
+3. decontamination drops documents that hold a benchmark item.
+4. secrets masks every secret span in the texts and counts characters anew.
+5. packing cuts the documents into pieces and packs these into windows of 4096 tokens.
+
+Stages 1 to 4 return the columns of ``documents``; the last returns a row for each piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
+from tallyspark.llm.common import shared_path, stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    """The columns of documents, and any others that came with them."""
+    return [*COLUMNS, *(c for c in docs.columns if c not in COLUMNS)]
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*_columns(docs))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has letters and takes under eight bits a byte in its best language."""
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    told = language_id.predict(docs, model)
+    return _only(docs, told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < 8)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept."""
+    classes = jaccard_join.near_duplicates(docs, k=5, similarity=(80, 100))
+    first = classes.where(F.col("doc_id") == F.col("component_id"))
+    known = _only(docs.where("doc_id is not null"), first).dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null").select(*_columns(docs)))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without leaks."""
+    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*_columns(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    found = secret_scan.scan_versions(docs, shared_path(spark, "secret-ledger"), path="doc_id").where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__blob"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)) == F.col("__blob"))
+    joined = docs.join(found, same, "left")
+    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("__spans")))
+    out = joined.withColumn("__new", masked).withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast("bigint")))
+    return out.withColumn("text", F.col("__new")).select(*_columns(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their ids, places and windows."""
+    pieces = packing.tokenize_windows(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+    return packing.pack_windows(pieces, window=4096, shards=packing.shards_for(docs.count()))
+
+
+STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", pack)]
+#: Models, edit distances and packing aren't SQL; tests compare the pipeline with a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
