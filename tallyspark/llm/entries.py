@@ -86,8 +86,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
