@@ -33,8 +33,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and takes under eight bits a byte in its best language."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    told = language_id.predict(docs, model)
-    return _only(docs, told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < 8)))
+    return language_id.compressible(docs.select(*_columns(docs)), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

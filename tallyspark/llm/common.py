@@ -57,7 +57,7 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """The batch in runs of rows of about ``most`` bytes of text; a longer row comes alone."""
     column = batch.column(batch.schema.get_field_index(text))
     _, ends = utf8_bytes(column)

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of word shingles. In one order of all shingles, rare ones first, two sets with Jaccard of at least t share at
-least c shingles among their first n - ceil(t n) + c ones. Each document chooses c by the candidates that its prefix is estimated
-to give: the costlier, the longer its prefix and the more shared shingles are required before two documents are verified.
+least c shingles among their first n - ceil(t n) + c ones, and more the closer their sizes. Each document chooses c by the candidates
+that its prefix is estimated to give: the costlier, the longer its prefix and the more shared shingles are required before two
+documents are verified.
 
 Equal sets are one node. Then links are sought in two rounds, so that a group of n near copies costs n comparisons, not n * n:
 each node is verified against the node that is first under most of its shingles; then, under shingles that still join different
@@ -197,7 +198,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     y = open_rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("of").alias("yo"), (F.col("of") == F.col("largest")).alias("big"))
     met = x.join(y, "token").where((F.col("xo") != F.col("yo")) & _close("xn", "yn", t) & (F.col("big") | (F.col("x") < F.col("y"))))
     pair = (F.least("x", "y").alias("member"), F.greatest("x", "y").alias("center"))
-    pairs = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("times"), F.min(F.least("xc", "yc")).alias("least")).where("times >= least")
+    # With an overlap of at least o, prefixes of n - o + m shingles share m; the prefixes at hand have n - ceil(t n) + c.
+    spare = lambda n, c: F.col(c) - F.ceil(F.col(n) * t[0] / t[1])
+    needed = F.least(spare("xn", "xc"), spare("yn", "yc")) + F.ceil((F.col("xn") + F.col("yn")) * t[0] / (t[0] + t[1]))
+    pairs = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed")).where("times >= needed")
     two = stored(_verified(pairs.select("center", "member"), texts, k, t), "links")
 
     label = components(one.unionAll(two))

@@ -164,6 +164,26 @@ def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     )
 
 
+def compressible(docs: DataFrame, model: Model, *, text: str = "text", most_bits: float = 8.0) -> DataFrame:
+    """The rows, with all their columns, whose text has letters and takes under ``most_bits`` a byte in its best language.
+
+    Rows go through one pass of Arrow batches, nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, 1 << 20):
+                data, ends = utf8_bytes(part.column(at))
+                lengths = held.value.code_lengths(data, ends)
+                least = lengths.min(1) if lengths.shape[1] else np.zeros(part.num_rows)
+                keep = _letters(data, ends) & (least < most_bits * np.diff(ends))
+                if keep.any():
+                    yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
 
@@ -181,7 +201,7 @@ def _predicting(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 data, ends = utf8_bytes(part.column(1))
                 lengths, ok = model.code_lengths(data, ends), _letters(data, ends)
                 n = part.num_rows

@@ -26,7 +26,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
-            n = max(n, 1 << 22)
+            n = max(n, 1 << 20)
             full = np.full(n + 1, _BASE)
             full[0] = 1
             self.up = np.multiply.accumulate(full)

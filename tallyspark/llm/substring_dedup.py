@@ -294,7 +294,7 @@ def _removing(length: int, with_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, phrases_at_once: int = 2_000_000, group_bytes: int = 16 << 20, with_text: bool = True
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, phrases_at_once: int = 500_000, group_bytes: int = 4 << 20, with_text: bool = True
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row. kept: the text left; where a cut splits a
     character, its remains are shown as U+FFFD, while kept_sha256 is that of the bytes. Null without ``with_text``."""

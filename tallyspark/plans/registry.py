@@ -2,10 +2,229 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import dates as D
+from tallyspark.functions import privacy as P
+from tallyspark.functions import text as T
+from tallyspark.functions.money import amount
+from tallyspark.operators import balances, dedupe, enrich, insights, installments, metrics, reconcile, recurring, rules
+from tallyspark.operators.categories import labelled
+from tallyspark.plans import facts
+from tallyspark.plans.oracles import ORACLES
+from tallyspark.sources import sheets
+
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and counts as longs, the way results are compared."""
+    kinds = {n: t for n, t in df.dtypes}
+    return df.select(*(F.col(n).cast("double").alias(n) if t.startswith("decimal") else F.col(n).cast("bigint").alias(n) if t == "int" else F.col(n) for n, t in kinds.items()))
+
+
+def monthly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(metrics.summaries(facts.movements(spark, sf_dir)))
+
+
+def month_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.comparisons(metrics.summaries(facts.movements(spark, sf_dir)))
+    parts = [F.col(f"{f}.{p}").alias(f"{f}_{p}") for f in ("net_spending", "income", "net_cash_flow") for p in ("kind", "absolute", "ratio")]
+    return _plain(rows.select("currency", "month", "previous_month", "comparable", *parts))
+
+
+def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(metrics.category_totals(facts.movements(spark, sf_dir)))
+    return _plain(rows.select("currency", "category", "label", "category_group", "gross", "refunds", "amount", "transaction_count", "share"))
+
+
+def merchant_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(metrics.merchant_totals(facts.movements(spark, sf_dir)))
+
+
+def unattributed_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(metrics.unattributed(facts.movements(spark, sf_dir)))
+
+
+def issuer_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(metrics.issuer_charges(facts.movements(spark, sf_dir)))
+
+
+def cost_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(metrics.cost_breakdown(facts.movements(spark, sf_dir)))
+
+
+def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = {
+        "description": F.lit("PAC"), "normalized_description": F.when(F.col("account_id") % 2 == 0, "PAC CUENTA").otherwise("COMPRA"), "installment": F.lit(None).cast("struct<current:int,total:int,confidence:string>"),
+        "fingerprint": F.col("row_id").cast("string"), "merchant": F.concat(F.lit("Cliente "), "account_id"),
+    }
+    rows = facts.orders(spark, sf_dir).withColumns(more)
+    return recurring.recurring_charges(rows, likely=(1, 900), possible=(1, 1500), likely_spread=6000, possible_spread=15000)
+
+
+def recurring_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(_recurring(spark, sf_dir).drop("fingerprints", "category", "merchant"))
+
+
+def _card_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = facts.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity")
+    return line.where("l_partkey % 10 = 0").select(
+        F.lit("credit_card_purchase").alias("kind"), F.concat(F.lit("S"), "l_suppkey").alias("merchant"), F.lit("banco-chile").alias("institution"), F.lit("CLP").alias("currency"), F.lit(2).alias("amount_scale"),
+        amount(-F.floor(F.col("l_quantity") / 25 + 1).cast("decimal(22,2)") * 1000).alias("amount"), F.col("l_shipdate").cast("date").alias("date"), F.format_string("%012d-%d", "l_orderkey", "l_linenumber").alias("fingerprint"),
+        F.lit("x").alias("description"), F.struct(F.col("l_linenumber").alias("current"), F.lit(9).alias("total"), F.when(F.col("l_linenumber") > 2, "confirmed").otherwise("suggested").alias("confidence")).alias("installment"),
+        F.array().cast("array<struct<code:string,message:string>>").alias("warnings"),
+    )
+
+
+def installment_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return installments.build_plans(_card_charges(spark, sf_dir)).drop("source_fingerprints").withColumn("observed_installments", F.array_join("observed_installments", ","))
+
+
+def installment_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(installments.schedule(installments.build_plans(_card_charges(spark, sf_dir)), "1998-01"))
+
+
+def transfer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.candidates(facts.from_events(spark, sf_dir), window=2)
+    return rows.select("o_leg", "i_leg", F.col("gap_days").cast("bigint").alias("gap_days"), F.col("rank").cast("bigint").alias("rank"), "third_party")
+
+
+def transfer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.match_transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason")
+
+
+def ambiguous_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.knots(reconcile.match_transfers(facts.from_events(spark, sf_dir))[1])
+
+
+def card_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.match_card_payments(facts.from_events(spark, sf_dir))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedupe.with_fingerprints(facts.described(spark, sf_dir))
+    return rows.select("row_id", "fingerprint", "weak_fingerprint", "legacy_fingerprint")
+
+
+def _new_and_old(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = dedupe.with_fingerprints(facts.described(spark, sf_dir)).withColumns({"source_file_hash": F.lit("f"), "source_parser": F.lit("p"), "source_line": F.col("row_id")})
+    old = rows.where("row_id % 3 = 0").select(
+        F.when(F.col("row_id") % 2 == 0, F.col("fingerprint")).alias("fingerprint"), "weak_fingerprint", F.concat(F.lit("a"), "row_id").alias("activity_id"), "date", "amount", "currency",
+        F.concat("description", F.lit(" EXTRA")).alias("description"), (F.col("row_id") % 12 == 0).alias("host_modified"), F.lit("q").alias("parser"), F.lit("1").alias("parser_version"), F.lit("g").alias("file_hash"),
+        F.lit(None).cast("int").alias("installment_remaining"), (-F.col("row_id")).alias("ord"),
+    )
+    return rows, old
+
+
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.classify(*_new_and_old(spark, sf_dir)).select("row_id", "verdict", "reason_code", "existing_activity_id", "score")
+
+
+def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedupe.classify(*_new_and_old(spark, sf_dir)).withColumn("ignored", F.col("row_id") % 11 == 0)
+    return _plain(metrics.preview_totals(rows.withColumn("will_import", ~F.col("ignored") & (F.col("verdict") == "none"))))
+
+
+def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = facts.table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("fingerprint"), F.col("event_id").alias("source_line"), F.lit("f").alias("source_file_hash"))
+    return dedupe.with_idempotency_keys(e).select("source_line", "idempotency_key")
+
+
+def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enrich.with_financial_cost(rules.apply_rules(facts.described(spark, sf_dir), list(rules.BUILTIN)))
+    return rows.select("row_id", "merchant", "category", "kind", "kind_confidence", F.array_join("tags", ",").alias("tags"), F.array_join("applied_rules", ",").alias("applied_rules"), "cost_kind", "cost_confidence")
+
+
+def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small set of rules over parts, each seeing what those before it did."""
+    C, A, R = rules.Condition, rules.Action, rules.Rule
+    some = [
+        R("a", 10, (C("abs_amount", "gte", 1500), C("description", "contains", "BRASS")), (A("set_category", "metal"), A("add_tag", "caro")), match="all"),
+        R("b", 20, (C("category", "equals", "metal"),), (A("set_merchant", "Herrero"),), stop=True),
+        R("c", 30, (C("abs_amount", "between", (1000, 1200)), C("description", "starts_with", "standard")), (A("set_category", "normal"),)),
+        R("d", 40, (C("description", "matches", r"\bTIN$"), C("merchant", "not_equals", "Herrero")), (A("ignore"), A("add_tag", "estaño")), match="all", origin="user"),
+    ]
+    part = facts.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
+    rows = part.select(
+        "p_partkey", amount(-F.col("p_retailprice").cast("decimal(22,2)")).alias("amount"), T.normalize_description(F.col("p_type")).alias("normalized_description"), F.lit("expense").alias("kind"), F.lit("suggested").alias("kind_confidence"),
+        F.lit(None).cast("string").alias("merchant"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("tags"), F.lit("out").alias("direction"), F.lit("x").alias("account_id"),
+    )
+    return rules.apply_rules(rows, some, attribute=False).select("p_partkey", "merchant", "category", F.array_join("tags", ",").alias("tags"), F.array_join("applied_rules", ",").alias("applied_rules"), "ignored")
+
+
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return facts.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_description(text), 256).alias("normal"), F.sha2(T.description_key(text), 256).alias("key"), F.size(T.tokens(T.normalize_description(text))).cast("bigint").alias("tokens"))
+
+
+def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.table(spark, sf_dir, "documents").select("doc_id", F.sha2(P.redact(F.col("text")), 256).alias("redacted"))
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    return facts.table(spark, sf_dir, "orders").select(
+        "o_orderkey", D.month_key(d).alias("month"), D.add_months_to_key(D.month_key(d), 5).alias("later"), F.add_months(d, 1).alias("next_month"), F.last_day(d).alias("month_end"), D.days_between(d, F.lit("1998-08-02").cast("date")).cast("bigint").alias("days")
+    )
+
+
+def date_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "d-M-yy"))
+    read = D.parse_date(text)
+    return facts.table(spark, sf_dir, "orders").select("o_orderkey", read["date"].alias("date"), read["ambiguous"].alias("ambiguous"), read["error"].alias("error"))
+
+
+def date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    rows = facts.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("file"), F.when(F.col("o_custkey") % 50 % 2 == 0, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")).alias("cell"))
+    return _plain(sheets.date_order(rows, "file", "cell", "DMY"))
+
+
+def balance_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.orders(spark, sf_dir)
+    return _plain(balances.walk(balances.example(rows), "account_id"))
+
+
+def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = facts.table(spark, sf_dir, "events").where("event_id % 2 = 0").select("user_id", "event_type")
+    b = facts.table(spark, sf_dir, "events").where("event_id % 2 = 1").select("user_id", "event_type")
+    return dedupe.bag_diff(a, b, ["user_id", "event_type"])
+
+
+def month_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.movements(spark, sf_dir).withColumn("month", D.month_key(F.col("date")))
+    summary = metrics.summaries(rows)
+    by = ("currency", "month")
+    parts = [insights.cash_flow(summary), insights.category_changes(metrics.category_totals(rows, by)), insights.concentration(metrics.merchant_totals(rows, 8, by), summary)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _plain(out)
+
+
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enrich.with_attribution(facts.described(spark, sf_dir))
+    return rows.groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.count(F.lit(1)).alias("n"))
+
+
+def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.described(spark, sf_dir).withColumn("is_card", F.col("product") == "credit_card")
+    kind = enrich.default_kind(F.col("normalized_description"), F.col("is_card"))
+    return rows.withColumn("d", kind).groupBy("description", "is_card", "direction").agg(F.max("d.kind").alias("default_kind"), F.max("d.confidence").alias("default_confidence"), F.count(F.lit(1)).alias("n"))
+
+
+NAMES = (
+    monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
+    transfer_matches, ambiguous_transfers, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
+    bag_diff, month_insights, attribution, kind_defaults,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in queries()}
