@@ -5,10 +5,15 @@ least c shingles among their first n - ceil(t n) + c ones, and more the closer t
 that its prefix is estimated to give: the costlier, the longer its prefix and the more shared shingles are required before two
 documents are verified.
 
-Equal sets are one node. Then links are sought in two rounds, so that a group of n near copies costs n comparisons, not n * n:
-each node is verified against the node that is first under most of its shingles; then, under shingles that still join different
-components, the nodes outside the largest component there are verified against those of other components. Pairs within a
-component need no more comparing, since only classes are asked for. All verification is exact, on whole texts.
+Equal sets, by 64-bit names, are one node. Then links are sought in two rounds, so that a group of n near copies costs n
+comparisons, not n * n: each node is verified against a hub, the node with the most frequent prefix under most of its shingles (of near copies, the one
+with the fewest changes); then, under shingles that
+still join different components, the nodes outside the largest component there are verified against those of other components.
+Pairs within a component need no more comparing, since only classes are asked for. All verification is exact, on whole texts.
+
+Before texts are fetched, pairs that cannot be similar are told by parity sketches: for each of 256 buckets a set keeps whether it
+has an odd number of shingles there, so that the sketches of two sets differ in no more bits than the sets in shingles. The bound
+loses no pair, and few texts have to move.
 
 Null ids are never linked. Rows that share an id share their links. Null texts and texts without words have empty sets, which link
 with nothing. Repeated rows come back as often as they occur. Other columns are ignored.
@@ -31,7 +36,9 @@ from tallyspark.llm.shingles import mix, overlap, shingle_sets
 SLOTS, OFTEN = 1 << 20, 4
 #: Estimated candidates from which on a document requires one more shared shingle.
 COSTS = (64, 512, 4096)
-_FIRST = "doc_id bigint, n bigint, node bigint, check bigint, slot int, seen bigint"
+_SKETCH = ["s0", "s1", "s2", "s3"]
+_FIRST = f"doc_id bigint, h bigint, n bigint, node bigint, {' bigint, '.join(_SKETCH)} bigint, slot int, seen bigint"
+_FIRST_NAMES = ["doc_id", "h", "n", "node", *_SKETCH, "slot", "seen"]
 
 
 def _sets(part: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,11 +46,23 @@ def _sets(part: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.nda
     return shingle_sets(data, ends, k)
 
 
-def _names(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each set."""
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(s)))]) for s in (1, 2)]
-    a, b = (mix(x[ends[1:]] - x[ends[:-1]] + np.diff(ends).astype(np.uint64)) for x in sums)
-    return a.view(np.int64), b.view(np.int64)
+def _names(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets + np.uint64(1)))])
+    return mix(sums[ends[1:]] - sums[ends[:-1]] + np.diff(ends).astype(np.uint64)).view(np.int64)
+
+
+def sketches(sets: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The parity sketch of each set, in four 64-bit numbers."""
+    bit, word = np.uint64(1) << (sets & np.uint64(63)), (sets >> np.uint64(6)) & np.uint64(3)
+    full = np.flatnonzero(np.diff(ends))
+    out = []
+    for w in range(len(_SKETCH)):
+        x = np.zeros(len(ends) - 1, np.uint64)
+        if len(full):
+            x[full] = np.bitwise_xor.reduceat(np.where(word == np.uint64(w), bit, np.uint64(0)), ends[:-1][full])
+        out.append(x.view(np.int64))
+    return out
 
 
 def _first_pass(k: int):
@@ -63,25 +82,25 @@ def _first_pass(k: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, ends = _sets(part, 1, k)
-                a, b = _names(sets, ends)
                 n = np.diff(ends)
                 none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), none.cast(pa.int32()), none.cast(pa.int64())], ["doc_id", "n", "node", "check", "slot", "seen"])
+                own = [pa.array(x) for x in (n, _names(sets, ends), *sketches(sets, ends))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *own, none.cast(pa.int32()), none.cast(pa.int64())], _FIRST_NAMES)
                 held.append(sets)
                 size += len(sets)
-                if size > 6_000_000:
+                if size > 2_000_000:
                     count()
                     size = 0
         count()
         slot = np.flatnonzero(seen)
         none = pa.nulls(len(slot)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(slot.astype(np.int32)), pa.array(seen[slot])], ["doc_id", "n", "node", "check", "slot", "seen"])
+        yield pa.RecordBatch.from_arrays([none] * (len(_FIRST_NAMES) - 2) + [pa.array(slot.astype(np.int32)), pa.array(seen[slot])], _FIRST_NAMES)
 
     return run
 
 
-def prefixes(sets: np.ndarray, ends: np.ndarray, seen: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles of all sets, how many each set has, and each set's c."""
+def prefixes(sets: np.ndarray, ends: np.ndarray, seen: np.ndarray, t: tuple[int, int], costs: tuple[int, ...] = COSTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles of all sets, how many each set has, and each set's estimated candidates, from which c follows."""
     n = np.diff(ends)
     owner = np.repeat(np.arange(len(n)), n)
     often = seen[(sets >> np.uint64(44)).astype(np.int64)]
@@ -90,21 +109,26 @@ def prefixes(sets: np.ndarray, ends: np.ndarray, seen: np.ndarray, t: tuple[int,
     least = -(-t[0] * n // t[1])
     rank = np.arange(len(sets)) - np.repeat(ends[:-1], n)
     base = np.repeat(n - least + 1, n)
-    cost = np.bincount(owner, np.where(rank < base, often, 0), len(n))
-    c = np.minimum(1 + sum((cost >= x).astype(np.int64) for x in COSTS), np.maximum(least, 1))
+    cost = np.bincount(owner, np.where(rank < base, often, 0), len(n)).astype(np.int64)
+    c = np.minimum(1 + sum((cost >= x).astype(np.int64) for x in costs), np.maximum(least, 1))
     keep = rank < np.repeat(n - least + c, n)
-    return sets[keep], np.bincount(owner[keep], minlength=len(n)), c
+    return sets[keep], np.bincount(owner[keep], minlength=len(n)), cost
+
 
+def _required(n, cost, t: tuple[int, int], costs: tuple[int, ...]):
+    """c, the shared shingles that a document requires, as ``prefixes`` has it."""
+    return F.least(1 + sum(((cost >= x).cast("bigint") for x in costs), F.lit(0)), F.greatest(F.ceil(n * t[0] / t[1]), F.lit(1)))
 
-def _second_pass(k: int, t: tuple[int, int], table):
-    """(token, node, n, c) of every shingle in a prefix, once for each node and task."""
+
+def _second_pass(k: int, t: tuple[int, int], table, costs: tuple[int, ...]):
+    """(token, node, n, cost) of every shingle in a prefix, once for each node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, done = table.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, ends = _sets(part, 0, k)
-                node, _ = _names(sets, ends)
+                node = _names(sets, ends)
                 fresh = np.zeros(len(node), bool)
                 for i, x in enumerate(node.tolist()):
                     if x not in done:
@@ -114,15 +138,16 @@ def _second_pass(k: int, t: tuple[int, int], table):
                 n = np.diff(ends)
                 sets = sets[np.repeat(fresh, n)]
                 n, node = n[fresh], node[fresh]
-                token, count, c = prefixes(sets, np.concatenate([[0], np.cumsum(n)]), seen, t)
+                token, count, cost = prefixes(sets, np.concatenate([[0], np.cumsum(n)]), seen, t, costs)
                 again = lambda x: pa.array(np.repeat(x, count).astype(np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), again(node), again(n), again(c)], ["token", "node", "n", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), again(node), again(n), again(cost)], ["token", "node", "n", "cost"])
 
     return run
 
 
 def _verifying(k: int, t: tuple[int, int]):
-    """Rows come by (center, salt), the center's own text first; gives the pairs that are similar enough."""
+    """Rows come by (center, salt), the center's own text first; gives the pairs that are similar enough. Repeated rows of a
+    document give their pair again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, np.uint64)
@@ -144,68 +169,83 @@ def _verifying(k: int, t: tuple[int, int]):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, t: tuple[int, int], per_salt: int = 500) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, t: tuple[int, int], per_salt: int = 500) -> DataFrame:
     """The (center, member) pairs that are similar enough, as (a, b). Centers with many members are dealt to several tasks."""
+    pairs = stored(pairs, "pairs")
     centers = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts"))
     members = pairs.join(centers, "center").select("center", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.col("member").alias("node"))
     own = centers.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("center").alias("node"))
-    rows = members.unionAll(own).join(texts, "node").select("center", "salt", "node", "text")
-    rows = rows.repartition("center", "salt").sortWithinPartitions("center", "salt", (F.col("node") != F.col("center")).cast("int"))
-    return rows.mapInArrow(_verifying(k, t), "a bigint, b bigint")
+    wanted = members.unionAll(own).join(nodes.select("node", "rep"), "node").select("center", "salt", "node", "rep.id", F.col("rep.h").alias("of"))
+    found = rows.withColumn("h", F.xxhash64("text")).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("center", "salt", "node", "text")
+    found = found.repartition("center", "salt").sortWithinPartitions("center", "salt", (F.col("node") != F.col("center")).cast("int"))
+    return stored(found.mapInArrow(_verifying(k, t), "a bigint, b bigint"), "links")
+
+
+def _may_link(a: list, b: list, t: tuple[int, int]):
+    """Whether two sets, each given by its size and sketch, may be similar enough."""
+    (na, *sa), (nb, *sb) = (list(map(F.col, x)) for x in (a, b))
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(sa[1:], sb[1:], strict=True)), F.bit_count(sa[0].bitwiseXOR(sb[0])))
+    # At a Jaccard of at least t, two sets differ in at most (1 - t) / (1 + t) of the sum of their sizes.
+    return _close(na, nb, t) & (differ * (t[0] + t[1]) <= (na + nb) * (t[1] - t[0]))
 
 
-def _close(a: str, b: str, t: tuple[int, int]):
-    return (F.least(a, b) * t[1] >= F.greatest(a, b) * t[0])
+def _close(a, b, t: tuple[int, int]):
+    return F.least(a, b) * t[1] >= F.greatest(a, b) * t[0]
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; similarity: least Jaccard as a fraction of two integers."""
-    spark, t = docs.sparkSession, similarity
+    spark, t, costs = docs.sparkSession, similarity, COSTS
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = stored(rows.mapInArrow(_first_pass(k), _FIRST), "sets")
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    first = stored(hashed.mapInArrow(_first_pass(k), _FIRST), "sets")
     counts = first.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).toPandas()  # at most SLOTS rows
     seen = np.zeros(SLOTS, np.int32)
     seen[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["seen"].to_numpy(np.int64), 1 << 30)
     held = spark.sparkContext.broadcast(seen)
     known = first.where("slot is null")
     linked = known.where("n > 0 and doc_id is not null")
+    nodes = linked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("id"), "h")).alias("rep"), *(F.any_value(c).alias(c) for c in ("n", *_SKETCH)))
+    nodes = stored(nodes, "nodes")
 
-    prefix = rows.where("doc_id is not null").select("text").mapInArrow(_second_pass(k, t, held), "token bigint, node bigint, n bigint, c bigint")
+    prefix = rows.where("doc_id is not null").select("text").mapInArrow(_second_pass(k, t, held, costs), "token bigint, node bigint, n bigint, cost bigint")
     # Node sizes and shingle counts differ by row only where documents repeat, so this drops just repeats from several tasks.
     prefix = prefix.repartition("token").dropDuplicates(["token", "node"])
     by_token = Window.partitionBy("token")
-    least = F.min(F.struct("n", "node")).over(by_token)
-    shared = prefix.select("*", least.alias("least"), F.max("node").over(by_token).alias("most"), F.min("node").over(by_token).alias("few")).where("most != few")
-    shared = stored(shared.select("token", "node", "n", "c", F.col("least.node").alias("pivot"), F.col("least.n").alias("pivot_n")), "shared")
-
-    # Round one: the node that is first under most of a node's shingles.
-    pivots = shared.where(F.col("pivot") != F.col("node")).where(_close("n", "pivot_n", t)).groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
-    best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
-    nodes = linked.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    wanted = shared.select("node").distinct()
-    owners = nodes.join(wanted, "node").withColumnRenamed("node", "own")
-    texts = rows.join(owners, F.col("doc_id") == F.col("rep")).select(F.col("own").alias("node"), "text").dropDuplicates(["node"])
-    texts = stored(texts, "texts")
-    one = stored(_verified(best.select(F.col("pivot").alias("center"), F.col("node").alias("member")), texts, k, t), "links")
+    hub = F.max(F.struct("cost", "n", "node")).over(by_token)
+    shared = prefix.select("*", hub.alias("hub"), F.max("node").over(by_token).alias("most"), F.min("node").over(by_token).alias("few")).where("most != few")
+    required = _required(F.col("n"), F.col("cost"), t, costs).cast("int").alias("c")
+    shared = stored(shared.select("token", "node", "n", required, F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
+
+    # Round one: the hub under most of a node's shingles.
+    hubs = shared.where(F.col("hub") != F.col("node")).where(_close("n", "hub_n", t)).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = hubs.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("center")).withColumnRenamed("node", "member")
+    mine, theirs = (["n", *_SKETCH], [f"{c}_" for c in ("n", *_SKETCH)])
+    centers = nodes.select(F.col("node").alias("node_"), *(F.col(c).alias(f"{c}_") for c in mine))
+    near = best.join(nodes.drop("rep"), F.col("member") == F.col("node")).join(centers, F.col("center") == F.col("node_"))
+    one = _verified(near.where(_may_link(mine, theirs, t)).select("center", "member"), nodes, rows, k, t)
 
     # Round two: shingles under which different components still meet.
-    label = components(one)
-    mine = shared.select("token", "node", "n", "c").join(label, "node", "left").select("*", F.coalesce("component", "node").alias("of")).drop("component")
-    counted = mine.groupBy("token", "of").agg(F.count(F.lit(1)).alias("size"))
+    label = nodes.drop("rep", "n").join(components(one).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    label = label.select(F.col("node").alias("at"), *_SKETCH, F.coalesce("component", "node").alias("of"))
+    placed = shared.select("token", "node", "n", "c").join(label, F.col("node") == F.col("at")).drop("at").repartition("token")
+    counted = placed.groupBy("token", "of").agg(F.count(F.lit(1)).alias("size"))
     largest = counted.groupBy("token").agg(F.max_by("of", F.struct("size", "of")).alias("largest"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    open_rows = stored(mine.join(largest.select("token", "largest"), "token"), "open")
-    x = open_rows.where("of != largest").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), F.col("of").alias("xo"))
-    y = open_rows.select("token", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"), F.col("of").alias("yo"), (F.col("of") == F.col("largest")).alias("big"))
-    met = x.join(y, "token").where((F.col("xo") != F.col("yo")) & _close("xn", "yn", t) & (F.col("big") | (F.col("x") < F.col("y"))))
-    pair = (F.least("x", "y").alias("member"), F.greatest("x", "y").alias("center"))
+    open_rows = placed.join(largest.select("token", "largest"), "token")
+    x = open_rows.where("of != largest").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "node", "c", "of", *mine)))
+    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "node", "c", "of", *mine)), (F.col("of") == F.col("largest")).alias("big"))
+    may = _may_link([f"x_{c}" for c in mine], [f"y_{c}" for c in mine], t)
+    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_of") != F.col("y_of")) & (F.col("big") | (F.col("x_node") < F.col("y_node"))) & may)
+    pair = (F.least("x_node", "y_node").alias("member"), F.greatest("x_node", "y_node").alias("center"))
     # With an overlap of at least o, prefixes of n - o + m shingles share m; the prefixes at hand have n - ceil(t n) + c.
     spare = lambda n, c: F.col(c) - F.ceil(F.col(n) * t[0] / t[1])
-    needed = F.least(spare("xn", "xc"), spare("yn", "yc")) + F.ceil((F.col("xn") + F.col("yn")) * t[0] / (t[0] + t[1]))
+    needed = F.least(spare("x_n", "x_c"), spare("y_n", "y_c")) + F.ceil((F.col("x_n") + F.col("y_n")) * t[0] / (t[0] + t[1]))
     pairs = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed")).where("times >= needed")
-    two = stored(_verified(pairs.select("center", "member"), texts, k, t), "links")
+    two = _verified(pairs.select("center", "member"), nodes, rows, k, t)
 
-    label = components(one.unionAll(two))
-    classes = nodes.join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("of"))
+    classes = nodes.select("node", F.col("rep.id").alias("rep"))
+    label = components(one.unionAll(two)).withColumnRenamed("node", "at")
+    classes = classes.join(label, F.col("node") == F.col("at"), "left").select("node", "rep", F.coalesce("component", "node").alias("of"))
     ids = classes.groupBy("of").agg(F.min("rep").alias("component_id"))
     mapped = classes.join(ids, "of").select(F.col("node").alias("own"), "component_id")
     is_linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node"))
