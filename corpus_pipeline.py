@@ -26,10 +26,6 @@ def _columns(docs: DataFrame) -> list[str]:
     return [*COLUMNS, *(c for c in docs.columns if c not in COLUMNS)]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*_columns(docs))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and takes under eight bits a byte in its best language."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -39,8 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept."""
     classes = jaccard_join.near_duplicates(docs, k=5, similarity=(80, 100))
-    first = classes.where(F.col("doc_id") == F.col("component_id"))
-    known = _only(docs.where("doc_id is not null"), first).dropDuplicates(["doc_id"])
+    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    known = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").select(*_columns(docs)).dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null").select(*_columns(docs)))
 
 
@@ -64,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids, places and windows."""
     pieces = packing.tokenize_windows(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
-    return packing.pack_windows(pieces, window=4096, shards=packing.shards_for(docs.count()))
+    return packing.pack_windows(pieces, window=4096, shards=packing.shards_for(docs.count(), per_shard=4096))
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", pack)]
