@@ -80,7 +80,7 @@ class WordIds:
     SIMPLE = re.compile(r"[!-&(-~\xa1-\u012f\u0131-\u017f]+")
     PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
