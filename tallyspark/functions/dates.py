@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.binding import let
+
 #: Month names and their short forms, and full labels in order.
 MONTHS = {
     "ene": 1, "enero": 1, "feb": 2, "febrero": 2, "mar": 3, "marzo": 3, "abr": 4, "abril": 4, "may": 5, "mayo": 5, "jun": 6, "junio": 6,
@@ -67,6 +69,10 @@ def parse_date(c: Column, order: str = "DMY", start: Column | None = None, end:
     end = F.lit(None).cast("date") if end is None else end
     text = F.trim(F.coalesce(c, F.lit("")))
     only = F.trim(F.regexp_replace(text, r"(?i)[T\s]+\d{1,2}:\d{2}(:\d{2})?(\s*[AP]M)?.*$", ""))
+    return let(only, lambda x: _read_date(x, order, start, end, pivot))
+
+
+def _read_date(only: Column, order: str, start: Column, end: Column, pivot: int) -> Column:
     low = F.lower(only)
     number = lambda x, pattern, g: F.regexp_extract(x, pattern, g).try_cast("int")
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
@@ -94,20 +100,32 @@ def parse_date(c: Column, order: str = "DMY", start: Column | None = None, end:
         error = F.when(found.isNull(), "missing-year").when(date.isNull(), "invalid-calendar-date").when(~inside, "outside-declared-period")
         return F.when(inside, date), error
 
-    date_a, error_a = yearless(month_a, number(low, named_short, 1))
-    date_b, error_b = yearless(month_b, day_b)
+    def parts(pair: tuple[Column, Column]) -> Column:
+        return F.struct(pair[0].alias("date"), pair[1].alias("error"))
+
+    bound = F.struct(
+        named_date.alias("named"), month.alias("named_month"), first.alias("first"), second.alias("second"), (a != b).alias("differ"), month_b.alias("month"),
+        F.when(low.rlike(named_short), let(month_a, lambda m: let(number(low, named_short, 1), lambda d: parts(yearless(m, d))))).alias("short_named"), month_a.isNull().alias("unnamed"),
+        F.when(only.rlike(short), let(month_b, lambda m: let(day_b, lambda d: parts(yearless(m, d))))).alias("short"),
+        ymd(number(only, iso, 1), number(only, iso, 2), number(only, iso, 3)).alias("iso"),
+        only.rlike(iso).alias("is_iso"), without_de.rlike(named).alias("is_named"), low.rlike(named_short).alias("is_named_short"), only.rlike(short).alias("is_short"), only.rlike(full).alias("is_full"),
+    )
+    return let(bound, lambda v: _chosen_date(only, v))
+
+
+def _chosen_date(only: Column, v: Column) -> Column:
     bad = "invalid-calendar-date"
-    iso_date = ymd(number(only, iso, 1), number(only, iso, 2), number(only, iso, 3))
-    is_iso, is_named, is_named_short, is_short, is_full = only.rlike(iso), without_de.rlike(named), low.rlike(named_short), only.rlike(short), only.rlike(full)
-    date = F.when(is_iso, iso_date).when(is_named, named_date).when(is_named_short, date_a).when(is_short, date_b).when(is_full, F.coalesce(first, second))
+    date = (
+        F.when(v["is_iso"], v["iso"]).when(v["is_named"], v["named"]).when(v["is_named_short"], v["short_named"]["date"]).when(v["is_short"], v["short"]["date"]).when(v["is_full"], F.coalesce(v["first"], v["second"]))
+    )
     error = (
-        F.when(text == "", "empty")
-        .when(is_iso, F.when(iso_date.isNull(), bad))
-        .when(is_named, F.when(month.isNull(), "unknown-month-name").when(named_date.isNull(), bad))
-        .when(is_named_short, F.when(month_a.isNull(), "unknown-month-name").otherwise(error_a))
-        .when(is_short, F.when(~month_b.between(1, 12), bad).otherwise(error_b))
-        .when(is_full, F.when(F.coalesce(first, second).isNull(), bad))
+        F.when(only == "", "empty")
+        .when(v["is_iso"], F.when(v["iso"].isNull(), bad))
+        .when(v["is_named"], F.when(v["named_month"].isNull(), "unknown-month-name").when(v["named"].isNull(), bad))
+        .when(v["is_named_short"], F.when(v["unnamed"], "unknown-month-name").otherwise(v["short_named"]["error"]))
+        .when(v["is_short"], F.when(~v["month"].between(1, 12), bad).otherwise(v["short"]["error"]))
+        .when(v["is_full"], F.when(F.coalesce(v["first"], v["second"]).isNull(), bad))
         .otherwise("unrecognised-format")
     )
-    ambiguous = is_full & ~is_iso & first.isNotNull() & second.isNotNull() & (a != b)
+    ambiguous = v["is_full"] & ~v["is_iso"] & v["first"].isNotNull() & v["second"].isNotNull() & v["differ"]
     return F.struct(date.alias("date"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), error.alias("error"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.binding import let
+
 AMOUNT = "decimal(22,6)"
 #: The largest magnitude, in units of the last decimal, that counts as exact.
 MOST = 2**53 - 1
@@ -41,25 +43,41 @@ def parse_amount(c: Column, number_format: str = "es-CL", with_marker: bool = Fa
     thousands; a single one before three digits is read by ``number_format`` (es-CL, en-US or auto). error: a code, or null.
     """
     text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[   \t\r\n]", " "))
-    empty = text == ""
-    bracketed = text.rlike(r"^\(.*\)$")
-    text = F.when(bracketed, F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
-    negative = bracketed
-    sign = F.lit(None).cast("string")
-    if with_marker:
-        word = F.upper(F.regexp_extract(text, _MARKER, 1))
+    return let(text, lambda whole: _unwrapped(whole, number_format, with_marker))
+
+
+def _unwrapped(whole: Column, number_format: str, with_marker: bool) -> Column:
+    """Takes off parentheses and the marker."""
+    bracketed = whole.rlike(r"^\(.*\)$")
+    inner = F.when(bracketed, F.trim(F.substring(whole, F.lit(2), F.length(whole) - 2))).otherwise(whole)
+
+    def marked(text: Column, word: Column) -> Column:
         debit = word.isin("D", "DB", "CARGO") | word.startswith("DEB") | word.startswith("DÉB")
         sign = F.when(word != "", F.when(debit, "debit").otherwise("credit"))
-        negative = negative | debit
-        text = F.when(word != "", F.trim(F.regexp_replace(text, _MARKER, ""))).otherwise(text)
-    text = F.trim(F.regexp_replace(text, _NOISE, ""))
+        plain = F.trim(F.regexp_replace(F.when(word != "", F.trim(F.regexp_replace(text, _MARKER, ""))).otherwise(text), _NOISE, ""))
+        return let(plain, lambda t: _unsigned(t, bracketed | debit, whole == "", sign, number_format))
+
+    if with_marker:
+        return let(inner, lambda t: let(F.upper(F.regexp_extract(t, _MARKER, 1)), lambda w: marked(t, w)))
+    plain = F.trim(F.regexp_replace(inner, _NOISE, ""))
+    return let(plain, lambda t: _unsigned(t, bracketed, whole == "", F.lit(None).cast("string"), number_format))
+
+
+def _unsigned(text: Column, negative: Column, empty: Column, sign: Column, number_format: str) -> Column:
+    """Takes off a minus or plus sign before, and a minus sign after."""
     leading = text.startswith("-")
-    text = F.when(text.rlike("^[-+]"), F.trim(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
-    trailing = text.endswith("-")
-    text = F.when(trailing, F.trim(F.left(text, F.length(text) - 1))).otherwise(text)
-    negative = (negative != leading) != trailing
-    text = F.regexp_replace(text, r"\s", "")
+    rest = F.when(text.rlike("^[-+]"), F.trim(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+
+    def ended(t: Column) -> Column:
+        trailing = t.endswith("-")
+        bare = F.regexp_replace(F.when(trailing, F.trim(F.left(t, F.length(t) - 1))).otherwise(t), r"\s", "")
+        return let(bare, lambda b: let((negative != leading) != trailing, lambda n: _digits(b, n, empty, sign, number_format)))
+
+    return let(rest, ended)
 
+
+def _digits(text: Column, negative: Column, empty: Column, sign: Column, number_format: str) -> Column:
+    """Reads digits and marks."""
     dots, commas = (F.length(text) - F.length(F.replace(text, F.lit(m))) for m in ".,")
     single = F.when(dots > 0, ".").otherwise(",")
     tail = F.element_at(F.split(text, "[.,]"), -1)
@@ -70,22 +88,30 @@ def parse_amount(c: Column, number_format: str = "es-CL", with_marker: bool = Fa
     whole_mark = {"es-CL": ".", "en-US": ","}.get(number_format)
     as_whole = none | repeated | three & (F.lit(True) if whole_mark is None else single == whole_mark)
     ambiguous = three & (F.lit(True) if whole_mark is None else single != whole_mark)
-    digits = F.regexp_replace(text, "[.,]", "")
     fraction = F.when(as_whole, "").otherwise(tail)
+    shape = F.struct(F.regexp_replace(text, "[.,]", "").alias("digits"), fraction.alias("fraction"), ambiguous.alias("ambiguous"), (repeated & ~grouped).alias("malformed"))
+    return let(shape, lambda x: _checked(text, x, negative, empty, sign))
+
+
+def _checked(text: Column, shape: Column, negative: Column, empty: Column, sign: Column) -> Column:
+    digits, fraction, ambiguous = shape["digits"], shape["fraction"], shape["ambiguous"]
     integer = F.left(digits, F.length(digits) - F.length(fraction))
     error = (
         F.when(empty, "empty")
         .when(text == "", "no-digits")
         .when(~text.rlike(r"^[\d.,]+$"), "unexpected-characters")
-        .when(repeated & ~grouped, "malformed-grouping")
+        .when(shape["malformed"], "malformed-grouping")
         .when(F.length(fraction) > 6, "too-many-decimals")
         .when(digits.cast("decimal(38,0)").isNull() & (digits != "") | (F.try_to_number(F.right(F.concat(F.lit("0" * 20), digits), F.lit(20)), F.lit("9" * 20)) > MOST) | (F.length(F.regexp_replace(digits, "^0+", "")) > 16), "too-large")
     )
     value = F.concat(F.when(negative, "-").otherwise(""), F.when(integer == "", "0").otherwise(integer), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    return F.struct(
-        F.when(error.isNull(), value.try_cast(AMOUNT)).alias("amount"),
-        F.when(error.isNull(), F.length(fraction)).alias("scale"),
-        F.when(error.isNull(), ambiguous).alias("ambiguous"),
-        F.when(error.isNull(), sign).alias("explicit_sign"),
-        error.alias("error"),
+    return let(
+        error,
+        lambda e: F.struct(
+            F.when(e.isNull(), value.try_cast(AMOUNT)).alias("amount"),
+            F.when(e.isNull(), F.length(fraction)).alias("scale"),
+            F.when(e.isNull(), ambiguous).alias("ambiguous"),
+            F.when(e.isNull(), sign).alias("explicit_sign"),
+            e.alias("error"),
+        ),
     )
