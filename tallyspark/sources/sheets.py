@@ -29,7 +29,7 @@ def file_kind(content: Column, path: Column) -> Column:
     head = F.hex(F.substring(content, 1, 4))
     extension = F.lower(F.element_at(F.split(path, r"\."), -1))
     sample = F.substring(content, 1, 512)
-    odd = F.length(F.regexp_replace(F.decode(sample, F.lit("ISO-8859-1")), r"[^\x01-\x08\x0E-\x1F]", ""))
+    odd = F.length(F.regexp_replace(F.decode(sample, "ISO-8859-1"), r"[^\x01-\x08\x0E-\x1F]", ""))
     text = ~F.hex(sample).rlike("^(?:..)*00") & (odd / F.greatest(F.lit(1), F.length(sample)) < 0.05)
     return (
         F.when(head.startswith("504B") & (F.length(content) > 4), "xlsx")

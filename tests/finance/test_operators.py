@@ -40,7 +40,7 @@ def test_costs_and_mandates(spark):
 def test_attribution(spark):
     want = {
         "MERPAGO*TIENDA": ("mercado-pago", None, "processor-hides-merchant"), "GOOGLE *YOUTUBE": ("google", "Youtube", None), "COMPRA FLOWERS": (None, "Flowers", None), "FLOW*PIANO": ("flow", None, "processor-hides-merchant"),
-        "COMPRA FLOW PIANO": ("flow", None, "processor-hides-merchant"), "LA FLOW TIENDA": (None, "La FLOW Tienda", None), "PAGO ONLINE": (None, None, "bank-placeholder"), "WEBPAY PLUS JUMBO CL": ("webpay", "Jumbo", None), "COMPRA": (None, None, "nothing-left"),
+        "COMPRA FLOW PIANO": ("flow", None, "processor-hides-merchant"), "LA FLOW TIENDA": (None, "La Flow Tienda", None), "PAGO ONLINE": (None, None, "bank-placeholder"), "WEBPAY PLUS JUMBO CL": ("webpay", "Jumbo", None), "COMPRA": (None, None, "nothing-left"),
         "ITUNES": ("apple", "Apple", None),
     }
     rows = E.with_attribution(said(spark, *want)).collect()
