@@ -1,6 +1,6 @@
 """Corpus preparation in five stages, each on all that its predecessor kept.
 
-1. language_id drops documents without any letter, and those that no language's model compresses.
+1. language_id drops documents that op3 calls ``und``: those without any letter. A script without labelled rows is no ground.
 2. near_duplicates keeps one document, that with the smallest id, of each class of near copies (five words, Jaccard 0.8).
 3. decontamination drops documents that hold a benchmark item.
 4. secrets masks every secret span in the texts and counts characters anew.
@@ -27,9 +27,9 @@ def _columns(docs: DataFrame) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has letters and takes under eight bits a byte in its best language."""
+    """Documents that the model, fitted on labelled rows, gives a language; without labelled rows, those whose text has letters."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    return language_id.compressible(docs.select(*_columns(docs)), model)
+    return language_id.identified(docs.select(*_columns(docs)), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,10 +164,10 @@ def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     )
 
 
-def compressible(docs: DataFrame, model: Model, *, text: str = "text", most_bits: float = 8.0) -> DataFrame:
-    """The rows, with all their columns, whose text has letters and takes under ``most_bits`` a byte in its best language.
+def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``predict`` gives a language: all but those it calls ``und``.
 
-    Rows go through one pass of Arrow batches, nothing is shuffled."""
+    Without any language in the model, rows whose text has a letter. Rows go through one pass of Arrow batches, nothing is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -175,9 +175,7 @@ def compressible(docs: DataFrame, model: Model, *, text: str = "text", most_bits
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
                 data, ends = utf8_bytes(part.column(at))
-                lengths = held.value.code_lengths(data, ends)
-                least = lengths.min(1) if lengths.shape[1] else np.zeros(part.num_rows)
-                keep = _letters(data, ends) & (least < most_bits * np.diff(ends))
+                keep = _best(held.value, data, ends)[0] != UNKNOWN if held.value.languages else _letters(data, ends)
                 if keep.any():
                     yield part.filter(pa.array(keep))
 
@@ -197,26 +195,29 @@ def _letters(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return has
 
 
+def _best(model: Model, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Name, score and bits per byte of each text's best language."""
+    lengths, ok = model.code_lengths(data, ends), _letters(data, ends)
+    n = len(ends) - 1
+    if model.languages:
+        best = lengths.argmin(1)
+        least = lengths[np.arange(n), best]
+        score = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1)
+        names = np.array(model.languages, object)[best]
+        names[~ok] = UNKNOWN
+    else:
+        names, least, score = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
+    per_byte = least / np.maximum(np.diff(ends), 1)
+    return names, np.where(ok, score, 0.0), np.where(ok, per_byte, 0.0)
+
+
 def _predicting(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = held.value
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                data, ends = utf8_bytes(part.column(1))
-                lengths, ok = model.code_lengths(data, ends), _letters(data, ends)
-                n = part.num_rows
-                if model.languages:
-                    best = lengths.argmin(1)
-                    least = lengths[np.arange(n), best]
-                    score = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(1)
-                    names = np.array(model.languages, object)[best]
-                    names[~ok] = UNKNOWN
-                else:
-                    names, least, score = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
-                per_byte = least / np.maximum(np.diff(ends), 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, per_byte, 0.0))], ["doc_id", "lang_pred", "score", "bits_per_byte"]
-                )
+                names, score, per_byte = _best(model, *utf8_bytes(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(per_byte)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
     return run
 
