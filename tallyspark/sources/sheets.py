@@ -1,7 +1,8 @@
 """Statement files as sheets of text cells, and what their columns mean.
 
-``read_sheets`` turns files into one row per sheet row; everything after is DataFrame work over all files at once. Files are read whole,
-up to a size limit, since each has its own encoding, delimiter and quoting; Spark spreads the files over tasks.
+``read_sheets`` turns files into one row per sheet row; everything after is DataFrame work over all files at once. Files are read whole
+and with all their rows, since each has its own encoding, delimiter and quoting; Spark spreads the files over tasks. A file over the size
+limit is one row with an error, like any other that can't be read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from tallyspark.functions.text import fold_case
 from tallyspark.sources.xlsx import read_xlsx
 
 MOST_BYTES = 10 << 20
-MOST_ROWS = 100_000
+#: Rows of a sheet that the XLSX format has room for: a file that names one below is broken.
+MOST_ROWS = 1 << 20
 DELIMITERS = (";", ",", "\t", "|")
 SHEETS = "path string, file_hash string, kind string, sheet_index int, sheet string, row_index int, cells array<string>, formats array<string>, error string"
 
@@ -62,12 +64,10 @@ def delimiter_of(text: str) -> str:
     return best
 
 
-def read_delimited(text: str, most_rows: int = MOST_ROWS) -> list[list[str]]:
+def read_delimited(text: str) -> list[list[str]]:
     rows = []
     for row in csv.reader(io.StringIO(text.replace("\r\n", "\n").replace("\r", ""), newline=""), delimiter=delimiter_of(text)):
         rows.append([c.strip() for c in row] or [""])
-        if len(rows) >= most_rows:
-            break
     while rows and not any(rows[-1]):
         rows.pop()
     return rows
@@ -89,15 +89,16 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = [(path, mark, kind, i, name, j, cells, formats, None) for i, (name, found, shapes) in enumerate(sheets) for j, (cells, formats) in enumerate(zip(found, shapes, strict=True))]
             except Exception as e:  # one bad file is an issue, not the end of the job
                 rows = [(path, mark, kind, None, None, None, None, None, str(e) or type(e).__name__)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for at in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], names)
 
 
 def read_sheets(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """All rows of all sheets of the files under ``path``; a file that can't be read is one row with an error."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
-    rows = files.select("path", F.sha2("content", 256).alias("file_hash"), file_kind(F.col("content"), F.col("path")).alias("kind"), "content")
-    return rows.mapInArrow(_reading, SHEETS)
+    """All rows of all sheets of the files under ``path``; a file that can't be read, or is over the size limit, is one row with an error."""
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.where(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("file_hash"), file_kind(F.col("content"), F.col("path")).alias("kind"), "content")
+    over = files.where(F.col("length") > most_bytes).select("path", F.format_string(f"file of %d bytes is over the limit of {most_bytes}", "length").alias("error"))
+    return rows.mapInArrow(_reading, SHEETS).unionByName(over, allowMissingColumns=True)
 
 
 def data_sheets(rows: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _shown(value: str, shape: str) -> str:
 
 
 def read_xlsx(content: bytes, most_rows: int) -> list[tuple[str, list[list[str]], list[list[str]]]]:
-    """(name, rows of text, rows of format shapes) of every sheet."""
+    """(name, rows of text, rows of format shapes) of every sheet; a row beyond ``most_rows`` is an error, nothing is cut off."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         read = lambda name: X.fromstring(z.read(name))
         names = set(z.namelist())
@@ -74,7 +74,7 @@ def read_xlsx(content: bytes, most_rows: int) -> list[tuple[str, list[list[str]]
             for row in read(target).iter(_M + "row"):
                 at = int(row.get("r", len(rows) + 1)) - 1
                 if at >= most_rows:
-                    break
+                    raise ValueError(f"sheet {sheet.get('name', '')}: row {at + 1} is beyond the limit of {most_rows} rows")
                 while len(rows) <= at:
                     rows.append([])
                     kinds.append([])
