@@ -131,6 +131,9 @@ ORACLES = {
             CASE WHEN mandated THEN 'pac' END AS mandate, CASE WHEN regular AND most = 1 AND mandated AND occurrences >= 3 THEN 'likely' ELSE 'possible' END AS confidence
         FROM r WHERE occurrences >= CASE WHEN mandated THEN 2 ELSE 3 END AND lo >= 1 AND hi <= 1500 AND worst <= typical * 15000 AND (occurrences >= 3 OR regular)""",
     "transfer_candidates": f"WITH {_PAIRS} SELECT o_leg, i_leg, gap_days, CASE WHEN own THEN 2 WHEN third THEN 1 ELSE 0 END AS rank, third AS third_party FROM pairs",
+    "transfer_candidates_all": """WITH e AS (SELECT *, ts::DATE AS date, round(value, 2) AS v, event_type IN ('purchase', 'error') AS is_out, event_id % 3 AS words, user_id || ':' || event_id AS leg FROM events)
+        SELECT o.leg AS o_leg, i.leg AS i_leg, abs(date_diff('day', o.date, i.date)) AS gap_days, CASE WHEN 0 IN (o.words, i.words) THEN 2 WHEN 1 IN (o.words, i.words) THEN 1 ELSE 0 END AS rank, 1 IN (o.words, i.words) AS third_party
+        FROM e o JOIN e i ON o.is_out AND NOT i.is_out AND o.v = i.v AND o.user_id <> i.user_id AND abs(date_diff('day', o.date, i.date)) <= 5""",
     "fingerprints": f"WITH {_FACTS}, {_KEYED} SELECT row_id, fingerprint, weak_fingerprint, legacy_fingerprint FROM p",
     "duplicates": f"WITH {_FACTS}, {_KEYED}, {_VERDICTS} SELECT row_id, verdict, reason_code, existing_activity_id, score FROM verdicts",
     "import_totals": f"""WITH {_FACTS}, {_KEYED}, {_VERDICTS}, t AS (SELECT v.*, o.kind, abs(v.amount) AS m, row_id % 11 = 0 AS ignored, row_id % 7 = 0 AS sure FROM verdicts v JOIN orders_f o USING (row_id)),

@@ -85,11 +85,20 @@ def installment_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(installments.schedule(installments.build_plans(_card_charges(spark, sf_dir)), "1998-01"))
 
 
-def transfer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.candidates(facts.from_events(spark, sf_dir), window=2)
+def _candidates(rows: DataFrame) -> DataFrame:
     return rows.select("o_leg", "i_leg", F.col("gap_days").cast("bigint").alias("gap_days"), F.col("rank").cast("bigint").alias("rank"), "third_party")
 
 
+def transfer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates at most two days apart, the window of SURVEY 7.3 and of this query's oracle."""
+    return _candidates(reconcile.candidates(facts.from_events(spark, sf_dir), window=2))
+
+
+def transfer_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the whole window, five days, that transfer_matches chooses from."""
+    return _candidates(reconcile.candidates(facts.from_events(spark, sf_dir)))
+
+
 def transfer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.match_transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason")
 
@@ -217,7 +226,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_matches, ambiguous_transfers, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
     bag_diff, month_insights, attribution, kind_defaults,
 )
 
