@@ -1,4 +1,4 @@
-"""Removing repeated substrings by prefix-free parsing, cut off at the match length.
+"""Removing repeated substrings by prefix-free parsing and hashes of strings of the match length.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts earlier in the corpus (a smaller id, or the same document
 at an earlier place). Texts are parsed into phrases at rolling-hash triggers: of each ``length`` bytes, the place with the least
@@ -7,8 +7,9 @@ trigger form a phrase: the stretch from the first of them to the end of the last
 
 The dictionary keeps each distinct phrase once, at its first place in the corpus; all strings of its later places are repeats,
 without being looked at one by one. Distinct phrases that share trigger bytes may still share strings: these alone are brought
-together, and their suffixes, cut off at ``length`` bytes, are sorted, which puts equal strings side by side in corpus order.
-Full suffix arrays of dictionary and parse would order strings beyond ``length`` bytes, which nothing here asks for.
+together, and their strings of ``length`` bytes are grouped by 128 bits of hash, in corpus order within a group. This stands in for
+suffix arrays of dictionary and parse, none of which is built: only whether two strings of ``length`` bytes are equal matters here,
+not how they order or how far they go on, and groups of hashes can be dealt out, which a suffix array can't.
 
 Tasks drop what repeats among their own phrases before anything is shuffled. A group of phrases with one trigger that is larger
 than ``group_bytes`` is not sorted in one task: its strings are shuffled one by one. Strings are compared by 128 bits of hash.
