@@ -6,7 +6,8 @@ with equal payloads of at least ``least`` bytes the one with the smallest page i
 
 ``read_archives`` reads any WARC files, gzip or plain. Where a check fails (gzip CRC, version line, headers, length, record
 end, payload digest) it searches for the next valid member or version line, goes on from there, and returns the skipped bytes
-as a ``gap`` row with file, offset, length and reason.
+as a ``gap`` row with file, offset, length and reason. Inside a member of several records it does the same: such a gap has the
+member's offset and length, and its place in the unpacked member in the reason.
 
 Null html is an empty payload. Null and repeated page ids are kept: repeated rows of a response are all responses, a null id
 is the largest. Only page_id, url and html are read of a table. An empty table gives an empty manifest.
@@ -152,16 +153,36 @@ def _member(file, at: int, step: int = 1 << 18) -> tuple[bytes, int]:
     return b"".join(out), at + read - len(unpack.unused_data)
 
 
+def _inside(data: bytes) -> list[dict]:
+    """The records of an unpacked member, and gaps up to the next version line that begins a record; a member without any record is broken."""
+    found, k, gap, why, records = [], 0, None, "", 0
+    skipped = lambda to: {"kind": "gap", "reason": f"{why}, in the unpacked member at {gap}, {to - gap} bytes"}
+    while k < len(data):
+        try:
+            row, end = _parse(data, k, True)
+        except Broken as e:
+            if gap is None:
+                gap, why = k, str(e)
+            k = i if (i := data.find(b"WARC/1.", k + 1)) >= 0 else len(data)
+            continue
+        if gap is not None:
+            found.append(skipped(k))
+            gap = None
+        found.append(row)
+        records, k = records + 1, end
+    if gap is not None:
+        if not records:
+            raise Broken(why)
+        found.append(skipped(len(data)))
+    return found
+
+
 def _one(file, at: int, size: int) -> tuple[list[dict], int]:
     """The records of the member, or the plain record, at ``at``, and where it ends."""
     file.seek(at)
     if file.read(2) == b"\x1f\x8b":
         data, end = _member(file, at)
-        found, k = [], 0
-        while k < len(data):
-            row, k = _parse(data, k, True)
-            found.append(row)
-        return found, end
+        return _inside(data), end
     take = 1 << 18
     while True:
         file.seek(at)
