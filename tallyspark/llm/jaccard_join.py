@@ -8,8 +8,10 @@ documents are verified.
 Equal sets, by 64-bit names, are one node. Then links are sought in two rounds, so that a group of n near copies costs n
 comparisons, not n * n: each node is verified against a hub, the node with the most frequent prefix under most of its shingles (of near copies, the one
 with the fewest changes); then, under shingles that
-still join different components, the nodes outside the largest component there are verified against those of other components.
-Pairs within a component need no more comparing, since only classes are asked for. All verification is exact, on whole texts.
+still join different components, the nodes outside the largest component there meet those of other components. Pairs within a
+component need no more comparing, since only classes are asked for. Of the shingles of round two, two nodes must share so many that
+the first shared one stands early in both their lists: only there, and only once in a run of shared ones, do they meet. All
+verification is exact, on whole texts.
 
 Before texts are fetched, pairs that cannot be similar are told by parity sketches: for each of 256 buckets a set keeps whether it
 has an odd number of shingles there, so that the sketches of two sets differ in no more bits than the sets in shingles. The bound
@@ -169,14 +171,18 @@ def _verifying(k: int, t: tuple[int, int]):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, t: tuple[int, int], per_salt: int = 500) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, t: tuple[int, int], per_salt: int = 64) -> DataFrame:
     """The (center, member) pairs that are similar enough, as (a, b). Centers with many members are dealt to several tasks."""
     pairs = stored(pairs, "pairs")
     centers = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts"))
     members = pairs.join(centers, "center").select("center", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.col("member").alias("node"))
     own = centers.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("center").alias("node"))
     wanted = members.unionAll(own).join(nodes.select("node", "rep"), "node").select("center", "salt", "node", "rep.id", F.col("rep.h").alias("of"))
-    found = rows.withColumn("h", F.xxhash64("text")).join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("center", "salt", "node", "text")
+    wanted = stored(wanted, "wanted")
+    asked = wanted.select("id", "of").distinct()
+    texts = rows.withColumn("h", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of")), "left_semi")
+    texts = texts.groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))  # a document that comes in several rows goes on once
+    found = texts.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("center", "salt", "node", "text")
     found = found.repartition("center", "salt").sortWithinPartitions("center", "salt", (F.col("node") != F.col("center")).cast("int"))
     return stored(found.mapInArrow(_verifying(k, t), "a bigint, b bigint"), "links")
 
@@ -193,6 +199,30 @@ def _close(a, b, t: tuple[int, int]):
     return F.least(a, b) * t[1] >= F.greatest(a, b) * t[0]
 
 
+def _needed(t: tuple[int, int]):
+    """How many prefix shingles x and y share at least if they are similar enough: with an overlap of at least o, prefixes of
+    n - o + m shingles share m, and the prefixes at hand have n - ceil(t n) + c."""
+    spare = lambda side: F.col(f"{side}_c") - F.ceil(F.col(f"{side}_n") * t[0] / t[1])
+    return F.least(spare("x"), spare("y")) + F.ceil((F.col("x_n") + F.col("y_n")) * t[0] / (t[0] + t[1]))
+
+
+def _ranked(rows: DataFrame, t: tuple[int, int], before: int = 4) -> DataFrame:
+    """Rows (token, node, n, c, of, largest) of which a node can still meet another under their token.
+
+    rank: the token's place among the ``held`` ones of its node, those in fewest rows first; before: the tokens just ahead of it.
+    If two nodes must share m of them, the first shared one has m - 1 of each node's at or after it, and none shared ahead of it.
+    So a row whose rank leaves too few for every size in its group (``needed`` is least at one end of these sizes) goes.
+    """
+    order = Window.partitionBy("node").orderBy("df", "token")
+    ahead = F.array_compact(F.array(*(F.lag("token", i).over(order) for i in range(1, before + 1)))).alias("before")
+    some = rows.select("*", F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("node")).alias("held"), ahead)
+    n = F.col("n")
+    low, high = F.greatest("low", F.ceil(n * t[0] / t[1])), F.least("high", F.floor(n * t[1] / t[0]))
+    at = lambda m: F.least(F.col("c") - F.ceil(n * t[0] / t[1]), -m * t[0] / t[1]) + (n + m) * t[0] / (t[0] + t[1])
+    least = F.greatest(F.ceil(F.least(at(low), at(high)) - 1e-6), F.lit(1))
+    return some.where((low <= high) & (F.col("rank") <= F.col("held") - least + 1)).drop("df", "low", "high")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; similarity: least Jaccard as a fraction of two integers."""
     spark, t, costs = docs.sparkSession, similarity, COSTS
@@ -226,22 +256,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     one = _verified(near.where(_may_link(mine, theirs, t)).select("center", "member"), nodes, rows, k, t)
 
     # Round two: shingles under which different components still meet.
-    label = nodes.drop("rep", "n").join(components(one).withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-    label = label.select(F.col("node").alias("at"), *_SKETCH, F.coalesce("component", "node").alias("of"))
-    placed = shared.select("token", "node", "n", "c").join(label, F.col("node") == F.col("at")).drop("at").repartition("token")
-    counted = placed.groupBy("token", "of").agg(F.count(F.lit(1)).alias("size"))
-    largest = counted.groupBy("token").agg(F.max_by("of", F.struct("size", "of")).alias("largest"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    open_rows = placed.join(largest.select("token", "largest"), "token")
-    x = open_rows.where("of != largest").select(*(F.col(c).alias(f"x_{c}") for c in ("token", "node", "c", "of", *mine)))
-    y = open_rows.select(*(F.col(c).alias(f"y_{c}") for c in ("token", "node", "c", "of", *mine)), (F.col("of") == F.col("largest")).alias("big"))
+    label = components(one).withColumnRenamed("node", "at")
+    placed = shared.select("token", "node", "n", "c").join(label, F.col("node") == F.col("at"), "left")
+    placed = placed.select("token", "node", "n", "c", F.coalesce("component", "node").alias("of")).repartition("token")
+    counted = placed.groupBy("token", "of").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = counted.groupBy("token").agg(F.max_by("of", F.struct("size", "of")).alias("largest"), F.sum("size").alias("df"), F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("several"))
+    opened = _ranked(placed.join(groups.where("several > 1").drop("several"), "token"), t)
+    marked = nodes.select(F.col("node").alias("at"), *_SKETCH)
+    opened = stored(opened.join(marked, F.col("node") == F.col("at")).drop("at"), "open")
+    columns = ("token", "node", "c", "of", "rank", "held", "before", *mine)
+    x = opened.where("of != largest").select(*(F.col(c).alias(f"x_{c}") for c in columns))
+    y = opened.select(*(F.col(c).alias(f"y_{c}") for c in columns), (F.col("of") == F.col("largest")).alias("big"))
+    needed = _needed(t)
+    first = (F.col("x_rank") <= F.col("x_held") - needed + 1) & (F.col("y_rank") <= F.col("y_held") - needed + 1) & ~F.arrays_overlap("x_before", "y_before")
     may = _may_link([f"x_{c}" for c in mine], [f"y_{c}" for c in mine], t)
-    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_of") != F.col("y_of")) & (F.col("big") | (F.col("x_node") < F.col("y_node"))) & may)
-    pair = (F.least("x_node", "y_node").alias("member"), F.greatest("x_node", "y_node").alias("center"))
-    # With an overlap of at least o, prefixes of n - o + m shingles share m; the prefixes at hand have n - ceil(t n) + c.
-    spare = lambda n, c: F.col(c) - F.ceil(F.col(n) * t[0] / t[1])
-    needed = F.least(spare("x_n", "x_c"), spare("y_n", "y_c")) + F.ceil((F.col("x_n") + F.col("y_n")) * t[0] / (t[0] + t[1]))
-    pairs = met.groupBy(*pair).agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed")).where("times >= needed")
-    two = _verified(pairs.select("center", "member"), nodes, rows, k, t)
+    met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_of") != F.col("y_of")) & (F.col("big") | (F.col("x_node") < F.col("y_node"))) & first & may)
+    pairs = met.select(F.least("x_node", "y_node").alias("member"), F.greatest("x_node", "y_node").alias("center")).distinct()
+    two = _verified(pairs, nodes, rows, k, t)
 
     classes = nodes.select("node", F.col("rep.id").alias("rep"))
     label = components(one.unionAll(two)).withColumnRenamed("node", "at")
