@@ -64,8 +64,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     manifest = stored(W.write_archives(pages, shared_path(spark, "warc")), "warc-manifest")
-    read = W.read_archives(manifest, tasks=manifest.count())
-    return read.where(F.col("kind") == "record").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = stored(W.read_archives(manifest, tasks=manifest.count(), with_payload=False).drop("payload"), "warc-records")
+    return W.resolved(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
