@@ -60,7 +60,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids, places and windows."""
     pieces = packing.tokenize_windows(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
-    return packing.pack_windows(pieces, window=4096, shards=packing.shards_for(docs.count(), per_shard=4096))
+    return packing.pack_windows(pieces, window=4096)
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("packing", pack)]

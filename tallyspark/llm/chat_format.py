@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 @dataclass(frozen=True)
 class Mapping:
     """One layout. Either ``turns`` names an array, with the paths of role and text below it, or ``fields`` lists
-    (path, role) of single texts, of which those named in ``joined`` go with the text before them into one turn."""
+    (path, role) of single texts, of which those named in ``joined`` go with the text before them into one turn.
+    ``roles`` gives the canonical names of the layout's own roles; other roles stay as they are."""
 
     name: str
     turns: str = ""
@@ -39,6 +40,7 @@ class Mapping:
     fields: tuple[tuple[str, str], ...] = ()
     joined: tuple[str, ...] = ()
     optional: tuple[str, ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> set[str]:
         if self.turns:
@@ -48,14 +50,13 @@ class Mapping:
 
 MAPPINGS = (
     Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("conversations", turns="conversations", role="from", text="value"),
+    Mapping("conversations", turns="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))),
     Mapping("conversation", turns="conversation", role="role", text="text"),
     Mapping("instruction", fields=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")), joined=("input",), optional=("system", "input")),
     Mapping("prompt-response", fields=(("system", "system"), ("prompt", "user"), ("response", "assistant")), optional=("system",)),
     Mapping("prompt-completion", fields=(("system", "system"), ("prompt", "user"), ("completion", "assistant")), optional=("system",)),
     Mapping("question-answer", fields=(("question", "user"), ("answer", "assistant"))),
 )
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def field_paths(value: object, at: str = "") -> set[str]:
@@ -85,7 +86,8 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     """Turns (role, text) of a record."""
     if mapping.turns:
         rows = [x if isinstance(x, dict) else {} for x in record.get(mapping.turns) or []]
-        return [(ROLES.get(r := _text(x.get(mapping.role)), r), _text(x.get(mapping.text))) for x in rows]
+        named = dict(mapping.roles)
+        return [(named.get(r := _text(x.get(mapping.role)), r), _text(x.get(mapping.text))) for x in rows]
     out: list[tuple[str, str]] = []
     for path, role in mapping.fields:
         text = _text(record.get(path))

@@ -2,10 +2,12 @@
 
 Vectors are compared within a label (and length) only. Equal vectors are brought together first and searched once. Each label's
 vectors are dealt to shards of about ``per_shard``; each shard's graph is built once and stored, and every two shards of a label
-meet in one task that searches each one's graph for the other's vectors. A search widens its beam until the audit, a sample of
-vectors compared with the whole shard, finds ``recall`` of the links; a vector whose beam ends within the links is searched with
-a wider one, and beyond ``widest`` it is compared with the whole shard. Candidates are verified in double precision. Tasks give
-counts and a spanning forest of their links, not pairs, so a group of near copies costs no quadratic output.
+meet in one task that searches each one's graph for the other's vectors. A search widens its beam until the audit finds ``recall``
+of the links: a sample of the vectors asked for, and as many made up by turning members of the shard by an angle within the
+threshold, so that every meeting has true links to find, are compared with the whole shard; self matches don't count. A vector
+whose beam ends within the links is searched with a wider one, and beyond ``widest`` it is compared with the whole shard.
+Candidates are verified in double precision. Tasks give counts and a spanning forest of their links, not pairs, so a group of near
+copies costs no quadratic output.
 
 Null ids, null labels, null vectors, vectors without length, all zero, or with null, NaN or infinite components link with
 nothing. Equal vectors link with each other. Rows with a repeated vec_id count as vectors of their own. Other columns are ignored.
@@ -59,29 +61,43 @@ class Shard:
         found = [np.nonzero(queries[i : i + 256] @ self.x.T >= least) for i in range(0, len(queries), 256)]
         return np.concatenate([a + 256 * i for i, (a, _) in enumerate(found)] or [[]]).astype(np.int64), np.concatenate([b for _, b in found] or [[]]).astype(np.int64)
 
-    def links(self, queries: np.ndarray, least: float, beam: int, recall: float, audit: int, widest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, own) of at least this similarity that the graph finds."""
-        sample = np.random.default_rng(7).permutation(len(queries))[:audit]
-        a, b = self.whole(queries[sample], least)
-        truth = set(zip(sample[a].tolist(), b.tolist(), strict=True))
+    def turned(self, count: int, least: float, rng: np.random.Generator) -> np.ndarray:
+        """Some members, each turned in a random direction to a cosine between ``least`` and 1 with what it was."""
+        x = self.x[rng.permutation(len(self.x))[:count]]
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        away = np.where(size > 1e-9, away / np.maximum(size, 1e-9), 0.0)
+        cosine = rng.uniform(least, 1.0, (len(x), 1))
+        return unit(cosine * x + np.sqrt(1 - cosine**2) * away)
+
+    def links(self, queries: np.ndarray, same: bool, least: float, beam: int, recall: float, audit: int, widest: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Pairs (query, own) of at least this similarity that the graph finds, and how many links the audit had and found.
+        same: the queries are the shard's own vectors."""
+        rng, n = np.random.default_rng(7), len(queries)
+        asked = np.concatenate([queries, self.turned(audit, least, rng)])
+        sample = np.concatenate([rng.permutation(n)[:audit], np.arange(n, len(asked))])
+        a, b = self.whole(asked[sample], least)
+        truth = {(i, j) for i, j in zip(sample[a].tolist(), b.tolist(), strict=True) if not (same and i == j)}
         while True:
-            ask, width, pairs = np.arange(len(queries)), beam, []
+            ask, width, pairs = np.arange(len(asked)), beam, []
             while len(ask):
                 if width > widest:
-                    a, b = self.whole(queries[ask], least)
+                    a, b = self.whole(asked[ask], least)
                     pairs.append((ask[a], b))
                     break
-                ids, sims = self.graph.search(queries[ask], width)
+                ids, sims = self.graph.search(asked[ask], width)
                 r, c = np.nonzero((ids >= 0) & (sims >= least - 1e-3))
-                close = np.einsum("nd,nd->n", queries[ask[r]], self.x[ids[r, c]]) >= least
+                close = np.einsum("nd,nd->n", asked[ask[r]], self.x[ids[r, c]]) >= least
                 full = (sims[:, -1] >= least - 1e-3) & (ids.shape[1] < len(self.x))
                 keep = close & ~full[r]
                 pairs.append((ask[r[keep]], ids[r, c][keep]))
                 ask, width = ask[full], 2 * width
             a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            found = truth.intersection(zip(a.tolist(), b.tolist(), strict=True)) if truth else truth
-            if beam > widest or len(found) >= recall * len(truth):
-                return a, b
+            audited = np.isin(a, sample)
+            found = len(truth.intersection(zip(a[audited].tolist(), b[audited].tolist(), strict=True)))
+            if beam > widest or found >= recall * len(truth):
+                return a[a < n], b[a < n], len(truth), found
             beam *= 2
 
 
@@ -106,9 +122,10 @@ def _meet(least: float, beam: int, recall: float, audit: int, widest: int):
         rows = rows.sort_values("shard", ignore_index=True)
         one = Shard(rows["graph"][0])
         other = one if key[2] == key[3] else Shard(rows["graph"][1])
-        a, b = other.links(one.x, least, beam, recall, audit, widest)
+        a, b, *audited = other.links(one.x, one is other, least, beam, recall, audit, widest)
         if one is not other:
-            d, c = one.links(other.x, least, beam, recall, audit, widest)
+            d, c, *more = one.links(other.x, False, least, beam, recall, audit, widest)
+            audited = [x + y for x, y in zip(audited, more, strict=True)]
         else:
             c, d = b, a
         pairs = np.unique(np.concatenate([a, c]) * len(other.x) + np.concatenate([b, d]))
@@ -121,7 +138,8 @@ def _meet(least: float, beam: int, recall: float, audit: int, widest: int):
             frames.append(pd.DataFrame({"a": shard.rep, "b": None, "links": sums})[sums > 0])
         edges = _forest(one.rep[a], other.rep[b])
         frames.append(pd.DataFrame({"a": [x for x, _ in edges], "b": [y for _, y in edges], "links": 0}))
-        return pd.concat(frames, ignore_index=True).astype({"a": "int64", "b": "Int64", "links": "int64"})
+        frames.append(pd.DataFrame({"a": [None], "b": [None], "links": [0], "audited": [audited[0]], "found": [audited[1]]}))
+        return pd.concat(frames, ignore_index=True).astype(dict.fromkeys(("a", "b", "links", "audited", "found"), "Int64"))
 
     return run
 
@@ -130,7 +148,7 @@ def near_duplicates(
     vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = 0.93,
     per_shard: int = 8192, links: int = 16, beam: int = 48, recall: float = 0.98, audit: int = 64, widest: int = 384,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept, audited_links, audit_recall) of every row; the last two are those of all audits."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     e = F.col("embedding")
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.forall(e, finite) & F.exists(e, lambda x: x != 0)
@@ -146,10 +164,11 @@ def near_duplicates(
     graphs = stored(graphs, "graphs")
     to = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("to")
     meet = graphs.select("label", "dims", "shard", "graph", to).select("label", "dims", "shard", "graph", F.least("shard", "to").alias("i"), F.greatest("shard", "to").alias("j"))
-    found = meet.groupBy("label", "dims", "i", "j").applyInPandas(_meet(least, beam, recall, audit, widest), "a bigint, b bigint, links bigint")
+    found = meet.groupBy("label", "dims", "i", "j").applyInPandas(_meet(least, beam, recall, audit, widest), "a bigint, b bigint, links bigint, audited bigint, found bigint")
     found = stored(found, "links")
+    audited, seen = found.where("audited is not null").agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
 
-    counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "of")
+    counts = found.where("b is null and a is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "of")
     label_of = components(found.where("b is not null")).withColumnRenamed("node", "at")
     known = reps.join(counts, F.col("rep") == F.col("of"), "left").join(label_of, F.col("rep") == F.col("at"), "left")
     known = known.select(
@@ -158,4 +177,4 @@ def near_duplicates(
     hit = F.when(F.col("valid"), F.col("label")) == F.col("l")
     out = rows.join(known, hit & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(audited).cast("bigint").alias("audited_links"), F.lit(seen / audited if audited else None).cast("double").alias("audit_recall"))

@@ -20,10 +20,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tallyspark.llm import packing
 
-    docs = table(spark, sf_dir, "documents")
-    pieces = packing.tokenize_windows(docs, public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
+    pieces = packing.tokenize_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
     digests = pieces.select("doc_id", "start", "length", "doc_tokens", F.crc32("ids").alias("ids_crc32"))
-    return packing.pack_windows(digests, window=4096, shards=packing.shards_for(docs.count()))
+    return packing.pack_windows(digests, window=4096)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@
 ``pack_windows`` places the pieces into windows: the longest first, each into the open window with the
 least room that still holds it, which a segment tree indexed by remaining capacity finds.
 
-Rows are packed in shards of some thousand pieces, dealt by a hash of document and start, so that no
-task ever holds more than a shard; at that size the padding is within a fraction of a percent of what one
-global packing leaves. Nulls: a null text is an empty document, which holds just the end id. A null id is
-kept as it is. Repeated rows are packed as often as they occur. Other columns are ignored.
+Rows are packed in shards of some thousand pieces. Pieces are written once with a number each, counted, and dealt by a hash of
+that number, so that repeated rows and null ids spread like all others; only numbers and lengths go to the tasks that pack, and
+their places are joined back to the pieces by number. So no task ever holds more than a shard of numbers, however long documents
+are; at that size the padding is within a fraction of a percent of what one global packing leaves. Nulls: a null text is an empty
+document, which holds just the end id. A null id is kept as it is. Repeated rows are packed as often as they occur. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import slices, utf8_bytes
+from tallyspark.llm.common import slices, stored, utf8_bytes
 
 PIECES = T.StructType(
     [
@@ -260,21 +262,24 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, offset
 
 
-def pack_windows(pieces: DataFrame, *, window: int = 4096, shards: int = 1) -> DataFrame:
+def pack_windows(pieces: DataFrame, *, window: int = 4096, shards: int | None = None, per_shard: int = 8192) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, start, length, ...); all other columns are kept.
 
-    Lengths are 1 to ``window``. Sequence ids are unique over all shards.
+    Lengths are 1 to ``window``. Sequence ids are unique over all shards, of about ``per_shard`` pieces unless ``shards`` is given.
     """
-    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    kept = stored(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    shards = shards or shards_for(kept.count(), per_shard)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", ignore_index=True).drop(columns="__shard")
+        rows = rows.sort_values(["doc_id", "start", "__piece"], kind="stable", ignore_index=True)
         where, offset = best_fit_decreasing(rows["length"].to_numpy(np.int64), window)
-        return rows.assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
+        return pd.DataFrame({"__at": rows["__piece"], "sequence_id": (int(key[0]) << 32) + where, "offset": offset})
 
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(1, shards)))
-    return pieces.withColumn("__shard", shard).groupBy("__shard").applyInPandas(run, out)
+    shard = F.pmod(F.xxhash64("__piece"), F.lit(max(1, shards)))
+    dealt = kept.select("__piece", "doc_id", "start", "length", shard.alias("__shard"))
+    places = dealt.groupBy("__shard").applyInPandas(run, "__at bigint, sequence_id bigint, offset bigint")
+    return kept.join(places, F.col("__piece") == F.col("__at")).drop("__piece", "__at")
 
 
-def shards_for(n_docs: int, per_shard: int = 8192) -> int:
-    return max(1, -(-n_docs // per_shard))
+def shards_for(n_pieces: int, per_shard: int = 8192) -> int:
+    return max(1, -(-n_pieces // per_shard))

@@ -52,3 +52,11 @@ def test_conversation_table(spark):
     back = {r.record_id: r for r in C.read_back(C.format_records(C.conversation_records(df))).collect()}
     assert (back[1].n_turns, back[1].loss_chars, back[None].loss_chars, back[3].loss_chars) == (2, 1, 4, 3)
     assert C.read_back(C.format_records(C.conversation_records(df.limit(0)))).count() == 0
+
+
+def test_roles_of_the_table_stay_as_they_are(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "model", "c"), (1, 3, "assistant", "d")]
+    got = C.format_records(C.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert C.read_turns(got.first().formatted) == [(r, t) for _, _, r, t in rows]
+    back = C.read_back(got).first()
+    assert (back.loss_chars, back.n_turns) == (1, 4)

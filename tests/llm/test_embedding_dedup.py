@@ -67,3 +67,11 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[b] == 1000 for a, b in edges if a == 1000) and len(got) == 201 + len({b for a, b in edges if a == 1000}) + 1
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_recall_is_measured_where_links_are_rare(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=32)], i % 2) for i in range(1200)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), per_shard=200, beam=8).collect()
+    assert all(r.n_links == 0 and r.kept for r in got)
+    assert got[0].audited_links >= 64 * 2 * 6 and got[0].audit_recall >= 0.98

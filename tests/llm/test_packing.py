@@ -56,3 +56,12 @@ def test_empty_table(spark):
     pieces = packing.tokenize_windows(docs, PATH).drop("ids")
     assert packing.pack_windows(pieces).count() == 0
     assert pytest.approx(1) == packing.shards_for(0)
+
+
+def test_repeats_and_null_ids_spread_over_shards(spark):
+    rows = [(7, 0, 5)] * 10_000 + [(None, 0, 3)] * 10_000
+    got = packing.pack_windows(spark.createDataFrame(rows, "doc_id long, start long, length long"), window=100, per_shard=2000).toPandas()
+    shard = got["sequence_id"] // 2**32
+    assert shard.nunique() == 10 and got.groupby(shard).size().between(1700, 2300).all()
+    assert got.groupby([shard, got["doc_id"].isna()]).size().between(800, 1200).all()
+    assert not got.duplicated(["sequence_id", "offset"]).any() and len(got) == 20_000
