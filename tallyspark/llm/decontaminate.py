@@ -6,8 +6,10 @@ within k edits must hold at least one piece unchanged, at most k characters away
 are searched at once (Aho-Corasick), and each hit's surroundings are verified with Myers' bit-parallel edit distance.
 
 Documents stay where they are: nothing of them is shuffled. Items are few beside documents; they are taken in blocks of
-at most ``block_chars`` characters, each of which goes to all executors, so any number of items works, at one pass over the
-documents for each block. Items under ``shortest`` characters have no error budget and must stand between word ends.
+at most ``block_chars`` characters (an item longer than that is a block of its own), each of which goes to all executors, so any
+number of items works, at one pass over the documents for each block. A block holds distinct texts; ids are joined to what was
+found. The budget is the whole part of ``error_rate`` times the item's length, at every length; an item so short that it has none
+must stand between word ends.
 
 Null texts hold nothing; null, empty and wordless items match nothing. Equal items are searched once and reported under each
 id. Repeated rows are searched as often as they occur. Other columns are ignored.
@@ -72,7 +74,7 @@ def nearest(item: str, text: str) -> tuple[int, int]:
 class Items:
     """A block of items ready to be searched for."""
 
-    def __init__(self, items: list[tuple[object, str]], error_rate: float, shortest: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], error_rate: float) -> None:
         import ahocorasick
 
         self.ids: dict[str, list] = {}
@@ -80,8 +82,7 @@ class Items:
             if word := normal(text):
                 self.ids.setdefault(word, []).append(key)
         self.items = sorted(self.ids)
-        self.budget = [int(len(x) * error_rate) if len(x) >= shortest else 0 for x in self.items]
-        self.shortest = shortest
+        self.budget = [int(len(x) * error_rate) for x in self.items]
         hits: dict[str, list[tuple[int, int]]] = {}
         for k, (item, budget) in enumerate(zip(self.items, self.budget, strict=True)):
             for at, piece in pieces(item, budget):
@@ -105,7 +106,7 @@ class Items:
                 item, budget = self.items[k], self.budget[k]
                 m = len(item)
                 if text.startswith(item, max(start, 0)) and start >= 0:
-                    if m < self.shortest and not ((start == 0 or text[start - 1] == " ") and text[start + m : start + m + 1] in ("", " ")):
+                    if not budget and not ((start == 0 or text[start - 1] == " ") and text[start + m : start + m + 1] in ("", " ")):
                         continue
                     done[k] = start + m
                     yield k, start, start + m, 0
@@ -117,34 +118,33 @@ class Items:
                         yield k, max(0, low + end - m), low + end, distance
 
 
-_OUT = "doc_id {0}, item_id {1}, start bigint, end bigint, distance bigint"
-
-
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.06, shortest: int = 32, block_chars: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.06, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, distance) of every leak; places count in the document's normalised text."""
     spark = docs.sparkSession
-    some = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    named = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    named = named.select("item_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("name"))
+    some = named.select("name", "text").distinct()
     total = some.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    kinds = (docs.schema[doc_id].dataType, items.schema[item_id].dataType)
+    kind = docs.schema[doc_id].dataType
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for b in range(blocks):
         block = some if blocks == 1 else some.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.collect()])
-        found = rows.mapInArrow(_searching(held, error_rate, shortest, kinds), _OUT.format(*(k.simpleString() for k in kinds)))
+        held = spark.sparkContext.broadcast([(r.name, r.text) for r in block.collect()])
+        found = rows.mapInArrow(_searching(held, error_rate, kind), f"doc_id {kind.simpleString()}, of string, start bigint, end bigint, distance bigint")
         out = found if out is None else out.unionAll(found)
-    return out
+    return out.join(named, F.col("of") == F.col("name")).select("doc_id", "item_id", "start", "end", "distance")
 
 
-def _searching(held, error_rate: float, shortest: int, kinds: tuple):
+def _searching(held, error_rate: float, kind):
     from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [*(to_arrow_type(k) for k in kinds), pa.int64(), pa.int64(), pa.int64()]
-    names = ["doc_id", "item_id", "start", "end", "distance"]
+    types = [to_arrow_type(kind), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "of", "start", "end", "distance"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value, error_rate, shortest)
+        items = Items(held.value, error_rate)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []

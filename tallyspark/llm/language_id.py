@@ -7,8 +7,9 @@ all 256 bytes are alike. Statistics are frozen when the model is made, so the co
 are tables, and scoring is a walk from each byte into its past.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_language`` whole documents of each language, those
-with the smallest hash of their id; at most ``max_contexts`` contexts, the most frequent, are kept. Everything else
-runs over all rows and whole texts.
+with the smallest hash of their id, however short. All their bytes are counted, those at the beginning of a text under the shorter
+contexts that they have; of the longer contexts, those met at least twice are nodes, without any cap on their number. Everything
+else runs over all rows and whole texts.
 
 Null texts and texts without any letter get ``und``. Ties go to the language that sorts first. With no labelled rows every
 text gets ``und``. Repeated rows come back as often as they occur; other columns are ignored.
@@ -66,7 +67,9 @@ class Model:
 
 
 def _grams(docs: DataFrame, order: int) -> DataFrame:
-    """How often each run of order + 1 bytes, as one number, occurs by language."""
+    """How often each byte occurs by language under the ``past`` bytes before it: ``order`` of them, fewer at the beginning of a text.
+
+    gram: the past bytes and the byte, as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,37 +77,37 @@ def _grams(docs: DataFrame, order: int) -> DataFrame:
                 data, ends = utf8_bytes(part.column(1))
                 langs = np.array(part.column(0).to_pylist(), object)
                 for lang in sorted(set(langs)):
-                    rows = np.flatnonzero(langs == lang)
-                    found = []
-                    for r in rows:
+                    found: list[list[np.ndarray]] = [[] for _ in range(order + 1)]
+                    for r in np.flatnonzero(langs == lang):
                         x = data[ends[r] : ends[r + 1]].astype(np.int64)
+                        for past in range(min(order, len(x))):
+                            found[past].append(np.array([sum(int(x[i]) << (8 * (past - i)) for i in range(past + 1))]))
                         if len(x) > order:
-                            found.append(sum(x[i : len(x) - order + i] << (8 * (order - i)) for i in range(order + 1)))
-                    if found:
-                        gram, n = np.unique(np.concatenate(found), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+                            found[order].append(sum(x[i : len(x) - order + i] << (8 * (order - i)) for i in range(order + 1)))
+                    for past, grams in enumerate(found):
+                        if grams:
+                            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(np.full(len(gram), past, np.int32)), pa.array(gram), pa.array(n)], ["lang", "past", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, "lang string, past int, gram bigint, n bigint").groupBy("lang", "past", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, order: int = 3, max_contexts: int = 12_000) -> Model:
+def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, order: int = 3) -> Model:
     """A model from (id, text, language) rows; rows with a null text or language are passed over."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for name, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    got = _grams(rows.where(drawn), order).toPandas() if sizes else None
+    shares = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, per_language / n))))  # a row a language
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
+    got = _grams(rows.where(drawn), order).toPandas() if sizes else None  # of the sample alone
     languages = sorted(set(got["lang"])) if got is not None else []
     if not languages:
         return Model([], order, np.zeros(256, np.int32), np.full((1, 1), -1, np.int32), np.zeros((1, 0), np.float32))
     # Runs order, then language, then number: the sums below don't depend on how rows were dealt out.
-    got = got.sort_values(["lang", "gram"], ignore_index=True)
+    got = got.sort_values(["lang", "past", "gram"], ignore_index=True)
     which = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    gram, count = got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    gram, count, past = got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), got["past"].to_numpy(np.int64)
 
-    met = np.unique(np.concatenate([(gram >> (8 * i)) & 255 for i in range(order + 1)]))
+    met = np.unique(np.concatenate([((gram >> (8 * i)) & 255)[past >= i] for i in range(order + 1)]))
     other = len(met)
     symbol = np.full(256, other, np.int32)
     symbol[met] = np.arange(other)
@@ -112,10 +115,10 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
 
     totals = []
     for k in range(1, order + 1):
-        context, at = np.unique((gram >> 8) & ((1 << (8 * k)) - 1), return_inverse=True)
-        totals.append((context, np.bincount(at, count)))
-    every = np.sort(np.concatenate([t for _, t in totals]))[::-1]
-    floor = max(2, every[max_contexts]) if len(every) > max_contexts else 2
+        deep = past >= k
+        context, at = np.unique((gram[deep] >> 8) & ((1 << (8 * k)) - 1), return_inverse=True)
+        totals.append((context, np.bincount(at, count[deep], len(context))))
+    floor = 2
     nodes: list[dict[int, int]] = [{0: 0}]
     total_nodes = 1
     for k, (context, total) in enumerate(totals, 1):
@@ -141,7 +144,7 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
             bits[0] = 8.0
         context = (gram >> 8) & mask
         at = np.searchsorted(keys, context).clip(max=len(keys) - 1)
-        here = keys[at] == context
+        here = (keys[at] == context) & (past >= k)
         for i in range(len(languages)):
             mine = here & (which == i)
             n = np.zeros((len(keys), width))

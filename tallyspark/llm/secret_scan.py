@@ -111,7 +111,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, *, path: str, text: str
         known = known.where(F.col("rule_version") == version)
         owners = owners.join(known.select(F.col("blob").alias("__blob")), "__blob", "left_anti")
     owners = owners.withColumnRenamed("__blob", "__of")
-    unseen = addressed.join(owners, F.col("__path").eqNullSafe(F.col("__owner")) & (F.col("__blob") == F.col("__of"))).select("__blob", "__text")
+    unseen = addressed.join(owners, F.col("__path").eqNullSafe(F.col("__owner")) & (F.col("__blob") == F.col("__of")))
+    unseen = unseen.dropDuplicates(["__path", "__blob"]).select("__blob", "__text")  # the owner's row, if it comes several times
     scanned = with_spans(unseen, "__text", rules).groupBy("__blob").agg(F.any_value("spans").alias("spans"))
     scanned.select(F.col("__blob").alias("blob"), F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)
 

@@ -61,3 +61,27 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.item_id, r.start) for r in D.leaks(docs, bench).collect())
     assert got == [(0, 7, 3), (0, 8, 3)] + [(5, i, s) for i in (7, 8) for s in (0, 8) for _ in range(2)]
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_have_their_budget_too(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    items = [(i, f"{say(6)} {say(7)} {say(n)}"[: 17 + i]) for i, n in enumerate([9] * 16)]
+    rows, want = [], set()
+    for d in range(160):
+        i, item = items[d % 16]
+        rows.append((d, f"{say(4)} {edit(rng, item, d // 16 % 3)} {say(5)}"))
+    for d, text in rows:
+        for i, item in items:
+            if plain_nearest(D.normal(item), D.normal(text)) <= int(len(D.normal(item)) * 0.06):
+                want.add((d, i))
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 80
+
+
+def test_equal_items_and_one_larger_than_a_block(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    items = [(i, "the very same question asked again") for i in range(500)] + [(900, long)]
+    docs = spark.createDataFrame([(1, "so the very same question asked again it is"), (2, "x " + long)], "doc_id long, text string")
+    got = D.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, i) for i in range(500)] + [(2, 900)]

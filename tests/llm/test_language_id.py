@@ -20,19 +20,19 @@ def corpus(n, seed):
     return rows
 
 
-def plain_bits(texts, text, order):
-    """Code length by walking down from the longest context, all contexts kept."""
+def plain_bits(texts, text, order, among=None):
+    """Code length by walking down from the longest context; of contexts, all, or those that ``among`` counts at least twice."""
     seen = defaultdict(Counter)
     for t in texts:
         b = t.encode()
-        for i in range(order, len(b)):
-            for k in range(order + 1):
+        for i in range(len(b)):
+            for k in range(min(order, i) + 1):
                 seen[b[i - k : i]][b[i]] += 1
     b, total = text.encode(), 0.0
     for i in range(len(b)):
         for k in range(min(order, i), -1, -1):
             c = seen.get(b[i - k : i])
-            if c is None:
+            if c is None or k and among is not None and among[b[i - k : i]] < 2:
                 continue
             n, d = sum(c.values()), len(c)
             if b[i] in c:
@@ -48,7 +48,7 @@ def test_code_lengths_equal_plain_ppm(spark):
     rows = corpus(60, 1)
     # Contexts met once in all languages are not kept, so give each text twice.
     df = spark.createDataFrame([*rows, *((i + 1000, t, x) for i, t, x in rows)], "doc_id long, text string, lang string")
-    model = L.fit(df, per_language=10**6, max_contexts=10**6)
+    model = L.fit(df, per_language=10**6)
     tests = ["lorem über niño", "x", "", "amet amet señor €"]
     data, ends = utf8_bytes(pa.array(tests))
     got = model.code_lengths(data, ends)
@@ -68,6 +68,27 @@ def test_held_out_accuracy_and_edges(spark):
     assert by[:5] == [(1, "und"), (2, "und"), (3, "und"), (None, "bb"), (5, "bb")] and by[5][1] != "und"
 
 
+def test_a_language_of_short_texts_is_learned(spark):
+    rows = [(i, "abc", "zz") for i in range(200)] + [(1000 + i, t, x) for i, t, x in corpus(60, 4)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc", "zz"]
+    docs = spark.createDataFrame([(1, "abc"), (2, "a"), (3, "über")], "doc_id long, text string")
+    assert [r.lang_pred for r in L.predict(docs, model).collect()] == ["zz", "zz", "bb"]
+
+
+def test_the_settings_of_the_query_equal_plain_ppm(spark):
+    """Contexts met once, those of the plain version included, are no nodes."""
+    rows = corpus(120, 5)
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = Counter(t.encode()[i - k : i] for _, t, _ in rows for k in range(1, 4) for i in range(k, len(t.encode())))
+    assert len(model.child) == 1 + sum(n >= 2 for n in counts.values())
+    tests = ["amet über corazón", "zzz qqq", "señor"]
+    got = model.code_lengths(*utf8_bytes(pa.array(tests)))
+    for i, lang in enumerate(model.languages):
+        for j, t in enumerate(tests):
+            assert abs(got[j, i] - plain_bits([t for _, t, x in rows if x == lang], t, 3, counts)) < 1e-2
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "hello", None)], "doc_id long, text string, lang string")
     model = L.fit(docs)
