@@ -6,7 +6,8 @@
 4. secrets masks every secret span in the texts and counts characters anew.
 5. packing cuts the documents into pieces and packs these into windows of 4096 tokens.
 
-Stages 1 to 4 return the columns of ``documents``; the last returns a row for each piece.
+Stages 1 to 4 return the columns of ``documents`` and any others that came with them, whatever their names; the last
+returns a row for each piece.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
-from tallyspark.llm.common import shared_path, stored, table
+from tallyspark.llm.common import fresh, shared_path, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,28 +34,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept."""
+    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept.
+
+    Ids are written before they meet the documents, so that Spark knows their size and moves texts only if they are many."""
+    own, n = fresh(docs, "id", "n")
     classes = jaccard_join.near_duplicates(docs, k=5, similarity=(80, 100))
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi").select(*_columns(docs)).dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null").select(*_columns(docs)))
+    first = stored(classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(n)), "kept")
+    same = F.col("doc_id") == F.col(own)
+    single = docs.join(first.where(F.col(n) == 1).select(own), same, "left_semi")
+    several = docs.join(first.where(F.col(n) > 1).select(own), same, "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.where("doc_id is null")).select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without leaks."""
+    (own,) = fresh(docs, "id")
     leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*_columns(docs))
+    leaking = stored(leaks.select(F.col("doc_id").alias(own)).distinct(), "leaking")
+    return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti").select(*_columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
+    own, blob, spans, new = fresh(docs, "id", "blob", "spans", "new")
     found = secret_scan.scan_versions(docs, shared_path(spark, "secret-ledger"), path="doc_id").where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__blob"])
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)) == F.col("__blob"))
+    found = found.select(F.col("doc_id").alias(own), F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([own, blob])
+    found = stored(found, "secrets")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)) == F.col(blob))
     joined = docs.join(found, same, "left")
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("__spans")))
-    out = joined.withColumn("__new", masked).withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast("bigint")))
-    return out.withColumn("text", F.col("__new")).select(*_columns(docs))
+    clean = F.col(spans).isNull()
+    masked = joined.withColumn(new, F.when(clean, F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col(spans))))
+    counted = masked.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length(new).cast("bigint")))
+    return counted.withColumn("text", F.col(new)).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

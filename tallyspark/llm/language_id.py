@@ -42,27 +42,31 @@ class Model:
     child: np.ndarray
     bits: np.ndarray
 
-    def code_lengths(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Bits of each text (rows) under each language (columns)."""
+    def code_lengths(self, data: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Bits of each text (rows) under each language (columns); ``most`` bytes at a time, with those before them as context."""
         out = np.zeros((len(ends) - 1, len(self.languages)))
-        n = len(data)
-        if not n or not self.languages:
+        if not self.languages:
             return out
-        width = self.child.shape[1]
-        child = self.child.ravel()
-        symbols = self.symbol[data]
-        age = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
-        node = np.zeros(n, np.int32)
-        alive = np.ones(n, bool)
-        for k in range(1, min(self.order, n - 1) + 1):
-            alive &= age >= k
-            to = child[node[k:] * width + symbols[:-k]]
-            alive[:k] = False
-            alive[k:] &= to >= 0
-            node[k:] = np.where(alive[k:], to, node[k:])
-        bits = self.bits[node * np.int64(width) + symbols]
-        full = np.flatnonzero(np.diff(ends))
-        out[full] = np.add.reduceat(bits, ends[:-1][full], axis=0, dtype=np.float64)
+        width, child = self.child.shape[1], self.child.ravel()
+        for a in range(0, len(data), most):
+            b, low = min(len(data), a + most), max(0, a - self.order)
+            symbols = self.symbol[data[low:b]]
+            n = b - low
+            place = np.arange(low, b)
+            age = place - ends[np.searchsorted(ends, place, "right") - 1]
+            node = np.zeros(n, np.int32)
+            alive = np.ones(n, bool)
+            for k in range(1, min(self.order, n - 1) + 1):
+                alive &= age >= k
+                to = child[node[k:] * width + symbols[:-k]]
+                alive[:k] = False
+                alive[k:] &= to >= 0
+                node[k:] = np.where(alive[k:], to, node[k:])
+            bits = self.bits[(node * np.int64(width) + symbols)[a - low :]]
+            first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b, "left")
+            bounds = np.clip(ends[first : last + 1], a, b)
+            full = np.flatnonzero(np.diff(bounds))
+            out[first + full] += np.add.reduceat(bits, bounds[:-1][full] - a, axis=0, dtype=np.float64)
         return out
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import slices, stored, utf8_bytes
+from tallyspark.llm.common import fresh, slices, stored, utf8_bytes
 
 PIECES = T.StructType(
     [
@@ -267,18 +267,19 @@ def pack_windows(pieces: DataFrame, *, window: int = 4096, shards: int | None =
 
     Lengths are 1 to ``window``. Sequence ids are unique over all shards, of about ``per_shard`` pieces unless ``shards`` is given.
     """
-    kept = stored(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    piece, at = fresh(pieces, "piece", "at")
+    kept = stored(pieces.withColumn(piece, F.monotonically_increasing_id()), "pieces")
     shards = shards or shards_for(kept.count(), per_shard)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "__piece"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["doc_id", "start", "piece"], kind="stable", ignore_index=True)
         where, offset = best_fit_decreasing(rows["length"].to_numpy(np.int64), window)
-        return pd.DataFrame({"__at": rows["__piece"], "sequence_id": (int(key[0]) << 32) + where, "offset": offset})
+        return pd.DataFrame({at: rows["piece"], "sequence_id": (int(key[0]) << 32) + where, "offset": offset})
 
-    shard = F.pmod(F.xxhash64("__piece"), F.lit(max(1, shards)))
-    dealt = kept.select("__piece", "doc_id", "start", "length", shard.alias("__shard"))
-    places = dealt.groupBy("__shard").applyInPandas(run, "__at bigint, sequence_id bigint, offset bigint")
-    return kept.join(places, F.col("__piece") == F.col("__at")).drop("__piece", "__at")
+    shard = F.pmod(F.xxhash64(piece), F.lit(max(1, shards)))
+    dealt = kept.select(F.col(piece).alias("piece"), "doc_id", "start", "length", shard.alias("shard"))
+    places = dealt.groupBy("shard").applyInPandas(run, f"{at} bigint, sequence_id bigint, offset bigint")
+    return kept.join(places, F.col(piece) == F.col(at)).drop(piece, at)
 
 
 def shards_for(n_pieces: int, per_shard: int = 8192) -> int:

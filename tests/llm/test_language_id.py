@@ -94,3 +94,12 @@ def test_no_labels_and_empty(spark):
     model = L.fit(docs)
     assert L.predict(docs, model).first().lang_pred == "und"
     assert L.predict(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_in_parts(spark):
+    rows = corpus(120, 6)
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    data, ends = utf8_bytes(pa.array([t for _, t, _ in rows] + ["", "x", ""]))
+    whole = model.code_lengths(data, ends)
+    for most in (1, 2, 7, 100):
+        assert np.allclose(model.code_lengths(data, ends, most), whole, atol=1e-3)

@@ -94,6 +94,17 @@ def test_stages_keep_columns_and_nulls(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def test_columns_with_names_of_the_stages_own(spark, tmp_path):
+    spark.createDataFrame([(0, "the quick brown fox jumps over the lazy dog " * 3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["id", "_id", "n", "blob", "SPANS", "new", "piece", "component_id", "token", "h"]
+    rows = [(1, "hello token=abcdefgh", "en", "s", 20, *names), (3, "hello there, you", "en", "s", 16, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[5:] == names, name
+    assert sorted((r.doc_id, r.text, *r[5:]) for r in docs.collect()) == [(1, "hello [secret]", *names), (3, "hello there, you", *names)]
+
+
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
