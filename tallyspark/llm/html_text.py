@@ -5,24 +5,33 @@ positive or negative part is the block's capacity to the source or the sink. Blo
 follow each other under one parent, are tied by smoothness edges that weaken with their distance in the DOM. The minimum cut
 labels all blocks at once, so that a short line amid the article stays and a long one amid a menu goes.
 
+What speaks against a block: tags around it (nav, footer, ...), names of classes around it (a name such as ``has-sidebar`` tells
+of a layout, not of its content), being hidden. An article or main element begins anew: what stands around it says nothing about
+what is in it. Where class names would leave a page without any content, the largest such container of several sentences is taken
+for a wrapper and its name for nothing. Text within a block is never split by the names of inline elements; only inline elements
+that are not shown go.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline. Null html and
-pages without content give an empty text. Repeated rows and null ids are kept; only page_id, url and html are read.
+pages without content give an empty text. Repeated rows and null ids are kept; only page_id, url and html are read. Time grows
+nearly with the length of a page: blocks whose own score outweighs all their edges are settled first, and the maximum flow runs
+over the rest alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|object|select|math)\b[^>]*(?<!/)>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|textarea|iframe|title|select|annotation-xml|annotation)\b[^>]*(?<!/)>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|"
     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""",
     re.S | re.I,
 )
@@ -38,6 +47,9 @@ _AWAY_TAGS = frozenset("nav footer aside form button menu dialog fieldset option
 _AWAY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _AWAY_WORDS = frozenset("ad ads adv adsense advert adverts banner nav navbar menu topbar toolbar crumb crumbs breadcrumb breadcrumbs sidebar aside footer foot masthead share sharing social related recommended comment comments commentlist respond reply replies disqus cookie cookies consent gdpr notice notices alert alerts promo promos promotion sponsor sponsored newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager copyright legal disclaimer teaser skip hidden".split())
 _AWAY_STARTS = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "footer", "navbar", "navigation")
+#: Parts of class names that tell of a layout or a state, first or last in the name.
+_LAYOUT_FIRST = frozenset("has with no not without is are hide enable enabled disable disabled show".split())
+_LAYOUT_LAST = frozenset("free enabled disabled less off collapsed closed visible open ready".split())
 _CONTENT_WORDS = frozenset("article content post entry story articlebody body main text".split())
 
 
@@ -46,7 +58,9 @@ class Weights:
     """The classifier's weights and the strength of the smoothness edges."""
 
     bias: float = -0.6
-    away: float = -9.0
+    hidden: float = -30.0
+    away_tag: float = -9.0
+    away_class: float = -6.0
     inside_article: float = 4.0
     content_class: float = 1.5
     words: float = 2.0
@@ -61,9 +75,13 @@ class Weights:
 
 @dataclass
 class Block:
-    path: tuple[int, ...]
+    """place: the number of the element it stands in. away_class: the outermost element whose class speaks against it, or 0."""
+
+    place: int
     tag: str
-    away: bool
+    hidden: bool
+    away_tag: bool
+    away_class: int
     article: bool
     content: bool
     text: str = ""
@@ -71,116 +89,159 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
-def _hints(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether a tag's attributes speak against, or for, content."""
+def _names(value: str) -> tuple[bool, bool]:
+    """Whether the names in a class or id attribute speak against, or for, content."""
     away = content = False
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if len(words) > 1 and (words[0] in _LAYOUT_FIRST or words[-1] in _LAYOUT_LAST):
+            continue
+        content |= not _CONTENT_WORDS.isdisjoint(words)
+        away |= not _AWAY_WORDS.isdisjoint(words) or any(w.startswith(_AWAY_STARTS) for w in words)
+    return away, content
+
+
+def _hints(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a tag's attributes hide it, give it a role against content, a name against it, or a role or name for it."""
+    hidden = role = away = content = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            away = True
+            hidden = True
         elif name == "style":
-            away |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
+            hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         elif name == "role":
-            away |= value.lower() in _AWAY_ROLES
+            role |= value.lower() in _AWAY_ROLES
             content |= value.lower() in ("main", "article")
         elif name in ("class", "id", "itemprop"):
-            words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            content |= not _CONTENT_WORDS.isdisjoint(words)
-            away |= not _AWAY_WORDS.isdisjoint(words) or any(w.startswith(_AWAY_STARTS) for w in words)
-    if tag in ("html", "body", "main", "article"):
-        away = False
-    return away, content
+            against, good = _names(value)
+            away, content = away or against, content or good
+    return hidden, role, away, content
+
 
+class Element:
+    """An open element: what it and those around it say about the text in it."""
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks of text, in order."""
-    found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-    inline: list[tuple[str, bool]] = []
-    count, links, hidden, now, at = 0, 0, 0, None, 0
+    __slots__ = ("tag", "place", "hidden", "away_tag", "away_class", "article", "content")
 
-    def say(raw: str) -> None:
-        nonlocal now
-        if not raw or hidden or stack[-1][0] == "head":
-            return
-        if now is None:
-            if not raw.strip():
+    def __init__(self, tag: str, place: int, hidden: bool, away_tag: bool, away_class: int, article: bool, content: bool) -> None:
+        self.tag, self.place, self.hidden, self.away_tag, self.away_class, self.article, self.content = tag, place, hidden, away_tag, away_class, article, content
+
+    def inner(self, tag: str, place: int, attributes: str) -> Element:
+        hidden, role, away, content = _hints(attributes)
+        begins = tag in ("article", "main")
+        inside = self.article or begins
+        away_tag = not begins and (self.away_tag or role or tag in _AWAY_TAGS or tag == "header" and not inside)
+        named = place if away and tag not in ("html", "body") and not begins else 0
+        return Element(tag, place, self.hidden or hidden, away_tag, 0 if begins else self.away_class or named, inside, self.content or content)
+
+
+class Page:
+    """blocks: the page's blocks of text, in order. parent and depth: of each element, by its number."""
+
+    def __init__(self, html: str) -> None:
+        self.parent, self.depth = [0], [0]
+        found: list[Block] = []
+        stack = [Element("", 0, False, False, 0, False, False)]
+        opened: Counter[str] = Counter()
+        inline: list[tuple[str, bool]] = []
+        links, hidden, now, at = 0, 0, None, 0
+
+        def say(raw: str) -> None:
+            nonlocal now
+            if not raw or hidden or stack[-1].tag == "head":
                 return
-            tag, _, away, article, content = stack[-1]
-            now = Block(tuple(s[1] for s in stack), tag, away, article, content)
-            found.append(now)
-        raw = unescape(raw)
-        now.parts.append(raw)
-        if links:
-            now.linked += len(raw)
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            say(html[at : m.start()])
-        at = m.end()
-        name = m[3] or m[6]
-        if name is None:
-            if m[1] and m[1].lower() in ("title", "textarea", "select") and now is not None:
+            if now is None:
+                if not raw.strip():
+                    return
+                e = stack[-1]
+                now = Block(e.place, e.tag, e.hidden, e.away_tag, e.away_class, e.article, e.content)
+                found.append(now)
+            raw = unescape(raw)
+            now.parts.append(raw)
+            if links:
+                now.linked += len(raw)
+
+        def close(down: int) -> None:
+            for e in stack[down:]:
+                opened[e.tag] -= 1
+            del stack[down:]
+
+        for m in _TOKEN.finditer(html):
+            if m.start() > at:
+                say(html[at : m.start()])
+            at = m.end()
+            name = m[3] or m[6]
+            if name is None:
+                if m[1] and m[1].lower() in ("title", "textarea", "select") and now is not None:
+                    say(" ")
+                continue
+            ends, tag, attributes = bool(m[2] or m[5]), name.lower(), m[4] or m[7] or ""
+            if tag == "br":
                 say(" ")
-            continue
-        close, tag, attributes = bool(m[2] or m[5]), name.lower(), m[4] or m[7] or ""
-        if tag == "br":
-            say(" ")
-        elif tag in _BLOCK:
-            now, links, hidden, inline = None, 0, 0, []
-            if close:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
+            elif tag in _BLOCK:
+                now, links, hidden, inline = None, 0, 0, []
+                if ends:
+                    for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
+                        if stack[i].tag == tag:
+                            close(i)
+                            break
+                        if tag == "p" and stack[i].tag != "p":
+                            break
+                    continue
+                if tag in _VOID:
+                    continue
+                if stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag != "body":
+                    close(len(stack) - 1)
+                if stack[-1].tag == "head" and tag != "head":
+                    close(len(stack) - 1)
+                for i in range(len(stack) - 1, 0, -1) if tag in _ENDS and any(opened[x] for x in _ENDS[tag]) else ():
+                    if stack[i].tag in _ENDS[tag]:
+                        close(i)
                         break
-                    if tag == "p" and stack[i][0] != "p":
+                    if stack[i].tag in _HOLDERS and stack[i].tag not in ("div", "section", "article"):
                         break
+                self.parent.append(stack[-1].place)
+                self.depth.append(self.depth[stack[-1].place] + 1)
+                stack.append(stack[-1].inner(tag, len(self.parent) - 1, attributes))
+                opened[tag] += 1
+            elif tag == "a" and not ends:
+                links = 1
+            elif tag == "a":
+                links = 0
+            elif tag in _VOID or attributes.endswith("/"):
                 continue
-            if tag in _VOID:
-                continue
-            if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag != "body":
-                stack.pop()
-            if stack[-1][0] == "head" and tag != "head":
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1) if tag in _ENDS else ():
-                if stack[i][0] in _ENDS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _HOLDERS and stack[i][0] not in ("div", "section", "article"):
-                    break
-            _, _, away, article, content = stack[-1]
-            against, good = _hints(tag, attributes)
-            inside = article or tag in ("article", "main")
-            against |= tag in _AWAY_TAGS or tag == "header" and not inside
-            count += 1
-            stack.append((tag, count, away or against, inside, content or good))
-        elif tag == "a" and not close:
-            links = 1
-        elif tag == "a":
-            links = 0
-        elif tag in _VOID or attributes.endswith("/"):
-            continue
-        elif close:
-            while inline and inline[-1][0] != tag and any(x[0] == tag for x in inline):
-                hidden -= inline.pop()[1]
-            if inline and inline[-1][0] == tag:
-                hidden -= inline.pop()[1]
-        else:
-            against = bool(attributes) and _hints(tag, attributes)[0]
-            inline.append((tag, against))
-            hidden += against
-    if at < len(html):
-        say(html[at:])
-    for b in found:
-        b.text = " ".join("".join(b.parts).split())
-    return [b for b in found if b.text]
+            elif ends:
+                while inline and inline[-1][0] != tag and any(x[0] == tag for x in inline):
+                    hidden -= inline.pop()[1]
+                if inline and inline[-1][0] == tag:
+                    hidden -= inline.pop()[1]
+            else:
+                against = bool(attributes) and _hints(attributes)[0]
+                if len(inline) < 64 or against:  # deeper unclosed ones change nothing
+                    inline.append((tag, against))
+                hidden += against
+        if at < len(html):
+            say(html[at:])
+        for b in found:
+            b.text = " ".join("".join(b.parts).split())
+        self.blocks = [b for b in found if b.text]
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between two elements in the DOM."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.parent[a], steps + 1
+        return steps
 
 
 def score(b: Block, w: Weights) -> float:
     """How much more the block looks like content than not."""
     words = b.text.count(" ") + 1
     out = w.bias + w.words * min(words, 30) / 30 + w.links * min(1.0, b.linked / len(b.text))
-    out += w.away * b.away + w.inside_article * b.article + w.content_class * b.content
+    out += w.hidden * b.hidden + w.away_tag * b.away_tag + w.away_class * (b.away_class > 0) + w.inside_article * b.article + w.content_class * b.content
     out += w.paragraph * (b.tag in ("p", "blockquote", "pre")) + w.heading * (b.tag[:1] == "h" and b.tag[1:].isdigit()) + w.item * (b.tag in ("li", "td", "dd", "dt"))
     return out + w.sentence * (b.text[-1] in ".!?…\"”»")
 
@@ -188,8 +249,9 @@ def score(b: Block, w: Weights) -> float:
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: on the source's side) that minimise what the cut takes.
 
-    terminal: positive is capacity from the source, negative to the sink. edges: undirected. Augments along shortest
-    paths from blocks with spare source capacity to blocks with spare sink capacity.
+    terminal: positive is capacity from the source, negative to the sink. edges: undirected. A node whose terminal outweighs all
+    its edges is on that side in a minimum cut; its edges then count for its neighbours' terminals. What is left is cut by
+    a maximum flow.
     """
     n = len(terminal)
     spare = list(terminal)
@@ -197,55 +259,99 @@ def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> l
     for a, b, c in edges:
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
-    tiny = 1e-9
+    around = [sum(x.values()) for x in near]
+    label: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        i = queue.popleft()
+        if label[i] is not None or -around[i] < spare[i] <= around[i]:
+            continue
+        label[i] = spare[i] > around[i]
+        for j, c in near[i].items():
+            if label[j] is None:
+                spare[j] += c if label[i] else -c
+                around[j] -= c
+                del near[j][i]
+                queue.append(j)
+    rest = [i for i in range(n) if label[i] is None]
+    if rest:
+        reached = _source_side(rest, spare, near)
+        for i in rest:
+            label[i] = i in reached
+    return [bool(x) for x in label]
+
+
+def _source_side(nodes: list[int], spare: list[float], near: list[dict[int, float]], tiny: float = 1e-9) -> dict[int, int]:
+    """Nodes that the source reaches when no more flow fits. Flow goes along shortest paths, all of one length in one phase."""
     while True:
-        came = {i: -1 for i in range(n) if spare[i] > tiny}
-        queue, end = deque(came), -1
-        while queue and end < 0:
+        level = {i: 0 for i in nodes if spare[i] > tiny}
+        queue, far = deque(level), None
+        while queue:
             i = queue.popleft()
+            if far is not None and level[i] >= far:
+                break
             for j, room in near[i].items():
-                if room > tiny and j not in came:
-                    came[j] = i
+                if room > tiny and j not in level:
+                    level[j] = level[i] + 1
                     if spare[j] < -tiny:
-                        end = j
-                        break
+                        far = level[j]
                     queue.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        flow, j = -spare[end], end
-        while came[j] >= 0:
-            flow, j = min(flow, near[came[j]][j]), came[j]
-        flow = min(flow, spare[j])
-        spare[j] -= flow
-        spare[end] += flow
-        j = end
-        while (i := came[j]) >= 0:
-            near[i][j] -= flow
-            near[j][i] += flow
-            j = i
-
-
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+        if far is None:
+            return level
+        todo = {i: iter(list(near[i])) for i in level}
+        for start in [i for i in level if level[i] == 0]:
+            path = [start]
+            while path and spare[start] > tiny:
+                i = path[-1]
+                if spare[i] < -tiny:
+                    flow = min(spare[start], -spare[i], *(near[a][b] for a, b in zip(path[:-1], path[1:], strict=True)))
+                    spare[start] -= flow
+                    spare[i] += flow
+                    for a, b in zip(path[:-1], path[1:], strict=True):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    full = next((k for k, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True)) if near[a][b] <= tiny), len(path) - 2)
+                    for a in path[full:-1]:  # an edge with room left is tried again
+                        todo[a] = chain([path[path.index(a) + 1]], todo[a])
+                    del path[full + 1 :]
+                    continue
+                step = next((j for j in todo[i] if level.get(j) == level[i] + 1 and near[i][j] > tiny), None)
+                if step is None:
+                    path.pop()
+                else:
+                    path.append(step)
 
 
 def main_text(html: str | None, weights: Weights = Weights()) -> str:  # noqa: B008
-    found = blocks(html or "")
+    page = Page(html or "")
+    found = page.blocks
     edges, last = [], {}
     for k, b in enumerate(found):
         if k:
-            edges.append((k - 1, k, weights.adjacent * 2 / (2 + _distance(found[k - 1].path[:-1], b.path[:-1]))))
-        parent = b.path[-2] if len(b.path) > 1 else -1
+            edges.append((k - 1, k, weights.adjacent * 2 / (2 + page.distance(page.parent[found[k - 1].place], page.parent[b.place]))))
+        parent = page.parent[b.place] if b.place else -1
         if last.get(parent, k - 1) != k - 1:
             edges.append((last[parent], k, weights.sibling))
         last[parent] = k
-    labels = minimum_cut([score(b, weights) for b in found], edges)
-    return "\n".join(b.text for b, yes in zip(found, labels, strict=True) if yes)
+    while True:
+        labels = minimum_cut([score(b, weights) for b in found], edges)
+        if any(labels) or not _unwrapped(found):
+            return "\n".join(b.text for b, yes in zip(found, labels, strict=True) if yes)
+
+
+def _unwrapped(found: list[Block], sentences: int = 2, words: int = 15) -> bool:
+    """Of the elements whose names speak against their blocks, forgets the name of that with the most words, if these look like
+    an article: several sentences outside links."""
+    size, ends = Counter(), Counter()
+    for b in found:
+        if b.away_class and not b.hidden and not b.away_tag and b.linked * 2 < len(b.text):
+            size[b.away_class] += b.text.count(" ") + 1
+            ends[b.away_class] += b.text[-1] in ".!?…\"”»"
+    named = max((e for e in size if ends[e] >= sentences and size[e] >= words), key=lambda e: (size[e], -e), default=0)
+    for b in found:
+        if named and b.away_class == named:
+            b.away_class = 0
+    return named > 0
 
 
 def extract(pages: DataFrame, *, weights: Weights | None = None) -> DataFrame:
