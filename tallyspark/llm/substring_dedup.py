@@ -1,4 +1,4 @@
-"""Removing repeated substrings by prefix-free parsing and hashes of strings of the match length.
+"""Removing repeated substrings by prefix-free parsing.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts earlier in the corpus (a smaller id, or the same document
 at an earlier place). Texts are parsed into phrases at rolling-hash triggers: of each ``length`` bytes, the place with the least
@@ -6,16 +6,19 @@ hash of the ``gram`` bytes there is a trigger, so equal strings have their trigg
 trigger form a phrase: the stretch from the first of them to the end of the last. A text is the sequence of its phrases.
 
 The dictionary keeps each distinct phrase once, at its first place in the corpus; all strings of its later places are repeats,
-without being looked at one by one. Distinct phrases that share trigger bytes may still share strings: these alone are brought
-together, and their strings of ``length`` bytes are grouped by 128 bits of hash, in corpus order within a group. This stands in for
-suffix arrays of dictionary and parse, none of which is built: only whether two strings of ``length`` bytes are equal matters here,
-not how they order or how far they go on, and groups of hashes can be dealt out, which a suffix array can't.
-
-Tasks drop what repeats among their own phrases before anything is shuffled. A group of phrases with one trigger that is larger
-than ``group_bytes`` is not sorted in one task: its strings are shuffled one by one. Strings are compared by 128 bits of hash.
-
-Null texts are empty. Null ids come last. Ids name one text: repeated rows are one document, and come back as often as they occur;
-rows that share an id but not the text share what is removed. Other columns are ignored.
+without being looked at one by one. Equal suffixes of ``length`` bytes lie in phrases with one trigger, so the dictionary falls
+into parts by trigger, and parts are sorted in different tasks: each gets the suffix array of its phrases, by prefix doubling up to
+``length`` bytes. Neighbours of equal rank share at least that many bytes; put back into corpus order by the places of their
+phrases in the parse, all but the first are repeats. The order of suffixes beyond ``length`` bytes, for which the parse would have
+to be sorted as well, is never asked for, so no suffix array of the parse is built.
+
+Tasks drop what repeats among their own phrases before anything is shuffled. A part of more than ``group_bytes`` bytes is not
+sorted in one task: its strings are shuffled one by one, named by 128 bits of hash. Phrases are named by 128 bits, 64 of the
+trigger and 64 of the content.
+
+Null texts are empty. Null ids come last. A document is an id and a text: repeated rows are one document, and come back as often as
+they occur; documents with equal ids, or without, are not earlier than each other, so nothing of one goes because of another. (The
+largest possible id ranks with the null ones.) Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ from tallyspark.llm.common import slices, stored, utf8_bytes
 from tallyspark.llm.shingles import BYTES, _POWERS, mix, prefix_hashes, stretch
 
 _LAST = (1 << 63) - 1
-#: A phrase has a trigger k and content f, a range has neither; lo and hi are the first and last start of its strings.
-_ROWS = "k bigint, f bigint, doc bigint, lo bigint, hi bigint"
-_NAMES = ["k", "f", "doc", "lo", "hi"]
+#: A phrase has a trigger k and content f, a range has neither; doc and sub, its id and the hash of its text, tell a document;
+#: lo and hi are the first and last start of its strings.
+_ROWS = "k bigint, f bigint, doc bigint, sub bigint, lo bigint, hi bigint"
+_NAMES = ["k", "f", "doc", "sub", "lo", "hi"]
 
 
-def _batch(k, f, doc, lo, hi, ranges: bool = False) -> pa.RecordBatch:
+def _batch(k, f, doc, sub, lo, hi, ranges: bool = False) -> pa.RecordBatch:
     number = lambda x: pa.nulls(len(doc)).cast(pa.int64()) if ranges else pa.array(x.view(np.int64))
-    return pa.RecordBatch.from_arrays([number(k), number(f), *(pa.array(np.asarray(x, np.int64)) for x in (doc, lo, hi))], _NAMES)
+    return pa.RecordBatch.from_arrays([number(k), number(f), *(pa.array(np.asarray(x, np.int64)) for x in (doc, sub, lo, hi))], _NAMES)
 
 
 def phrases(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -83,34 +87,43 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     return text, k, f, lo - ends[text], hi - ends[text]
 
 
-def _later(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """In rows ordered by content and place, which stand elsewhere than the first of their content; ``new`` marks the first.
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """In ordered rows, which differ from the row before in one of the columns; the first does."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+    return new
 
-    The same place twice is a document that comes in several rows."""
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return (doc != doc[first]) | (at != at[first])
 
+def _placed(content: np.ndarray, doc: np.ndarray, sub: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In rows ordered by content, doc, sub and place, where ``content`` marks the first of each content: which begin a document
+    that no smaller id comes before, and which stand later than another place of their content. The same place twice is a
+    document that comes in several rows."""
+    row = np.arange(len(content))
+    first = np.maximum.accumulate(np.where(content, row, 0))
+    begins = content | _changes(doc, sub)
+    own = np.maximum.accumulate(np.where(begins, row, 0))
+    behind = doc != doc[first]
+    return begins & ~behind, behind | (at != at[own])
 
-def _repeats(doc: np.ndarray, at: np.ndarray, *content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by content and place, and in that order which rows are the first, and which are later places, of their content."""
-    order = np.lexsort((at, doc, *reversed(content)))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for x in content:
-            x = x[order]
-            new[1:] |= x[1:] != x[:-1]
-    return order, new, _later(new, doc[order], at[order])
+
+def _repeats(doc: np.ndarray, sub: np.ndarray, at: np.ndarray, *content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by content and place, and in that order which rows are first, and which are later places, of their content."""
+    order = np.lexsort((at, sub, doc, *reversed(content)))
+    new = _changes(*(x[order] for x in content))
+    return order, *_placed(new, doc[order], sub[order], at[order])
 
 
-def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, sub: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges of starts with those that follow on each other joined."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1)
+    order = np.lexsort((lo, sub, doc))
+    doc, sub, lo, hi = doc[order], sub[order], lo[order], hi[order]
+    new = _changes(doc, sub)
+    new[1:] |= lo[1:] > hi[:-1] + 1
     begin = np.flatnonzero(new)
-    return doc[begin], lo[begin], np.maximum.reduceat(hi, begin) if len(begin) else hi
+    return doc[begin], sub[begin], lo[begin], np.maximum.reduceat(hi, begin) if len(begin) else hi
 
 
 def _parse(length: int, gram: int, most: int):
@@ -123,20 +136,20 @@ def _parse(length: int, gram: int, most: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            doc, k, f, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, sub, k, f, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, new, later = _repeats(doc, lo, k, f)
+            order, first, later = _repeats(doc, sub, lo, k, f)
             if later.any():
-                yield _batch(None, None, *_merged(*(x[order[later]] for x in (doc, lo, hi))), ranges=True)
-            own = order[new]
-            yield _batch(k[own], f[own], doc[own], lo[own], hi[own])
+                yield _batch(None, None, *_merged(*(x[order[later]] for x in (doc, sub, lo, hi))), ranges=True)
+            own = order[first]
+            yield _batch(*(x[own] for x in (k, f, doc, sub, lo, hi)))
 
         for batch in batches:
             for part in slices(batch, "text"):
                 data, ends = utf8_bytes(part.column(1))
                 text, k, f, lo, hi = phrases(data, ends, length, gram)
                 if len(text):
-                    held.append((np.asarray(part.column(0))[text], k, f, lo, hi))
+                    held.append((np.asarray(part.column(0))[text], np.asarray(part.column(2))[text], k, f, lo, hi))
                     size += len(text)
                 if size >= most:
                     yield from flush()
@@ -147,9 +160,10 @@ def _parse(length: int, gram: int, most: int):
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by k, f and place. Repeats become ranges; first places of phrases that share their trigger with others come
-    back as they are; the rest needs no more."""
-    before = None  # the last first place: (k, f, doc, lo, hi) and whether it has been given out
+    """Rows come by k, f, doc, sub and place. Repeats become ranges; first places of phrases that share their trigger with others
+    come back as they are; the rest needs no more."""
+    known: list[np.ndarray] | None = None  # the first row of the content at hand, and the first row of its last document
+    before = None  # the last first place, and whether it has been given out
     for batch in batches:
         ranges = np.asarray(batch.column(0).is_null())
         if ranges.any():
@@ -157,31 +171,30 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = batch.filter(pa.array(~ranges))
         if not batch.num_rows:
             continue
-        k, f, doc, lo, hi = (np.asarray(c) for c in batch.columns)
-        new_k, new = np.ones(len(k), bool), np.ones(len(k), bool)
-        new_k[1:] = k[1:] != k[:-1]
-        new[1:] = new_k[1:] | (f[1:] != f[:-1])
-        if before is not None:
-            new_k[0] = k[0] != before[0][0]
-            new[0] = new_k[0] or f[0] != before[0][1]
-        later = _later(new, doc, lo)
-        if before is not None and not new[0]:
-            to = int(np.argmax(new)) if new.any() else len(new)
-            later[:to] = (doc[:to] != before[0][2]) | (lo[:to] != before[0][3])
+        columns = [np.asarray(c) for c in batch.columns]
+        skip = 0
+        if known is not None:
+            columns, skip = [np.concatenate([a, b]) for a, b in zip(known, columns, strict=True)], 2
+        k, f, doc, sub, lo, hi = columns
+        content = _changes(k, f)
+        first, later = _placed(content, doc, sub, lo)
+        row = np.arange(len(k))
+        at = [int(row[content][-1]), int(row[content | _changes(doc, sub)][-1])]
+        known = [x[at] for x in columns]
+        first[:skip] = later[:skip] = False
         if later.any():
-            yield _batch(None, None, doc[later], lo[later], hi[later], ranges=True)
-        own = np.flatnonzero(new)
+            yield _batch(None, None, doc[later], sub[later], lo[later], hi[later], ranges=True)
+        own = np.flatnonzero(first)
         if not len(own):
             continue
-        follows = ~new_k[own]  # another phrase with this trigger came before
+        follows = np.append(before is not None and k[own[0]] == before[0][0], k[own[1:]] == k[own[:-1]])  # others with this trigger came before
         leads = np.append(follows[1:], False)
         if before is not None and follows[0] and not before[1]:
             yield _batch(*(np.array([x]) for x in before[0]))
         give = own[follows | leads]
         if len(give):
-            yield _batch(k[give], f[give], doc[give], lo[give], hi[give])
-        last = own[-1]
-        before = ((k[last], f[last], doc[last], lo[last], hi[last]), bool(follows[-1] or leads[-1]))
+            yield _batch(*(x[give] for x in columns))
+        before = (tuple(x[own[-1]] for x in columns), bool(follows[-1] or leads[-1]))
 
 
 def _cutting(length: int):
@@ -192,40 +205,61 @@ def _cutting(length: int):
             for part in slices(batch, "text", 1 << 20):
                 data, ends = utf8_bytes(part.column(1))
                 rows = []
-                for i, (doc, listed) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                for i, (doc, sub, listed) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                     raw = data[ends[i] : ends[i + 1]].tobytes()
-                    rows += [(x["k"], doc, x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]) for x in listed]
+                    rows += [(x["k"], doc, sub, x["lo"], x["hi"], raw[x["lo"] : x["hi"] + length]) for x in listed]
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "doc", "lo", "hi", "bytes"])
+                    kinds = [*[pa.int64()] * 5, pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "doc", "sub", "lo", "hi", "bytes"])
 
     return run
 
 
+def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Ranks, in lexical order, of the ``length`` bytes from each start on; equal strings have equal ranks. Prefix doubling."""
+    width = 1
+    while 2 * width <= min(length, 8):
+        width *= 2
+    n = len(data) - width + 1
+    rank = np.zeros(max(n, 0), np.uint64)
+    for i in range(width):
+        rank = (rank << np.uint64(8)) | data[i : i + n]
+    while 2 * width <= length:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        n -= width
+        rank = rank[:n] * np.uint64(len(data)) + rank[width : width + n]
+        width *= 2
+    if len(starts) == 0:
+        return np.zeros(0, np.int64)
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    return np.unique(rank[starts] * np.uint64(len(data)) + rank[starts + (length - width)], return_inverse=True)[1]
+
+
 def _strings(rows: pa.Table, length: int) -> tuple[np.ndarray, ...]:
-    """(k, hash, second hash, doc, start) of every string of the phrases."""
+    """The bytes of the phrases, one after the other, and of each of their strings the phrase, place in the bytes, and start."""
     column = rows.column("bytes").combine_chunks().cast(pa.large_binary())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    k, doc, lo = (rows.column(c).to_numpy() for c in ("k", "doc", "lo"))
     counts = np.maximum(np.diff(ends) - length + 1, 0)
     of = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(of)) + np.repeat(ends[:-1] - np.cumsum(counts) + counts, counts)
-    sums, other = prefix_hashes(BYTES[data]), prefix_hashes(mix(BYTES[data]))
-    return k[of], stretch(sums, at, at + length), stretch(other, at, at + length), doc[of], lo[of] + at - ends[of]
+    return data, of, at, rows.column("lo").to_numpy()[of] + at - ends[of]
 
 
 def _sorting(length: int, group_bytes: int):
-    """Rows come by k. Ranges of the strings that stood before in their group; strings of too large groups as they are."""
+    """Rows come by k. Ranges of the strings that stood before in their group; strings of too large groups by their hashes."""
 
     def done(parts: list[pa.Table], whole: bool) -> pa.RecordBatch:
-        k, f, g, doc, at = _strings(pa.concat_tables(parts), length)
+        rows = pa.concat_tables(parts)
+        data, of, at, start = _strings(rows, length)
+        doc, sub = (rows.column(c).to_numpy()[of] for c in ("doc", "sub"))
         if not whole:
-            return _batch(f, g, doc, at, at)
-        order, _, later = _repeats(doc, at, k, f, g)
+            names = [stretch(prefix_hashes(x), at, at + length) for x in (BYTES[data], mix(BYTES[data]))]
+            return _batch(*names, doc, sub, start, start)
+        order, _, later = _repeats(doc, sub, start, suffix_ranks(data, at, length))
         same = order[later]
-        return _batch(None, None, *_merged(doc[same], at[same], at[same]), ranges=True)
+        return _batch(None, None, *_merged(doc[same], sub[same], start[same], start[same]), ranges=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []  # whole groups, then the beginning of the group that may go on
@@ -300,23 +334,23 @@ def remove_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every row. kept: the text left; where a cut splits a
     character, its remains are shown as U+FFFD, while kept_sha256 is that of the bytes. Null without ``with_text``."""
     gram = min(gram, length)
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
-    rows = docs.select(key.alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    by_phrase = ["p", "f", "doc", "lo"]
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("sub"), "text")
+    document = (F.col("doc") == F.col("of")) & (F.col("sub") == F.col("of_sub"))
+    of = (F.col("doc").alias("of"), F.col("sub").alias("of_sub"))
 
     def gathered(parsed: DataFrame, what: str) -> DataFrame:
-        dealt = parsed.withColumn("p", F.coalesce("k", F.xxhash64("doc", "lo"))).repartition("p").sortWithinPartitions(*by_phrase)
+        dealt = parsed.withColumn("p", F.coalesce("k", F.xxhash64("doc", "lo"))).repartition("p").sortWithinPartitions("p", "f", "doc", "sub", "lo")
         return stored(dealt.select(*_NAMES).mapInArrow(_gathered, _ROWS), what)
 
-    parsed = rows.mapInArrow(_parse(length, gram, phrases_at_once), _ROWS)
+    parsed = rows.select("doc", "text", "sub").mapInArrow(_parse(length, gram, phrases_at_once), _ROWS)
     first = gathered(parsed, "phrases")
-    listed = first.where("k is not null").groupBy("doc").agg(F.collect_set(F.struct("k", "lo", "hi")).alias("listed")).withColumnRenamed("doc", "of")
-    cut = rows.join(listed, F.col("doc") == F.col("of")).select("doc", "text", "listed").mapInArrow(_cutting(length), "k bigint, doc bigint, lo bigint, hi bigint, bytes binary")
-    sorted_ = cut.repartition("k").sortWithinPartitions("k", "doc", "lo").mapInArrow(_sorting(length, group_bytes), _ROWS)
+    listed = first.where("k is not null").groupBy(*of).agg(F.collect_set(F.struct("k", "lo", "hi")).alias("listed"))
+    cut = rows.join(listed, document).select("doc", "text", "sub", "listed").mapInArrow(_cutting(length), "k bigint, doc bigint, sub bigint, lo bigint, hi bigint, bytes binary")
+    sorted_ = cut.repartition("k").sortWithinPartitions("k", "doc", "sub", "lo").mapInArrow(_sorting(length, group_bytes), _ROWS)
     second = stored(sorted_, "strings")
     third = gathered(second.where("k is not null"), "strings")
 
     ranges = first.where("k is null").unionAll(second.where("k is null")).unionAll(third.where("k is null"))
-    gone = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")).withColumnRenamed("doc", "of")
-    out = rows.join(gone, F.col("doc") == F.col("of"), "left").select("doc", "text", "gone").mapInArrow(_removing(length, with_text), _RESULT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    gone = ranges.groupBy(*of).agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    return rows.join(gone, document, "left").select("doc_id", "text", "gone").mapInArrow(_removing(length, with_text), _RESULT)
