@@ -34,16 +34,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept.
-
-    Ids are written before they meet the documents, so that Spark knows their size and moves texts only if they are many."""
-    own, n = fresh(docs, "id", "n")
+    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept."""
+    (own,) = fresh(docs, "id")
     classes = jaccard_join.near_duplicates(docs, k=5, similarity=(80, 100))
-    first = stored(classes.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(n)), "kept")
-    same = F.col("doc_id") == F.col(own)
-    single = docs.join(first.where(F.col(n) == 1).select(own), same, "left_semi")
-    several = docs.join(first.where(F.col(n) > 1).select(own), same, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id is null")).select(*_columns(docs))
+    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
+    known = docs.join(first.hint("merge"), F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id is null")).select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

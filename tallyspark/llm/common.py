@@ -45,11 +45,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written once to the shared folder and read again: cuts lineage, survives lost executors.
+
+    What was shuffled to write it is of no more use. Spark removes shuffle files when the driver's JVM collects what refers to them,
+    which a driver with little to do may put off for long; so it is asked to.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import stored
+from tallyspark.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         if not state[0]:
             break
-        now = stored(_small(_large(now)), "components")
+        before, now = now, stored(_small(_large(now)), "components")
+        discard(before)
         if (new := _state(now)) == state:
             break
         state = new

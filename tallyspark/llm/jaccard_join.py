@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, stored, utf8_bytes
+from tallyspark.llm.common import discard, slices, stored, utf8_bytes
 from tallyspark.llm.components import components
 from tallyspark.llm.shingles import mix, overlap, shingle_sets
 
@@ -172,7 +172,9 @@ def _verifying(k: int, t: tuple[int, int]):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, t: tuple[int, int], per_salt: int = 64) -> DataFrame:
-    """The (center, member) pairs that are similar enough, as (a, b). Centers with many members are dealt to several tasks."""
+    """The (center, member) pairs that are similar enough, as (a, b). Centers with many members are dealt to several tasks.
+
+    Texts and what is asked of them are merged at any size: what is asked grows with the documents."""
     pairs = stored(pairs, "pairs")
     centers = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("salts"))
     members = pairs.join(centers, "center").select("center", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.col("member").alias("node"))
@@ -180,11 +182,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, t: tu
     wanted = members.unionAll(own).join(nodes.select("node", "rep"), "node").select("center", "salt", "node", "rep.id", F.col("rep.h").alias("of"))
     wanted = stored(wanted, "wanted")
     asked = wanted.select("id", "of").distinct()
-    texts = rows.withColumn("h", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of")), "left_semi")
+    texts = rows.withColumn("h", F.xxhash64("text")).join(asked.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of")), "left_semi")
     texts = texts.groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))  # a document that comes in several rows goes on once
-    found = texts.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("center", "salt", "node", "text")
+    found = texts.join(wanted.hint("merge"), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("of"))).select("center", "salt", "node", "text")
     found = found.repartition("center", "salt").sortWithinPartitions("center", "salt", (F.col("node") != F.col("center")).cast("int"))
-    return stored(found.mapInArrow(_verifying(k, t), "a bigint, b bigint"), "links")
+    links = stored(found.mapInArrow(_verifying(k, t), "a bigint, b bigint"), "links")
+    discard(pairs, wanted)
+    return links
 
 
 def _may_link(a: list, b: list, t: tuple[int, int]):
@@ -264,6 +268,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     opened = _ranked(placed.join(groups.where("several > 1").drop("several"), "token"), t)
     marked = nodes.select(F.col("node").alias("at"), *_SKETCH)
     opened = stored(opened.join(marked, F.col("node") == F.col("at")).drop("at"), "open")
+    discard(shared)
     columns = ("token", "node", "c", "of", "rank", "held", "before", *mine)
     x = opened.where("of != largest").select(*(F.col(c).alias(f"x_{c}") for c in columns))
     y = opened.select(*(F.col(c).alias(f"y_{c}") for c in columns), (F.col("of") == F.col("largest")).alias("big"))
@@ -273,6 +278,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     met = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_of") != F.col("y_of")) & (F.col("big") | (F.col("x_node") < F.col("y_node"))) & first & may)
     pairs = met.select(F.least("x_node", "y_node").alias("member"), F.greatest("x_node", "y_node").alias("center")).distinct()
     two = _verified(pairs, nodes, rows, k, t)
+    discard(opened)
 
     classes = nodes.select("node", F.col("rep.id").alias("rep"))
     label = components(one.unionAll(two)).withColumnRenamed("node", "at")
