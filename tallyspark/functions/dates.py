@@ -57,10 +57,10 @@ def year_for_month(month: Column, start: Column, end: Column) -> Column:
     return F.when(month.between(1, 12) & (F.size(fit) == 1), fit[0])
 
 
-def parse_date(c: Column, order: str = "DMY", start: Column | None = None, end: Column | None = None, pivot: int = 70) -> Column:
+def parse_date(c: Column, order: str | Column = "DMY", start: Column | None = None, end: Column | None = None, pivot: int = 70) -> Column:
     """struct(date, ambiguous, error) read from a cell.
 
-    ISO dates, days with Spanish month names, and numbers in ``order`` (the other order where that alone is a date), with a
+    ISO dates, days with Spanish month names, and numbers in ``order`` (or a column of orders; the other where that alone is a date), with a
     time of day after them or not. Dates without a year take theirs from the period from ``start`` to ``end``, in which they
     must lie. error: empty, unrecognised-format, invalid-calendar-date, unknown-month-name, missing-year or
     outside-declared-period, else null.
@@ -72,7 +72,7 @@ def parse_date(c: Column, order: str = "DMY", start: Column | None = None, end:
     return let(only, lambda x: _read_date(x, order, start, end, pivot))
 
 
-def _read_date(only: Column, order: str, start: Column, end: Column, pivot: int) -> Column:
+def _read_date(only: Column, order: str | Column, start: Column, end: Column, pivot: int) -> Column:
     low = F.lower(only)
     number = lambda x, pattern, g: F.regexp_extract(x, pattern, g).try_cast("int")
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
@@ -88,10 +88,12 @@ def _read_date(only: Column, order: str, start: Column, end: Column, pivot: int)
     named_date = ymd(_expand(number(without_de, named, 3), pivot), month, number(without_de, named, 1))
     a, b, year = number(only, full, 1), number(only, full, 2), _expand(number(only, full, 3), pivot)
     day_first, month_first = ymd(year, b, a), ymd(year, a, b)
-    first, second = (month_first, day_first) if order == "MDY" else (day_first, month_first)
+    american = (order if isinstance(order, Column) else F.lit(order)) == "MDY"
+    choose = lambda mdy, dmy: F.when(american, mdy).otherwise(dmy)
+    first, second = choose(month_first, day_first), choose(day_first, month_first)
     month_a = F.try_element_at(names, plain(F.regexp_extract(low, named_short, 2)))
     x, y = number(only, short, 1), number(only, short, 2)
-    month_b, day_b = (x, y) if order == "MDY" else (y, x)
+    month_b, day_b = choose(x, y), choose(y, x)
 
     def yearless(month: Column, day: Column) -> tuple[Column, Column]:
         found = year_for_month(month, start, end)

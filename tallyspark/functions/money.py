@@ -35,12 +35,13 @@ def money_text(c: Column, currency: Column, scale: int = 0) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), symbol, body)
 
 
-def parse_amount(c: Column, number_format: str = "es-CL", with_marker: bool = False) -> Column:
+def parse_amount(c: Column, number_format: str | Column = "es-CL", with_marker: bool = False) -> Column:
     """struct(amount, scale, ambiguous, explicit_sign, error) read from a cell.
 
     Parentheses and leading or trailing minus signs negate; currency names and signs are skipped; with ``with_marker`` a
     trailing CR or DB word gives the sign. Of two kinds of marks the last is the decimal one; a mark that repeats groups
-    thousands; a single one before three digits is read by ``number_format`` (es-CL, en-US or auto). error: a code, or null.
+    thousands; a single one before three digits is read by ``number_format`` (es-CL, en-US or auto, or a column of these). error: a
+    code, or null.
     """
     text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[   \t\r\n]", " "))
     return let(text, lambda whole: _unwrapped(whole, number_format, with_marker))
@@ -63,7 +64,7 @@ def _unwrapped(whole: Column, number_format: str, with_marker: bool) -> Column:
     return let(plain, lambda t: _unsigned(t, bracketed, whole == "", F.lit(None).cast("string"), number_format))
 
 
-def _unsigned(text: Column, negative: Column, empty: Column, sign: Column, number_format: str) -> Column:
+def _unsigned(text: Column, negative: Column, empty: Column, sign: Column, number_format: str | Column) -> Column:
     """Takes off a minus or plus sign before, and a minus sign after."""
     leading = text.startswith("-")
     rest = F.when(text.rlike("^[-+]"), F.trim(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
@@ -76,7 +77,7 @@ def _unsigned(text: Column, negative: Column, empty: Column, sign: Column, numbe
     return let(rest, ended)
 
 
-def _digits(text: Column, negative: Column, empty: Column, sign: Column, number_format: str) -> Column:
+def _digits(text: Column, negative: Column, empty: Column, sign: Column, number_format: str | Column) -> Column:
     """Reads digits and marks."""
     dots, commas = (F.length(text) - F.length(F.replace(text, F.lit(m))) for m in ".,")
     single = F.when(dots > 0, ".").otherwise(",")
@@ -85,9 +86,10 @@ def _digits(text: Column, negative: Column, empty: Column, sign: Column, number_
     repeated = ~both & (dots + commas > 1)
     grouped = text.rlike(r"^\d{1,3}([.,]\d{3})+$")
     three = ~both & (dots + commas == 1) & (F.length(tail) == 3)
-    whole_mark = {"es-CL": ".", "en-US": ","}.get(number_format)
-    as_whole = none | repeated | three & (F.lit(True) if whole_mark is None else single == whole_mark)
-    ambiguous = three & (F.lit(True) if whole_mark is None else single != whole_mark)
+    named = number_format if isinstance(number_format, Column) else F.lit(number_format)
+    whole_mark = F.when(named == "es-CL", ".").when(named == "en-US", ",")
+    as_whole = none | repeated | three & F.coalesce(single == whole_mark, F.lit(True))
+    ambiguous = three & F.coalesce(single != whole_mark, F.lit(True))
     fraction = F.when(as_whole, "").otherwise(tail)
     shape = F.struct(F.regexp_replace(text, "[.,]", "").alias("digits"), fraction.alias("fraction"), ambiguous.alias("ambiguous"), (repeated & ~grouped).alias("malformed"))
     return let(shape, lambda x: _checked(text, x, negative, empty, sign))

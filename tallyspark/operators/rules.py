@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import fold_case
-from tallyspark.operators.enrich import with_attribution
+from tallyspark.operators.enrich import with_attribution, with_financial_cost
 from tallyspark.operators.kinds import KINDS
+from tallyspark.session import once_per
 
 TEXT_FIELDS = ("description", "merchant", "account", "institution", "kind", "direction", "category", "operation_type", "product")
 NUMBER_FIELDS = ("amount", "abs_amount")
@@ -177,6 +178,30 @@ def apply_rules(df: DataFrame, rules: list[Rule], attribute: bool = True) -> Dat
     return df.withColumn("merchant", F.when(~advance, F.col("merchant"))).drop("__open", "__live", "__hit", "__merchant")
 
 
+#: The columns that rules read or change.
+_READ = ("normalized_description", "description", "direction", "product", "kind", "kind_confidence", "merchant", "category", "tags", "account_id", "institution", "reference", "operation_type", "amount", "payment_processor")
+
+
+def apply_once(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``apply_rules`` and financial costs, once for each combination of the columns that these rules read, joined back to the rows.
+
+    The same results for less work wherever descriptions repeat. Rules on amounts or references see nearly as many combinations as
+    rows; for these ``apply_rules`` does better. Not for streams."""
+    fields = {c.field for r in rules for c in r.conditions}
+    named = {_COLUMNS.get(f, f) for f in fields} | ({"amount"} if fields & set(NUMBER_FIELDS) else set())
+    always = {"normalized_description", "direction", "kind", "kind_confidence", "merchant", "category", "tags"}
+    keys = [c for c in _READ if c in df.columns and c in always | named]
+    made = [c for c in ("kind", "kind_confidence", "merchant", "category", "tags") if c in keys]
+
+    def work(few: DataFrame) -> DataFrame:
+        before = few.withColumns({f"__was_{c}": F.col(c) for c in made})
+        after = with_financial_cost(apply_rules(before, rules))
+        return after.select(*(F.col(f"__was_{c}" if c in made else c).alias(c) for c in keys), *(F.col(c).alias(f"__now_{c}") for c in made), *(c for c in after.columns if c not in keys and not c.startswith("__was_")))
+
+    out = once_per(df, keys, work)
+    return out.withColumns({c: F.col(f"__now_{c}") for c in made}).drop(*(f"__now_{c}" for c in made))
+
+
 def preview(df: DataFrame, before: list[Rule], after: list[Rule]) -> DataFrame:
     """How a change of rules would tell: rows, and how many each set applies to, change, and ignore."""
     keys = ["category", "merchant", "kind", "tags", "ignored"]
@@ -208,15 +233,14 @@ def _category(value: str) -> Action:
 
 
 _OUT = Condition("direction", "equals", "out")
-_G = r"[\s./-]+"
 # The built-in rules.
 BUILTIN = (
     Rule("builtin.pago-tarjeta", 10, (Condition("kind", "equals", "credit_card_payment"),), (_category("pago-tarjeta"),), stop=True),
     Rule("builtin.transferencia-propia", 20, _contains("CUENTA PROPIA", "ENTRE CUENTAS"), (Action("mark_transfer"), _category("transferencias")), stop=True),
     Rule("builtin.traspaso-cuenta", 21, (*_contains("TRASPASO"), Condition("product", "not_equals", "credit_card"), Condition("product", "not_equals", "credit_line")), (Action("mark_transfer"), _category("transferencias")), match="all", stop=True),
-    Rule("builtin.comisiones", 30, (Condition("description", "matches", rf"\b(?:COMISION(?:ES)?|(?:CARGO{_G}POR{_G}ADMINISTRACION)|(?:MANTENCION|MANTENIMIENTO)(?:{_G}DE)?{_G}(?:TARJETA|CUENTA|LINEA{_G}DE{_G}CREDITO))\b"), _OUT), (Action("set_kind", "fee"), _category("comisiones")), match="all"),
-    Rule("builtin.intereses", 31, (Condition("description", "matches", rf"\bINTERES(?:ES)?{_G}(?:(?:POR{_G})?(?:MORA|SOBREGIRO|CUOTAS?)|MORATORIOS?|ROTATIVOS?|ADICIONALES?|REFUNDIDOS?|(?:POR{_G})?COMPRAS?{_G}EN{_G}CUOTAS?)\b"), _OUT), (Action("set_kind", "interest"), _category("deudas.intereses")), match="all"),
-    Rule("builtin.impuestos", 32, (Condition("description", "matches", rf"\b(?:IMPUESTOS?|IVA|TIMBRES{_G}Y{_G}ESTAMPILLAS|(?:IMPUESTO|LEY)(?:{_G}DE)?{_G}TIMBRES)\b"), _OUT), (Action("set_kind", "tax"), _category("impuestos")), match="all"),
+    Rule("builtin.comisiones", 30, (Condition("description", "matches", r"\b(?:COMISION(?:ES)?|(?:CARGO[\s./-]+POR[\s./-]+ADMINISTRACION)|(?:MANTENCION|MANTENIMIENTO)(?:[\s./-]+DE)?[\s./-]+(?:TARJETA|CUENTA|LINEA[\s./-]+DE[\s./-]+CREDITO))\b"), _OUT), (Action("set_kind", "fee"), _category("comisiones")), match="all"),
+    Rule("builtin.intereses", 31, (Condition("description", "matches", r"\bINTERES(?:ES)?[\s./-]+(?:(?:POR[\s./-]+)?(?:MORA|SOBREGIRO|CUOTAS?)|MORATORIOS?|ROTATIVOS?|ADICIONALES?|REFUNDIDOS?|(?:POR[\s./-]+)?COMPRAS?[\s./-]+EN[\s./-]+CUOTAS?)\b"), _OUT), (Action("set_kind", "interest"), _category("deudas.intereses")), match="all"),
+    Rule("builtin.impuestos", 32, (Condition("description", "matches", r"\b(?:IMPUESTOS?|IVA|TIMBRES[\s./-]+Y[\s./-]+ESTAMPILLAS|(?:IMPUESTO|LEY)(?:[\s./-]+DE)?[\s./-]+TIMBRES)\b"), _OUT), (Action("set_kind", "tax"), _category("impuestos")), match="all"),
     Rule("builtin.sueldo", 40, (*_contains("SUELDO", "REMUNERACION", "LIQUIDACION"), *_words("NOMINA")), (Action("set_kind", "income"), _category("ingresos.sueldo"))),
     Rule("builtin.supermercado", 50, _merchants("Lider", "Jumbo", "Santa Isabel", "Tottus", "Unimarc"), (_category("alimentacion.supermercado"),)),
     Rule("builtin.delivery", 51, _merchants("Rappi", "PedidosYa", "Uber Eats"), (_category("alimentacion.delivery"),)),

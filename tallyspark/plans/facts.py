@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import amount
@@ -113,3 +113,43 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(out, "out").otherwise("in").alias("direction"), F.col("event_id").cast("string").alias("fingerprint"), words.alias("description"), F.lit("banco-chile").alias("institution"),
         F.lit(None).cast("string").alias("reference"), (F.col("user_id") % 2 == 0).alias("is_card"),
     )
+
+
+def spanish_number(c: Column) -> Column:
+    """1234.5 as 1.234,50."""
+    return F.translate(F.format_number(c, 2), ",.", ".,")
+
+
+def statement_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sheets of statement files, one file a customer, in three layouts by the customer's number: an account with
+    charges, credits and balance, a card, and an amount with a direction column. Some rows have faults, by their order's number:
+    of 11 no date, of 13 an unreadable amount, of 17 no description, of 19 no amount; accounts, of 23, both a charge and a credit."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").cast("date"), "o_orderkey")
+    n, k = F.row_number().over(w), F.col("o_orderkey")
+    layout = (F.col("o_custkey") % 3).cast("int")
+    incoming, money = F.col("o_orderstatus") == "O", F.col("o_totalprice").cast("decimal(22,2)")
+    good = (k % 11 != 0) & (k % 13 != 0) & (k % 17 != 0) & (k % 19 != 0) & (k % 23 != 0)
+    balance = F.sum(F.when(good, F.when(incoming, money).otherwise(-money)).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1000
+    shown = F.when(k % 19 == 0, "0,00").when(k % 13 == 0, "x1").otherwise(spanish_number(money))
+    date = F.when(k % 11 == 0, "").otherwise(F.date_format(F.col("o_orderdate").cast("date"), "dd/MM/yyyy"))
+    text = F.when(k % 17 == 0, "").otherwise(F.element_at(F.array(*map(F.lit, DESCRIPTIONS)), (k % len(DESCRIPTIONS) + 1).cast("int")))
+    both = (k % 23 == 0) & (k % 19 != 0)
+    account = F.array(date, text, F.when(~incoming | both, shown).otherwise(""), F.when(incoming | both, shown).otherwise(""), spanish_number(balance))
+    card = F.array(date, text, F.when(incoming, F.concat(F.lit("-"), shown)).otherwise(shown), F.when(k % 5 == 0, "2 de 6").otherwise(""), F.lit("**** 4412"))
+    flag = F.array(date, text, shown, F.when(incoming, "A").otherwise("C"))
+    cells = F.when(layout == 0, account).when(layout == 1, card).otherwise(flag)
+    data = o.select("o_custkey", (n + 2).cast("int").alias("row_index"), cells.alias("cells"))
+    head = lambda *cells: F.array(*map(F.lit, cells))
+    tops = (
+        F.array(head("Banco de Chile - Cartola"), F.array(F.lit("Cuenta Corriente N:"), F.format_string("00-%09d", "o_custkey")), head("Fecha", "Descripcion", "Cargos (PESOS)", "Abonos (PESOS)", "Saldo (PESOS)")),
+        F.array(head("Estado CMR"), head("Periodo: 01/01/1992 al 31/12/1998"), head("Fecha", "Descripcion", "Monto", "Cuotas", "Tarjeta")),
+        F.array(head("Movimientos"), head("Moneda: CLP"), head("Fecha", "Glosa", "Monto", "Cargo Abono")),
+    )
+    top = F.when(layout == 0, tops[0]).when(layout == 1, tops[1]).otherwise(tops[2])
+    heads = o.select("o_custkey").distinct().select("o_custkey", F.posexplode(top).alias("row_index", "cells"))
+    rows = data.unionByName(heads)
+    return rows.select(
+        F.concat(F.lit("/s/"), "o_custkey", F.lit(".csv")).alias("path"), F.col("o_custkey").cast("string").alias("file_hash"), F.lit("csv").alias("kind"), F.lit(0).alias("sheet_index"), F.lit("").alias("sheet"), "row_index", "cells",
+        F.transform("cells", lambda c: F.lit("")).alias("formats"), F.lit(None).cast("string").alias("error"),
+    )

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tallyspark.functions import dates as D
 from tallyspark.functions import privacy as P
 from tallyspark.functions import text as T
-from tallyspark.functions.money import amount
+from tallyspark.functions.money import amount, parse_amount
 from tallyspark.operators import balances, dedupe, enrich, insights, installments, metrics, reconcile, recurring, rules
 from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
+from tallyspark.plans import more_oracles
 from tallyspark.plans.oracles import ORACLES
-from tallyspark.sources import sheets
+from tallyspark.session import stored
+from tallyspark.sources import sheets, statements
 
 
 
@@ -78,7 +80,7 @@ def _card_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def installment_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return installments.build_plans(_card_charges(spark, sf_dir)).drop("source_fingerprints").withColumn("observed_installments", F.array_join("observed_installments", ","))
+    return _plain(installments.build_plans(_card_charges(spark, sf_dir)).drop("source_fingerprints").withColumn("observed_installments", F.array_join("observed_installments", ",")))
 
 
 def installment_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +102,7 @@ def transfer_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.match_transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason")
+    return _plain(reconcile.match_transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason"))
 
 
 def ambiguous_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +143,51 @@ def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enrich.with_financial_cost(rules.apply_rules(facts.described(spark, sf_dir), list(rules.BUILTIN)))
+    rows = rules.apply_once(facts.described(spark, sf_dir), list(rules.BUILTIN))
     return rows.select("row_id", "merchant", "category", "kind", "kind_confidence", F.array_join("tags", ",").alias("tags"), F.array_join("applied_rules", ",").alias("applied_rules"), "cost_kind", "cost_confidence")
 
 
+def _read_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sheets, their evidence under the best parser of each file, and their movements, each written once."""
+    rows = facts.statement_sheets(spark, sf_dir)
+    files = stored(statements.layouts(rows), "layouts")
+    chosen = statements.detection(files).where("rank = 1").select("file_hash", "parser")
+    known = stored(statements.evidence(rows, statements.described(files, chosen)), "evidence")
+    return rows, known, statements.movements(rows, known)
+
+
+def parser_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(statements.detection(statements.layouts(facts.statement_sheets(spark, sf_dir))).select("file_hash", "parser", "institution", "score", "rank", F.array_join("reasons", ",").alias("reasons")))
+
+
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, moved = _read_statements(spark, sf_dir)
+    plan = F.concat_ws("/", F.col("installment.current"), F.col("installment.total"))
+    return _plain(moved.select("file_hash", "parser", "source_line", "status", "failure", "date", "amount", "direction", "balance_after", "card_last4", plan.alias("plan"), F.array_join("warnings", ",").alias("warnings")))
+
+
+def statement_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, known, moved = _read_statements(spark, sf_dir)
+    out = statements.statements(rows, known, stored(moved, "movements"))
+    issues = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["level"], i["code"])), ",").alias("issues")
+    return _plain(out.select("file_hash", "parser", "account_number", "currency", "period_from", "period_to", "opening", "opening_source", "closing", "data_rows", "mapped", "skipped", "failed", "balance_reconciles", "ok", issues))
+
+
+def amount_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in seven ways of writing, by line number."""
+    line = facts.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    money, n = F.col("l_extendedprice").cast("decimal(22,2)"), F.col("l_linenumber")
+    spanish, plain = facts.spanish_number(money), money.cast("string")
+    whole = F.format_number(F.floor(money), 0)
+    text = (
+        F.when(n == 1, F.concat(F.lit("$ "), spanish)).when(n == 2, F.concat(F.lit("("), spanish, F.lit(")"))).when(n == 3, F.concat(F.translate(plain, ".", ","), F.lit("-"))).when(n == 4, F.concat(spanish, F.lit(" CR")))
+        .when(n == 5, F.concat(F.lit("USD "), plain)).when(n == 6, F.concat(F.lit("-"), F.translate(whole, ",", "."))).otherwise(whole)
+    )
+    read = parse_amount(text, "es-CL", with_marker=True)
+    rows = line.select("l_orderkey", "l_linenumber", read.alias("r"))
+    return _plain(rows.select("l_orderkey", "l_linenumber", F.col("r.amount").alias("amount"), F.col("r.scale").alias("scale"), F.col("r.ambiguous").alias("ambiguous"), F.col("r.explicit_sign").alias("explicit_sign"), F.col("r.error").alias("error")))
+
+
 def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small set of rules over parts, each seeing what those before it did."""
     C, A, R = rules.Condition, rules.Action, rules.Rule
@@ -227,7 +270,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
-    bag_diff, month_insights, attribution, kind_defaults,
+    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings,
 )
 
 
@@ -236,4 +279,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {k: v for k, v in ORACLES.items() if k in queries()}
+    return {k: v for k, v in (ORACLES | more_oracles.ORACLES).items() if k in queries()}

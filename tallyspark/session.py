@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
@@ -16,6 +19,27 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once to the checkpoint folder, which executors share, and read again: cuts lineage, and Spark knows its size."""
+    with_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once_per(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of the distinct values of the key columns, joined back to every row (nulls are values too).
+
+    For costly work on columns that repeat. The distinct values are counted out before anything moves, and stored; Spark sends them
+    to all executors only if they are few."""
+    few = stored(work(df.select(*keys).distinct()), "distinct")
+    some = few.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in few.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(some, on, "left").drop(*(f"__{k}" for k in keys))
+
+
 def session(name: str = "tallyspark", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in conf.items():

@@ -152,21 +152,25 @@ def is_header(roles: dict[str, int]) -> bool:
     return {"date", "description"} <= roles.keys() and not roles.keys().isdisjoint(("amount", "installment_amount", "purchase_amount", "debit", "credit"))
 
 
-def headers(rows: DataFrame, within: int = 30) -> DataFrame:
-    """(file_hash, header_row, roles) of the first row of each file that names a date, a description and an amount."""
+def header_rows(rows: DataFrame, within: int = 30) -> DataFrame:
+    """(file_hash, sheet_index, row_index, header, roles) of the rows that name a date, a description and an amount."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roles = [map_columns(h) for h in batch.column(2).to_pylist()]
+            roles = [map_columns(h) for h in batch.column(3).to_pylist()]
             keep = [i for i, r in enumerate(roles) if is_header(r)]
             some = batch.take(pa.array(keep, pa.int64()))
             maps = pa.array([list(roles[i].items()) for i in keep], pa.map_(pa.string(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), maps], ["file_hash", "row_index", "roles"])
+            yield pa.RecordBatch.from_arrays([*some.columns, maps], [*some.schema.names, "roles"])
 
     some = rows.where((F.col("row_index") < within) & F.exists("cells", lambda c: c != ""))
-    named = some.select("file_hash", "row_index", F.transform("cells", normalize_header).alias("header"))
-    found = named.mapInArrow(run, "file_hash string, row_index int, roles map<string,int>")
-    return found.groupBy("file_hash").agg(F.min("row_index").alias("header_row"), F.min_by("roles", "row_index").alias("roles"))
+    named = some.select("file_hash", "sheet_index", "row_index", F.transform("cells", normalize_header).alias("header"))
+    return named.mapInArrow(run, "file_hash string, sheet_index int, row_index int, header array<string>, roles map<string,int>")
+
+
+def headers(rows: DataFrame, within: int = 30) -> DataFrame:
+    """(file_hash, header_row, roles) of the first row of each file that names a date, a description and an amount."""
+    return header_rows(rows, within).groupBy("file_hash").agg(F.min("row_index").alias("header_row"), F.min_by("roles", "row_index").alias("roles"))
 
 
 def records(rows: DataFrame) -> DataFrame:
