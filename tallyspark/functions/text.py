@@ -41,7 +41,11 @@ def normalize_description(c: Column) -> Column:
 
 def description_key(c: Column) -> Column:
     """What is left of a description for comparing: no digits, signs or single letters."""
-    words = F.regexp_replace(F.regexp_replace(normalize_description(c), "[0-9]+", " "), r"[/.\-*]+", " ")
+    return key_of_normalized(normalize_description(c))
+
+
+def key_of_normalized(normalized: Column) -> Column:
+    words = F.regexp_replace(F.regexp_replace(normalized, "[0-9]+", " "), r"[/.\-*]+", " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(words, r"\b[A-Z]\b", " "), " +", " "), "^ | $", "")
 
 

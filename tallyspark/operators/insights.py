@@ -59,15 +59,31 @@ def concentration(merchants: DataFrame, summary: DataFrame) -> DataFrame:
     return rows.select(*_KEYS, F.lit(30).alias("ord"), F.lit("merchant-concentration").alias("id"), F.lit("neutral").alias("severity"), "value")
 
 
-def installments(schedule: DataFrame, month: str) -> DataFrame:
+def installments(schedule: DataFrame, month: str, plans: DataFrame | None = None) -> DataFrame:
+    """Remarks on what instalments charge; with plans also how many open ones are estimates or have gaps."""
     three = F.col("month") <= add_months_to_key(F.lit(month), 2)
     sums = schedule.groupBy("currency").agg(F.sum(F.when(three, F.col("amount"))).alias("three"), F.sum(F.when(F.col("month") == month, F.col("amount"))).alias("now"))
-    rows = F.array(_row(10, "installments-next-three", F.col("three") != 0, "neutral", F.col("three")), _row(11, "installments-this-month", F.col("now").isNotNull(), "neutral", F.col("now")))
-    return sums.select("currency", F.lit(month).alias("month"), F.inline(F.array_compact(rows)))
+    rows = [_row(10, "installments-next-three", F.col("three") != 0, "neutral", F.col("three")), _row(11, "installments-this-month", F.col("now").isNotNull(), "neutral", F.col("now"))]
+    out = sums.select("currency", F.lit(month).alias("month"), F.inline(F.array_compact(F.array(*rows))))
+    if plans is None:
+        return out
+    unsure = plans.where((F.col("remaining_installments") > 0) & ((F.col("confidence") != "confirmed") | F.col("has_gaps"))).groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(unsure.select("currency", F.lit(month).alias("month"), F.lit(12).alias("ord"), F.lit("installments-uncertain").alias("id"), F.lit("attention").alias("severity"), F.col("n").cast("double").alias("value")))
 
 
 def recurring(charges: DataFrame, month: str) -> DataFrame:
+    """How many charges likely come back, what they come to in a month, and how many have a standing order."""
     likely, mandated = F.col("confidence") == "likely", F.col("mandate").isNotNull()
-    sums = charges.groupBy("currency").agg(F.count_if(likely).alias("likely"), F.count_if(mandated).alias("mandated"))
-    rows = F.array(_row(20, "recurring-count", F.col("likely") > 0, "neutral", F.col("likely")), _row(21, "recurring-mandates", F.col("mandated") > 0, "neutral", F.col("mandated")))
+    sums = charges.groupBy("currency").agg(F.count_if(likely).alias("likely"), F.sum(F.when(likely, F.col("typical_amount"))).alias("monthly"), F.count_if(mandated).alias("mandated"))
+    rows = F.array(
+        _row(20, "recurring-count", F.col("likely") > 0, "neutral", F.col("likely")), _row(21, "recurring-monthly", F.col("likely") > 0, "neutral", F.col("monthly")), _row(22, "recurring-mandates", F.col("mandated") > 0, "neutral", F.col("mandated"))
+    )
     return sums.select("currency", F.lit(month).alias("month"), F.inline(F.array_compact(rows)))
+
+
+def ordered(*families: DataFrame) -> DataFrame:
+    """All remarks: by currency and month, in the fixed order of families and of remarks within them."""
+    out = families[0]
+    for more in families[1:]:
+        out = out.unionByName(more)
+    return out.orderBy("currency", "month", "ord", "id")

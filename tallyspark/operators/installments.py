@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions.dates import add_months_to_key, month_key
 from tallyspark.functions.hashing import hash_fields
@@ -18,22 +22,27 @@ def plan_key(institution: Column, merchant: Column, total: Column, minor: Column
 def runs(charges: DataFrame) -> DataFrame:
     """Adds run: a counter that came before in its run opens a new one, and forgets what was seen.
 
-    The seen set depends on all rows before, so each plan's counters are folded in order; a plan has at most some dozen charges a run.
+    Each plan's charges pass in order of day, fingerprint and counter; of a run only its counters, of which there are at most some
+    dozen, are remembered. So no plan is ever held, however many charges it has.
     """
-    order = F.array_sort(F.collect_list(F.struct("date", "fingerprint", F.col("installment.current").alias("current"))))
-    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("seen"), F.array().cast("array<int>").alias("runs"))
-
-    def step(a: Column, x: Column) -> Column:
-        again = F.array_contains(a["seen"], x["current"])
-        run = a["run"] + again.cast("int")
-        seen = F.when(again, F.array(x["current"])).otherwise(F.array_append(a["seen"], x["current"]))
-        return F.struct(run.alias("run"), seen.alias("seen"), F.array_append(a["runs"], run).alias("runs"))
-
-    folded = charges.groupBy("plan_key").agg(order.alias("rows")).withColumn("runs", F.aggregate("rows", start, step)["runs"])
-    marks = folded.select("plan_key", F.explode(F.arrays_zip("rows", "runs")).alias("x")).select("plan_key", F.col("x.rows.fingerprint").alias("fingerprint"), F.col("x.rows.date").alias("date"), F.col("x.runs").alias("run"))
-    # Equal charges of one day keep their order of appearance.
-    n = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy("plan_key", "date", "fingerprint").orderBy(F.lit(0))))
-    return n(charges).join(n(marks), ["plan_key", "date", "fingerprint", "__n"]).drop("__n")
+    counter = "__counter"
+    ordered = charges.withColumn(counter, F.col("installment.current").cast("int")).repartition("plan_key").sortWithinPartitions("plan_key", "date", "fingerprint", counter)
+    places = [ordered.columns.index(c) for c in ("plan_key", counter)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, seen, number = None, set(), 0
+        for batch in batches:
+            out = []
+            for key, current in zip(*(batch.column(i).to_pylist() for i in places), strict=True):
+                if key != plan:
+                    plan, seen, number = key, set(), 0
+                elif current in seen:
+                    seen, number = set(), number + 1
+                seen.add(current)
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "run"])
+
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("run", T.IntegerType())])).drop(counter)
 
 
 def build_plans(facts: DataFrame, least: str = "suggested") -> DataFrame:

@@ -88,22 +88,18 @@ def _unique_best(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("__o_leg") & F.col("__i_leg")).drop("__q", "__best", "__o_leg", "__i_leg")
 
 
-def settle(pairs: DataFrame, most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(settled pairs, pairs left open) by rounds of unique mutual bests.
+def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled pairs, pairs left open) by rounds of unique mutual bests, until a round settles none.
 
-    Each round joins on legs only. State goes to the checkpoint folder, of which executors have a shared copy.
+    Each round joins on legs only and settles a pair at least, so chains of pairs that wait for each other end however long they are.
+    State goes to the checkpoint folder, of which executors have a shared copy.
     """
     with_checkpoints(pairs.sparkSession)
     left = pairs.checkpoint()
     settled = None
-    for _ in range(most_rounds):
-        now = _unique_best(left).checkpoint()
-        if now.isEmpty():
-            break
-        settled = now if settled is None else settled.unionByName(now)
+    while not (now := _unique_best(left).checkpoint()).isEmpty():
+        settled = now if settled is None else settled.unionByName(now).checkpoint()
         left = left.join(now.select("o_leg"), "o_leg", "left_anti").join(now.select("i_leg"), "i_leg", "left_anti").checkpoint()
-    else:
-        raise RuntimeError("pairs did not settle")
     return (left.limit(0) if settled is None else settled), left
 
 
@@ -171,3 +167,28 @@ def stamp(facts: DataFrame, matches: DataFrame, kind: str = "internal_transfer")
     out = facts.withColumn("leg", F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")).join(both, "leg", "left")
     hit = F.col("__sure").isNotNull()
     return out.withColumns({"kind": F.when(hit, kind).otherwise(F.col("kind")), "kind_confidence": F.coalesce("__sure", "kind_confidence")}).drop("leg", "__sure")
+
+
+def window(facts: DataFrame, start: str, end: str) -> DataFrame:
+    """Movements of the days from start to end, both included."""
+    return facts.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def reconcile(facts: DataFrame, start: str, end: str, days: int = 5) -> dict[str, DataFrame]:
+    """Transfers (confirmed and suggested), knots of ambiguous ones, card payments, and every leg that found its other, in one window
+    of time; ``days`` holds for transfers and card payments alike. facts need is_card."""
+    some = window(facts, start, end)
+    matched, ambiguous = match_transfers(some, days)
+    paid = match_card_payments(some, days)
+    legs_of = lambda df, *columns: [df.select(F.col(c).alias("leg")) for c in columns]
+    sides = [*legs_of(matched, "o_leg", "i_leg"), *legs_of(paid.where("credit is not null"), "payment", "credit")]
+    found = sides[0]
+    for more in sides[1:]:
+        found = found.unionByName(more)
+    sure = F.col("confidence") == "confirmed"
+    return {"confirmed": matched.where(sure), "suggested": matched.where(~sure), "ambiguous": knots(ambiguous), "card_payments": paid, "matched_legs": found.distinct()}
+
+
+def with_account_type(facts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Adds account_type from accounts (id, account_type); null where the account isn't known."""
+    return facts.join(accounts.select(F.col("id").alias("__id"), "account_type").dropDuplicates(["__id"]), F.col("account_id") == F.col("__id"), "left").drop("__id")

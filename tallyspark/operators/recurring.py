@@ -37,20 +37,20 @@ def recurring_charges(
     days = rows.groupBy(*group, "date").agg(
         F.sum(-F.col("amount")).alias("amount"), F.count(F.lit(1)).alias("charges"), F.max(last).alias("last"),
         F.bool_and(F.col("mandate").isNotNull()).alias("all_mandated"), F.bool_or(F.col("mandate") == "pac").alias("pac"), F.bool_or(F.col("mandate") == "pat").alias("pat"),
-        F.collect_list("fingerprint").alias("fingerprints"),
     )
     days = days.withColumn("gap", F.datediff("date", F.lag("date").over(Window.partitionBy(*group).orderBy("date"))))
     some = days.groupBy(*group).agg(
         F.count(F.lit(1)).alias("occurrences"), F.sum("charges").alias("charge_count"), F.max("charges").alias("most_a_day"),
         F.min("gap").alias("min_interval_days"), F.max("gap").alias("max_interval_days"), F.expr("percentile_disc(0.5) within group (order by gap)").cast("int").alias("median_interval_days"),
-        F.expr("percentile_disc(0.5) within group (order by amount)").alias("median"), F.array_agg("amount").alias("amounts"),
+        F.expr("percentile_disc(0.5) within group (order by amount)").alias("median"), F.min("amount").alias("lowest"), F.max("amount").alias("highest"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("last", "date").alias("last"),
         F.bool_and("all_mandated").alias("all_mandated"), F.bool_or("pac").alias("pac"), F.bool_or("pat").alias("pat"),
-        F.array_sort(F.flatten(F.collect_list("fingerprints"))).alias("fingerprints"),
     )
     typical = F.col("median").cast("decimal(32,6)")
-    within = lambda limit: F.forall("amounts", lambda x: F.abs(x.cast("decimal(27,6)") - typical.cast("decimal(27,6)")) * 10000 <= typical.cast("decimal(27,6)") * limit)
-    worst = F.array_max(F.transform("amounts", lambda x: F.abs(x.cast("double") - typical.cast("double")) / typical.cast("double")))
+    # The amounts farthest off the median are the lowest and the highest.
+    off = F.greatest(F.col("highest").cast("decimal(27,6)") - typical.cast("decimal(27,6)"), typical.cast("decimal(27,6)") - F.col("lowest").cast("decimal(27,6)"))
+    within = lambda limit: off * 10000 <= typical.cast("decimal(27,6)") * limit
+    worst = F.greatest(*(F.abs(F.col(c).cast("double") - typical.cast("double")) / typical.cast("double") for c in ("lowest", "highest")))
     kind = F.when(~F.col("all_mandated") | F.col("pac") & F.col("pat"), None).when(F.col("pac"), "pac").when(F.col("pat"), "pat").otherwise("automatico")
     some = some.withColumns({"typical_amount": typical, "mandate": kind, "amount_spread": F.when(typical == 0, 0.0).otherwise(worst)})
     low, high = F.col("min_interval_days"), F.col("max_interval_days")
@@ -60,9 +60,14 @@ def recurring_charges(
     sure = F.col("regular") & (F.col("most_a_day") == 1) & F.col("mandate").isNotNull() & (F.col("occurrences") >= 3)
     return some.select(
         "merchant_key", F.col("last.merchant").alias("merchant"), "currency", "typical_amount", "occurrences", "charge_count", "median_interval_days", "min_interval_days", "max_interval_days",
-        "amount_spread", "first_date", "last_date", "mandate", F.when(sure, "likely").otherwise("possible").alias("confidence"), F.col("last.category").alias("category"), "fingerprints",
+        "amount_spread", "first_date", "last_date", "mandate", F.when(sure, "likely").otherwise("possible").alias("confidence"), F.col("last.category").alias("category"),
     )
 
 
+def charges_of(recurring: DataFrame, facts: DataFrame) -> DataFrame:
+    """(merchant_key, currency, fingerprint) of every charge of the recurring merchants."""
+    return eligible(facts).select("merchant_key", "currency", "fingerprint").join(recurring.select("merchant_key", "currency"), ["merchant_key", "currency"], "left_semi")
+
+
 def ordered(charges: DataFrame) -> DataFrame:
     return charges.orderBy(F.when(F.col("confidence") == "likely", 0).otherwise(1), "currency", F.desc("typical_amount"), "merchant_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans.oracles import _FACTS, _SUMMARY
+from tallyspark.plans.oracles import _FACTS, _KEYED, _SUMMARY, _VERDICTS
 
 # What a reader makes of each invented description, by its place: processor, merchant, confidence, source, why unresolved.
 _READINGS = """
@@ -173,6 +173,14 @@ ORACLES = {
     "ambiguous_transfers": f"""WITH RECURSIVE {_TRANSFERS}, near AS MATERIALIZED (SELECT o_leg AS a, i_leg AS b FROM open_pairs UNION SELECT i_leg, o_leg FROM open_pairs),
         reach(leg, other) AS (SELECT a, a FROM near UNION SELECT r.leg, n.b FROM reach r JOIN near n ON n.a = r.other)
         SELECT leg, min(other) AS knot FROM reach GROUP BY leg""",
+    "transfer_summary": f"""WITH {_TRANSFERS}, legs AS (SELECT o_leg AS leg FROM settled UNION ALL SELECT i_leg FROM settled),
+        x AS (SELECT e.*, strftime(date, '%Y-%m') AS month, v::DECIMAL(22,2) AS m, e.leg IN (SELECT leg FROM legs) AS moved, words = 2 AND user_id % 2 = 1 AND is_out AS paid FROM e),
+        y AS (
+            SELECT 'CLP' AS currency, month, count(*) AS transaction_count, coalesce(sum(m) FILTER (NOT moved AND NOT is_out), 0)::DOUBLE AS income, coalesce(sum(m) FILTER (NOT moved AND NOT paid AND is_out), 0)::DOUBLE AS spent,
+                coalesce(sum(m) FILTER (moved AND is_out), 0)::DOUBLE AS internal_transfers, coalesce(sum(m) FILTER (NOT moved AND paid), 0)::DOUBLE AS card_payments FROM x GROUP BY month
+        )
+        SELECT currency, month, transaction_count, income, 0::DOUBLE AS refunds, spent AS gross_spending, spent AS consumption_spending, 0::DOUBLE AS fixed_expenses, spent AS variable_expenses, internal_transfers, card_payments,
+            spent AS net_spending, income AS cash_inflows, income - spent AS net_cash_flow, CASE WHEN income > 0 THEN (income - spent) / income END AS savings_rate FROM y""",
     "card_payments": f"""WITH {_CARDS}, rivals AS (SELECT o_leg, count(*) AS n FROM open_pairs GROUP BY o_leg)
         SELECT o_leg AS payment, i_leg AS credit, 'confirmed' AS confidence, 'paired' AS reason, 0::BIGINT AS rivals FROM settled
         UNION ALL SELECT leg, NULL, 'suggested', CASE WHEN n > 0 THEN 'equal-rivals' ELSE 'statement-missing' END, coalesce(n, 0) FROM e LEFT JOIN rivals ON leg = rivals.o_leg
@@ -182,6 +190,27 @@ ORACLES = {
         SELECT * FROM flow
         UNION ALL SELECT currency, month, n + 4, 'category-change:' || category, CASE WHEN value > 0 THEN 'attention' ELSE 'positive' END, value FROM cn WHERE n <= 4
         UNION ALL SELECT currency, month, 30, 'merchant-concentration', 'neutral', top::DOUBLE / net_spending::DOUBLE FROM mm JOIN s USING (currency, month) WHERE n >= 3 AND net_spending > 0 AND top::DOUBLE / net_spending::DOUBLE >= 0.2""",
+    "import_breakdown": f"""WITH {_FACTS}, {_KEYED}, {_VERDICTS},
+        b AS (SELECT row_id, currency, verdict, row_id % 13 = 0 AS conflict, row_id % 11 = 0 AS ignored, CASE WHEN row_id % 7 = 0 AND NOT (row_id % 2 = 0 AND row_id % 13 = 0) THEN row_id % 2 = 0 ELSE row_id % 11 <> 0 AND verdict = 'none' END AS chosen FROM verdicts),
+        buckets AS (SELECT currency, CASE WHEN chosen AND NOT conflict THEN 'selected' WHEN verdict IN ('exact', 'probable') THEN verdict WHEN ignored THEN 'rule' ELSE 'user' END AS bucket FROM b),
+        c AS (SELECT currency, count(*) // 3 AS created FROM orders_f WHERE row_id % 5 <> 0 GROUP BY currency),
+        g AS (SELECT currency, count(*) AS detected, count(*) FILTER (bucket = 'selected') AS selected, count(*) FILTER (bucket = 'exact') AS skipped_exact, count(*) FILTER (bucket = 'probable') AS skipped_probable, count(*) FILTER (bucket = 'rule') AS skipped_by_rule, count(*) FILTER (bucket = 'user') AS skipped_by_user FROM buckets GROUP BY currency)
+        SELECT g.*, least(coalesce(created, 0), selected)::BIGINT AS created, selected - least(coalesce(created, 0), selected)::BIGINT AS failed FROM g LEFT JOIN c USING (currency)""",
+    "activity_types": f"""WITH {_FACTS}, t AS (
+            SELECT direction, account_id % 2 = 0 AS on_card, CASE row_id % 9 WHEN 0 THEN 'interest' WHEN 1 THEN 'tax' WHEN 2 THEN 'internal_transfer' WHEN 3 THEN 'unknown' ELSE kind END AS kind FROM f
+        ), types(kind, direction, cash, cash_other, card, card_other) AS (VALUES
+            ('income', 'in', 'DEPOSIT', false, 'CREDIT', true), ('expense', 'out', 'WITHDRAWAL', false, 'WITHDRAWAL', false), ('credit_card_purchase', 'out', 'WITHDRAWAL', false, 'WITHDRAWAL', false), ('cash_advance', 'out', 'WITHDRAWAL', false, 'WITHDRAWAL', false),
+            ('fee', 'out', 'FEE', false, 'FEE', false), ('refund', 'in', 'CREDIT', false, 'CREDIT', false), ('interest', 'in', 'INTEREST', false, 'CREDIT', true), ('interest', 'out', 'FEE', false, 'FEE', false), ('tax', 'in', 'CREDIT', true, 'CREDIT', true), ('tax', 'out', 'TAX', false, 'FEE', true),
+            ('internal_transfer', 'in', 'TRANSFER_IN', false, 'TRANSFER_IN', false), ('internal_transfer', 'out', 'TRANSFER_OUT', false, 'WITHDRAWAL', true), ('unknown', 'in', 'UNKNOWN', false, 'CREDIT', true), ('unknown', 'out', 'UNKNOWN', false, 'WITHDRAWAL', true))
+        SELECT kind, direction, on_card, CASE WHEN on_card THEN card ELSE cash END AS activity_type, CASE WHEN on_card THEN card_other ELSE cash_other END AS substituted, count(*) AS n FROM t LEFT JOIN types USING (kind, direction) GROUP BY ALL""",
+    "monthly_charges": """WITH m AS (SELECT DISTINCT l_suppkey AS k, date_trunc('month', l_shipdate)::DATE AS month FROM lineitem),
+        d AS (SELECT k, month + (k % 5)::INT AS date, 1000 + CASE k % 3 WHEN 0 THEN 100 WHEN 1 THEN 300 ELSE 900 END * (month(month) % 2) AS amount FROM m),
+        gaps AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY k ORDER BY date), date) AS gap FROM d),
+        g AS (SELECT k, count(*) AS n, min(gap) AS lo, max(gap) AS hi, quantile_disc(gap, 0.5) AS mid, quantile_disc(amount, 0.5) AS typical, min(amount) AS least, max(amount) AS most, min(date) AS first_date, max(date) AS last_date FROM gaps GROUP BY k),
+        h AS (SELECT *, greatest(most - typical, typical - least) AS off FROM g), r AS (SELECT *, lo >= 24 AND hi <= 38 AND off * 10000 <= typical * 1500 AS regular FROM h)
+        SELECT 'PROVEEDOR ' || k AS merchant_key, 'CLP' AS currency, typical::DOUBLE AS typical_amount, n AS occurrences, n AS charge_count, mid::BIGINT AS median_interval_days, lo::BIGINT AS min_interval_days, hi::BIGINT AS max_interval_days, off::DOUBLE / typical::DOUBLE AS amount_spread,
+            first_date, last_date, CASE WHEN k % 2 = 0 THEN 'pac' END AS mandate, CASE WHEN regular AND k % 2 = 0 AND n >= 3 THEN 'likely' ELSE 'possible' END AS confidence
+        FROM r WHERE n >= CASE WHEN k % 2 = 0 THEN 2 ELSE 3 END AND lo >= 20 AND hi <= 45 AND off * 10000 <= typical * 4000 AND (n >= 3 OR regular)""",
     "parser_ranking": """WITH known(layout, parser, institution, score, rank, reasons) AS (VALUES
             (0, 'banco-chile.cuenta-corriente', 'banco-chile', 1.0, 1, 'marker,header,columns,account'), (0, 'banco-falabella.cuenta', 'banco-falabella', 0.75, 2, 'vocabulary,header,columns,account'),
             (0, 'generico.cuenta', 'generico', 0.75, 3, 'vocabulary,header,columns,account'), (0, 'banco-estado.cuenta', 'banco-estado', 0.65, 4, 'header,columns,account'), (0, 'banco-chile.tarjeta', 'banco-chile', 0.35, 5, 'marker,header,columns,account'),

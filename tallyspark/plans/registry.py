@@ -9,7 +9,7 @@ from tallyspark.functions import dates as D
 from tallyspark.functions import privacy as P
 from tallyspark.functions import text as T
 from tallyspark.functions.money import amount, parse_amount
-from tallyspark.operators import balances, dedupe, enrich, insights, installments, metrics, reconcile, recurring, rules
+from tallyspark.operators import balances, dedupe, enrich, imports, insights, installments, metrics, reconcile, recurring, rules
 from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
 from tallyspark.plans import more_oracles
@@ -66,7 +66,7 @@ def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recurring_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_recurring(spark, sf_dir).drop("fingerprints", "category", "merchant"))
+    return _plain(_recurring(spark, sf_dir).drop("category", "merchant"))
 
 
 def _card_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,15 @@ def ambiguous_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.knots(reconcile.match_transfers(facts.from_events(spark, sf_dir))[1])
 
 
+def transfer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly summaries of events once transfers are matched and stamped, and payments of cards told by their wording."""
+    rows = facts.from_events(spark, sf_dir)
+    none = lambda kind="string": F.lit(None).cast(kind)
+    out, paid = F.col("direction") == "out", (F.col("description") == "PAGO TARJETA") & ~F.col("is_card")
+    more = {"kind": F.when(out & paid, "credit_card_payment").when(out, "expense").otherwise("income"), "kind_confidence": F.lit("suggested"), "category": none(), "merchant": none(), "cost_kind": none(), "cost_confidence": none()}
+    return _plain(metrics.summaries(reconcile.stamp(rows.withColumns(more), reconcile.match_transfers(rows)[0])))
+
+
 def card_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.match_card_payments(facts.from_events(spark, sf_dir))
 
@@ -137,6 +146,44 @@ def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(metrics.preview_totals(rows.withColumn("will_import", ~F.col("ignored") & (F.col("verdict") == "none"))))
 
 
+def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The duplicates' preview, with every seventh row selected by hand and every row of the sixth file of an older parser's."""
+    rows = dedupe.classify(*_new_and_old(spark, sf_dir)).withColumns({"ignored": F.col("row_id") % 11 == 0, "reason_code": F.when(F.col("row_id") % 13 == 0, imports.CONFLICT).otherwise(F.col("reason_code"))})
+    rows = rows.withColumn("will_import", ~F.col("ignored") & (F.col("verdict") == "none"))
+    choices = facts.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % 2 == 0).alias("will_import"))
+    return imports.selected(rows, choices)
+
+
+def import_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _preview(spark, sf_dir)
+    created = facts.orders(spark, sf_dir).where("row_id % 5 <> 0").groupBy("currency").agg(F.floor(F.count(F.lit(1)) / 3).alias("created"))
+    return _plain(imports.breakdown(rows, created, ("currency",)))
+
+
+def activity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's type of every movement, on accounts that are cards for every other account."""
+    rows = facts.movements(spark, sf_dir)
+    kind = F.when(F.col("row_id") % 9 == 0, "interest").when(F.col("row_id") % 9 == 1, "tax").when(F.col("row_id") % 9 == 2, "internal_transfer").when(F.col("row_id") % 9 == 3, "unknown").otherwise(F.col("kind"))
+    read = imports.resolved_type(kind, F.col("direction"), F.when(F.col("account_id") % 2 == 0, "CREDIT_CARD").otherwise("CASH"))
+    named = rows.select(kind.alias("kind"), "direction", (F.col("account_id") % 2 == 0).alias("on_card"), read["type"].alias("activity_type"), read["substituted"].alias("substituted"))
+    return named.groupBy("kind", "direction", "on_card", "activity_type", "substituted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def monthly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring charges under the usual thresholds: one charge a month and supplier, of a third of them nearly steady, of a third
+    wavering, of a third anything."""
+    line = facts.table(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month")).distinct()
+    k, odd = F.col("l_suppkey"), F.month("month") % 2
+    wave = F.when(k % 3 == 0, 100).when(k % 3 == 1, 300).otherwise(900) * odd
+    word = F.when(k % 2 == 0, "PAC CUENTA").otherwise("COMPRA")
+    rows = line.select(
+        F.date_add("month", (k % 5).cast("int")).alias("date"), amount(-(F.lit(1000) + wave)).alias("amount"), F.lit("CLP").alias("currency"), F.lit("out").alias("direction"), F.lit("expense").alias("kind"), F.concat(F.lit("Proveedor "), k).alias("merchant"),
+        F.lit(None).cast("string").alias("category"), word.alias("description"), word.alias("normalized_description"), F.lit(None).cast("struct<current:int,total:int,confidence:string>").alias("installment"),
+        F.concat_ws("-", k, "month").alias("fingerprint"), k.alias("account_id"),
+    )
+    return _plain(recurring.recurring_charges(rows).drop("category", "merchant"))
+
+
 def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("fingerprint"), F.col("event_id").alias("source_line"), F.lit("f").alias("source_file_hash"))
     return dedupe.with_idempotency_keys(e).select("source_line", "idempotency_key")
@@ -206,8 +253,9 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return facts.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_description(text), 256).alias("normal"), F.sha2(T.description_key(text), 256).alias("key"), F.size(T.tokens(T.normalize_description(text))).cast("bigint").alias("tokens"))
+    rows = facts.table(spark, sf_dir, "documents").select("doc_id", T.normalize_description(F.col("text")).alias("n"))
+    n = F.col("n")
+    return rows.select("doc_id", F.sha2(n, 256).alias("normal"), F.sha2(T.key_of_normalized(n), 256).alias("key"), F.size(T.tokens(n)).cast("bigint").alias("tokens"))
 
 
 def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +305,8 @@ def month_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enrich.with_attribution(facts.described(spark, sf_dir))
-    return rows.groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.count(F.lit(1)).alias("n"))
+    few = facts.described(spark, sf_dir).groupBy("description", "normalized_description").agg(F.count(F.lit(1)).alias("n"))
+    return enrich.with_attribution(few).groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.sum("n").alias("n"))
 
 
 def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,8 +317,8 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_candidates_all, transfer_matches, ambiguous_transfers, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
-    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
+    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, import_breakdown, activity_types, monthly_charges,
 )
 
 
