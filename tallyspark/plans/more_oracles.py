@@ -236,6 +236,11 @@ ORACLES = {
             concat_ws(',', CASE WHEN proofs = 0 AND odd > 0 THEN 'warning:ambiguous-date-order' END, CASE WHEN failed > 0 THEN 'error:row-parse-failed' END, 'warning:profile-unverified', CASE WHEN mapped = 0 THEN 'error:no-transactions' END,
                 CASE WHEN mapped > 1 AND days = 1 THEN 'info:balance-order-ambiguous' END) AS issues
         FROM h""",
+    "card_facts": """WITH c AS (SELECT c_custkey AS k, abs(c_acctbal::DECIMAL(22,2))::DOUBLE AS m FROM customer),
+        d(fact, lo, hi) AS (VALUES ('minimum_payment', NULL, NULL), ('billed_amount', NULL, NULL), ('foreign_debt', NULL, NULL), ('credit_limit', NULL, NULL), ('available_credit', NULL, NULL), ('due_date', NULL, NULL), ('billing_period', DATE '2024-01-01', DATE '2024-01-31'))
+        SELECT k::VARCHAR AS file_hash, fact, CASE fact WHEN 'credit_limit' THEN 1000000 WHEN 'available_credit' THEN -m WHEN 'due_date' THEN NULL WHEN 'billing_period' THEN NULL ELSE m END::DOUBLE AS amount,
+            CASE WHEN fact IN ('due_date', 'billing_period') THEN NULL WHEN fact = 'foreign_debt' THEN 'USD' ELSE 'CLP' END AS currency, CASE WHEN fact = 'due_date' THEN (DATE '2024-01-01' + (k % 300)::INT)::DATE ELSE lo END AS from_date, hi AS to_date
+        FROM c, d WHERE fact <> 'minimum_payment' OR k % 5 <> 0 OR m = 1""",
     "amount_readings": """WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(22,2) AS m, floor(l_extendedprice::DECIMAL(22,2))::BIGINT AS w FROM lineitem), u AS (SELECT *, l_linenumber >= 7 AND w BETWEEN 1000 AND 999999 AS odd FROM t)
         SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_linenumber IN (1, 4, 5) THEN m::DOUBLE WHEN l_linenumber IN (2, 3) THEN -m::DOUBLE WHEN l_linenumber = 6 THEN -w::DOUBLE WHEN odd THEN (w::DECIMAL(22,3) / 1000)::DOUBLE ELSE w::DOUBLE END AS amount,
             CASE WHEN l_linenumber <= 5 THEN 2 WHEN odd THEN 3 ELSE 0 END::BIGINT AS scale, odd AS ambiguous, CASE WHEN l_linenumber = 4 THEN 'credit' END AS explicit_sign, NULL::VARCHAR AS error FROM u""",

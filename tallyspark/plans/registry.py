@@ -15,6 +15,7 @@ from tallyspark.plans import facts
 from tallyspark.plans import more_oracles
 from tallyspark.plans.oracles import ORACLES
 from tallyspark.session import stored
+from tallyspark.sources import card_facts as labelled_facts
 from tallyspark.sources import sheets, statements
 
 
@@ -220,6 +221,20 @@ def statement_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(out.select("file_hash", "parser", "account_number", "currency", "period_from", "period_to", "opening", "opening_source", "closing", "data_rows", "mapped", "skipped", "failed", "balance_reconciles", "ok", issues))
 
 
+def card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of an invented card statement of each customer; every fifth says two things of its minimum payment."""
+    c = facts.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    money = F.abs("c_acctbal").cast("decimal(22,2)")
+    shown = facts.spanish_number(money)
+    lines = [
+        F.concat(F.lit("Tarjeta N° **** **** 4412 Cupo total $ 9.999"), F.lit("")), F.concat(F.lit("Pago mínimo: $ "), shown), F.when(F.col("c_custkey") % 5 == 0, "Monto mínimo a pagar $ 1,00").otherwise("Pago recibido $ 5.000"),
+        F.concat(F.lit("Monto total facturado   "), shown), F.concat(F.lit("Deuda internacional USD "), shown), F.concat(F.lit("Cupo total $ 1.000.000   Cupo disponible ($ "), shown, F.lit(")")), F.lit("Cupo total utilizado $ 77.000"),
+        F.concat(F.lit("Pagar hasta "), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd/MM/yyyy")), F.lit("Periodo de facturación: 01/01/2024 al 31/01/2024"),
+    ]
+    files = c.select(F.col("c_custkey").cast("string").alias("file_hash"), F.concat_ws("\n", *lines).alias("preamble"), F.lit("CLP").alias("currency"))
+    return _plain(labelled_facts.card_facts(files))
+
+
 def amount_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices in seven ways of writing, by line number."""
     line = facts.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -318,7 +333,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
-    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, import_breakdown, activity_types, monthly_charges,
+    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
 
