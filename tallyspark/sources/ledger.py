@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.hashing import hash_fields
@@ -29,12 +29,11 @@ def append_new(rows: DataFrame, path: str, key: str = "idempotency_key") -> int:
     spark = rows.sparkSession
     fresh = rows.dropDuplicates([key])
     old = _exists(spark, path)
-    before = 0
     if old is not None:
-        before = old.count()
         fresh = fresh.join(old.select(key), key, "left_anti")
-    fresh.select(rows.columns).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    fresh.select(rows.columns).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def activity_type(kind: Column, direction: Column, on_card: Column | None = None) -> Column:
