@@ -105,13 +105,19 @@ def _read_date(only: Column, order: str | Column, start: Column, end: Column, pi
     def parts(pair: tuple[Column, Column]) -> Column:
         return F.struct(pair[0].alias("date"), pair[1].alias("error"))
 
-    bound = F.struct(
-        named_date.alias("named"), month.alias("named_month"), first.alias("first"), second.alias("second"), (a != b).alias("differ"), month_b.alias("month"),
-        F.when(low.rlike(named_short), let(month_a, lambda m: let(number(low, named_short, 1), lambda d: parts(yearless(m, d))))).alias("short_named"), month_a.isNull().alias("unnamed"),
-        F.when(only.rlike(short), let(month_b, lambda m: let(day_b, lambda d: parts(yearless(m, d))))).alias("short"),
-        ymd(number(only, iso, 1), number(only, iso, 2), number(only, iso, 3)).alias("iso"),
-        only.rlike(iso).alias("is_iso"), without_de.rlike(named).alias("is_named"), low.rlike(named_short).alias("is_named_short"), only.rlike(short).alias("is_short"), only.rlike(full).alias("is_full"),
-    )
+    # Each reading is made only of a text that has its shape.
+    shapes = {"is_iso": only.rlike(iso), "is_named": without_de.rlike(named), "is_named_short": low.rlike(named_short), "is_short": only.rlike(short), "is_full": only.rlike(full)}
+
+    def readings(s: Column) -> Column:
+        return F.struct(
+            *(s[k].alias(k) for k in shapes),
+            F.when(s["is_named"], named_date).alias("named"), F.when(s["is_named"], month).alias("named_month"), F.when(s["is_full"], first).alias("first"), F.when(s["is_full"], second).alias("second"),
+            F.when(s["is_full"], a != b).alias("differ"), F.when(s["is_short"], month_b).alias("month"),
+            F.when(s["is_named_short"], let(month_a, lambda m: let(number(low, named_short, 1), lambda d: parts(yearless(m, d))))).alias("short_named"), F.when(s["is_named_short"], month_a.isNull()).alias("unnamed"),
+            F.when(s["is_short"], let(month_b, lambda m: let(day_b, lambda d: parts(yearless(m, d))))).alias("short"), F.when(s["is_iso"], ymd(number(only, iso, 1), number(only, iso, 2), number(only, iso, 3))).alias("iso"),
+        )
+
+    bound = let(F.struct(*(c.alias(k) for k, c in shapes.items())), readings)
     return let(bound, lambda v: _chosen_date(only, v))
 
 

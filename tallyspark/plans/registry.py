@@ -196,8 +196,8 @@ def rule_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sheets, their evidence under the best parser of each file, and their movements, each written once."""
-    rows = facts.statement_sheets(spark, sf_dir)
+    """Sheets and their evidence under the best parser of each file, each written once, and their movements."""
+    rows = stored(facts.statement_sheets(spark, sf_dir), "sheets")
     files = stored(statements.layouts(rows), "layouts")
     chosen = statements.detection(files).where("rank = 1").select("file_hash", "parser")
     known = stored(statements.evidence(rows, statements.described(files, chosen)), "evidence")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -165,6 +166,9 @@ def header_rows(rows: DataFrame, within: int = 30) -> DataFrame:
 
     some = rows.where((F.col("row_index") < within) & F.exists("cells", lambda c: c != ""))
     named = some.select("file_hash", "sheet_index", "row_index", F.transform("cells", normalize_header).alias("header"))
+    # A header holds a name of each kind somewhere; few other rows do, so few are read by name.
+    has = lambda *roles: F.array_join("header", "\n").rlike("|".join(re.escape(n) for r in roles for n in ROLES[r]))
+    named = named.where(has("date", "posted_date") & has("description") & has("amount", "installment_amount", "purchase_amount", "debit", "credit"))
     return named.mapInArrow(run, "file_hash string, sheet_index int, row_index int, header array<string>, roles map<string,int>")
 
 
