@@ -48,10 +48,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and read again: cuts lineage, survives lost executors.
 
     What was shuffled to write it is of no more use. Spark removes shuffle files when the driver's JVM collects what refers to them,
-    which a driver with little to do may put off for long; so it is asked to.
+    which a driver with little to do may put off for long; so it is asked to, before this is written and after.
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)

@@ -340,8 +340,8 @@ def remove_repeats(
     of = (F.col("doc").alias("of"), F.col("sub").alias("of_sub"))
 
     def gathered(parsed: DataFrame, what: str) -> DataFrame:
-        dealt = parsed.withColumn("p", F.coalesce("k", F.xxhash64("doc", "lo"))).repartition("p").sortWithinPartitions("p", "f", "doc", "sub", "lo")
-        return stored(dealt.select(*_NAMES).mapInArrow(_gathered, _ROWS), what)
+        dealt = parsed.repartition(F.coalesce("k", F.xxhash64("doc", "lo"))).sortWithinPartitions("k", "f", "doc", "sub", "lo")
+        return stored(dealt.mapInArrow(_gathered, _ROWS), what)
 
     parsed = rows.select("doc", "text", "sub").mapInArrow(_parse(length, gram, phrases_at_once), _ROWS)
     first = gathered(parsed, "phrases")
