@@ -190,6 +190,13 @@ ORACLES = {
         SELECT * FROM flow
         UNION ALL SELECT currency, month, n + 4, 'category-change:' || category, CASE WHEN value > 0 THEN 'attention' ELSE 'positive' END, value FROM cn WHERE n <= 4
         UNION ALL SELECT currency, month, 30, 'merchant-concentration', 'neutral', top::DOUBLE / net_spending::DOUBLE FROM mm JOIN s USING (currency, month) WHERE n >= 3 AND net_spending > 0 AND top::DOUBLE / net_spending::DOUBLE >= 0.2""",
+    "legacy_conflicts": f"""WITH {_FACTS}, {_KEYED}, {_VERDICTS}, c AS (SELECT r % 10 AS file, max_by(activity, r) AS first FROM old WHERE r % 10 IN (2, 5) GROUP BY file),
+        w AS (SELECT v.*, first, first IS NOT NULL AND reason_code NOT IN ('exact-fingerprint', 'host-modified') AS conflict FROM v LEFT JOIN c ON v.row_id % 10 = file)
+        SELECT row_id, CASE WHEN conflict THEN 'probable' WHEN reason_code = 'exact-fingerprint' THEN 'exact' WHEN reason_code = 'new' THEN 'none' ELSE 'probable' END AS verdict, CASE WHEN conflict THEN 'legacy-source-conflict' ELSE reason_code END AS reason_code,
+            CASE WHEN conflict THEN first WHEN reason_code IN ('exact-fingerprint', 'host-modified') THEN h WHEN reason_code = 'similar' THEN n END AS existing_activity_id, CASE WHEN NOT conflict AND reason_code = 'similar' THEN s END AS score
+        FROM w""",
+    "date_shapes": """SELECT o_orderkey, CASE WHEN o_orderkey % 6 NOT IN (3, 4) THEN d END AS date, o_orderkey % 6 = 5 AND day(d) <= 12 AND day(d) <> month(d) AS ambiguous,
+        CASE o_orderkey % 6 WHEN 3 THEN 'invalid-calendar-date' WHEN 4 THEN 'unknown-month-name' END AS error FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""",
     "import_breakdown": f"""WITH {_FACTS}, {_KEYED}, {_VERDICTS},
         b AS (SELECT row_id, currency, verdict, row_id % 13 = 0 AS conflict, row_id % 11 = 0 AS ignored, CASE WHEN row_id % 7 = 0 AND NOT (row_id % 2 = 0 AND row_id % 13 = 0) THEN row_id % 2 = 0 ELSE row_id % 11 <> 0 AND verdict = 'none' END AS chosen FROM verdicts),
         buckets AS (SELECT currency, CASE WHEN chosen AND NOT conflict THEN 'selected' WHEN verdict IN ('exact', 'probable') THEN verdict WHEN ignored THEN 'rule' ELSE 'user' END AS bucket FROM b),

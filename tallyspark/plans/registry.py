@@ -142,6 +142,16 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.classify(*_new_and_old(spark, sf_dir)).select("row_id", "verdict", "reason_code", "existing_activity_id", "score")
 
 
+def legacy_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates where two of ten files were once read by an older parser, so that their other rows are conflicts."""
+    rows, old = _new_and_old(spark, sf_dir)
+    new_parser, old_parser, version = dedupe.LEGACY[0]
+    of = F.concat(F.lit("f"), F.abs("ord") % 10)
+    old = old.withColumns({"file_hash": of, "parser": F.when(of.isin("f2", "f5"), old_parser).otherwise("q"), "parser_version": F.lit(version or "1")})
+    rows = rows.withColumns({"source_file_hash": F.concat(F.lit("f"), F.col("row_id") % 10), "source_parser": F.lit(new_parser)})
+    return dedupe.classify(rows, old).select("row_id", "verdict", "reason_code", "existing_activity_id", "score")
+
+
 def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedupe.classify(*_new_and_old(spark, sf_dir)).withColumn("ignored", F.col("row_id") % 11 == 0)
     return _plain(metrics.preview_totals(rows.withColumn("will_import", ~F.col("ignored") & (F.col("verdict") == "none"))))
@@ -291,6 +301,19 @@ def date_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.table(spark, sf_dir, "orders").select("o_orderkey", read["date"].alias("date"), read["ambiguous"].alias("ambiguous"), read["error"].alias("error"))
 
 
+def date_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates with month names, without years, and as what is no date, by the order's number."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    name = F.element_at(F.array(*map(F.lit, D.LABELS)), F.month(d))
+    day, year = F.dayofmonth(d).cast("string"), F.year(d).cast("string")
+    text = (
+        F.when(k % 6 == 0, F.concat_ws(" ", day, F.left(name, F.lit(3)), year)).when(k % 6 == 1, F.concat(day, F.lit(" de "), F.initcap(name), F.lit(" de "), year)).when(k % 6 == 2, F.date_format(d, "dd/MM"))
+        .when(k % 6 == 3, F.lit("31/02/1995")).when(k % 6 == 4, F.concat_ws("-", day, F.lit("foo"), year)).otherwise(F.concat(F.date_format(d, "dd/MM/yyyy"), F.lit(" 10:30 AM")))
+    )
+    read = D.parse_date(text, "DMY", F.trunc(d, "year"), F.date_add(F.add_months(F.trunc(d, "year"), 12), -1))
+    return facts.table(spark, sf_dir, "orders").select("o_orderkey", read.alias("r")).select("o_orderkey", "r.date", "r.ambiguous", "r.error")
+
+
 def date_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     rows = facts.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("file"), F.when(F.col("o_custkey") % 50 % 2 == 0, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")).alias("cell"))
@@ -332,7 +355,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, fingerprints, duplicates, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_orders, balance_walk,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
     bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
