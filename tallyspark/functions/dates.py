@@ -36,6 +36,11 @@ def date_label(c: Column) -> Column:
     return F.date_format(c, "dd-MM-yyyy")
 
 
+def civil_today(zone: str) -> Column:
+    """The day that the calendar on the wall shows in a time zone, whatever the session's."""
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(zone), F.current_timestamp().cast("timestamp_ntz")))
+
+
 def days_between(a: Column, b: Column) -> Column:
     return F.datediff(b, a)
 

@@ -94,3 +94,8 @@ def committed(plans: DataFrame) -> DataFrame:
 def due_in_month(plans: DataFrame, month: str) -> DataFrame:
     months = F.transform(F.sequence(F.lit(0), F.col("total_installments") - 1), lambda i: month_key(F.add_months(F.col("start_date"), i)))
     return plans.where(F.array_contains(months, month)).groupBy("currency").agg(F.sum("installment_amount").alias("amount"))
+
+
+def ordered(plans: DataFrame) -> DataFrame:
+    """The latest first."""
+    return plans.orderBy(F.desc("start_date"), "plan_id")

@@ -192,3 +192,8 @@ def reconcile(facts: DataFrame, start: str, end: str, days: int = 5) -> dict[str
 def with_account_type(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Adds account_type from accounts (id, account_type); null where the account isn't known."""
     return facts.join(accounts.select(F.col("id").alias("__id"), "account_type").dropDuplicates(["__id"]), F.col("account_id") == F.col("__id"), "left").drop("__id")
+
+
+def ordered(matches: DataFrame) -> DataFrame:
+    """Matches by the day of the outgoing leg."""
+    return matches.orderBy("o_date", "o_leg", "i_leg")

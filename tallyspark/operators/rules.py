@@ -178,6 +178,11 @@ def apply_rules(df: DataFrame, rules: list[Rule], attribute: bool = True) -> Dat
     return df.withColumn("merchant", F.when(~advance, F.col("merchant"))).drop("__open", "__live", "__hit", "__merchant")
 
 
+def new_tags(before: Column, after: Column) -> Column:
+    """Tags that were added."""
+    return F.array_except(after, F.coalesce(before, F.array().cast("array<string>")))
+
+
 #: The columns that rules read or change.
 _READ = ("normalized_description", "description", "direction", "product", "kind", "kind_confidence", "merchant", "category", "tags", "account_id", "institution", "reference", "operation_type", "amount", "payment_processor")
 

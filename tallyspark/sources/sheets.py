@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.dates import parse_date
 from tallyspark.functions.text import fold_case
 from tallyspark.sources.xlsx import read_xlsx
 
@@ -202,14 +203,33 @@ def date_order(rows: DataFrame, file: str, cell: str, declared: str) -> DataFram
     return some.select(file, order.alias("date_order"), source.alias("source"), F.when(one, 0).otherwise(F.col("n")).alias("ambiguous_rows"))
 
 
-def column_shapes(rows: DataFrame, file: str, column: str, cell: str) -> DataFrame:
-    """(file, column, shape): what the cells of a column look like, ``mixed`` if they differ."""
-    c = F.trim(F.col(cell))
-    shape = (
-        F.when(c == "", "empty").when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), "iso-date").when(c.rlike(r"^\d{1,2}[-/.]\d{1,2}([-/.]\d{2,4})?$"), "date").when(c.rlike(r"^-?\$?\s*[\d.,]+-?$"), "number").when(c.rlike("[A-Za-z]"), "text").otherwise("other")
+def cell_shape(c: Column) -> Column:
+    """currency, short, medium or long integer, decimal, date, text or other: what a cell looks like; null if it is blank."""
+    text = F.trim(c)
+    digits = text.rlike(r"^[0-9]+$")
+    return (
+        F.when(text == "", None)
+        .when(text.rlike(r"^[A-Z]{3}$") | text.rlike(r"(?i)^(?:\$|US\$|USD|EUR|€)$"), "currency")
+        .when(digits, F.when(F.length(text) <= 2, "short-integer").when(F.length(text) <= 4, "medium-integer").otherwise("long-integer"))
+        .when(text.rlike(r"^[-+]?\$?\s*[0-9][0-9.,]*$") & text.rlike("[.,]"), "decimal")
+        .when(parse_date(text)["error"].isNull(), "date")
+        .when(text.rlike("[a-zA-Zà-ÿ]"), "text")
+        .otherwise("other")
     )
-    some = rows.select(file, column, shape.alias("s")).where("s != 'empty'").groupBy(file, column).agg(F.collect_set("s").alias("s"))
-    return some.select(file, column, F.when(F.size("s") == 1, F.col("s")[0]).otherwise("mixed").alias("shape"))
+
+
+def column_shapes(rows: DataFrame, file: str, column: str, cell: str) -> DataFrame:
+    """(file, column, shape): what the cells of a column look like, ``mixed`` if they differ, ``empty`` if all are blank."""
+    some = rows.select(file, column, cell_shape(F.col(cell)).alias("s")).groupBy(file, column).agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    return some.select(file, column, F.when(F.col("a").isNull(), "empty").when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("shape"))
+
+
+def rectangular(rows: DataFrame) -> DataFrame:
+    """Rows with as many cells as the widest of their sheet; those added are empty."""
+    wide = rows.where("cells is not null").groupBy("file_hash", "sheet_index").agg(F.max(F.size("cells")).alias("__wide"))
+    joined = rows.join(wide, ["file_hash", "sheet_index"])
+    more = F.greatest(F.col("__wide") - F.size("cells"), F.lit(0))
+    return joined.withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), more))).select(rows.columns)
 
 
 def last_seen(rows: DataFrame, group: str, line: str, mark: Column) -> Column:
