@@ -101,6 +101,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, *, path: str, text: str
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     addressed = versions.select(F.col(path).alias("__path"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("__blob"), content.alias("__text"))
     owners = addressed.groupBy("__blob").agg(F.min("__path").alias("__owner"))
+    # One plain key for a version of a path, so that the join and the grouping after it move texts once.
+    key = lambda of: F.concat(F.hex("__blob"), F.lit(":"), F.coalesce(F.col(of).cast("string"), F.lit("")))
     try:
         known = spark.read.schema(LEDGER).parquet(ledger_path)
     except Exception as e:  # a new ledger
@@ -110,9 +112,8 @@ def scan_versions(versions: DataFrame, ledger_path: str, *, path: str, text: str
     if known is not None:
         known = known.where(F.col("rule_version") == version)
         owners = owners.join(known.select(F.col("blob").alias("__blob")), "__blob", "left_anti")
-    owners = owners.withColumnRenamed("__blob", "__of")
-    unseen = addressed.join(owners, F.col("__path").eqNullSafe(F.col("__owner")) & (F.col("__blob") == F.col("__of")))
-    unseen = unseen.dropDuplicates(["__path", "__blob"]).select("__blob", "__text")  # the owner's row, if it comes several times
+    unseen = addressed.select(key("__path").alias("__key"), "__blob", "__text").join(owners.select(key("__owner").alias("__own")), F.col("__key") == F.col("__own"), "left_semi")
+    unseen = unseen.dropDuplicates(["__key"]).select("__blob", "__text")  # the owner's row, if it comes several times
     scanned = with_spans(unseen, "__text", rules).groupBy("__blob").agg(F.any_value("spans").alias("spans"))
     scanned.select(F.col("__blob").alias("blob"), F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)
 
