@@ -85,6 +85,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import merkle as M
+
+    docs = table(spark, sf_dir, "documents")
+    id_, source, lang, n_chars, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    tampered = F.when(F.crc32(id_.cast("string")) % 3 == 0, M.ascii_lower(text)).otherwise(text)
+    rows = M.manifest(docs, [id_, source, lang, n_chars, text], key="doc_id", group="lang", claimed=M.leaf(id_, source, lang, n_chars, tampered))
+    rows = rows.withColumn("folded_root", M.folded(F.col("claimed"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", M.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import url_filter as U
+
+    rules = [U.Rule("block", "net", "/"), U.Rule("allow", "example.net", "/en/"), U.Rule("block", "example.com", "/de/"), U.Rule("allow", "org", "/fr/")]
+    return U.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm import fill_middle as M
+
+    rows = M.fill_in_middle(table(spark, sf_dir, "documents"), seed="1", rate=90, spm=20)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(M.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "pipeline": pipeline}
+    return {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_secret_scan": op4_secret_scan, "op5_embedding_dedup": op5_embedding_dedup, "op6_chat_format": op6_chat_format, "op7_warc": op7_warc, "op8_html_text": op8_html_text, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join, "op11_merkle_manifest": op11_merkle_manifest, "op12_url_filter": op12_url_filter, "op13_fill_middle": op13_fill_middle, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
