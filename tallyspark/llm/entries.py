@@ -122,4 +122,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_secret_scan": oracles.SECRETS, "op6_chat_format": oracles.CHAT, "op7_warc": oracles.WARC}
+    return {"op4_secret_scan": oracles.SECRETS, "op6_chat_format": oracles.CHAT, "op7_warc": oracles.WARC, "op11_merkle_manifest": oracles.MERKLE, "op12_url_filter": oracles.URLS, "op13_fill_middle": oracles.FILL_MIDDLE}
