@@ -6,10 +6,12 @@ has seen, with an escape (method C: distinct / (total + distinct)) for each step
 all 256 bytes are alike. Statistics are frozen when the model is made, so the code lengths of all (context, byte) pairs
 are tables, and scoring is a walk from each byte into its past.
 
-The model is fitted on a bounded sample of labelled rows: about ``per_language`` whole documents of each language, those
-with the smallest hash of their id, however short. All their bytes are counted, those at the beginning of a text under the shorter
-contexts that they have; of the longer contexts, those met at least twice are nodes, without any cap on their number. Everything
-else runs over all rows and whole texts.
+The model is fitted on a bounded sample of labelled rows: at most ``per_language`` whole documents of each language, those
+with the smallest hash of id and text, however short; rows equal in these count once. All their bytes are counted, those at the
+beginning of a text under the shorter contexts that they have; every context met is a node (``floor`` can ask for more meetings),
+without any cap on their number. Shorter contexts have a row of code lengths for all bytes; the many longest ones keep those of
+the bytes that followed, and an escape to the row of the next shorter context for all others. Everything else runs over all rows
+and whole texts.
 
 Null texts and texts without any letter get ``und``. Ties go to the language that sorts first. With no labelled rows every
 text gets ``und``. Repeated rows come back as often as they occur; other columns are ignored.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +36,37 @@ UNKNOWN = "und"
 @dataclass
 class Model:
     """symbol: byte to symbol, the last of which stands for bytes never met. child: node and symbol before it to the
-    longer context's node, or -1. bits: node and symbol to code lengths by language."""
+    longer context's node, or -1. bits: node and symbol to code lengths by language.
+
+    Nodes of the longest contexts are numbered after all others and have no rows in child and bits: parent and escape are theirs,
+    and seen has code lengths by ``met``, the ascending numbers of node and symbol."""
 
     languages: list[str]
     order: int
     symbol: np.ndarray
     child: np.ndarray
     bits: np.ndarray
+    parent: np.ndarray
+    escape: np.ndarray
+    met: np.ndarray
+    seen: np.ndarray
+
+    def _bits(self, node: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Code lengths of symbols after nodes."""
+        width, m = self.child.shape[1], len(self.child)
+        longest = np.flatnonzero(node >= m)
+        if not len(longest):
+            return self.bits[node * np.int64(width) + symbols]
+        top, after = node[longest] - m, symbols[longest]
+        row = node.astype(np.int64)
+        row[longest] = self.parent[top]
+        out = self.bits[row * width + symbols]
+        key = top * np.int64(width) + after
+        at = np.searchsorted(self.met, key).clip(max=len(self.met) - 1)
+        hit = self.met[at] == key
+        out[longest[hit]] = self.seen[at[hit]]
+        out[longest[~hit]] += self.escape[top[~hit]]
+        return out
 
     def code_lengths(self, data: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
         """Bits of each text (rows) under each language (columns); ``most`` bytes at a time, with those before them as context."""
@@ -62,7 +88,7 @@ class Model:
                 alive[:k] = False
                 alive[k:] &= to >= 0
                 node[k:] = np.where(alive[k:], to, node[k:])
-            bits = self.bits[(node * np.int64(width) + symbols)[a - low :]]
+            bits = self._bits(node[a - low :], symbols[a - low :])
             first, last = np.searchsorted(ends, a, "right") - 1, np.searchsorted(ends, b, "left")
             bounds = np.clip(ends[first : last + 1], a, b)
             full = np.flatnonzero(np.diff(bounds))
@@ -96,16 +122,29 @@ def _grams(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, past int, gram bigint, n bigint").groupBy("lang", "past", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, order: int = 3) -> Model:
-    """A model from (id, text, language) rows; rows with a null text or language are passed over."""
+def sample(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600) -> DataFrame:
+    """(lang, text) of at most ``per_language`` distinct rows of each language: those with the smallest hash of id and text.
+
+    Hashes alone thin out each language to about twice the number first, so that what is then put in order is bounded too; equal rows
+    become one before they move."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    shares = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, per_language / n))))  # a row a language
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
-    got = _grams(rows.where(drawn), order).toPandas() if sizes else None  # of the sample alone
-    languages = sorted(set(got["lang"])) if got is not None else []
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if not sizes:
+        return rows.select("lang", "text").limit(0)
+    shares = F.create_map(*(F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, 2 * per_language / n))))
+    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
+    once = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return once.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text")
+
+
+def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, order: int = 3, floor: int = 1) -> Model:
+    """A model from (id, text, language) rows; rows with a null text or language are passed over."""
+    got = _grams(sample(labelled, doc_id=doc_id, text=text, lang=lang, per_language=per_language), order).toPandas()
+    languages = sorted(set(got["lang"]))
     if not languages:
-        return Model([], order, np.zeros(256, np.int32), np.full((1, 1), -1, np.int32), np.zeros((1, 0), np.float32))
+        none = np.zeros((0, 0), np.float32)
+        return Model([], order, np.zeros(256, np.int32), np.full((1, 1), -1, np.int32), np.zeros((1, 0), np.float32), none, none, none, none)
     # Runs order, then language, then number: the sums below don't depend on how rows were dealt out.
     got = got.sort_values(["lang", "past", "gram"], ignore_index=True)
     which = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
@@ -117,47 +156,46 @@ def fit(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang
     symbol[met] = np.arange(other)
     width, last = other + 1, symbol[gram & 255]
 
-    totals = []
+    levels, first = [np.zeros(1, np.int64)], [0, 1]  # contexts of each length, ascending, and the number of the first
     for k in range(1, order + 1):
-        deep = past >= k
-        context, at = np.unique((gram[deep] >> 8) & ((1 << (8 * k)) - 1), return_inverse=True)
-        totals.append((context, np.bincount(at, count[deep], len(context))))
-    floor = 2
-    nodes: list[dict[int, int]] = [{0: 0}]
-    total_nodes = 1
-    for k, (context, total) in enumerate(totals, 1):
-        level = {}
-        for c in context[total >= floor].tolist():
-            if c & ((1 << (8 * (k - 1))) - 1) in nodes[k - 1]:
-                level[c] = total_nodes
-                total_nodes += 1
-        nodes.append(level)
-    child = np.full((total_nodes, width), -1, np.int32)
-    bits = np.zeros((total_nodes, width, len(languages)), np.float32)
-    for k, level in enumerate(nodes):
-        mask = (1 << (8 * k)) - 1
-        keys = np.array(sorted(level), np.int64)
-        ids = np.array([level[x] for x in keys.tolist()], np.int64)
+        context, at = np.unique((gram[past >= k] >> 8) & ((1 << (8 * k)) - 1), return_inverse=True)
+        context = context[np.bincount(at, count[past >= k], len(context)) >= floor]
+        levels.append(context[np.isin(context & ((1 << (8 * (k - 1))) - 1), levels[-1])])
+        first.append(first[-1] + len(levels[-1]))
+    rows = first[order]  # numbers below this have rows of their own
+    child = np.full((rows, width), -1, np.int32)
+    bits = np.zeros((rows, width, len(languages)), np.float32)
+    bits[0] = 8.0
+    parent, escape = np.zeros(0, np.int64), np.zeros((0, len(languages)), np.float32)
+    known, seen = np.zeros(0, np.int64), np.zeros((0, len(languages)), np.float32)
+    for k, keys in enumerate(levels):
         if not len(keys):
             continue
+        ids = first[k] + np.arange(len(keys))
         if k:
-            parents = np.array([nodes[k - 1][x & (mask >> 8)] for x in keys.tolist()])
-            child[parents, symbol[keys >> (8 * (k - 1))]] = ids
-            bits[ids] = bits[parents]
-        else:
-            bits[0] = 8.0
-        context = (gram >> 8) & mask
+            up = first[k - 1] + np.searchsorted(levels[k - 1], keys & ((1 << (8 * (k - 1))) - 1))
+            child[up, symbol[keys >> (8 * (k - 1))]] = ids
+        context = (gram >> 8) & ((1 << (8 * k)) - 1)
         at = np.searchsorted(keys, context).clip(max=len(keys) - 1)
-        here = (keys[at] == context) & (past >= k)
-        for i in range(len(languages)):
-            mine = here & (which == i)
-            n = np.zeros((len(keys), width))
-            np.add.at(n, (at[mine], last[mine]), count[mine])
-            total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen, escape = -np.log2(n / (total + kinds)), -np.log2(kinds / (total + kinds))
-            bits[ids, :, i] = np.where(total == 0, bits[ids, :, i], np.where(n > 0, seen, bits[ids, :, i] + escape))
-    return Model(languages, order, symbol, child, bits.reshape(-1, len(languages)))
+        here = np.flatnonzero((keys[at] == context) & (past >= k))
+        pairs, of = np.unique(at[here] * np.int64(width) + last[here], return_inverse=True)
+        node, after = pairs // width, pairs % width
+        n = np.zeros((len(pairs), len(languages)))
+        np.add.at(n, (of, which[here]), count[here])
+        total, kinds = np.zeros((len(keys), len(languages))), np.zeros((len(keys), len(languages)))
+        np.add.at(total, node, n)
+        np.add.at(kinds, node, n > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own, away = -np.log2(n / (total + kinds)[node]), np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+        if k < order:
+            if k:
+                bits[ids] = bits[up]
+            bits[ids] += away[:, None, :]
+            bits[first[k] + node, after] = np.where(n > 0, own, bits[first[k] + node, after])
+        else:
+            parent, escape, known = up, away.astype(np.float32), pairs
+            seen = np.where(n > 0, own, bits[up[node], after] + away[node]).astype(np.float32)
+    return Model(languages, order, symbol, child, bits.reshape(-1, len(languages)), parent, escape, known, seen)
 
 
 def predict(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

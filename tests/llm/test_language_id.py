@@ -20,8 +20,8 @@ def corpus(n, seed):
     return rows
 
 
-def plain_bits(texts, text, order, among=None):
-    """Code length by walking down from the longest context; of contexts, all, or those that ``among`` counts at least twice."""
+def plain_bits(texts, text, order, among=None, least=1):
+    """Code length by walking down from the longest context; of contexts, all, or those that ``among`` counts at least ``least`` times."""
     seen = defaultdict(Counter)
     for t in texts:
         b = t.encode()
@@ -32,7 +32,7 @@ def plain_bits(texts, text, order, among=None):
     for i in range(len(b)):
         for k in range(min(order, i), -1, -1):
             c = seen.get(b[i - k : i])
-            if c is None or k and among is not None and among[b[i - k : i]] < 2:
+            if c is None or k and among is not None and among[b[i - k : i]] < least:
                 continue
             n, d = sum(c.values()), len(c)
             if b[i] in c:
@@ -46,7 +46,6 @@ def plain_bits(texts, text, order, among=None):
 
 def test_code_lengths_equal_plain_ppm(spark):
     rows = corpus(60, 1)
-    # Contexts met once in all languages are not kept, so give each text twice.
     df = spark.createDataFrame([*rows, *((i + 1000, t, x) for i, t, x in rows)], "doc_id long, text string, lang string")
     model = L.fit(df, per_language=10**6)
     tests = ["lorem über niño", "x", "", "amet amet señor €"]
@@ -76,17 +75,29 @@ def test_a_language_of_short_texts_is_learned(spark):
     assert [r.lang_pred for r in L.predict(docs, model).collect()] == ["zz", "zz", "bb"]
 
 
-def test_the_settings_of_the_query_equal_plain_ppm(spark):
-    """Contexts met once, those of the plain version included, are no nodes."""
+def test_every_context_counts_even_if_met_once(spark):
     rows = corpus(120, 5)
-    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    counts = Counter(t.encode()[i - k : i] for _, t, _ in rows for k in range(1, 4) for i in range(k, len(t.encode())))
-    assert len(model.child) == 1 + sum(n >= 2 for n in counts.values())
-    tests = ["amet über corazón", "zzz qqq", "señor"]
-    got = model.code_lengths(*utf8_bytes(pa.array(tests)))
-    for i, lang in enumerate(model.languages):
-        for j, t in enumerate(tests):
-            assert abs(got[j, i] - plain_bits([t for _, t, x in rows if x == lang], t, 3, counts)) < 1e-2
+    df = spark.createDataFrame([*rows, (7000, "qqfxgz", "dd")], "doc_id long, text string, lang string")
+    texts = [*rows, (7000, "qqfxgz", "dd")]
+    counts = Counter(t.encode()[i - k : i] for _, t, _ in texts for k in range(1, 4) for i in range(k, len(t.encode())))
+    tests = ["amet über corazón", "zzz qqq", "señor", "qqfxgz", "fxgz"]
+    for least in (1, 2):
+        model = L.fit(df, floor=least)
+        assert len(model.child) + len(model.parent) == 1 + sum(n >= least for n in counts.values())
+        got = model.code_lengths(*utf8_bytes(pa.array(tests)))
+        for i, lang in enumerate(model.languages):
+            for j, t in enumerate(tests):
+                assert abs(got[j, i] - plain_bits([t for _, t, x in texts if x == lang], t, 3, counts, least)) < 1e-2
+    assert L.predict(spark.createDataFrame([(1, "qqfxgz")], "doc_id long, text string"), L.fit(df)).first().lang_pred == "dd"
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None, f"text number {i}", "aa") for i in range(900)] + [(5, f"other text {i}", "bb") for i in range(700)] + [(6, "one text many times", "cc")] * 800 + [(i, f"few {i}", "dd") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.sample(df, per_language=50).collect()
+    n = Counter(r.lang for r in got)
+    assert n == {"aa": 50, "bb": 50, "cc": 1, "dd": 40} and len({(r.lang, r.text) for r in got}) == len(got)
+    assert sorted(got) == sorted(L.sample(df.repartition(7), per_language=50).collect())
 
 
 def test_no_labels_and_empty(spark):
