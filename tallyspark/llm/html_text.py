@@ -1,14 +1,16 @@
 """Main text of web pages by minimum-cut labelling of blocks.
 
-A page is cut into blocks of text at block-level tags. A linear classifier gives each block a score for being content; its
-positive or negative part is the block's capacity to the source or the sink. Blocks that follow each other, and blocks that
+A page is cut into blocks of text at block-level tags. A logistic classifier gives each block its log-odds of being content; their
+positive or negative part is the block's capacity to the source or the sink. ``fit`` learns the classifier from pages whose text is
+known; the weights given here were learned from made pages (``tests/llm/made_pages.py``). Blocks that follow each other, and blocks that
 follow each other under one parent, are tied by smoothness edges that weaken with their distance in the DOM. The minimum cut
 labels all blocks at once, so that a short line amid the article stays and a long one amid a menu goes.
 
 What speaks against a block: tags around it (nav, footer, ...), names of classes around it (a name such as ``has-sidebar`` tells
 of a layout, not of its content), being hidden. An article or main element begins anew: what stands around it says nothing about
-what is in it. Where class names would leave a page without any content, the largest such container of several sentences is taken
-for a wrapper and its name for nothing. Text within a block is never split by the names of inline elements; only inline elements
+what is in it, but names within it do. Where names would leave a page without any content, the largest container that is named
+after a place on the page (a sidebar, a widget; not comments, adverts or notices), and that holds a paragraph or heading outside links,
+is taken for a wrapper and its name for nothing, then the next, however short their texts. Text within a block is never split by the names of inline elements; only inline elements
 that are not shown go.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline. Null html and
@@ -26,6 +28,7 @@ from dataclasses import dataclass, field
 from html import unescape
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,29 +56,35 @@ _LAYOUT_LAST = frozenset("free enabled disabled less off collapsed closed visibl
 _CONTENT_WORDS = frozenset("article content post entry story articlebody body main text".split())
 
 
+#: Of the names that speak against a block, those of places on a page, which are given to wrappers of whole articles too.
+_PLACES = frozenset("banner nav navbar menu topbar toolbar sidebar aside footer foot masthead modal overlay popup widget widgets teaser skip hidden".split())
+_PLACE_STARTS = ("sidebar", "footer", "navbar", "navigation")
+
+
 @dataclass
 class Weights:
-    """The classifier's weights and the strength of the smoothness edges."""
-
-    bias: float = -0.6
-    hidden: float = -30.0
-    away_tag: float = -9.0
-    away_class: float = -6.0
-    inside_article: float = 4.0
-    content_class: float = 1.5
-    words: float = 2.0
-    paragraph: float = 1.0
-    heading: float = 0.6
-    sentence: float = 0.5
-    links: float = -4.0
-    item: float = -0.5
+    """The classifier's weights, as ``fit`` gave them, and the strength of the smoothness edges."""
+
+    bias: float = -5.28
+    hidden: float = -15.1
+    away_tag: float = -15.13
+    away_class: float = -16.73
+    inside_article: float = 6.19
+    content_class: float = 2.42
+    words: float = 3.28
+    paragraph: float = 2.21
+    heading: float = 8.08
+    sentence: float = 6.04
+    links: float = -6.14
+    item: float = 3.66
     adjacent: float = 1.2
     sibling: float = 0.6
 
 
 @dataclass
 class Block:
-    """place: the number of the element it stands in. away_class: the outermost element whose class speaks against it, or 0."""
+    """place: the number of the element it stands in. away_class: the outermost element whose class speaks against it, or 0.
+    wrapped: whether only names of places on a page do."""
 
     place: int
     tag: str
@@ -84,26 +93,30 @@ class Block:
     away_class: int
     article: bool
     content: bool
+    wrapped: bool = False
     text: str = ""
     linked: int = 0
     parts: list[str] = field(default_factory=list)
 
 
-def _names(value: str) -> tuple[bool, bool]:
-    """Whether the names in a class or id attribute speak against, or for, content."""
-    away = content = False
+def _names(value: str) -> tuple[bool, bool, bool]:
+    """Whether the names in a class or id attribute speak against, or for, content; whether one against it is more than a place."""
+    away = content = more = False
     for name in value.split():
         words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
         if len(words) > 1 and (words[0] in _LAYOUT_FIRST or words[-1] in _LAYOUT_LAST):
             continue
         content |= not _CONTENT_WORDS.isdisjoint(words)
-        away |= not _AWAY_WORDS.isdisjoint(words) or any(w.startswith(_AWAY_STARTS) for w in words)
-    return away, content
+        against = [w for w in words if w in _AWAY_WORDS or w.startswith(_AWAY_STARTS)]
+        away |= bool(against)
+        more |= any(w not in _PLACES and not w.startswith(_PLACE_STARTS) for w in against)
+    return away, content, more
 
 
-def _hints(attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether a tag's attributes hide it, give it a role against content, a name against it, or a role or name for it."""
-    hidden = role = away = content = False
+def _hints(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a tag's attributes hide it, give it a role against content, a name against it, or a role or name for it; whether the name
+    against it is more than a place."""
+    hidden = role = away = content = more = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -114,26 +127,26 @@ def _hints(attributes: str) -> tuple[bool, bool, bool, bool]:
             role |= value.lower() in _AWAY_ROLES
             content |= value.lower() in ("main", "article")
         elif name in ("class", "id", "itemprop"):
-            against, good = _names(value)
-            away, content = away or against, content or good
-    return hidden, role, away, content
+            against, good, thing = _names(value)
+            away, content, more = away or against, content or good, more or thing
+    return hidden, role, away, content, more
 
 
 class Element:
     """An open element: what it and those around it say about the text in it."""
 
-    __slots__ = ("tag", "place", "hidden", "away_tag", "away_class", "article", "content")
+    __slots__ = ("tag", "place", "hidden", "away_tag", "away_class", "article", "content", "more")
 
-    def __init__(self, tag: str, place: int, hidden: bool, away_tag: bool, away_class: int, article: bool, content: bool) -> None:
-        self.tag, self.place, self.hidden, self.away_tag, self.away_class, self.article, self.content = tag, place, hidden, away_tag, away_class, article, content
+    def __init__(self, tag: str, place: int, hidden: bool, away_tag: bool, away_class: int, article: bool, content: bool, more: bool) -> None:
+        self.tag, self.place, self.hidden, self.away_tag, self.away_class, self.article, self.content, self.more = tag, place, hidden, away_tag, away_class, article, content, more
 
     def inner(self, tag: str, place: int, attributes: str) -> Element:
-        hidden, role, away, content = _hints(attributes)
+        hidden, role, away, content, more = _hints(attributes)
         begins = tag in ("article", "main")
         inside = self.article or begins
         away_tag = not begins and (self.away_tag or role or tag in _AWAY_TAGS or tag == "header" and not inside)
-        named = place if away and tag not in ("html", "body") and not begins else 0
-        return Element(tag, place, self.hidden or hidden, away_tag, 0 if begins else self.away_class or named, inside, self.content or content)
+        counts = away and tag not in ("html", "body") and not begins
+        return Element(tag, place, self.hidden or hidden, away_tag, 0 if begins else self.away_class or (place if counts else 0), inside, self.content or content, not begins and (self.more or counts and more))
 
 
 class Page:
@@ -142,7 +155,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.parent, self.depth = [0], [0]
         found: list[Block] = []
-        stack = [Element("", 0, False, False, 0, False, False)]
+        stack = [Element("", 0, False, False, 0, False, False, False)]
         opened: Counter[str] = Counter()
         inline: list[tuple[str, bool]] = []
         links, hidden, now, at = 0, 0, None, 0
@@ -155,7 +168,7 @@ class Page:
                 if not raw.strip():
                     return
                 e = stack[-1]
-                now = Block(e.place, e.tag, e.hidden, e.away_tag, e.away_class, e.article, e.content)
+                now = Block(e.place, e.tag, e.hidden, e.away_tag, e.away_class, e.article, e.content, bool(e.away_class) and not e.more)
                 found.append(now)
             raw = unescape(raw)
             now.parts.append(raw)
@@ -237,13 +250,59 @@ class Page:
         return steps
 
 
-def score(b: Block, w: Weights) -> float:
-    """How much more the block looks like content than not."""
+def features(b: Block) -> list[float]:
+    """What the classifier sees of a block, in the order of the weights."""
     words = b.text.count(" ") + 1
-    out = w.bias + w.words * min(words, 30) / 30 + w.links * min(1.0, b.linked / len(b.text))
-    out += w.hidden * b.hidden + w.away_tag * b.away_tag + w.away_class * (b.away_class > 0) + w.inside_article * b.article + w.content_class * b.content
-    out += w.paragraph * (b.tag in ("p", "blockquote", "pre")) + w.heading * (b.tag[:1] == "h" and b.tag[1:].isdigit()) + w.item * (b.tag in ("li", "td", "dd", "dt"))
-    return out + w.sentence * (b.text[-1] in ".!?…\"”»")
+    return [
+        1.0, float(b.hidden), float(b.away_tag), float(b.away_class > 0), float(b.article), float(b.content), min(words, 30) / 30,
+        float(b.tag in ("p", "blockquote", "pre")), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.text[-1] in ".!?…\"”»"), min(1.0, b.linked / len(b.text)), float(b.tag in ("li", "td", "dd", "dt")),
+    ]
+
+
+def score(b: Block, w: Weights) -> float:
+    """Log-odds that the block is content."""
+    own = (w.bias, w.hidden, w.away_tag, w.away_class, w.inside_article, w.content_class, w.words, w.paragraph, w.heading, w.sentence, w.links, w.item)
+    return sum(a * x for a, x in zip(own, features(b), strict=True))
+
+
+def labelled_blocks(html: str | None, text: str | None) -> list[tuple[list[float], bool]]:
+    """Features of a page's blocks, and whether each is a line of the known text."""
+    lines = Counter((text or "").split("\n"))
+    out = []
+    for b in Page(html or "").blocks:
+        out.append((features(b), lines[b.text] > 0))
+        lines[b.text] -= lines[b.text] > 0
+    return out
+
+
+def regression(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method; ridge holds them back, so that separable blocks have finite ones."""
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def fit(labelled: DataFrame, *, html: str = "html", text: str = "text", most: int = 5000) -> Weights:
+    """Weights from pages whose main text is known: at most about ``most`` of them, those with the smallest hash of their html.
+
+    Blocks alike in all features are counted together before anything leaves the tasks."""
+    rows = labelled.select(F.col(html).alias("html"), F.col(text).alias("text")).where("html is not null")
+    drawn = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < min(1.0, most / max(1, rows.count())) * (1 << 30)).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [x for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in labelled_blocks(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in blocks], pa.list_(pa.float64())), pa.array([y for _, y in blocks], pa.bool_())], ["x", "y"])
+
+    counts = drawn.mapInArrow(run, "x array<double>, y boolean").groupBy("x", "y").count().orderBy("x", "y").toPandas()
+    if not len(counts):
+        return Weights()
+    return Weights(*regression(np.array(counts["x"].tolist()), counts["y"].to_numpy(float), counts["count"].to_numpy(float)).round(2).tolist())
 
 
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -339,15 +398,16 @@ def main_text(html: str | None, weights: Weights = Weights()) -> str:  # noqa: B
             return "\n".join(b.text for b, yes in zip(found, labels, strict=True) if yes)
 
 
-def _unwrapped(found: list[Block], sentences: int = 2, words: int = 15) -> bool:
-    """Of the elements whose names speak against their blocks, forgets the name of that with the most words, if these look like
-    an article: several sentences outside links."""
-    size, ends = Counter(), Counter()
+def _unwrapped(found: list[Block]) -> bool:
+    """Of the elements whose names speak against their blocks, forgets the name of that with the most words, if it is the name of a place
+    on the page, and if a paragraph or heading, not a link, is in it."""
+    size, holds = Counter(), set()
     for b in found:
-        if b.away_class and not b.hidden and not b.away_tag and b.linked * 2 < len(b.text):
+        if b.away_class and b.wrapped and not b.hidden and not b.away_tag and b.linked * 2 < len(b.text):
             size[b.away_class] += b.text.count(" ") + 1
-            ends[b.away_class] += b.text[-1] in ".!?…\"”»"
-    named = max((e for e in size if ends[e] >= sentences and size[e] >= words), key=lambda e: (size[e], -e), default=0)
+            if b.tag in ("p", "blockquote", "pre") or b.tag[:1] == "h" and b.tag[1:].isdigit():
+                holds.add(b.away_class)
+    named = max(holds, key=lambda e: (size[e], -e), default=0)
     for b in found:
         if named and b.away_class == named:
             b.away_class = 0

@@ -2,51 +2,54 @@
 
 import random
 import time
-from html import escape
 
 from tallyspark.llm import html_text as H
-
-
-def say(rng, n):
-    return (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))).capitalize() + rng.choice(".!?")
-
-
-def page(rng):
-    """A page, and the text of its article."""
-    blocks, kept = [], []
-    for k in range(rng.randint(3, 25)):
-        text, tag = say(rng, rng.randint(8, 60)), rng.choice(["p", "p", "p", "h2", "li", "blockquote"])
-        if k == 0:
-            tag, text = "h1", text[:-1]
-        shown = escape(text)
-        if rng.random() < 0.3:
-            w = shown.split(" ")
-            i = rng.randrange(len(w))
-            w[i] = rng.choice(['<b>{}</b>', '<span class="legal">{}</span>', '<a href="/x">{}</a>', '<em id="ad">{}</em>', "<math><mi>{}</mi></math>"]).format(w[i])
-            shown = rng.choice([" ", "\n  ", "&nbsp;"]).join(w)
-        blocks.append(f"<ul><li>{shown}</li></ul>" if tag == "li" else f"<{tag}>{shown}</{tag}>")
-        kept.append(text)
-    menu = "".join(f'<li><a href="/{i}">{say(rng, 1)[:-1]}</a></li>' for i in range(rng.randint(2, 9)))
-    away = [f"<nav><ul>{menu}</ul></nav>", f'<div class="ad-slot">{say(rng, 12)}</div>', f"<aside><p>{say(rng, 20)}</p></aside>", f'<div id="comments"><p>{say(rng, 25)}</p><p>{say(rng, 30)}</p></div>']
-    away += [f"<header><a href=/>{say(rng, 2)}</a></header>", f"<form><label>{say(rng, 3)}</label><input></form>", f'<div class="cookie-banner"><p>{say(rng, 14)}</p></div>', "<script>if (a < b) x('</p>')</script>"]
-    before, after = rng.sample(away, 3), rng.sample(away, 2)
-    body = "".join(blocks)
-    main = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", '<div class="layout has-sidebar"><article>{}</article></div>', '<div class="post-content">{}</div>', '<section class="page with-nav"><article>{}</article></section>'])
-    return f"<html><head><title>t</title></head><body>{''.join(before)}{main.format(body)}{''.join(after)}<footer>{say(rng, 9)}</footer></body></html>", "\n".join(kept)
+from tests.llm.made_pages import noise, page, say
 
 
 def test_made_pages():
+    """All kinds of noise, around the article and inside it; a lone link that is a whole block may go."""
     rng = random.Random(11)
     for _ in range(300):
         html, text = page(rng)
         assert H.main_text(html) == text, html
 
 
+def test_each_kind_of_noise_inside_an_article_goes():
+    rng = random.Random(12)
+    first, last = "It was a long way to go from there, and nobody knew.", "They went on"
+    for kind in noise(rng):
+        for _ in range(20):
+            piece = noise(rng)[kind]
+            assert H.main_text(f"<article><h1>Title</h1><p>{first}</p>{piece}<p>{last}</p></article>") == f"Title\n{first}\n{last}", piece
+    said = '<div class="comments"><p>A reader said this article is wonderful, really.</p></div>'
+    assert H.main_text(f"<article><p>{first}</p>{said}<p>{last}</p></article>") == f"{first}\n{last}"
+
+
+def test_weights_are_those_that_made_pages_give(spark):
+    rng = random.Random(3)
+    rows = [page(rng) for _ in range(1500)]
+    got = H.fit(spark.createDataFrame(rows, "html string, text string"))
+    for name in ("bias", "hidden", "away_tag", "away_class", "inside_article", "words", "heading", "sentence", "links"):
+        assert abs(getattr(got, name) - getattr(H.Weights(), name)) < 3.5, name
+    few = H.fit(spark.createDataFrame([*rows, *rows], "html string, text string"), most=1000)
+    wrong = 0
+    for _ in range(200):
+        html, text = page(rng)
+        wrong += H.main_text(html, few) != text
+    assert wrong <= 10
+    assert H.fit(spark.createDataFrame([], "html string, text string")) == H.Weights()
+
+
 def test_wrappers_with_misleading_names():
     text = ["It was a long way to go from there, and nobody knew.", "So they went on, slowly, until the evening came."]
     body = "".join(f"<p>{t}</p>" for t in text)
     for wrapper in ('<div class="layout has-sidebar"><article>{}</article></div>', '<div class="page with-nav">{}</div>', '<div class="sidebar-wrapper"><div>{}</div></div>', '<div id="widget">{}</div>', '<div class="comments-enabled post">{}</div>'):
         assert H.main_text(f"<nav><a href=/>Home</a></nav>{wrapper.format(body)}<footer>All words reserved.</footer>") == "\n".join(text), wrapper
+    for short in ("A single long sentence that goes on and on, without any stop, until at last it comes to its end here.", "Short text.", "Not even this, by far."):
+        assert H.main_text(f'<nav><a href=/>Home</a></nav><div class="sidebar-x"><p>{short}</p></div>') == short
+        for name in ("ad", "comments", "cookie-notice", "newsletter-box"):
+            assert H.main_text(f'<nav><a href=/>Home</a></nav><div class="{name}"><p>{short}</p></div>') == ""
     assert H.main_text('<div class="ad">Buy this now, it is cheap.</div>') == ""
     assert H.main_text(f'<article>{body}</article><div class="comments">{body * 9}</div>') == "\n".join(text)
 
