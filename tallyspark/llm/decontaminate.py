@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices
+from tallyspark.llm.common import slices, stored
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -133,6 +133,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
         block = some if blocks == 1 else some.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         held = spark.sparkContext.broadcast([(r.name, r.text) for r in block.collect()])
         found = rows.mapInArrow(_searching(held, error_rate, kind), f"doc_id {kind.simpleString()}, of string, start bigint, end bigint, distance bigint")
+        if blocks > 1:  # one block at a time is with the driver
+            found = stored(found, "leaks")
+            held.destroy()
         out = found if out is None else out.unionAll(found)
     return out.join(named, F.col("of") == F.col("name")).select("doc_id", "item_id", "start", "end", "distance")
 

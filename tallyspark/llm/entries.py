@@ -82,7 +82,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm import jaccard_join as J
 
-    return J.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100))
+    return J.near_duplicates(table(spark, sf_dir, "documents"), k=3, similarity=(90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,10 @@ def _ranked(rows: DataFrame, t: tuple[int, int], before: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; similarity: least Jaccard as a fraction of two integers."""
+    """(doc_id, n_shingles, component_id, text_hash, component_hash) of every row; similarity: least Jaccard as a fraction of two integers.
+
+    The hashes tell texts that share an id: text_hash is xxhash64 of the row's text, component_hash that of the component's first text
+    (its smallest id, and of that id's texts the one with the least hash). Rows that are linked with nothing are their own component."""
     spark, t, costs = docs.sparkSession, similarity, COSTS
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
@@ -280,11 +283,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     two = _verified(pairs, nodes, rows, k, t)
     discard(opened)
 
-    classes = nodes.select("node", F.col("rep.id").alias("rep"))
+    classes = nodes.select("node", "rep")
     label = components(one.unionAll(two)).withColumnRenamed("node", "at")
     classes = classes.join(label, F.col("node") == F.col("at"), "left").select("node", "rep", F.coalesce("component", "node").alias("of"))
-    ids = classes.groupBy("of").agg(F.min("rep").alias("component_id"))
-    mapped = classes.join(ids, "of").select(F.col("node").alias("own"), "component_id")
+    firsts = classes.groupBy("of").agg(F.min("rep").alias("first"))
+    mapped = classes.join(firsts, "of").select(F.col("node").alias("own"), F.col("first.id").alias("component_id"), F.col("first.h").alias("component_hash"))
     is_linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node"))
     out = known.join(mapped, is_linked == F.col("own"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("h").alias("text_hash"), F.coalesce("component_hash", "h").alias("component_hash"))

@@ -6,6 +6,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_jaccard_join import plain
 from tests.llm.test_secret_scan import brute as secret_spans
@@ -105,6 +107,20 @@ def test_columns_with_names_of_the_stages_own(spark, tmp_path):
     assert sorted((r.doc_id, r.text, *r[5:]) for r in docs.collect()) == [(1, "hello [secret]", *names), (3, "hello there, you", *names)]
 
 
+def test_texts_that_share_an_id_stand_for_themselves(spark, tmp_path):
+    item = "the quick brown fox jumps over the lazy dog " * 3
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["one house stands by the river and nobody lives in it any more", "she bought seven apples on monday from the old man down there", "trains leave the station at noon and come back late in the evening"]
+    rows = [(1, texts[0], "en", "s", 1), (1, texts[1], "en", "s", 2), (1, f"so {item} it is", "en", "s", 3), (2, texts[2], "en", "s", 4), (2, texts[0], "en", "s", 5), (4, texts[1], "en", "s", 6)]
+    docs = spark.createDataFrame([*rows, (1, texts[0], "en", "t", 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert near == sorted((i, t) for i, t, *_ in rows[:4])
+    for _ in range(2):
+        assert {tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), str(tmp_path)).where(F.col("text") == texts[0]).collect()} <= {rows[0], (1, texts[0], "en", "t", 7)}
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted((i, t) for i, t, *_ in [*rows[:2], *rows[3:], (1, texts[0])])
+
+
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
