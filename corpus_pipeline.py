@@ -34,20 +34,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; of rows that share the id of the one kept, a single one. Null ids are all kept."""
-    (own,) = fresh(docs, "id")
+    """One document of each class, known by its id and text, so that texts that share an id stand for themselves. Of rows equal in
+    both, the one whose columns have the least hash. Null ids are all kept."""
+    own, same, h, row = fresh(docs, "id", "same", "text_hash", "row")
     classes = jaccard_join.near_duplicates(docs, k=5, similarity=(80, 100))
-    first = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(own)).distinct()
-    known = docs.join(first.hint("merge"), F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*_columns(docs))
+    firsts = classes.where((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
+    first = firsts.select(F.col("doc_id").alias(own), F.col("text_hash").alias(same)).distinct()
+    hashed = docs.where("doc_id is not null").withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    known = hashed.join(first.hint("merge"), (F.col("doc_id") == F.col(own)) & (F.col(h) == F.col(same)), "left_semi")
+    columns = _columns(docs)
+    one = known.groupBy("doc_id", h).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)).select(f"{row}.*")
+    return one.unionByName(docs.where("doc_id is null").select(*columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without leaks."""
-    (own,) = fresh(docs, "id")
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without leaks; of texts that share an id those that leak go."""
+    key, own = fresh(docs, "key", "own")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    leaks = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), doc_id=key)
     leaking = stored(leaks.select(F.col("doc_id").alias(own)).distinct(), "leaking")
-    return docs.join(leaking, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti").select(*_columns(docs))
+    same = keyed[key]["id"].eqNullSafe(F.col(own)["id"]) & (keyed[key]["h"] == F.col(own)["h"])
+    return keyed.join(leaking, same, "left_anti").select(*_columns(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
