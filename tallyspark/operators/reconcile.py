@@ -1,8 +1,11 @@
 """Pairing the two legs of transfers, and card payments with the card's credits.
 
-Candidates come from an equi-join on currency and amount; the day window is part of the key by bins, so that many equal amounts over
-long times don't meet. A pair is taken if it is the only best of both its legs; a tie is no answer. Taking pairs may settle others, so
-rounds follow until nothing changes. Rounds are DataFrame joins whose state is checkpointed: no group is collected into one task.
+A pair is taken if it is the only best of both its legs; a tie is no answer. Taking pairs may settle others, so rounds follow until
+nothing changes. Matching never lists pairs. Legs that no other leg can tell apart (equal in side, currency, amount, day, account, wording
+and reference) are one counted cell, and a cell meets, on each day of its window, the counts of each wording and of its
+reference, less those of its own account; the best of these, how many legs share it and, if one does, which, is all that a round
+asks. Rows grow with the legs, also where very many have one amount in one week. Rounds are DataFrame joins whose state is stored:
+no group is collected into one task. ``candidates`` lists pairs for whoever wants to see them all.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.money import canonical
 from tallyspark.functions.text import normalize_description
 from tallyspark.operators.enrich import CARD_SIDE, CASH_SIDE, begins, card_inflow
-from tallyspark.session import with_checkpoints
+from tallyspark.session import stored, with_checkpoints
 
 # Wording of transfers, own accounts and third parties, and names of banks.
 TRANSFER = ("TRANSFERENCIA", "TRASPASO", "TRANSF", "TEF", "ABONO TRANSFERENCIA", "CARGO TRANSFERENCIA", "ENTRE CUENTAS", "CUENTA PROPIA")
@@ -58,19 +61,16 @@ def _band(left: DataFrame, right: DataFrame, window: int, extra: Column) -> Data
     return a.join(b, on).drop("__bin").withColumn("gap_days", gap)
 
 
-def candidates(facts: DataFrame, window: int = 5) -> DataFrame:
-    """Every outflow and inflow of one amount in different accounts within the window, with the evidence and its rank."""
-    some = legs(facts)
-    side = lambda p, d: some.where(F.col("direction") == d).select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
-    pairs = _band(side("o", "out"), side("i", "in"), window, F.col("o_account_id") != F.col("i_account_id"))
+def _evidence(pairs: DataFrame) -> DataFrame:
+    """Pairs (o_ and i_ columns) with the gap, the evidence and its rank."""
     both = lambda words: _says(F.col("o_text"), words) | _says(F.col("i_text"), words)
-    long = F.length(F.regexp_replace(F.trim(F.col("o_reference")), "^0+", "")) >= LEAST_REFERENCE
     pairs = pairs.withColumns(
         {
+            "gap_days": F.abs(F.datediff("o_date", "i_date")),
             "transfer_wording": both(TRANSFER),
             "own_account": both(OWN),
             "bank_named": _names(F.col("o_text"), F.col("i_institution")) | _names(F.col("i_text"), F.col("o_institution")),
-            "shared_reference": F.coalesce(long & (F.col("o_reference") == F.col("i_reference")), F.lit(False)),
+            "shared_reference": F.coalesce(_long(F.col("o_reference")) & (F.col("o_reference") == F.col("i_reference")), F.lit(False)),
             "third_party": both(THIRD),
         }
     )
@@ -78,34 +78,107 @@ def candidates(facts: DataFrame, window: int = 5) -> DataFrame:
     return pairs.withColumn("rank", F.when(F.col("shared_reference"), 3).when(strong, 2).when(F.col("transfer_wording"), 1).otherwise(0))
 
 
-def _unique_best(pairs: DataFrame) -> DataFrame:
-    """Pairs that are the only best, by rank and gap, of both their legs."""
-    quality = F.struct(-F.col("rank"), F.col("gap_days"))
-    for leg in ("o_leg", "i_leg"):
-        w = Window.partitionBy(leg)
-        pairs = pairs.withColumn("__q", quality).withColumn("__best", F.min("__q").over(w))
-        pairs = pairs.withColumn(f"__{leg}", (F.col("__q") == F.col("__best")) & (F.count_if(F.col("__q") == F.col("__best")).over(w) == 1))
-    return pairs.where(F.col("__o_leg") & F.col("__i_leg")).drop("__q", "__best", "__o_leg", "__i_leg")
-
+def _long(reference: Column) -> Column:
+    return F.length(F.regexp_replace(F.trim(reference), "^0+", "")) >= LEAST_REFERENCE
 
-def settle(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(settled pairs, pairs left open) by rounds of unique mutual bests, until a round settles none.
 
-    Each round joins on legs only and settles a pair at least, so chains of pairs that wait for each other end however long they are.
-    State goes to the checkpoint folder, of which executors have a shared copy.
-    """
-    with_checkpoints(pairs.sparkSession)
-    left = pairs.checkpoint()
-    settled = None
-    while not (now := _unique_best(left).checkpoint()).isEmpty():
-        settled = now if settled is None else settled.unionByName(now).checkpoint()
-        left = left.join(now.select("o_leg"), "o_leg", "left_anti").join(now.select("i_leg"), "i_leg", "left_anti").checkpoint()
-    return (left.limit(0) if settled is None else settled), left
+def candidates(facts: DataFrame, window: int = 5) -> DataFrame:
+    """Every outflow and inflow of one amount in different accounts within the window, with the evidence and its rank."""
+    some = legs(facts)
+    side = lambda p, d: some.where(F.col("direction") == d).select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
+    return _evidence(_band(side("o", "out"), side("i", "in"), window, F.col("o_account_id") != F.col("i_account_id")))
+
+
+_AMOUNT = ["currency", "amount_key"]
+_CELL = ["side", *_AMOUNT, "date", "owner", "wording", "reference_key"]
+
+
+def _wording(text: Column, institution: Column) -> Column:
+    """What of a leg's text and bank decides the rank of its pairs, as one number: bit 0 a transfer's wording, bit 1 an own account,
+    bits 2 and 3 its bank, from bit 4 on the banks it names."""
+    bit = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    out = bit(_says(text, TRANSFER)) + bit(_says(text, OWN)) * 2
+    for k, (bank, words) in enumerate(BANKS.items()):
+        out = out + bit(institution == bank) * 4 * (k + 1) + bit(_says(text, words)) * 16 * 2**k
+    return out
+
+
+def _wording_rank(a: str, b: str) -> Column:
+    names = lambda x, y: f"(shiftright({y}, 2) & 3) > 0 and (shiftright({x}, 3 + (shiftright({y}, 2) & 3)) & 1) = 1"
+    return F.expr(f"case when ({a} | {b}) & 1 = 0 then 0 when ({a} | {b}) & 2 > 0 or {names(a, b)} or {names(b, a)} then 2 else 1 end")
+
+
+def _bests(cells: DataFrame, window: int) -> DataFrame:
+    """(side, leg, quality, rivals, partner): of every cell that has one, the best quality of its pairs, how many legs of the other
+    side share it, and one of these (the only one, if it is one)."""
+    banded = cells.withColumn("band", F.explode(F.array_compact(F.array(F.lit(""), F.when(F.col("reference_key") != "", F.col("reference_key"))))))
+    other = banded.select(
+        (1 - F.col("side")).alias("side"), *_AMOUNT, F.col("date").alias("day"), "band", F.when(F.col("band") == "", F.col("wording")).otherwise(-1).alias("their_wording"), F.col("owner"), F.struct("owner", "leg").alias("who"), "legs"
+    )
+    on = ["side", *_AMOUNT, "day", "band", "their_wording"]
+    total = other.groupBy(*on).agg(F.sum("legs").alias("total"), F.min("who").alias("low"), F.max("who").alias("high"))
+    own = other.groupBy(*on, "owner").agg(F.sum("legs").alias("own"))
+    days = banded.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
+    met = days.join(total, [*on[:-1]]).join(own, [*on, "owner"], "left").withColumn("rivals", F.col("total") - F.coalesce("own", F.lit(0))).where("rivals > 0")
+    rank = F.when(F.col("band") != "", 3).otherwise(_wording_rank("wording", "their_wording"))
+    # where one leg is left besides those of the own account, it is at an end of the order by account
+    partner = F.when(F.col("low.owner") != F.col("owner"), F.col("low.leg")).otherwise(F.col("high.leg"))
+    quality = (rank * (window + 1) + window - F.abs(F.datediff("day", "date"))).alias("quality")
+    each = met.select("side", "leg", quality, "rivals", partner.alias("partner")).groupBy("side", "leg", "quality").agg(F.sum("rivals").alias("rivals"), F.max("partner").alias("partner"))
+    return each.groupBy("side", "leg").agg(F.max(F.struct("quality", "rivals", "partner")).alias("best")).select("side", "leg", "best.*")
+
+
+def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(settled o_leg and i_leg, what is left of ``some``, what is left and still has a pair), by rounds of unique mutual bests until a
+    round settles none.
+
+    some: leg, side (0 out, 1 in), currency, amount_key, date, owner (legs of one owner make no pair), wording, reference_key."""
+    some = some.where(" and ".join(f"{c} is not null" for c in _CELL))
+    cells = stored(some.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("legs"), F.min("leg").alias("leg")), "cells")
+    rounds = []
+    while True:
+        bests = stored(_bests(cells, window), "bests")
+        sure = bests.where("rivals = 1")
+        a, b = sure.where("side = 0").select(F.col("leg").alias("o_leg"), F.col("partner").alias("i_leg")), sure.where("side = 1").select(F.col("partner").alias("o_leg"), F.col("leg").alias("i_leg"))
+        now = stored(a.join(b, ["o_leg", "i_leg"]), "settled")
+        if now.isEmpty():
+            break
+        rounds.append(now)
+        gone = now.select(F.col("o_leg").alias("leg")).unionAll(now.select(F.col("i_leg").alias("leg")))
+        cells = stored(cells.join(gone, "leg", "left_anti"), "cells")
+    settled = now
+    for more in rounds:
+        settled = settled.unionAll(more)
+    left = some.join(cells.select(*_CELL), _CELL, "left_semi")
+    open_ = some.join(cells.join(bests.select("leg"), "leg").select(*_CELL), _CELL, "left_semi")
+    return settled, left, open_
+
+
+def _ties(open_: DataFrame, window: int) -> DataFrame:
+    """(o_leg, i_leg): of the pairs among open legs as many as hold together what all of them hold together.
+
+    Each leg with a leg of each of the three first owners of the other side on each day: any two legs of a day thus share one, and where
+    there are no more than three owners these are all."""
+    first = open_.groupBy("side", *_AMOUNT, "date", "owner").agg(F.min("leg").alias("other"))
+    place = F.row_number().over(Window.partitionBy("side", *_AMOUNT, "date").orderBy("owner"))
+    three = first.withColumn("place", place).where("place <= 3").select((1 - F.col("side")).alias("side"), *_AMOUNT, F.col("date").alias("day"), F.col("owner").alias("owner_"), "other")
+    days = open_.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
+    met = days.join(three, ["side", *_AMOUNT, "day"]).where("owner != owner_")
+    leg = lambda side: F.when(F.col("side") == side, F.col("leg")).otherwise(F.col("other"))
+    return met.select(leg(0).alias("o_leg"), leg(1).alias("i_leg")).distinct()
 
 
 def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(matches with confidence and reason, ambiguous pairs)."""
-    matched, ambiguous = settle(candidates(facts, window))
+    """(matches with confidence and reason, pairs that hold the open legs together)."""
+    some = stored(legs(facts), "legs")
+    reference = F.when(F.coalesce(_long(F.col("reference")), F.lit(False)), F.col("reference")).otherwise("")
+    sided = some.where(F.col("direction").isin("out", "in")).select(
+        "leg", (F.col("direction") == "in").cast("int").alias("side"), *_AMOUNT, "date", F.col("account_id").cast("string").alias("owner"), _wording(F.col("text"), F.col("institution")).alias("wording"), reference.alias("reference_key")
+    )
+    settled, _, open_ = settle(sided, window)
+    ambiguous = _ties(open_, window)
+    side = lambda p: some.select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
+    matched = _evidence(settled.join(side("o"), "o_leg").join(side("i"), "i_leg"))
     strong = F.col("shared_reference") | F.col("transfer_wording") & (F.col("own_account") | F.col("bank_named"))
     confidence = F.when(~F.col("third_party") & strong & (F.col("gap_days") <= confirm_window), "confirmed").otherwise("suggested")
     reason = F.concat(
@@ -140,21 +213,29 @@ def knots(ambiguous: DataFrame) -> DataFrame:
             return labels
 
 
+def _within(some: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """(leg, rivals): how many of ``others`` have the amount of a leg of ``some`` within the window; legs without any are left out."""
+    counts = others.groupBy(*_AMOUNT, F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    days = some.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
+    return days.join(counts, [*_AMOUNT, "day"]).groupBy("leg").agg(F.sum("n").alias("rivals"))
+
+
 def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:
-    """Card payments of cash accounts with the card's credit where one is nearest and the only one; then payments without, and
-    credits worded as payments that no payment could be paired with. facts need is_card."""
+    """Card payments of cash accounts with the card's credit where one is nearest and the only one; then payments without (``rivals``:
+    credits left open in their window), and credits worded as payments that no payment could be paired with. facts need is_card."""
     some = legs(facts).join(facts.select(F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint").alias("leg"), "is_card").dropDuplicates(["leg"]), "leg")
     out = some.where((F.col("direction") == "out") & ~F.col("is_card") & begins(F.col("text"), CASH_SIDE))
     credit = some.where((F.col("direction") == "in") & F.col("is_card") & (card_inflow(F.col("text")) != "reversal"))
-    side = lambda df, p: df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    pairs = _band(side(out, "o"), side(credit, "i"), window, F.lit(True)).withColumn("rank", F.lit(0))
-    matched, left = settle(pairs)
+    sided = lambda df, k: df.select("leg", F.lit(k).alias("side"), *_AMOUNT, "date", F.lit(str(k)).alias("owner"), F.lit(0).alias("wording"), F.lit("").alias("reference_key"))
+    both = stored(sided(out, 0).unionAll(sided(credit, 1)), "payments")
+    matched, left, _ = settle(both, window)
     found = matched.select(F.col("o_leg").alias("payment"), F.col("i_leg").alias("credit"), F.lit("confirmed").alias("confidence"), F.lit("paired").alias("reason"), F.lit(0).cast("bigint").alias("rivals"))
-    rivals = left.groupBy(F.col("o_leg").alias("leg")).agg(F.count(F.lit(1)).alias("rivals"))
+    rivals = _within(left.where("side = 0"), left.where("side = 1"), window)
     open_ = out.select("leg").join(matched.select(F.col("o_leg").alias("leg")), "leg", "left_anti").join(rivals, "leg", "left")
     none = F.lit(None).cast("string")
     open_ = open_.select(F.col("leg").alias("payment"), none.alias("credit"), F.lit("suggested").alias("confidence"), F.when(F.col("rivals") > 0, "equal-rivals").otherwise("statement-missing").alias("reason"), F.coalesce("rivals", F.lit(0)).alias("rivals"))
-    lone = credit.where(begins(F.col("text"), CARD_SIDE)).select("leg").join(pairs.select(F.col("i_leg").alias("leg")), "leg", "left_anti")
+    paired = _within(both.where("side = 1"), both.where("side = 0"), window)
+    lone = credit.where(begins(F.col("text"), CARD_SIDE)).select("leg").join(paired, "leg", "left_anti")
     lone = lone.select(F.col("leg").alias("payment"), none.alias("credit"), F.lit("suggested").alias("confidence"), F.lit("charge-missing").alias("reason"), F.lit(0).cast("bigint").alias("rivals"))
     return found.unionByName(open_).unionByName(lone)
 

@@ -38,10 +38,14 @@ def test_reconcile_in_a_window(spark):
 
 
 def test_long_chains_settle(spark):
-    """Legs a day apart wait for each other: a round settles one pair of a chain."""
-    pairs = [(f"o{i}", f"i{j}", 0, gap) for i in range(8) for j, gap in ((i, 2 * i), (i + 1, 2 * i + 1))]
-    settled, left = reconcile.settle(spark.createDataFrame(pairs, "o_leg string, i_leg string, rank int, gap_days int"))
-    assert sorted((r.o_leg, r.i_leg) for r in settled.collect()) == [(f"o{i}", f"i{i}") for i in range(8)] and left.count() == 0
+    """Legs wait for each other, a day further apart each: a round settles one pair of a chain."""
+    rows, at = [], 0
+    for i in range(8):
+        rows += [(f"i{i}", 1, at + max(0, 2 * i - 1)), (f"o{i}", 0, at + max(0, 2 * i - 1) + 2 * i)]
+        at = rows[-1][2]
+    sided = spark.createDataFrame(rows, "leg string, side int, day int").selectExpr("leg", "side", "'CLP' currency", "'1' amount_key", "date_add(date '2024-01-01', day) date", "leg owner", "0 wording", "'' reference_key")
+    settled, left, open_ = reconcile.settle(sided, 20)
+    assert sorted((r.o_leg, r.i_leg) for r in settled.collect()) == [(f"o{i}", f"i{i}") for i in range(8)] and left.count() == open_.count() == 0
 
 
 def test_uncertain_plans_and_monthly_sums(spark):
