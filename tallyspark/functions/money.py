@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.binding import let
@@ -35,85 +37,105 @@ def money_text(c: Column, currency: Column, scale: int = 0) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), symbol, body)
 
 
-def parse_amount(c: Column, number_format: str | Column = "es-CL", with_marker: bool = False) -> Column:
+def parse_amount(c: Column, number_format: str | Column = "es-CL", with_marker: bool | Column = False) -> Column:
     """struct(amount, scale, ambiguous, explicit_sign, error) read from a cell.
 
     Parentheses and leading or trailing minus signs negate; currency names and signs are skipped; with ``with_marker`` a
     trailing CR or DB word gives the sign. Of two kinds of marks the last is the decimal one; a mark that repeats groups
     thousands; a single one before three digits is read by ``number_format`` (es-CL, en-US or auto, or a column of these). error: a
     code, or null.
+
+    For few values: as one expression it is interpreted. ``with_amount`` reads columns of many.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[   \t\r\n]", " "))
-    return let(text, lambda whole: _unwrapped(whole, number_format, with_marker))
+    steps = _steps(c, number_format, with_marker)
 
+    def rest(k: int, known: dict[str, Column]) -> Column:
+        if k == len(steps):
+            return known["read"]
+        found = steps[k](known.__getitem__)
+        return let(F.struct(*(v.alias(n) for n, v in found.items())), lambda s: rest(k + 1, known | {n: s[n] for n in found}))
 
-def _unwrapped(whole: Column, number_format: str, with_marker: bool) -> Column:
-    """Takes off parentheses and the marker."""
-    bracketed = whole.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.trim(F.substring(whole, F.lit(2), F.length(whole) - 2))).otherwise(whole)
+    return rest(0, {})
 
-    def marked(text: Column, word: Column) -> Column:
-        debit = word.isin("D", "DB", "CARGO") | word.startswith("DEB") | word.startswith("DÉB")
-        sign = F.when(word != "", F.when(debit, "debit").otherwise("credit"))
-        plain = F.trim(F.regexp_replace(F.when(word != "", F.trim(F.regexp_replace(text, _MARKER, ""))).otherwise(text), _NOISE, ""))
-        return let(plain, lambda t: _unsigned(t, bracketed | debit, whole == "", sign, number_format))
 
-    if with_marker:
-        return let(inner, lambda t: let(F.upper(F.regexp_extract(t, _MARKER, 1)), lambda w: marked(t, w)))
-    plain = F.trim(F.regexp_replace(inner, _NOISE, ""))
-    return let(plain, lambda t: _unsigned(t, bracketed, whole == "", F.lit(None).cast("string"), number_format))
+def with_amount(df: DataFrame, name: str, c: Column, number_format: str | Column = "es-CL", with_marker: bool | Column = False) -> DataFrame:
+    """df with ``parse_amount`` of c as column ``name``, in projections that follow each other: all of it is compiled, step by step."""
+    own = lambda n: f"__{name}_{n}"
+    for step in _steps(c, number_format, with_marker):
+        df = df.withColumns({own(n): v for n, v in step(lambda n: F.col(own(n))).items()})
+    temporary = [n for n in df.columns if n.startswith(own("")) and n != own("read")]
+    return df.withColumn(name, F.col(own("read"))).drop(own("read"), *temporary)
 
 
-def _unsigned(text: Column, negative: Column, empty: Column, sign: Column, number_format: str | Column) -> Column:
-    """Takes off a minus or plus sign before, and a minus sign after."""
-    leading = text.startswith("-")
-    rest = F.when(text.rlike("^[-+]"), F.trim(F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+def _steps(c: Column, number_format: str | Column, with_marker: bool | Column) -> list[Callable[[Callable[[str], Column]], dict[str, Column]]]:
+    """How an amount is read: each step names values, from those that the steps before it named."""
+    named = number_format if isinstance(number_format, Column) else F.lit(number_format)
+    wanted = with_marker if isinstance(with_marker, Column) else F.lit(with_marker)
 
-    def ended(t: Column) -> Column:
-        trailing = t.endswith("-")
-        bare = F.regexp_replace(F.when(trailing, F.trim(F.left(t, F.length(t) - 1))).otherwise(t), r"\s", "")
-        return let(bare, lambda b: let((negative != leading) != trailing, lambda n: _digits(b, n, empty, sign, number_format)))
+    def whole(_) -> dict[str, Column]:
+        return {"whole": F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\u00a0\u202f\u2009\t\r\n]", " "))}
 
-    return let(rest, ended)
+    def unwrapped(at) -> dict[str, Column]:
+        bracketed = at("whole").startswith("(") & at("whole").endswith(")") & (F.length(at("whole")) > 1)
+        return {"bracketed": bracketed, "inner": F.when(bracketed, F.trim(F.substring(at("whole"), F.lit(2), F.length(at("whole")) - 2))).otherwise(at("whole"))}
 
+    def word(at) -> dict[str, Column]:
+        return {"word": F.when(wanted, F.upper(F.regexp_extract(at("inner"), _MARKER, 1))).otherwise("")}
 
-def _digits(text: Column, negative: Column, empty: Column, sign: Column, number_format: str | Column) -> Column:
-    """Reads digits and marks."""
-    dots, commas = (F.length(text) - F.length(F.replace(text, F.lit(m))) for m in ".,")
-    single = F.when(dots > 0, ".").otherwise(",")
-    tail = F.element_at(F.split(text, "[.,]"), -1)
-    both, none = (dots > 0) & (commas > 0), (dots == 0) & (commas == 0)
-    repeated = ~both & (dots + commas > 1)
-    grouped = text.rlike(r"^\d{1,3}([.,]\d{3})+$")
-    three = ~both & (dots + commas == 1) & (F.length(tail) == 3)
-    named = number_format if isinstance(number_format, Column) else F.lit(number_format)
-    whole_mark = F.when(named == "es-CL", ".").when(named == "en-US", ",")
-    as_whole = none | repeated | three & F.coalesce(single == whole_mark, F.lit(True))
-    ambiguous = three & F.coalesce(single != whole_mark, F.lit(True))
-    fraction = F.when(as_whole, "").otherwise(tail)
-    shape = F.struct(F.regexp_replace(text, "[.,]", "").alias("digits"), fraction.alias("fraction"), ambiguous.alias("ambiguous"), (repeated & ~grouped).alias("malformed"))
-    return let(shape, lambda x: _checked(text, x, negative, empty, sign))
-
-
-def _checked(text: Column, shape: Column, negative: Column, empty: Column, sign: Column) -> Column:
-    digits, fraction, ambiguous = shape["digits"], shape["fraction"], shape["ambiguous"]
-    integer = F.left(digits, F.length(digits) - F.length(fraction))
-    error = (
-        F.when(empty, "empty")
-        .when(text == "", "no-digits")
-        .when(~text.rlike(r"^[\d.,]+$"), "unexpected-characters")
-        .when(shape["malformed"], "malformed-grouping")
-        .when(F.length(fraction) > 6, "too-many-decimals")
-        .when(digits.cast("decimal(38,0)").isNull() & (digits != "") | (F.try_to_number(F.right(F.concat(F.lit("0" * 20), digits), F.lit(20)), F.lit("9" * 20)) > MOST) | (F.length(F.regexp_replace(digits, "^0+", "")) > 16), "too-large")
-    )
-    value = F.concat(F.when(negative, "-").otherwise(""), F.when(integer == "", "0").otherwise(integer), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    return let(
-        error,
-        lambda e: F.struct(
-            F.when(e.isNull(), value.try_cast(AMOUNT)).alias("amount"),
-            F.when(e.isNull(), F.length(fraction)).alias("scale"),
-            F.when(e.isNull(), ambiguous).alias("ambiguous"),
-            F.when(e.isNull(), sign).alias("explicit_sign"),
-            e.alias("error"),
-        ),
-    )
+    def unmarked(at) -> dict[str, Column]:
+        w = at("word")
+        debit = w.isin("D", "DB", "CARGO") | w.startswith("DEB") | w.startswith("DÉB")
+        bare = F.when(w != "", F.trim(F.regexp_replace(at("inner"), _MARKER, ""))).otherwise(at("inner"))
+        return {"sign": F.when(w != "", F.when(debit, "debit").otherwise("credit")), "wrapped": at("bracketed") | debit, "plain": F.trim(F.regexp_replace(bare, _NOISE, ""))}
+
+    def unsigned(at) -> dict[str, Column]:
+        t = at("plain")
+        return {"leading": t.startswith("-"), "rest": F.when(t.startswith("-") | t.startswith("+"), F.trim(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)}
+
+    def ended(at) -> dict[str, Column]:
+        t = at("rest")
+        trailing = t.endswith("-")
+        return {"bare": F.regexp_replace(F.when(trailing, F.trim(F.left(t, F.length(t) - 1))).otherwise(t), r"\s", ""), "negative": (at("wrapped") != at("leading")) != trailing}
+
+    def marks(at) -> dict[str, Column]:
+        t = at("bare")
+        dots, commas = (F.length(t) - F.length(F.replace(t, F.lit(m))) for m in ".,")
+        return {"dots": dots, "commas": commas, "tail": F.regexp_extract(t, r"[^.,]*$", 0), "digits": F.translate(t, ".,", "")}
+
+    def shape(at) -> dict[str, Column]:
+        dots, commas = at("dots"), at("commas")
+        both, none = (dots > 0) & (commas > 0), (dots == 0) & (commas == 0)
+        repeated = ~both & (dots + commas > 1)
+        three = ~both & (dots + commas == 1) & (F.length(at("tail")) == 3)
+        single = F.when(dots > 0, ".").otherwise(",")
+        whole_mark = F.when(named == "es-CL", ".").when(named == "en-US", ",")
+        as_whole = none | repeated | three & F.coalesce(single == whole_mark, F.lit(True))
+        return {
+            "fraction": F.when(as_whole, "").otherwise(at("tail")), "ambiguous": three & F.coalesce(single != whole_mark, F.lit(True)),
+            "malformed": repeated & ~at("bare").rlike(r"^\d{1,3}([.,]\d{3})+$"),
+        }
+
+    def checked(at) -> dict[str, Column]:
+        digits = at("digits")
+        large = (F.try_to_number(F.right(F.concat(F.lit("0" * 20), digits), F.lit(20)), F.lit("9" * 20)) > MOST) | (F.length(F.regexp_replace(digits, "^0+", "")) > 16)
+        error = (
+            F.when(at("whole") == "", "empty")
+            .when(at("bare") == "", "no-digits")
+            .when(~at("bare").rlike(r"^[\d.,]+$"), "unexpected-characters")
+            .when(at("malformed"), "malformed-grouping")
+            .when(F.length(at("fraction")) > 6, "too-many-decimals")
+            .when(digits.cast("decimal(38,0)").isNull() & (digits != "") | large, "too-large")
+        )
+        return {"error": error, "integer": F.left(digits, F.length(digits) - F.length(at("fraction")))}
+
+    def read(at) -> dict[str, Column]:
+        integer, fraction, good = at("integer"), at("fraction"), at("error").isNull()
+        value = F.concat(F.when(at("negative"), "-").otherwise(""), F.when(integer == "", "0").otherwise(integer), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+        return {
+            "read": F.struct(
+                F.when(good, value.try_cast(AMOUNT)).alias("amount"), F.when(good, F.length(fraction)).alias("scale"), F.when(good, at("ambiguous")).alias("ambiguous"),
+                F.when(good, at("sign")).alias("explicit_sign"), at("error").alias("error"),
+            )
+        }
+
+    return [whole, unwrapped, word, unmarked, unsigned, ended, marks, shape, checked, read]

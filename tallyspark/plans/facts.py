@@ -153,3 +153,49 @@ def statement_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/s/"), "o_custkey", F.lit(".csv")).alias("path"), F.col("o_custkey").cast("string").alias("file_hash"), F.lit("csv").alias("kind"), F.lit(0).alias("sheet_index"), F.lit("").alias("sheet"), "row_index", "cells",
         F.transform("cells", lambda c: F.lit("")).alias("formats"), F.lit(None).cast("string").alias("error"),
     )
+
+
+#: A file holds at most so many orders; a customer with more has several.
+ORDERS_A_FILE = 500
+#: What a description holds beyond its number: letters outside ASCII, every delimiter, quotes and a line break.
+_ODD = 'CAFÉ "EL NIÑO"; S.A., UNO|DOS\tTRES\nAÑO €'
+
+
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) of orders as files, one or more a customer, in six forms by the customer's number: UTF-8 with a mark and
+    semicolons, UTF-8 with commas, windows-1252 with tabs, windows-1252 with bars, a workbook, and a workbook whose first sheet is a note."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")) - 1
+    rows = o.withColumns({"part": F.floor(n / ORDERS_A_FILE), "n": n % ORDERS_A_FILE, "form": F.col("o_custkey") % 6})
+    text = F.concat(F.lit(_ODD), F.lit(" "), F.col("o_orderkey"))
+    one = rows.groupBy("o_custkey", "part", "form").agg(F.sort_array(F.collect_list(F.struct("n", "day", text.alias("text"), F.col("o_totalprice").cast("decimal(22,2)").alias("money")))).alias("rows"))
+
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    def delimited(sign: str) -> Column:
+        line = lambda r: F.concat_ws(sign, F.date_format(r["day"], "dd/MM/yyyy"), quoted(r["text"]), quoted(spanish_number(r["money"])))
+        head = F.concat(F.lit(f"Titular{sign}Cliente "), F.col("o_custkey"), F.lit(f"\r\n\r\nFecha{sign}Glosa{sign}Monto\r\n"))
+        return F.concat(head, F.array_join(F.transform("rows", line), "\r\n"), F.lit("\r\n\r\n"))
+
+    form = F.col("form")
+    body = F.when(form == 0, delimited(";")).when(form == 1, delimited(",")).when(form == 2, delimited("\t")).when(form == 3, delimited("|"))
+    name = F.concat(F.lit("/files/"), F.col("o_custkey"), F.lit("-"), F.col("part"), F.when(form.isin(0, 1), ".csv").when(form.isin(2, 3), ".txt").otherwise(".xlsx"))
+    cells = F.transform("rows", lambda r: F.struct(F.datediff(r["day"], F.lit("1899-12-30").cast("date")).alias("day"), r["text"].alias("text"), r["money"].cast("double").alias("money")))
+    some = one.select(name.alias("path"), form.cast("int").alias("form"), F.col("o_custkey").cast("string").alias("customer"), F.when(form >= 4, cells).alias("rows"), body.alias("body"))
+    return some.mapInArrow(_files, "path string, content binary")
+
+
+def _files(batches):
+    import pyarrow as pa
+
+    from tallyspark.sources.xlsx import workbook
+
+    for batch in batches:
+        contents = []
+        for _, form, customer, rows, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if form < 4:
+                contents.append(body.encode(("utf-8-sig", "utf-8", "cp1252", "cp1252")[form]))
+            else:
+                lines = [["Titular", f"Cliente {customer}"], [], ["Fecha", "Glosa", "Monto"], *([r["day"], r["text"], r["money"]] for r in rows)]
+                contents.append(workbook({**({"Nota": [["Solo una nota"]]} if form == 5 else {}), "Movimientos": lines}, formats=[14, 0, 4]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], ["path", "content"])

@@ -251,4 +251,10 @@ ORACLES = {
     "amount_readings": """WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(22,2) AS m, floor(l_extendedprice::DECIMAL(22,2))::BIGINT AS w FROM lineitem), u AS (SELECT *, l_linenumber >= 7 AND w BETWEEN 1000 AND 999999 AS odd FROM t)
         SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_linenumber IN (1, 4, 5) THEN m::DOUBLE WHEN l_linenumber IN (2, 3) THEN -m::DOUBLE WHEN l_linenumber = 6 THEN -w::DOUBLE WHEN odd THEN (w::DECIMAL(22,3) / 1000)::DOUBLE ELSE w::DOUBLE END AS amount,
             CASE WHEN l_linenumber <= 5 THEN 2 WHEN odd THEN 3 ELSE 0 END::BIGINT AS scale, odd AS ambiguous, CASE WHEN l_linenumber = 4 THEN 'credit' END AS explicit_sign, NULL::VARCHAR AS error FROM u""",
+    "file_movements": """WITH n AS (SELECT *, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS n, o_custkey % 6 AS form, o_totalprice::DECIMAL(22,2) AS money FROM orders)
+        SELECT '/files/' || o_custkey || '-' || n // 500 || CASE WHEN form < 2 THEN '.csv' WHEN form < 4 THEN '.txt' ELSE '.xlsx' END AS path, CASE WHEN form < 2 THEN 'csv' WHEN form < 4 THEN 'delimited' ELSE 'xlsx' END AS kind,
+            (form = 5)::BIGINT AS sheet_index, n % 500 + 3 AS row_index, CASE WHEN form < 4 THEN strftime(day, '%d/%m/%Y') ELSE strftime(day, '%Y-%m-%d') END AS date,
+            'CAFÉ "EL NIÑO"; S.A., UNO|DOS' || chr(9) || 'TRES' || chr(10) || 'AÑO € ' || o_orderkey AS description,
+            CASE WHEN form < 4 THEN translate(format('{:,.2f}', money::DOUBLE), ',.', '.,') WHEN money = floor(money) THEN money::BIGINT::VARCHAR ELSE money::DOUBLE::VARCHAR END AS amount,
+            CASE WHEN form < 4 THEN '' ELSE 'grouped-decimal' END AS amount_format FROM n""",
 }

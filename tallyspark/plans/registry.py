@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import dates as D
 from tallyspark.functions import privacy as P
 from tallyspark.functions import text as T
-from tallyspark.functions.money import amount, parse_amount
+from tallyspark.functions.money import amount, with_amount
 from tallyspark.operators import balances, dedupe, enrich, imports, insights, installments, metrics, reconcile, recurring, rules
 from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
@@ -123,6 +123,17 @@ def card_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.match_card_payments(facts.from_events(spark, sf_dir))
 
 
+def file_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as files of several kinds, encodings, delimiters and quotings, read back from their bytes: rows of each file's data sheet below its header."""
+    files = stored(facts.order_files(spark, sf_dir), "files")
+    rows = stored(sheets.sheets_of(files), "sheets")
+    data = sheets.data_sheets(rows.where("error is null"))
+    first = sheets.headers(data).select("file_hash", "header_row", *(F.element_at("roles", r).alias(f"{r}_at") for r in ("date", "description", "amount")))
+    cell = lambda r, of="cells": F.get(of, F.col(f"{r}_at"))
+    below = data.join(first, "file_hash").where("row_index > header_row")
+    return below.select("path", "kind", F.col("sheet_index").cast("bigint").alias("sheet_index"), F.col("row_index").cast("bigint").alias("row_index"), cell("date").alias("date"), cell("description").alias("description"), cell("amount").alias("amount"), cell("amount", "formats").alias("amount_format"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedupe.with_fingerprints(facts.described(spark, sf_dir))
     return rows.select("row_id", "fingerprint", "weak_fingerprint", "legacy_fingerprint")
@@ -255,8 +266,7 @@ def amount_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 1, F.concat(F.lit("$ "), spanish)).when(n == 2, F.concat(F.lit("("), spanish, F.lit(")"))).when(n == 3, F.concat(F.translate(plain, ".", ","), F.lit("-"))).when(n == 4, F.concat(spanish, F.lit(" CR")))
         .when(n == 5, F.concat(F.lit("USD "), plain)).when(n == 6, F.concat(F.lit("-"), F.translate(whole, ",", "."))).otherwise(whole)
     )
-    read = parse_amount(text, "es-CL", with_marker=True)
-    rows = line.select("l_orderkey", "l_linenumber", read.alias("r"))
+    rows = with_amount(line.select("l_orderkey", "l_linenumber", text.alias("text")), "r", F.col("text"), "es-CL", with_marker=True)
     return _plain(rows.select("l_orderkey", "l_linenumber", F.col("r.amount").alias("amount"), F.col("r.scale").alias("scale"), F.col("r.ambiguous").alias("ambiguous"), F.col("r.explicit_sign").alias("explicit_sign"), F.col("r.error").alias("error")))
 
 
@@ -355,7 +365,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
     bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 

@@ -8,14 +8,17 @@ limit is one row with an error, like any other that can't be read.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyspark.functions.dates import parse_date
 from tallyspark.functions.text import fold_case
@@ -28,21 +31,21 @@ DELIMITERS = (";", ",", "\t", "|")
 SHEETS = "path string, file_hash string, kind string, sheet_index int, sheet string, row_index int, cells array<string>, formats array<string>, error string"
 
 
-def file_kind(content: Column, path: Column) -> Column:
+def file_kind(content: bytes, path: str) -> str:
     """xlsx, xls, csv, delimited or unsupported: by the first bytes, then the extension, then whether it looks like text."""
-    head = F.hex(F.substring(content, 1, 4))
-    extension = F.lower(F.element_at(F.split(path, r"\."), -1))
-    sample = F.substring(content, 1, 512)
-    odd = F.length(F.regexp_replace(F.decode(sample, "ISO-8859-1"), r"[^\x01-\x08\x0E-\x1F]", ""))
-    text = ~F.hex(sample).rlike("^(?:..)*00") & (odd / F.greatest(F.lit(1), F.length(sample)) < 0.05)
-    return (
-        F.when(head.startswith("504B") & (F.length(content) > 4), "xlsx")
-        .when((head == "D0CF11E0") & (F.length(content) > 8), "xls")
-        .when(extension == "csv", "csv")
-        .when(extension.isin("txt", "tsv", "xls", "xlsx"), "delimited")
-        .when(extension == "pdf", "unsupported")
-        .otherwise(F.when(text, "delimited").otherwise("unsupported"))
-    )
+    extension = path.rpartition(".")[2].lower()
+    if content[:2] == b"PK" and len(content) > 4:
+        return "xlsx"
+    if content[:4] == b"\xd0\xcf\x11\xe0" and len(content) > 8:
+        return "xls"
+    if extension == "csv":
+        return "csv"
+    if extension in ("txt", "tsv", "xls", "xlsx"):
+        return "delimited"
+    sample = content[:512]
+    odd = sum(x < 32 and x not in (9, 10, 11, 12, 13) for x in sample)
+    text = 0 not in sample and odd < 0.05 * max(1, len(sample))
+    return "delimited" if text and extension != "pdf" else "unsupported"
 
 
 def decode_text(data: bytes) -> str:
@@ -75,32 +78,91 @@ def read_delimited(text: str) -> list[list[str]]:
     return rows
 
 
-def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
-    names = ["path", "file_hash", "kind", "sheet_index", "sheet", "row_index", "cells", "formats", "error"]
-    for batch in batches:
-        for path, mark, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            try:
-                if kind == "xlsx":
-                    sheets = read_xlsx(content, MOST_ROWS)
-                elif kind in ("csv", "delimited"):
-                    found = read_delimited(decode_text(content))
-                    sheets = [("", found, [[""] * len(r) for r in found])]
-                else:
-                    raise ValueError(f"unsupported file: {kind}")
-                rows = [(path, mark, kind, i, name, j, cells, formats, None) for i, (name, found, shapes) in enumerate(sheets) for j, (cells, formats) in enumerate(zip(found, shapes, strict=True))]
-            except Exception as e:  # one bad file is an issue, not the end of the job
-                rows = [(path, mark, kind, None, None, None, None, None, str(e) or type(e).__name__)]
-            for at in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 10_000], strict=True), kinds, strict=True)], names)
+def file_rows(path: str, content: bytes, most_bytes: int = MOST_BYTES) -> Iterator[tuple]:
+    """The rows of one file, as SHEETS; one row with an error if it can't be read or is over the size limit."""
+    mark, kind = hashlib.sha256(content).hexdigest(), file_kind(content, path)
+    try:
+        if len(content) > most_bytes:
+            raise ValueError(f"file of {len(content)} bytes is over the limit of {most_bytes}")
+        if kind == "xlsx":
+            sheets = read_xlsx(content, MOST_ROWS)
+        elif kind in ("csv", "delimited"):
+            found = read_delimited(decode_text(content))
+            sheets = [("", found, [[""] * len(r) for r in found])]
+        else:
+            raise ValueError(f"unsupported file: {kind}")
+    except Exception as e:  # one bad file is an issue, not the end of the job
+        yield (path, mark, kind, None, None, None, None, None, str(e) or type(e).__name__)
+        return
+    for i, (name, found, shapes) in enumerate(sheets):
+        for j, (cells, formats) in enumerate(zip(found, shapes, strict=True)):
+            yield (path, mark, kind, i, name, j, cells, formats, None)
+
+
+def sheets_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """All rows of all sheets of ``files`` (path, content); extra columns play no part. A null content is an empty file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+        names = [x.split()[0] for x in SHEETS.split(", ")]
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                rows = file_rows(path.as_py() or "", content.as_py() or b"", most_bytes)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), kinds, strict=True)], names)
+
+    return files.select("path", "content").mapInArrow(run, SHEETS)
 
 
 def read_sheets(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """All rows of all sheets of the files under ``path``; a file that can't be read, or is over the size limit, is one row with an error."""
+    """All rows of all sheets of the files under ``path``, in any store that Spark reads; a file that can't be read, or is over the size
+    limit, is one row with an error."""
     files = spark.read.format("binaryFile").load(path)
-    rows = files.where(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("file_hash"), file_kind(F.col("content"), F.col("path")).alias("kind"), "content")
     over = files.where(F.col("length") > most_bytes).select("path", F.format_string(f"file of %d bytes is over the limit of {most_bytes}", "length").alias("error"))
-    return rows.mapInArrow(_reading, SHEETS).unionByName(over, allowMissingColumns=True)
+    return sheets_of(files.where(F.col("length") <= most_bytes), most_bytes).unionByName(over, allowMissingColumns=True)
+
+
+class _File(InputPartition):
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size = path, size
+
+
+class _Files(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.most_bytes = options["path"], int(options.get("mostBytes", MOST_BYTES))
+
+    def partitions(self) -> list[_File]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        found = [info for info in store.get_file_info(fs.FileSelector(root, recursive=True)) if info.is_file]
+        return [_File(i.path, i.size) for i in sorted(found, key=lambda i: i.path)]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        if partition.size > self.most_bytes:
+            error = f"file of {partition.size} bytes is over the limit of {self.most_bytes}"
+            yield (partition.path, None, None, None, None, None, None, None, error)
+            return
+        store = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
+        with store.open_input_stream(partition.path) as stream:
+            yield from file_rows(partition.path, stream.read(), self.most_bytes)
+
+
+class SheetFiles(DataSource):
+    """``spark.read.format("sheets").load(folder)``: a task for each file, rows as they are read. For stores that pyarrow opens; ``read_sheets``
+    reads from all that Spark does. Register with ``spark.dataSource.register(SheetFiles)``; option ``mostBytes`` is the size limit."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sheets"
+
+    def schema(self) -> str:
+        return SHEETS
+
+    def reader(self, schema) -> _Files:
+        return _Files(dict(self.options))
 
 
 def data_sheets(rows: DataFrame) -> DataFrame:

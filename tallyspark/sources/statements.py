@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.binding import let
 from tallyspark.functions.dates import parse_date
-from tallyspark.functions.money import AMOUNT, amount, parse_amount
+from tallyspark.functions.money import AMOUNT, amount, parse_amount, with_amount
 from tallyspark.functions.text import fold_case, normalize_description
 from tallyspark.operators import balances
 from tallyspark.operators.enrich import default_kind, installment, remaining_installments
+from tallyspark.session import once_per, stored
 from tallyspark.sources import sheets
 from tallyspark.sources.profiles import BY_PARSER, FLOOR, IGNORED, PROFILES, Profile
 
@@ -215,12 +216,12 @@ def _has(role: str) -> Column:
 
 def _data(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows below the header, with their file's layout, the label of each, and whether it is blank or to be passed over."""
-    some = files.where("header_row is not null and unsupported is null").drop("path", "kind", "preamble")
+    some = files.where("header_row is not null and unsupported is null").drop("path", "kind", "preamble").withColumn("__ignored", _by_parser(lambda p: "|".join(p.ignored) or None))
     below = rows.where("cells is not null").select("file_hash", "sheet_index", "row_index", "cells", "formats").join(some, ["file_hash", "sheet_index"]).where("row_index > header_row")
     label = F.when(_cell("description") != "", _cell("description")).otherwise(F.trim(F.coalesce(F.get(F.filter("cells", lambda c: c.rlike(r"\p{L}{2,}")), F.lit(0)), F.lit(""))))
     below = below.withColumns({"label": label, "blank": ~F.exists("cells", lambda c: F.trim(c) != "")})
-    own = _of_parser(lambda p: _any(F.col("label"), p.ignored) if p.ignored else None)
-    return below.withColumn("passed", (F.col("label") != "") & (_any(F.col("label"), IGNORED) | own))
+    own = F.coalesce(F.rlike("label", F.col("__ignored")), F.lit(False))
+    return below.withColumn("passed", (F.col("label") != "") & (_any(F.col("label"), IGNORED) | own)).drop("__ignored")
 
 
 def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -314,43 +315,69 @@ _MARKED = ("installment_amount", "debit", "credit", "amount")
 _PLAIN = ("debit", "credit", "balance")
 
 
+def _amounts(below: DataFrame) -> DataFrame:
+    """(__row, __m0 to __m3, __p0 to __p2): the amounts in the cells of each row, with and without markers, null where a cell is empty.
+
+    Filled cells are rows of their own while they are read, so that one compiled chain reads all of them."""
+    kinds = [*((f"__m{i}", r, True) for i, r in enumerate(_MARKED)), *((f"__p{i}", r, False) for i, r in enumerate(_PLAIN))]
+    some = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("marked"), F.col(f"__{r}").alias("text"), F.col(f"__{r}_format").alias("format")) for n, r, m in kinds))
+    cells = below.select("__row", F.inline(some)).where("text != ''")
+    read = with_amount(cells, "read", F.col("text"), F.col("format"), F.col("marked")).select("__row", "name", "read")
+    return read.groupBy("__row").agg(*(F.max(F.when(F.col("name") == n, F.col("read"))).alias(n) for n, _, _ in kinds))
+
+
 def movements(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Every row below the headers of ``evidence`` files: status mapped, skipped or failed, with its reason, and the typed movement.
 
     Amounts: an instalment's own column comes first, then debit and credit (both filled is a failure), then the amount with its
     marker, the direction column, or the sign that the profile gives to plain figures. Money out is negative.
+
+    What a profile says is joined with its file. Rows are stored once; amounts are read cell by cell, dates and descriptions once for all
+    rows that have them, and what is left of a row is choosing among what was read.
     """
-    below = _data(rows, files)
-    formats = F.create_map(*(F.lit(x) for p in PROFILES for x in (p.parser, p.number_format)))
-    formatted = lambda role: F.coalesce(F.try_element_at("formats_by_role", F.lit(role)), F.try_element_at(formats, F.col("parser")))
-    cells = lambda roles: F.array(*(F.struct(_cell(r).alias("t"), formatted(r).alias("f")) for r in roles))
-    read = below.withColumns(
+    remaining = _of_parser(lambda p: F.get("header", F.try_element_at("roles", F.lit("installment"))).isin(*p.remaining_headers) if p.remaining_headers else None)
+    told = files.withColumns(
         {
-            "__marked": F.transform(cells(_MARKED), lambda x: F.when(x["t"] != "", parse_amount(x["t"], x["f"], with_marker=True))),
-            "__plain": F.transform(cells(_PLAIN), lambda x: F.when(x["t"] != "", parse_amount(x["t"], x["f"]))),
-            **{f"__{r}": _cell(r) for r in (*_MARKED, "balance", "date", "posted_date", "description", "installment", "direction_flag", "card")},
+            "__omits_year": _of_parser(lambda p: F.lit(True) if p.date_omits_year else None), "__positive_is_debit": _of_parser(lambda p: F.lit(True) if p.amount_sign == "debit-positive" else None), "__remaining": remaining,
+            "institution": _by_parser(lambda p: p.institution), "__format": _by_parser(lambda p: p.number_format), "heading": F.coalesce(F.get("header", F.try_element_at("roles", F.lit("direction_flag"))), F.lit("")),
         }
-    )
-    hint = _of_parser(lambda p: F.lit(True) if p.date_omits_year else None)
-    start, end = F.when(hint, F.col("hint_from")), F.when(hint, F.col("hint_to"))
-    read = read.withColumns({"__day": parse_date(F.col("__date"), F.col("date_order"), start, end), "__posted": F.when(F.col("__posted_date") != "", parse_date(F.col("__posted_date"), F.col("date_order"), start, end))})
-
-    marked = {r: F.col("__marked")[i] for i, r in enumerate(_MARKED)}
-    plain = {r: F.col("__plain")[i] for i, r in enumerate(_PLAIN)}
+    )
+    formatted = lambda role: F.coalesce(F.try_element_at("formats_by_role", F.lit(role)), F.col("__format"))
+    below = _data(rows, stored(told, "told")).withColumns(
+        {
+            **{f"__{r}": _cell(r) for r in (*_MARKED, "balance", "date", "posted_date", "description", "installment", "direction_flag", "card", "reference", "operation_type")},
+            **{f"__has_{r}": _has(r) for r in ("debit", "credit", "installment_amount")}, **{f"__{r}_format": formatted(r) for r in (*_MARKED, "balance")},
+            "__from": F.when(F.col("__omits_year"), F.col("hint_from")), "__to": F.when(F.col("__omits_year"), F.col("hint_to")),
+            "raw": F.map_filter(F.map_from_entries(F.transform(F.map_entries("roles"), lambda e: F.struct(e["key"], F.left(F.trim(F.coalesce(F.get("cells", e["value"]), F.lit(""))), F.lit(200)).alias("value")))), lambda k, v: v != ""),
+        }
+    )
+    kept = ["file_hash", "parser", "account_number", "row_index", "currency", "is_card", "date_order", "blank", "passed", "institution", "heading", "raw"]
+    below = stored(below.select(*kept, *(c for c in below.columns if c.startswith("__"))), "below").withColumn("__row", F.monotonically_increasing_id())
+    read = below.join(_amounts(below), "__row", "left")
+    day = lambda c: lambda df: df.withColumn(f"{c}_read", F.when(F.col(c) != "", parse_date(F.col(c), F.col("date_order"), F.col("__from"), F.col("__to"))))
+    for c in ("__date", "__posted_date"):
+        read = once_per(read, [c, "date_order", "__from", "__to"], day(c))
+    told_by = {"__normalized": normalize_description(F.col("__description")), "__installment_read": installment(F.col("__description"), F.col("__installment"), F.col("is_card")), "__last4": card_last4(F.col("__card"), F.col("__description")), "__left": remaining_installments(F.col("__installment"))}
+    kind = lambda df, way: df.withColumn("direction", F.lit(way)).withColumn(f"__kind_{way}", default_kind(F.col("__normalized"), F.col("is_card"))).drop("direction")
+    read = once_per(read, ["__description", "__installment", "__card", "is_card"], lambda df: kind(kind(df.withColumns(told_by), "out"), "in"))
+    read = once_per(read, ["__direction_flag", "heading"], lambda df: df.withColumn("__flagged", direction_of_flag(F.col("__direction_flag"), F.col("heading"))))
+
+    marked = {r: F.col(f"__m{i}") for i, r in enumerate(_MARKED)}
+    plain = {r: F.col(f"__p{i}") for i, r in enumerate(_PLAIN)}
+    has = lambda role: F.col(f"__has_{role}")
     text = lambda r: F.col(f"__{r}")
     there = lambda r: ~text(r).isin("", "-") & (marked[r]["error"].isNotNull() | (marked[r]["amount"] != 0))
     content = there("installment_amount") | there("debit") | there("credit") | there("amount")
     given = lambda r: ~text(r).isin("", "-", "0")
     side = lambda r: F.when(given(r), plain[r]["amount"])
     nonzero = lambda r: F.coalesce(side(r) != 0, F.lit(False))
-    positive_is_debit = _of_parser(lambda p: F.lit(True) if p.amount_sign == "debit-positive" else None)
+    positive_is_debit = F.col("__positive_is_debit")
     own = text("installment_amount") != ""
-    sides = _has("debit") | _has("credit")
+    sides = has("debit") | has("credit")
     bad_side = (given("debit") & plain["debit"]["error"].isNotNull()) | (given("credit") & plain["credit"]["error"].isNotNull())
     column = lambda r: F.when(marked[r]["explicit_sign"].isNotNull(), _signed(marked[r]["amount"], marked[r]["explicit_sign"]))
     by_default = lambda r: F.when(positive_is_debit, -marked[r]["amount"]).otherwise(marked[r]["amount"])
-    heading = F.coalesce(F.get("header", F.try_element_at("roles", F.lit("direction_flag"))), F.lit(""))
-    flagged = direction_of_flag(text("direction_flag"), heading)
+    flagged = F.col("__flagged")
     unmarked = marked["amount"]["explicit_sign"].isNull()
     from_sides = sides & (nonzero("debit") | nonzero("credit"))
     value = (
@@ -360,7 +387,7 @@ def movements(rows: DataFrame, files: DataFrame) -> DataFrame:
     )
     failure = (
         F.when(text("date") == "", "missing-date")
-        .when(F.col("__day.error").isNotNull(), "unreadable-date")
+        .when((text("date") != "") & F.col("__date_read.error").isNotNull(), "unreadable-date")
         .when(text("description") == "", "missing-description")
         .when(own, F.when(marked["installment_amount"]["error"].isNotNull(), "unreadable-amount"))
         .when(sides & bad_side, "unreadable-amount")
@@ -374,31 +401,23 @@ def movements(rows: DataFrame, files: DataFrame) -> DataFrame:
     read = read.withColumns({"__skipped": skipped, "failure": F.when(~skipped, failure)})
     ok = ~F.col("__skipped") & F.col("failure").isNull()
     read = read.withColumns({"status": F.when(F.col("__skipped"), "skipped").when(F.col("failure").isNotNull(), "failed").otherwise("mapped"), "amount": amount(F.when(ok, value)), "__ok": ok})
-    remaining = _of_parser(lambda p: F.get("header", F.try_element_at("roles", F.lit("installment"))).isin(*p.remaining_headers) if p.remaining_headers else None)
     when = lambda c: F.when(F.col("__ok"), c)
-    read = read.withColumns(
-        {
-            "direction": when(F.when(F.col("amount") < 0, "out").otherwise("in")), "normalized_description": when(normalize_description(text("description"))),
-            "installment": when(installment(text("description"), text("installment"), F.col("is_card"))),
-        }
-    )
-    read = read.withColumn("__kind", when(default_kind(F.col("normalized_description"), F.col("is_card"))))
+    read = read.withColumns({"direction": when(F.when(F.col("amount") < 0, "out").otherwise("in")), "installment": when(F.col("__installment_read")), "__kind": when(F.when(F.col("amount") < 0, F.col("__kind_out")).otherwise(F.col("__kind_in")))})
     plan = F.col("installment").isNotNull()
     ambiguous = F.when(own, False).when(sides & (F.coalesce(plain["debit"]["ambiguous"] & given("debit"), F.lit(False)) | F.coalesce(plain["credit"]["ambiguous"] & given("credit"), F.lit(False))), True).when(from_sides, False).otherwise(F.coalesce(marked["amount"]["ambiguous"], F.lit(False)))
     warnings = {
-        "unparsed-column": (text("posted_date") != "") & F.col("__posted.error").isNotNull(), "ambiguous-amount-format": ambiguous, "zero-amount": F.col("amount") == 0,
-        "ambiguous-installment": F.col("installment.confidence") == "suggested", "ambiguous-installment-amount": plan & ~_has("installment_amount"), "ambiguous-card-credit": F.col("__kind.ambiguous_card_credit"),
+        "unparsed-column": (text("posted_date") != "") & F.col("__posted_date_read.error").isNotNull(), "ambiguous-amount-format": ambiguous, "zero-amount": F.col("amount") == 0,
+        "ambiguous-installment": F.col("installment.confidence") == "suggested", "ambiguous-installment-amount": plan & ~has("installment_amount"), "ambiguous-card-credit": F.col("__kind.ambiguous_card_credit"),
     }
-    raw = F.map_filter(F.map_from_entries(F.transform(F.map_entries("roles"), lambda e: F.struct(e["key"], F.left(F.trim(F.coalesce(F.get("cells", e["value"]), F.lit(""))), F.lit(200)).alias("value")))), lambda k, v: v != "")
-    tail = lambda role: F.when(_cell(role) != "", _cell(role))
+    tail = lambda role: F.when(text(role) != "", text(role))
     return read.select(
-        "file_hash", "parser", _by_parser(lambda p: p.institution).alias("institution"), "account_number", (F.col("row_index") + 1).alias("source_line"), "status", "failure",
+        "file_hash", "parser", "institution", "account_number", (F.col("row_index") + 1).alias("source_line"), "status", "failure",
         F.when(F.col("failure").isNotNull(), F.concat(F.lit("Fila "), F.col("row_index") + 1, F.lit(": "), F.element_at(F.create_map(*(F.lit(x) for kv in FAILURES.items() for x in kv)), F.col("failure")))).alias("failure_text"),
-        when(F.col("__day.date")).alias("date"), when(F.col("__posted.date")).alias("posted_date"), when(text("description")).alias("description"), "normalized_description", "amount", "currency", "direction",
+        when(F.col("__date_read.date")).alias("date"), when(F.col("__posted_date_read.date")).alias("posted_date"), when(text("description")).alias("description"), when(F.col("__normalized")).alias("normalized_description"), "amount", "currency", "direction",
         when(F.when(text("balance") != "", plain["balance"]["amount"])).cast(AMOUNT).alias("balance_after"), when(tail("reference")).alias("reference"), when(tail("operation_type")).alias("operation_type"),
-        when(card_last4(text("card"), text("description"))).alias("card_last4"), F.col("__kind.kind").alias("kind"), F.col("__kind.confidence").alias("kind_confidence"), "installment",
-        when(F.when(~plan & remaining, remaining_installments(text("installment")))).alias("installment_remaining"),
-        when(F.array_compact(F.array(*(F.when(c, k) for k, c in warnings.items())))).alias("warnings"), when(raw).alias("raw"),
+        when(F.col("__last4")).alias("card_last4"), F.col("__kind.kind").alias("kind"), F.col("__kind.confidence").alias("kind_confidence"), "installment",
+        when(F.when(~plan & F.col("__remaining"), F.col("__left"))).alias("installment_remaining"),
+        when(F.array_compact(F.array(*(F.when(c, k) for k, c in warnings.items())))).alias("warnings"), when(F.col("raw")).alias("raw"),
     )
 
 

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree as X
+from xml.sax.saxutils import escape, quoteattr
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -102,3 +103,33 @@ def read_xlsx(content: bytes, most_rows: int) -> list[tuple[str, list[list[str]]
                 kinds.pop()
             out.append((sheet.get("name", ""), rows, kinds))
         return out
+
+
+def workbook(sheets: dict[str, list[list]], formats: list[int]) -> bytes:
+    """A workbook with the given rows a sheet: numbers as numbers, in the built-in format of their column, texts as shared strings."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared: dict[str, int] = {}
+    files, names, links = {}, "", ""
+    for k, (name, rows) in enumerate(sheets.items(), 1):
+        data = ""
+        for r, row in enumerate(rows, 1):
+            cells = ""
+            for c, value in enumerate(row):
+                at = f"{chr(65 + c)}{r}"  # up to 26 columns
+                if isinstance(value, str):
+                    cells += f'<c r="{at}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>'
+                else:
+                    cells += f'<c r="{at}" s="{c + 1}"><v>{value!r}</v></c>'
+            data += f'<row r="{r}">{cells}</row>' if row else ""
+        files[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet {main}><sheetData>{data}</sheetData></worksheet>"
+        names += f'<sheet name={quoteattr(name)} sheetId="{k}" r:id="r{k}"/>'
+        links += f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>'
+    files["xl/workbook.xml"] = f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>'
+    files["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>'
+    files["xl/sharedStrings.xml"] = f"<sst {main}>{''.join(f'<si><t>{escape(t)}</t></si>' for t in shared)}</sst>"
+    files["xl/styles.xml"] = f'<styleSheet {main}><cellXfs><xf numFmtId="0"/>{"".join(f"""<xf numFmtId="{f}"/>""" for f in formats)}</cellXfs></styleSheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(zipfile.ZipInfo(name), text)  # no time of writing: equal rows give equal bytes
+    return out.getvalue()

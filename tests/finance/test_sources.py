@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tallyspark.sources import ledger as L
 from tallyspark.sources import sheets as S
 from tallyspark.sources.xlsx import format_shape, read_xlsx
+from tallyspark.sources.xlsx import workbook as book
 
 CSV = 'Titular;Ana\nCuenta;00-123-45678\n\nFecha;Descripción;Cargo;Abono;Saldo\n05/01/2026;"COMPRA ""X""; Y";1.000;;9.000\n06/01/2026;SUELDO;;5.000;14.000\n\n'
 
@@ -49,6 +50,30 @@ def test_files_to_records(spark, tmp_path):
     assert any(c[1:3] == ("2026-01-05", "PAN") and c[6] == "1234.5" for c in cells) and len(cells) == 5
 
 
+def test_data_source_reads_the_same_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.csv").write_bytes(CSV.encode("utf-8-sig"))
+    (tmp_path / "in" / "b").write_bytes(CSV.replace(";", "|").encode("cp1252"))
+    (tmp_path / "c.xlsx").write_bytes(book({"Nota": [["x"]], "Datos": [["Fecha", "Glosa", "Monto"], [], [46027, "uno & <dos>", 0.1]]}, [14, 0, 4]))
+    (tmp_path / "d.bin").write_bytes(b"\0\1\2")
+    (tmp_path / "e.csv").write_bytes(b"a;b\n" * 40_000)
+    spark.dataSource.register(S.SheetFiles)
+    got = spark.read.format("sheets").option("mostBytes", 100_000).load(str(tmp_path))
+    bare = lambda rows: sorted({str((r.path.rpartition("/")[2], *r[2:])) for r in rows})
+    a = got.where("error is null").collect()
+    b = S.read_sheets(spark, f"{tmp_path}/*", 100_000).unionByName(S.read_sheets(spark, f"{tmp_path}/in", 100_000)).where("error is null")
+    assert bare(a) == bare(b.collect()) and len(bare(a)) == len(a)
+    assert {r.path.rpartition("/")[2]: r.error for r in got.where("error is not null").collect()} == {"d.bin": "unsupported file: unsupported", "e.csv": "file of 160000 bytes is over the limit of 100000"}
+    assert [r.cells for r in S.data_sheets(got.where("kind = 'xlsx'")).orderBy("row_index").collect()] == [["Fecha", "Glosa", "Monto"], ["", "", ""], ["2026-01-05", "uno & <dos>", "0.1"]]
+
+
+def test_rows_of_bytes_in_a_table(spark):
+    files = spark.createDataFrame([("a.csv", bytearray(CSV.encode())), ("b.csv", None), (None, bytearray(b"x"))], "path string, content binary")
+    got = S.sheets_of(files).collect()
+    assert {(r.path, r.error) for r in got} == {("a.csv", None), ("", None)} and sum(r.path == "a.csv" for r in got) == 6
+    assert S.sheets_of(files.limit(0)).count() == 0
+
+
 def test_roles_and_delimiters():
     assert S.map_columns(["FECHA", "FECHA CONTABLE", "DETALLE", "MONTO TOTAL", "VALOR CUOTA", "SALDO"]) == {"date": 0, "posted_date": 1, "description": 2, "purchase_amount": 3, "installment_amount": 4, "balance": 5}
     assert S.map_columns(["FECHA ABONO", "GLOSA", "MONTO"])["date"] == 0
