@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import stored
+
 #: A row that may have been written by an older parser with another amount; nobody can select it by hand.
 CONFLICT = "legacy-source-conflict"
 # Types of activities, the way their money goes, and those that a card's account takes.
@@ -58,10 +60,24 @@ def batches(rows: DataFrame, key: str, size: int = 100) -> DataFrame:
     return parts.withColumn("__n", number).withColumn("batch", F.concat_ws("-", F.shiftright("__n", 33), F.floor(F.col("__n").bitwiseAND((1 << 33) - 1) / size))).drop("__n")
 
 
-def resolved_type(kind: Column, direction: Column, account_type: Column | None = None) -> Column:
-    """struct(type, substituted): the ledger's type of a movement; another where its own goes the other way or the account refuses it."""
+def in_order(rows: DataFrame, key: str, size: int = 100) -> DataFrame:
+    """Stored rows with ``batch``: numbers from 0, ``size`` rows a batch in the order of the key (null first).
+
+    Rows are dealt by ranges of the key and sorted within; a row's number is its place plus the counts of the ranges before, of which
+    there are as many as tasks."""
+    sorted_ = rows.repartitionByRange(F.col(key), F.xxhash64(F.monotonically_increasing_id())).sortWithinPartitions(key)
+    placed = stored(sorted_.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}), "in-order")
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("own"), F.min("__place").alias("first"))
+    before = F.coalesce(F.sum("own").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", "first", before.alias("before"))
+    place = F.col("__place") - F.col("first") + F.col("before")
+    return placed.join(F.broadcast(counts), "__part").withColumn("batch", F.floor(place / size)).drop("__part", "__place", "first", "before")
+
+
+def natural_type(kind: Column, direction: Column) -> Column:
+    """The ledger's type of a kind of movement, whatever the account takes."""
     out = direction == "out"
-    natural = (
+    return (
         F.when(kind == "income", "DEPOSIT")
         .when(kind.isin("expense", "credit_card_purchase", "cash_advance"), "WITHDRAWAL")
         .when(kind.isin("internal_transfer", "investment", "credit_card_payment"), F.when(out, "TRANSFER_OUT").otherwise("TRANSFER_IN"))
@@ -71,9 +87,29 @@ def resolved_type(kind: Column, direction: Column, account_type: Column | None =
         .when(kind == "interest", F.when(out, "FEE").otherwise("INTEREST"))
         .otherwise("UNKNOWN")
     )
-    flow = F.try_element_at(F.create_map(*(F.lit(x) for kv in FLOWS.items() for x in kv)), natural)
+
+
+def flow(activity_type: Column) -> Column:
+    """in or out, as the ledger's type says; null where it says nothing."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in FLOWS.items() for x in kv)), activity_type)
+
+
+def kind_of_type(activity_type: Column, subtype: Column, account_type: Column) -> Column:
+    """The kind that the ledger's type alone tells: a credit is a refund on a card, elsewhere what its subtype says."""
+    t, sub = activity_type, F.upper(subtype)
+    credit = F.when(account_type == "CREDIT_CARD", "refund").when(sub == "BONUS", "income").when(sub.isin("REFUND", "REBATE", "REIMBURSEMENT"), "refund").otherwise("unknown")
+    return (
+        F.when(t == "DEPOSIT", "income").when(t == "WITHDRAWAL", "expense").when(t.isin("TRANSFER_IN", "TRANSFER_OUT"), "internal_transfer").when(t == "CREDIT", credit)
+        .when(t == "FEE", F.when(subtype == "INTEREST_CHARGE", "interest").otherwise("fee")).when(t == "TAX", "tax").when(t == "INTEREST", "interest").otherwise("unknown")
+    )
+
+
+def resolved_type(kind: Column, direction: Column, account_type: Column | None = None) -> Column:
+    """struct(type, substituted): the ledger's type of a movement; another where its own goes the other way or the account refuses it."""
+    out = direction == "out"
+    natural = natural_type(kind, direction)
     nearest = F.when(out, "WITHDRAWAL").otherwise("CREDIT")
-    wrong_way = F.coalesce(flow != direction, F.lit(False))
+    wrong_way = F.coalesce(flow(natural) != direction, F.lit(False))
     card = F.coalesce(account_type == "CREDIT_CARD", F.lit(False)) if account_type is not None else F.lit(False)
     refused = card & (~natural.isin(*ON_CARDS) | (natural == "INTEREST") & ~out)
     chosen = F.when(wrong_way, nearest).when(refused & (natural == "INTEREST"), "CREDIT").when(refused & (natural == "TAX"), "FEE").when(refused, nearest).otherwise(natural)

@@ -257,4 +257,28 @@ ORACLES = {
             'CAFÉ "EL NIÑO"; S.A., UNO|DOS' || chr(9) || 'TRES' || chr(10) || 'AÑO € ' || o_orderkey AS description,
             CASE WHEN form < 4 THEN translate(format('{:,.2f}', money::DOUBLE), ',.', '.,') WHEN money = floor(money) THEN money::BIGINT::VARCHAR ELSE money::DOUBLE::VARCHAR END AS amount,
             CASE WHEN form < 4 THEN '' ELSE 'grouped-decimal' END AS amount_format FROM n""",
+    "ledger_readings": """WITH k AS (SELECT o_orderkey AS k, o_custkey % 2 = 0 AS card, CASE WHEN (o_orderkey // 12) % 2 = 0 THEN 'out' ELSE 'in' END AS way, o_totalprice::DECIMAL(22,2) AS money, o_orderkey % 5 + 1 AS v, o_orderkey % 7 AS e,
+            ['income', 'expense', 'credit_card_purchase', 'cash_advance', 'internal_transfer', 'investment', 'credit_card_payment', 'refund', 'fee', 'tax', 'interest', 'unknown'][o_orderkey % 12 + 1] AS kind FROM orders),
+        n AS (SELECT *, CASE WHEN kind = 'income' THEN 'DEPOSIT' WHEN kind IN ('expense', 'credit_card_purchase', 'cash_advance') THEN 'WITHDRAWAL' WHEN kind IN ('internal_transfer', 'investment', 'credit_card_payment') THEN CASE way WHEN 'out' THEN 'TRANSFER_OUT' ELSE 'TRANSFER_IN' END
+            WHEN kind = 'refund' THEN 'CREDIT' WHEN kind = 'fee' THEN 'FEE' WHEN kind = 'tax' THEN 'TAX' WHEN kind = 'interest' THEN CASE way WHEN 'out' THEN 'FEE' ELSE 'INTEREST' END ELSE 'UNKNOWN' END AS plain_type FROM k),
+        w AS (SELECT *, CASE plain_type WHEN 'DEPOSIT' THEN 'in' WHEN 'TRANSFER_IN' THEN 'in' WHEN 'CREDIT' THEN 'in' WHEN 'INTEREST' THEN 'in' WHEN 'UNKNOWN' THEN way ELSE 'out' END <> way AS wrong, CASE way WHEN 'out' THEN 'WITHDRAWAL' ELSE 'CREDIT' END AS nearest FROM n),
+        c AS (SELECT *, CASE WHEN wrong THEN nearest WHEN plain_type IN ('WITHDRAWAL', 'TRANSFER_IN', 'CREDIT', 'FEE') THEN plain_type WHEN plain_type = 'INTEREST' THEN 'CREDIT' WHEN plain_type = 'TAX' THEN 'FEE' ELSE nearest END AS on_card FROM w),
+        t AS (SELECT *, CASE WHEN card THEN on_card WHEN wrong THEN nearest ELSE plain_type END AS first_type FROM c),
+        s AS (SELECT *, CASE e WHEN 0 THEN 'CREDIT' WHEN 2 THEN 'INTEREST' ELSE first_type END AS type, first_type <> plain_type AS subst,
+            CASE WHEN e = 0 THEN CASE k % 3 WHEN 1 THEN 'BONUS' WHEN 2 THEN 'REBATE' END WHEN first_type <> plain_type THEN NULL WHEN kind = 'refund' THEN 'REFUND' WHEN kind = 'interest' AND first_type = 'FEE' THEN 'INTEREST_CHARGE' END AS subtype FROM t),
+        u AS (SELECT *, CASE WHEN v >= 3 THEN type = first_type AND e <> 1 ELSE e > 2 END AS is_current FROM s),
+        d AS (SELECT *, CASE WHEN type = 'INTEREST' AND card THEN coalesce(CASE WHEN is_current AND v >= 2 THEN way END, 'out') WHEN type IN ('DEPOSIT', 'TRANSFER_IN', 'CREDIT', 'INTEREST') THEN 'in' WHEN type = 'UNKNOWN' THEN CASE WHEN v >= 2 THEN way ELSE 'in' END ELSE 'out' END AS direction FROM u),
+        -- what was written is known from version 2; before it the direction read now stands for it
+        f AS (SELECT *, CASE WHEN kind = 'income' THEN type = 'DEPOSIT' WHEN kind IN ('expense', 'credit_card_purchase', 'cash_advance') THEN type = 'WITHDRAWAL' WHEN kind IN ('internal_transfer', 'investment', 'credit_card_payment') THEN type = CASE CASE WHEN v >= 2 THEN way ELSE direction END WHEN 'out' THEN 'TRANSFER_OUT' ELSE 'TRANSFER_IN' END
+            WHEN kind = 'refund' THEN type = 'CREDIT' WHEN kind = 'fee' THEN type = 'FEE' WHEN kind = 'tax' THEN type = 'TAX' WHEN kind = 'interest' THEN type = CASE CASE WHEN v >= 2 THEN way ELSE direction END WHEN 'out' THEN 'FEE' ELSE 'INTEREST' END ELSE type = 'UNKNOWN' END AS natural_still,
+            CASE WHEN v >= 2 THEN way ELSE direction END AS written FROM d),
+        g AS (SELECT *, CASE WHEN kind = 'income' THEN CASE written WHEN 'in' THEN 'CREDIT' ELSE 'WITHDRAWAL' END WHEN kind IN ('expense', 'credit_card_purchase', 'cash_advance') THEN CASE written WHEN 'in' THEN 'CREDIT' ELSE 'WITHDRAWAL' END
+            WHEN kind IN ('internal_transfer', 'investment', 'credit_card_payment') THEN CASE written WHEN 'in' THEN 'TRANSFER_IN' ELSE 'WITHDRAWAL' END WHEN kind = 'refund' THEN CASE written WHEN 'in' THEN 'CREDIT' ELSE 'WITHDRAWAL' END
+            WHEN kind IN ('fee', 'tax') THEN CASE written WHEN 'in' THEN 'CREDIT' ELSE 'FEE' END WHEN kind = 'interest' THEN CASE written WHEN 'in' THEN 'CREDIT' ELSE 'FEE' END ELSE CASE written WHEN 'in' THEN 'CREDIT' ELSE 'WITHDRAWAL' END END AS forced FROM f),
+        h AS (SELECT *, CASE WHEN is_current AND (natural_still OR subst AND forced = type) THEN kind ELSE CASE type WHEN 'DEPOSIT' THEN 'income' WHEN 'WITHDRAWAL' THEN 'expense' WHEN 'TRANSFER_IN' THEN 'internal_transfer' WHEN 'TRANSFER_OUT' THEN 'internal_transfer'
+            WHEN 'CREDIT' THEN CASE WHEN card THEN 'refund' WHEN subtype = 'BONUS' THEN 'income' WHEN subtype IN ('REFUND', 'REBATE') THEN 'refund' ELSE 'unknown' END WHEN 'FEE' THEN CASE WHEN subtype = 'INTEREST_CHARGE' THEN 'interest' ELSE 'fee' END WHEN 'TAX' THEN 'tax' WHEN 'INTEREST' THEN 'interest' ELSE 'unknown' END END AS read_kind FROM g)
+        SELECT k AS o_orderkey, direction, read_kind AS kind, CASE WHEN is_current AND read_kind = kind AND v >= 5 THEN 'confirmed' ELSE 'suggested' END AS kind_confidence, (CASE direction WHEN 'out' THEN -money ELSE money END)::DOUBLE AS amount,
+            CASE WHEN is_current THEN 'c' END AS category, CASE WHEN is_current AND v >= 4 AND k % 2 = 0 THEN 'commission' END AS cost_kind, CASE WHEN is_current AND k % 4 = 0 THEN 6 END::BIGINT AS installment_total, CASE WHEN e = 1 THEN 'OTRA' ELSE 'GLOSA' END AS description, is_current FROM h""",
+    "import_batches": """WITH n AS (SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders)
+        SELECT batch, count(*) FILTER (k % 3 <> 0 AND k % 50 <> 0) AS created, count(*) FILTER (k % 3 = 0 AND k % 50 <> 0) AS skipped, count(*) FILTER (k % 50 = 0) AS failed, CASE WHEN count(*) FILTER (k % 50 = 0) > 0 THEN 'no-amount' ELSE '' END AS reasons FROM n GROUP BY batch""",
 }

@@ -14,9 +14,9 @@ from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
 from tallyspark.plans import more_oracles
 from tallyspark.plans.oracles import ORACLES
-from tallyspark.session import stored
+from tallyspark.session import shared_path, stored
 from tallyspark.sources import card_facts as labelled_facts
-from tallyspark.sources import sheets, statements
+from tallyspark.sources import ledger, sheets, statements
 
 
 
@@ -191,6 +191,44 @@ def activity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("kind", "direction", "on_card", "activity_type", "substituted").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ledger_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as activities with metadata of all five versions, read back; some were given another type or comment since."""
+    o = facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    k, odd = F.col("o_orderkey"), F.col("o_custkey") % 2 == 1
+    kinds = ("income", "expense", "credit_card_purchase", "cash_advance", "internal_transfer", "investment", "credit_card_payment", "refund", "fee", "tax", "interest", "unknown")
+    out = F.floor(k / 12) % 2 == 0
+    money = amount(F.col("o_totalprice").cast("decimal(22,2)"))
+    rows = o.select(
+        k.cast("string").alias("account_id"), F.when(odd, "CASH").otherwise("CREDIT_CARD").alias("account_type"), F.element_at(F.array(*map(F.lit, kinds)), (k % 12 + 1).cast("int")).alias("kind"), F.when(out, "out").otherwise("in").alias("direction"),
+        F.col("o_orderdate").cast("date").alias("date"), F.when(out, -money).otherwise(money).alias("amount"), F.lit("CLP").alias("currency"), F.lit("GLOSA").alias("description"), F.concat(F.lit("f"), k).alias("fingerprint"), F.lit("c").alias("category"), F.lit("m").alias("merchant"),
+        F.when(k % 4 == 0, F.struct(F.lit(2).alias("current"), F.lit(6).alias("total"))).alias("installment"), F.when(k % 2 == 0, "commission").alias("cost_kind"), F.lit("confirmed").alias("kind_confidence"),
+    )
+    e = F.col("account_id").cast("long")
+    host = ledger.to_activities(rows, (F.col("fingerprint").substr(F.lit(2), F.length("fingerprint")).cast("long") % 5 + 1).cast("int"))
+    cash = rows.select(F.col("account_id").alias("own"), "account_type")
+    host = host.join(cash, F.col("account_id") == F.col("own")).withColumns(
+        {
+            "activity_type": F.when(e % 7 == 0, "CREDIT").when(e % 7 == 2, "INTEREST").otherwise(F.col("activity_type")), "comment": F.when(e % 7 == 1, "OTRA").otherwise(F.col("comment")), "is_user_modified": e % 7 < 3,
+            "subtype": F.when(e % 7 == 0, F.when(e % 3 == 1, "Bonus").when(e % 3 == 2, "REBATE")).otherwise(F.col("subtype")),
+        }
+    )
+    back = ledger.from_activities(host.drop("own"))
+    return _plain(back.select(F.col("account_id").cast("long").alias("o_orderkey"), "direction", "kind", "kind_confidence", "amount", "category", "cost_kind", F.col("installment.total").alias("installment_total"), "description", "is_current"))
+
+
+def import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders imported in batches of a hundred into a ledger that holds a third of them; every fiftieth lacks its amount."""
+    o = facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    k = F.col("o_orderkey")
+    rows = o.select(
+        F.format_string("%012d", k).alias("idempotency_key"), F.col("o_custkey").cast("string").alias("account_id"), F.col("o_orderdate").cast("date").alias("date"), F.when(k % 50 != 0, F.col("o_totalprice").cast("decimal(22,2)")).alias("amount"), F.lit("POSTED").alias("status"), k.alias("number")
+    )
+    path = shared_path(spark, "ledger")
+    ledger.import_rows(rows.where(k % 3 == 0).drop("number"), path, "1").count()
+    out = ledger.import_rows(rows.drop("number"), path, "2")
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def monthly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring charges under the usual thresholds: one charge a month and supplier, of a third of them nearly steady, of a third
     wavering, of a third anything."""
@@ -243,14 +281,15 @@ def statement_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of an invented card statement of each customer; every fifth says two things of its minimum payment."""
+    """Facts of an invented card statement of each customer, with notes, dots and a policy's date; every fifth says two things of its minimum payment."""
     c = facts.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     money = F.abs("c_acctbal").cast("decimal(22,2)")
     shown = facts.spanish_number(money)
     lines = [
-        F.concat(F.lit("Tarjeta N° **** **** 4412 Cupo total $ 9.999"), F.lit("")), F.concat(F.lit("Pago mínimo: $ "), shown), F.when(F.col("c_custkey") % 5 == 0, "Monto mínimo a pagar $ 1,00").otherwise("Pago recibido $ 5.000"),
-        F.concat(F.lit("Monto total facturado   "), shown), F.concat(F.lit("Deuda internacional USD "), shown), F.concat(F.lit("Cupo total $ 1.000.000   Cupo disponible ($ "), shown, F.lit(")")), F.lit("Cupo total utilizado $ 77.000"),
+        F.concat(F.lit("Tarjeta N° **** **** 4412 Cupo total $ 9.999"), F.lit("")), F.concat(F.lit("Pago mínimo (1): $ "), shown), F.when(F.col("c_custkey") % 5 == 0, "Monto mínimo a pagar $ 1,00").otherwise("Pago recibido $ 5.000"),
+        F.concat(F.lit(f"Monto total facturado {'.' * 50} "), shown), F.concat(F.lit("Deuda internacional USD "), shown), F.concat(F.lit("Cupo total $ 1.000.000   Cupo disponible ($ "), shown, F.lit(")")), F.lit("Cupo total utilizado $ 77.000"),
         F.concat(F.lit("Pagar hasta "), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int")), "dd/MM/yyyy")), F.lit("Periodo de facturación: 01/01/2024 al 31/01/2024"),
+        F.lit("Fecha de vencimiento de la póliza 05/05/2025"),
     ]
     files = c.select(F.col("c_custkey").cast("string").alias("file_hash"), F.concat_ws("\n", *lines).alias("preamble"), F.lit("CLP").alias("currency"))
     return _plain(labelled_facts.card_facts(files))
@@ -365,7 +404,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
     bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 

@@ -19,10 +19,15 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the checkpoint folder, which executors share."""
+    with_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the checkpoint folder, which executors share, and read again: cuts lineage, and Spark knows its size."""
-    with_checkpoints(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
+    """df written once to the checkpoint folder and read again: cuts lineage, and Spark knows its size."""
+    path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -128,7 +128,7 @@ class _File(InputPartition):
 
 
 class _Files(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
+    def __init__(self, options) -> None:  # names in any case
         self.path, self.most_bytes = options["path"], int(options.get("mostBytes", MOST_BYTES))
 
     def partitions(self) -> list[_File]:
@@ -162,7 +162,7 @@ class SheetFiles(DataSource):
         return SHEETS
 
     def reader(self, schema) -> _Files:
-        return _Files(dict(self.options))
+        return _Files(self.options)
 
 
 def data_sheets(rows: DataFrame) -> DataFrame:

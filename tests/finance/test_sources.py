@@ -1,5 +1,8 @@
+import datetime as dt
 import io
+import json
 import zipfile
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -100,3 +103,59 @@ def test_activities_round_trip(spark):
     assert (back.fingerprint, back.amount, back.kind, back.category, back.is_current) == ("f1", df.first().amount, "expense", "compras", True)
     edited = L.from_activities(activities.withColumn("amount", F.lit("99"))).first()
     assert not edited.is_current and edited.category is None
+
+
+def host(spark, **more):
+    kinds = "activity_type string, subtype string, date date, amount string, currency string, comment string, status string, metadata string, account_id string, account_type string, is_user_modified boolean"
+    row = {"activity_type": "CREDIT", "subtype": None, "date": dt.date(2026, 1, 5), "amount": "12.5", "currency": "CLP", "comment": "X", "status": "POSTED", "metadata": None, "account_id": "a", "account_type": "CASH", "is_user_modified": None} | more
+    return L.from_activities(spark.createDataFrame([tuple(row.values())], kinds)).first()
+
+
+def test_types_without_metadata(spark):
+    for t, sub, account, want in [("CREDIT", None, "CASH", "unknown"), ("CREDIT", "bonus", "CASH", "income"), ("CREDIT", "Rebate", "CASH", "refund"), ("CREDIT", None, "CREDIT_CARD", "refund"), ("FEE", "INTEREST_CHARGE", "CASH", "interest"), ("BUY", None, "CASH", "unknown")]:
+        r = host(spark, activity_type=t, subtype=sub, account_type=account)
+        assert (r.kind, r.kind_confidence, r.is_current, r.fingerprint) == (want, "suggested", False, None)
+    assert host(spark, activity_type="INTEREST", account_type="CREDIT_CARD").amount == Decimal("-12.5")
+    assert host(spark, activity_type="UNKNOWN", amount="-3").direction == "out"
+
+
+def test_metadata_of_all_versions(spark):
+    for v in (1, 2, 3, 4, 5):
+        meta = json.dumps({"v": v, "fp": "f", "kind": "unknown", "dir": "out", "cat": "c", "kc": "confirmed", "fc": "interest", "cuota": {"n": 1, "of": 3}, "extra": [1]})
+        r = host(spark, activity_type="UNKNOWN", metadata=meta)
+        assert (r.direction, r.kind_confidence, r.cost_kind) == ("out" if v > 1 else "in", "confirmed" if v == 5 else "suggested", "interest" if v > 3 else None)
+        assert r.is_current and r.category == "c" and r.installment.total == 3
+        assert host(spark, activity_type="UNKNOWN", metadata=meta, is_user_modified=True).category is None
+    for bad in ("{", "[]", "{\"v\": 5}", '{"v": 5, "fp": ""}', '{"v": "x", "fp": "f"}'):
+        assert host(spark, metadata=bad).fingerprint is None
+    stale = json.dumps({"v": 5, "fp": "f", "kind": "expense", "dir": "out", "proj": "0"})
+    r = host(spark, activity_type="DEPOSIT", metadata=stale)
+    assert (r.is_current, r.kind, r.direction) == (False, "income", "in")
+
+
+def test_unread_and_investment_movements_keep_their_types(spark):
+    df = spark.createDataFrame([("unknown", "out"), ("investment", "out"), ("refund", "in")], "kind string, direction string")
+    df = df.selectExpr("kind", "direction", "'f' fingerprint", "date '2026-01-05' date", "cast(5 as decimal(22,6)) amount", "'CLP' currency", "'X' description", "cast(null as struct<current:int,total:int>) installment", "'m' merchant", "'c' category", "'a' account_id")
+    rows = L.to_activities(df)
+    assert {(r.activity_type, r.subtype, r.status) for r in rows.collect()} == {("UNKNOWN", None, "DRAFT"), ("TRANSFER_OUT", None, "POSTED"), ("CREDIT", "REFUND", "POSTED")}
+    assert {(r.kind, r.direction) for r in L.from_activities(rows).collect()} == {("unknown", "out"), ("investment", "out"), ("refund", "in")}
+
+
+def test_import_in_batches_resumes(spark, tmp_path):
+    kinds = "idempotency_key string, account_id string, date date, amount int, status string"
+    rows = [(f"k{i:03d}", "a" if i != 7 else None, dt.date(2026, 1 + i % 3, 5), i, "POSTED" if i % 2 else "DRAFT") for i in range(95)] + [("k001", "a", dt.date(2026, 2, 5), 1, "POSTED"), (None, "a", None, None, None)]
+    df = spark.createDataFrame(rows, kinds)
+    path = str(tmp_path / "ledger")
+    part = L.import_rows(df.where("idempotency_key < 'k015'"), path, "r1", size=10).orderBy("batch").collect()
+    assert [tuple(r) for r in part] == [(0, 9, 1, 0, []), (1, 5, 0, 1, ["no-account"])] or sum(r.created for r in part) == 14
+    got = L.import_rows(df, path, "r2", size=10).collect()
+    assert sum(r.created for r in got) == 80 and sum(r.failed for r in got) == 2 and sum(r.created + r.skipped + r.failed for r in got) == 97 and len(got) == 10
+    assert sorted(x for r in got for x in r.reasons) == ["no-account", "no-amount", "no-date", "no-key"]
+    again = L.import_rows(df, path, "r3", size=10).agg(F.sum("created").alias("n")).first()
+    assert again.n == 0 and L.entries(spark, path).count() == 94
+    posted, drafts = L.window(spark, path, dt.date(2026, 2, 1), dt.date(2026, 2, 28))
+    assert {r.month for r in posted.collect()} == {"2026-02"} and posted.count() + drafts.count() == L.entries(spark, path, ["2026-02"]).count()
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters")[1].split("]")[0]
+    df.where("idempotency_key = 'k050'").withColumns({"run": F.lit("r9"), "batch": F.lit(0).cast("long"), "month": F.lit("2026-03")}).write.mode("append").partitionBy("month").parquet(path)
+    assert L.entries(spark, path).count() == 94  # another writer's copy counts once
