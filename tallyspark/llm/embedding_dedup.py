@@ -35,7 +35,7 @@ def _pack(**arrays) -> bytes:
 
 def _build(links: int, beam: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", ignore_index=True)
+        rows = rows.sort_values(["h", "rep"], ignore_index=True)
         vectors = np.array(rows["embedding"].to_list(), np.float64)
         graph = Graph(unit(vectors), links, beam)
         packed = {f"near{k}": x for k, x in enumerate(graph.near)} | {f"members{k}": x for k, x in enumerate(graph.members)}
@@ -154,12 +154,12 @@ def near_duplicates(
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & e.isNotNull() & F.forall(e, finite) & F.exists(e, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
     rows = rows.select("*", F.coalesce(valid, F.lit(False)).alias("valid"))
-    # One row for each distinct vector; its smallest id stands for it.
-    reps = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = reps.select("label", "embedding", F.size("embedding").alias("dims"), "rep", "n")
+    # One row for each distinct vector, with a number of its own, since vectors can share an id.
+    reps = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    reps = reps.select("label", "embedding", F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("rep"), "first", "n", F.xxhash64("label", "embedding").alias("h"))
     reps = stored(reps, "vectors")
     shards = reps.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / per_shard).cast("int").alias("shards"))
-    dealt = reps.join(shards, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
+    dealt = reps.join(shards, ["label", "dims"]).withColumn("shard", F.pmod("h", "shards").cast("int"))
     graphs = dealt.groupBy("label", "dims", "shard").applyInPandas(_build(links, beam), "label string, dims int, shards int, shard int, graph binary")
     graphs = stored(graphs, "graphs")
     to = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("to")
@@ -171,8 +171,10 @@ def near_duplicates(
     counts = found.where("b is null and a is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "of")
     label_of = components(found.where("b is not null")).withColumnRenamed("node", "at")
     known = reps.join(counts, F.col("rep") == F.col("of"), "left").join(label_of, F.col("rep") == F.col("at"), "left")
-    known = known.select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    known = known.withColumn("whole", F.coalesce("component", "rep"))
+    least_of = known.groupBy(F.col("whole").alias("own_whole")).agg(F.min("first").alias("component_id"))
+    known = known.join(least_of, F.col("whole") == F.col("own_whole")).select(
+        F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("component_id").alias("component")
     )
     hit = F.when(F.col("valid"), F.col("label")) == F.col("l")
     out = rows.join(known, hit & (F.col("embedding") == F.col("e")), "left")

@@ -54,6 +54,14 @@ def test_equals_brute_force_over_shards(spark):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_are_counted_apart(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.999, 0.04]
+    rows = [(1, a), (1, b), (2, c), (3, [0.999, 0.0, 0.04]), (4, [0.998, 0.0, 0.06]), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted(tuple(r)[:4] for r in E.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
 def test_graph_recall():
     x = unit(np.random.default_rng(1).normal(size=(3000, 24)))
     ids, _ = Graph(x).search(x[:300], 80)
