@@ -17,13 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a temporary folder is made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests on one machine)
+    a temporary folder is made, once per session. Elsewhere its absence is an error.
     """
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     if (own := sc._jsc.sc().getCheckpointDir()).isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         own = sc._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
