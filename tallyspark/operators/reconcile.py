@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.money import canonical
 from tallyspark.functions.text import normalize_description
 from tallyspark.operators.enrich import CARD_SIDE, CASH_SIDE, begins, card_inflow
-from tallyspark.session import stored, with_checkpoints
+from tallyspark.session import discard, stored, with_checkpoints
 
 # Wording of transfers, own accounts and third parties, and names of banks.
 TRANSFER = ("TRANSFERENCIA", "TRASPASO", "TRANSF", "TEF", "ABONO TRANSFERENCIA", "CARGO TRANSFERENCIA", "ENTRE CUENTAS", "CUENTA PROPIA")
@@ -145,7 +145,8 @@ def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
             break
         rounds.append(now)
         gone = now.select(F.col("o_leg").alias("leg")).unionAll(now.select(F.col("i_leg").alias("leg")))
-        cells = stored(cells.join(gone, "leg", "left_anti"), "cells")
+        before, cells = cells, stored(cells.join(gone, "leg", "left_anti"), "cells")
+        discard(before, bests)
     settled = now
     for more in rounds:
         settled = settled.unionAll(more)

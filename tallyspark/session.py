@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder: the one that the cluster names in spark.checkpoint.dir, or, only where that is unset
-    (one machine), a temporary one."""
+    """The session with a checkpoint folder: the one that the cluster names in spark.checkpoint.dir, or, only where that is unset and
+    the master is local (one machine), a temporary one. Elsewhere its absence is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
@@ -29,7 +32,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the checkpoint folder and read again: cuts lineage, and Spark knows its size."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing that is still to be computed reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def once_per(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
