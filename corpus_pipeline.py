@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, jaccard_join, language_id, packing, secret_scan
-from tallyspark.llm.common import fresh, shared_path, stored, table
+from tallyspark.llm.common import discard, fresh, shared_path, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(before)  # a copy of the corpus that no later stage reads
     return STAGES[-1][1](spark, docs, sf_dir)
