@@ -131,9 +131,9 @@ def unattributed_by_processor(facts: DataFrame) -> DataFrame:
     return rows.groupBy("currency", "processor_id").agg(F.max("processor").alias("processor"), F.sum(F.abs("amount")).alias("amount"), F.count(F.lit(1)).alias("transaction_count"))
 
 
-def issuer_charges(facts: DataFrame) -> DataFrame:
+def issuer_charges(facts: DataFrame, by: tuple[str, ...] = ("currency",)) -> DataFrame:
     rows = facts.where(K.is_spending() & K.is_issuer_charge())
-    return rows.groupBy("currency").agg(F.sum(F.abs("amount")).alias("amount"), F.count(F.lit(1)).alias("transaction_count"))
+    return rows.groupBy(*by).agg(F.sum(F.abs("amount")).alias("amount"), F.count(F.lit(1)).alias("transaction_count"))
 
 
 def cost_breakdown(facts: DataFrame) -> DataFrame:

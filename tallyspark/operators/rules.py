@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.patterns import runs_away
 from tallyspark.functions.text import fold_case
 from tallyspark.operators.enrich import with_attribution, with_financial_cost
 from tallyspark.operators.kinds import KINDS
@@ -56,12 +57,12 @@ def ordered(rules: list[Rule]) -> list[Rule]:
 
 
 def valid_pattern(pattern: str) -> bool:
-    """Whether a pattern compiles and can't run away: no repeated group that repeats inside, at most 200 characters."""
+    """Whether a pattern compiles, has at most 200 characters, and can't run away: see ``patterns.runs_away``."""
     try:
         re.compile(pattern)
     except re.error:
         return False
-    return len(pattern) <= 200 and not re.search(r"\([^()]*[+*}][^()]*\)\s*[+*{]", pattern)
+    return len(pattern) <= 200 and not runs_away(pattern)
 
 
 def problems(rule: Rule) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans.oracles import _FACTS, _KEYED, _SUMMARY, _VERDICTS
+from tallyspark.plans.oracles import _FACTS, _ISSUER, _KEYED, _SPEND, _SUMMARY, _VERDICTS
 
 # What a reader makes of each invented description, by its place: processor, merchant, confidence, source, why unresolved.
 _READINGS = """
@@ -281,4 +281,14 @@ ORACLES = {
             CASE WHEN is_current THEN 'c' END AS category, CASE WHEN is_current AND v >= 4 AND k % 2 = 0 THEN 'commission' END AS cost_kind, CASE WHEN is_current AND k % 4 = 0 THEN 6 END::BIGINT AS installment_total, CASE WHEN e = 1 THEN 'OTRA' ELSE 'GLOSA' END AS description, is_current FROM h""",
     "import_batches": """WITH n AS (SELECT o_orderkey AS k, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders)
         SELECT batch, count(*) FILTER (k % 3 <> 0 AND k % 50 <> 0) AS created, count(*) FILTER (k % 3 = 0 AND k % 50 <> 0) AS skipped, count(*) FILTER (k % 50 = 0) AS failed, CASE WHEN count(*) FILTER (k % 50 = 0) > 0 THEN 'no-amount' ELSE '' END AS reasons FROM n GROUP BY batch""",
+    "dashboard": f"""WITH {_FACTS}, {_SUMMARY},
+        spine AS (SELECT currency, strftime(DATE '1998-11-01' - to_months(k::INT), '%Y-%m') AS month FROM (SELECT DISTINCT currency FROM f WHERE month BETWEEN '1997-11' AND '1998-11'), range(13) t(k)),
+        c AS (SELECT currency, month, coalesce(category, 'sin-categoria') AS category, coalesce(sum(m) FILTER (kind <> 'refund'), 0) - coalesce(sum(m) FILTER (kind = 'refund'), 0) AS amount FROM f WHERE {_SPEND} OR kind = 'refund' AND category IS NOT NULL GROUP BY ALL),
+        ct AS (SELECT currency, month, count(*) AS categories, first(category ORDER BY amount DESC, category) AS top_category, max(amount) AS top_category_amount FROM c WHERE amount > 0 GROUP BY ALL),
+        mt AS (SELECT currency, month, first(merchant ORDER BY amount DESC, merchant) AS top_merchant, max(amount) AS top_merchant_amount FROM (SELECT currency, month, merchant, sum(m) AS amount FROM f WHERE {_SPEND} AND NOT {_ISSUER} AND merchant <> '' GROUP BY ALL) WHERE amount > 0 GROUP BY ALL),
+        it AS (SELECT currency, month, sum(m) AS issuer_charges FROM f WHERE {_SPEND} AND {_ISSUER} GROUP BY ALL),
+        j AS (SELECT currency, month, coalesce(transaction_count, 0) AS transaction_count, savings_rate, {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in ("income", "refunds", "gross_spending", "fixed_expenses", "variable_expenses", "net_spending", "net_cash_flow", "issuer_charges"))},
+            top_category, top_category_amount::DOUBLE AS top_category_amount, top_merchant, top_merchant_amount::DOUBLE AS top_merchant_amount, coalesce(categories, 0) AS categories, coalesce(net_spending, 0) AS exact
+            FROM spine LEFT JOIN s USING (currency, month) LEFT JOIN ct USING (currency, month) LEFT JOIN mt USING (currency, month) LEFT JOIN it USING (currency, month))
+        SELECT * EXCLUDE (exact), (exact - lag(exact) OVER (PARTITION BY currency ORDER BY month))::DOUBLE AS net_spending_change FROM j""",
 }

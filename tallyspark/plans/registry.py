@@ -10,6 +10,7 @@ from tallyspark.functions import privacy as P
 from tallyspark.functions import text as T
 from tallyspark.functions.money import amount, with_amount
 from tallyspark.operators import balances, dedupe, enrich, imports, insights, installments, metrics, reconcile, recurring, rules
+from tallyspark.operators import dashboard as dashboards
 from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
 from tallyspark.plans import more_oracles
@@ -391,6 +392,11 @@ def month_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(out)
 
 
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirteen months up to November 1998, in which movements end in between."""
+    return _plain(dashboards.history(facts.movements(spark, sf_dir), "1998-11"))
+
+
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = facts.described(spark, sf_dir).groupBy("description", "normalized_description").agg(F.count(F.lit(1)).alias("n"))
     return enrich.with_attribution(few).groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.sum("n").alias("n"))
@@ -405,7 +411,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
-    bag_diff, month_insights, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
+    bag_diff, month_insights, dashboard, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
 
