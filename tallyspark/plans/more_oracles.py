@@ -291,4 +291,19 @@ ORACLES = {
             top_category, top_category_amount::DOUBLE AS top_category_amount, top_merchant, top_merchant_amount::DOUBLE AS top_merchant_amount, coalesce(categories, 0) AS categories, coalesce(net_spending, 0) AS exact
             FROM spine LEFT JOIN s USING (currency, month) LEFT JOIN ct USING (currency, month) LEFT JOIN mt USING (currency, month) LEFT JOIN it USING (currency, month))
         SELECT * EXCLUDE (exact), (exact - lag(exact) OVER (PARTITION BY currency ORDER BY month))::DOUBLE AS net_spending_change FROM j""",
+    "calibration_profile": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS d, CASE o_orderstatus WHEN 'O' THEN 1 ELSE -1 END * CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice::DECIMAL(22,2) ELSE floor(o_totalprice)::DECIMAL(22,2) END AS ok FROM orders),
+        l AS (SELECT *, 'p' || c % 3 AS parser, (CASE WHEN k % 31 = 0 THEN -ok WHEN k % 37 = 0 THEN ok::DECIMAL(22,4) * 0.01::DECIMAL(3,2) WHEN k % 41 = 0 THEN ok * 1000 WHEN k % 43 = 0 THEN ok + 1 ELSE ok END)::DECIMAL(28,6) AS a,
+            CASE c % 4 WHEN 0 THEN -row_number() OVER (PARTITION BY c ORDER BY d, k) WHEN 1 THEN k ELSE row_number() OVER (PARTITION BY c ORDER BY d, k) END AS line FROM o),
+        b AS (SELECT *, CASE WHEN k % 3 <> 0 THEN sum(ok) OVER w END AS bal, sum(a) OVER w AS run, date_diff('day', lag(d) OVER w, d) AS step FROM l WINDOW w AS (PARTITION BY c ORDER BY line)),
+        x AS (SELECT parser, bal - lag(bal) OVER w AS e, run - lag(run) OVER w AS s FROM b WHERE bal IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY line)),
+        r AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE abs(e::DOUBLE / s::DOUBLE) END AS q FROM x WHERE e IS NOT NULL),
+        m AS (SELECT parser, CASE WHEN e = s THEN 'none' WHEN s <> 0 AND e = -s THEN 'sign' WHEN abs(q - 100) < 1 OR abs(q - 0.01) < 0.0001 THEN 'scale-100' WHEN abs(q - 1000) < 10 OR abs(q - 0.001) < 0.00001 THEN 'scale-1000' ELSE 'other' END AS value FROM r),
+        f AS (SELECT parser, c, coalesce(min(step), 0) AS lo, coalesce(max(step), 0) AS hi FROM b GROUP BY ALL),
+        t AS (SELECT parser, rtrim(split_part(a::VARCHAR, '.', 2), '0') AS tail, a, k FROM l)
+        SELECT parser, 'scale' AS measure, len(tail)::VARCHAR AS value, count(*) AS n FROM t GROUP BY ALL
+        UNION ALL SELECT parser, 'flow', CASE WHEN a > 0 THEN 'in' WHEN a < 0 THEN 'out' ELSE 'zero' END, count(*) FROM t GROUP BY ALL
+        UNION ALL SELECT parser, 'kind', CASE WHEN k % 5 = 0 THEN 'unknown' WHEN a > 0 THEN 'income' ELSE 'expense' END, count(*) FROM t GROUP BY ALL
+        UNION ALL SELECT parser, 'confidence', CASE WHEN k % 5 = 0 THEN 'unresolved' WHEN k % 7 = 0 THEN 'confirmed' ELSE 'suggested' END, count(*) FROM t GROUP BY ALL
+        UNION ALL SELECT parser, 'order', CASE WHEN lo = 0 AND hi = 0 THEN 'single-day' WHEN lo >= 0 THEN 'ascending' WHEN hi <= 0 THEN 'descending' ELSE 'mixed' END, count(*) FROM f GROUP BY ALL
+        UNION ALL SELECT parser, 'mismatch', value, count(*) FROM m GROUP BY ALL""",
 }

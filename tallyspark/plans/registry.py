@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates as D
 from tallyspark.functions import privacy as P
 from tallyspark.functions import text as T
 from tallyspark.functions.money import amount, with_amount
-from tallyspark.operators import balances, dedupe, enrich, imports, insights, installments, metrics, reconcile, recurring, rules
+from tallyspark.operators import balances, calibration, dedupe, enrich, imports, insights, installments, metrics, reconcile, recurring, rules
 from tallyspark.operators import dashboard as dashboards
 from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
@@ -397,6 +397,24 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(dashboards.history(facts.movements(spark, sf_dir), "1998-11"))
 
 
+def calibration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as statements of customers, whose printed amounts are some of them wrong while balances go by the right ones."""
+    o = facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("date"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    right = F.when(F.col("o_orderstatus") == "O", 1).otherwise(-1) * F.when(k % 2 == 0, F.col("o_totalprice").cast("decimal(22,2)")).otherwise(F.floor("o_totalprice").cast("decimal(22,2)"))
+    shown = F.when(k % 31 == 0, -right).when(k % 37 == 0, right / 100).when(k % 41 == 0, right * 1000).when(k % 43 == 0, right + 1).otherwise(right)
+    line = F.when(c % 4 == 0, -k).otherwise(k)
+    time = Window.partitionBy("o_custkey")
+    order = F.row_number().over(time.orderBy("date", "o_orderkey"))
+    rows = o.select("*", F.when(c % 4 == 0, -order).when(c % 4 == 1, line).otherwise(order).cast("bigint").alias("line"), amount(right).alias("right"), amount(shown).alias("amount"))
+    balance = F.sum("right").over(time.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    kind = F.when(k % 5 == 0, "unknown").when(F.col("amount") > 0, "income").otherwise("expense")
+    typed = rows.select(
+        F.concat(F.lit("p"), c % 3).alias("parser"), c.alias("file"), "line", "date", "amount", kind.alias("kind"), F.when(k % 5 == 0, "unresolved").when(k % 7 == 0, "confirmed").otherwise("suggested").alias("kind_confidence"), F.when(k % 3 != 0, balance).alias("balance_after")
+    )
+    return calibration.profile(typed)
+
+
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = facts.described(spark, sf_dir).groupBy("description", "normalized_description").agg(F.count(F.lit(1)).alias("n"))
     return enrich.with_attribution(few).groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.sum("n").alias("n"))
@@ -411,7 +429,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
-    bag_diff, month_insights, dashboard, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
+    bag_diff, month_insights, dashboard, calibration_profile, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
 
