@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyspark.plans.oracles import _FACTS, _ISSUER, _KEYED, _SPEND, _SUMMARY, _VERDICTS
+from tallyspark.sources.profiles import PROFILES
 
 # What a reader makes of each invented description, by its place: processor, merchant, confidence, source, why unresolved.
 _READINGS = """
@@ -307,3 +308,22 @@ ORACLES = {
         UNION ALL SELECT parser, 'order', CASE WHEN lo = 0 AND hi = 0 THEN 'single-day' WHEN lo >= 0 THEN 'ascending' WHEN hi <= 0 THEN 'descending' ELSE 'mixed' END, count(*) FROM f GROUP BY ALL
         UNION ALL SELECT parser, 'mismatch', value, count(*) FROM m GROUP BY ALL""",
 }
+
+_PROFILES = ", ".join(f"({i}, {p.is_card})" for i, p in enumerate(PROFILES))
+ORACLES |= {
+    "charge_insights": f"""WITH RECURSIVE plans AS ({ORACLES["installment_plans"]}), due AS ({ORACLES["installment_outlook"]}), charges AS ({ORACLES["monthly_charges"]}),
+        d AS (SELECT currency, sum(amount) FILTER (month <= '1998-03') AS three, sum(amount) FILTER (month = '1998-01') AS now FROM due GROUP BY currency),
+        c AS (SELECT currency, count(*) FILTER (confidence = 'likely') AS likely, sum(typical_amount) FILTER (confidence = 'likely') AS monthly, count(mandate) AS mandated FROM charges GROUP BY currency),
+        r AS (SELECT currency, 10 AS ord, 'installments-next-three' AS id, 'neutral' AS severity, three AS value FROM d WHERE three <> 0 UNION ALL SELECT currency, 11, 'installments-this-month', 'neutral', now FROM d WHERE now IS NOT NULL
+            UNION ALL SELECT currency, 12, 'installments-uncertain', 'attention', count(*) FROM plans WHERE remaining_installments > 0 AND (confidence <> 'confirmed' OR has_gaps) GROUP BY currency
+            UNION ALL SELECT currency, 20, 'recurring-count', 'neutral', likely FROM c WHERE likely > 0 UNION ALL SELECT currency, 21, 'recurring-monthly', 'neutral', monthly FROM c WHERE likely > 0 UNION ALL SELECT currency, 22, 'recurring-mandates', 'neutral', mandated FROM c WHERE mandated > 0)
+        SELECT currency, '1998-01' AS month, ord::BIGINT AS ord, id, severity, value::DOUBLE AS value FROM r""",
+    "import_readiness": f"""WITH p(i, card) AS (VALUES {_PROFILES}),
+        k AS (SELECT c_custkey AS k, card, c_custkey % 3 = 0 AS on_card, c_custkey % 5 = 0 AND c_custkey % 10 <> 0 AS other, CASE WHEN c_custkey % 6 <> 0 THEN '00' || lpad(c_custkey::VARCHAR, 9, '0') ELSE '' END AS theirs,
+            CASE c_custkey % 4 WHEN 0 THEN lpad(c_custkey::VARCHAR, 9, '0') WHEN 1 THEN lpad((c_custkey + 1)::VARCHAR, 9, '0') WHEN 2 THEN '123' ELSE '' END AS mine FROM customer JOIN p ON i = c_custkey % {len(PROFILES)}),
+        n AS (SELECT *, least(len(mine), len(theirs), 8) AS n FROM k), s AS (SELECT *, n >= 4 AS known, right(mine, n) = right(theirs, n) AS same, card <> on_card AS odd FROM n),
+        v AS (SELECT *, CASE WHEN other OR known AND NOT same THEN 'blocked' WHEN odd THEN 'warning' WHEN known THEN 'confirmed' ELSE 'unknown' END AS verdict FROM s),
+        b AS (SELECT *, concat_ws(',', CASE WHEN verdict = 'blocked' THEN 'account-mismatch' END, CASE WHEN k % 11 = 0 THEN 'statement-invalid' END, CASE WHEN k % 13 = 0 THEN 'duplicate-check-unavailable' END) AS blockers FROM v)
+        SELECT k::VARCHAR AS file_hash, verdict AS account_verdict, concat_ws(',', CASE WHEN other THEN 'currency' END, CASE WHEN known AND NOT same THEN 'number-differs' END, CASE WHEN known AND same THEN 'number-equal' END, CASE WHEN odd THEN 'product' END) AS reasons,
+            blockers, blockers = '' AS can_import FROM b""",
+}

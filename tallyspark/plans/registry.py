@@ -18,6 +18,7 @@ from tallyspark.plans.oracles import ORACLES
 from tallyspark.session import shared_path, stored
 from tallyspark.sources import card_facts as labelled_facts
 from tallyspark.sources import ledger, sheets, statements
+from tallyspark.sources.profiles import PROFILES
 
 
 
@@ -415,6 +416,27 @@ def calibration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.profile(typed)
 
 
+def charge_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remarks on instalments due from January 1998 on and on recurring charges, in their fixed order."""
+    plans = stored(installments.build_plans(_card_charges(spark, sf_dir)), "plans")
+    due = insights.installments(installments.schedule(plans, "1998-01"), "1998-01", plans)
+    return _plain(insights.ordered(due, insights.recurring(monthly_charges(spark, sf_dir), "1998-01")))
+
+
+def import_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of customers beside the accounts they are to go to: how both match, and what keeps each from being imported."""
+    c = facts.table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    parser = F.element_at(F.array(*(F.lit(p.parser) for p in PROFILES)), (k % len(PROFILES) + 1).cast("int"))
+    number = F.format_string("00-%09d", k)
+    found = c.select(k.cast("string").alias("file_hash"), k.cast("string").alias("account_id"), parser.alias("parser"), F.when(k % 5 == 0, "usd").otherwise("CLP").alias("currency"), F.when(k % 6 == 0, None).otherwise(number).alias("account_number"))
+    own = F.when(k % 4 == 0, F.format_string("%09d", k)).when(k % 4 == 1, F.format_string("%09d", k + 1)).when(k % 4 == 2, "123")
+    accounts = c.select(k.cast("string").alias("id"), F.when(k % 3 == 0, "CREDIT_CARD").otherwise("CASH").alias("account_type"), F.when(k % 10 == 0, "USD").otherwise("CLP").alias("currency"), own.alias("account_number"))
+    n = F.col("file_hash").cast("long")
+    read = statements.match_accounts(found, accounts).withColumns({"ok": n % 11 != 0, "duplicates_checked": n % 13 != 0}).withColumnRenamed("verdict", "account_verdict")
+    return imports.blockers(read).select("file_hash", "account_verdict", F.array_join("reasons", ",").alias("reasons"), F.array_join("blockers", ",").alias("blockers"), "can_import")
+
+
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = facts.described(spark, sf_dir).groupBy("description", "normalized_description").agg(F.count(F.lit(1)).alias("n"))
     return enrich.with_attribution(few).groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.sum("n").alias("n"))
@@ -429,7 +451,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
-    bag_diff, month_insights, dashboard, calibration_profile, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
+    bag_diff, month_insights, dashboard, calibration_profile, charge_insights, import_readiness, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
 
