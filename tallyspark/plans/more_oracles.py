@@ -326,4 +326,9 @@ ORACLES |= {
         b AS (SELECT *, concat_ws(',', CASE WHEN verdict = 'blocked' THEN 'account-mismatch' END, CASE WHEN k % 11 = 0 THEN 'statement-invalid' END, CASE WHEN k % 13 = 0 THEN 'duplicate-check-unavailable' END) AS blockers FROM v)
         SELECT k::VARCHAR AS file_hash, verdict AS account_verdict, concat_ws(',', CASE WHEN other THEN 'currency' END, CASE WHEN known AND NOT same THEN 'number-differs' END, CASE WHEN known AND same THEN 'number-equal' END, CASE WHEN odd THEN 'product' END) AS reasons,
             blockers, blockers = '' AS can_import FROM b""",
+    "page_sections": """WITH n AS (SELECT o_custkey AS c, o_orderkey AS k, floor(o_totalprice) >= 1000 AS grouped, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS n FROM orders),
+        g AS (SELECT c, k, n, grouped, CASE WHEN n >= 5 THEN ['COMPRAS NACIONALES', 'CARGOS COMISIONES IMPUESTOS Y ABONOS', 'COMPRAS INTERNACIONALES'][(n // 5) % 3 + 1] END AS section FROM n),
+        f AS (SELECT c AS file, section, count(*) FILTER (grouped AND k % 9 <> 0) AS rows FROM g GROUP BY ALL),
+        e AS (SELECT DISTINCT o_custkey AS file, section FROM orders, (VALUES ('COMPRAS NACIONALES'), ('COMPRAS INTERNACIONALES'), ('OTROS'), ('CARGOS COMISIONES IMPUESTOS Y ABONOS'), (NULL)) v(section))
+        SELECT e.file, e.section, e.section IS NOT NULL AND f.file IS NOT NULL AS found, coalesce(rows, 0) AS rows FROM e LEFT JOIN f ON e.file = f.file AND e.section IS NOT DISTINCT FROM f.section""",
 }

@@ -17,7 +17,7 @@ from tallyspark.plans import more_oracles
 from tallyspark.plans.oracles import ORACLES
 from tallyspark.session import shared_path, stored
 from tallyspark.sources import card_facts as labelled_facts
-from tallyspark.sources import ledger, sheets, statements
+from tallyspark.sources import ledger, sections, sheets, statements
 from tallyspark.sources.profiles import PROFILES
 
 
@@ -437,6 +437,22 @@ def import_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.blockers(read).select("file_hash", "account_verdict", F.array_join("reasons", ",").alias("reasons"), F.array_join("blockers", ",").alias("blockers"), "can_import")
 
 
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders laid out as words on the pages of a statement for each customer, a section's name before every fifth but the first five."""
+    o = facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")) - 1
+    rows = o.withColumn("n", n).withColumns({"page": F.floor(F.col("n") / 12), "top": F.lit(700) - F.col("n") % 12 * 20})
+    k = F.col("o_orderkey")
+    word = lambda x, up, text: F.struct(F.lit(float(x)).alias("x"), (F.col("top") + up).cast("double").alias("y"), text.alias("text"))
+    money = F.translate(F.format_number(F.floor("o_totalprice"), 0), ",", ".")
+    name = F.element_at(F.array(F.lit("Compras Nacionales"), F.lit("Cargos, comisiones, impuestos y abonos"), F.lit("Compras internacionales")), (F.col("n") / 5 % 3 + 1).cast("int"))
+    header = F.when((F.col("n") % 5 == 0) & (F.col("n") > 0), F.array(*(word(10 + i, 10 + i, F.coalesce(F.get(F.split(name, " "), F.lit(i)), F.lit(" "))) for i in range(5))))
+    date = F.when(k % 9 == 0, F.lit("sin fecha")).otherwise(F.date_format("day", "dd/MM/yyyy"))
+    movement = F.array(word(300, k % 3, money), word(10, k % 2, date), word(90, 1, F.lit("COMPRA")))
+    words = rows.select(F.col("o_custkey").alias("file"), "page", F.inline(F.concat(movement, F.coalesce(header, F.array().cast("array<struct<x:double,y:double,text:string>>")))))
+    return _plain(sections.sections(sections.lines(words)))
+
+
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = facts.described(spark, sf_dir).groupBy("description", "normalized_description").agg(F.count(F.lit(1)).alias("n"))
     return enrich.with_attribution(few).groupBy("description").agg(*(F.max(c).alias(c) for c in ("processor_id", "merchant_name", "merchant_confidence", "merchant_source", "unresolved")), F.sum("n").alias("n"))
@@ -451,7 +467,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
     transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
-    bag_diff, month_insights, dashboard, calibration_profile, charge_insights, import_readiness, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
+    bag_diff, month_insights, dashboard, calibration_profile, charge_insights, import_readiness, page_sections, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 
 
