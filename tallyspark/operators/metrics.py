@@ -131,6 +131,16 @@ def unattributed_by_processor(facts: DataFrame) -> DataFrame:
     return rows.groupBy("currency", "processor_id").agg(F.max("processor").alias("processor"), F.sum(F.abs("amount")).alias("amount"), F.count(F.lit(1)).alias("transaction_count"))
 
 
+def ordered_categories(totals: DataFrame) -> DataFrame:
+    """Categories, the largest first; equals by name."""
+    return totals.orderBy(F.desc("amount"), "category")
+
+
+def ordered_processors(totals: DataFrame) -> DataFrame:
+    """Processors by what they hide, the largest first; equals by name."""
+    return totals.orderBy(F.desc("amount"), "processor_id")
+
+
 def issuer_charges(facts: DataFrame, by: tuple[str, ...] = ("currency",)) -> DataFrame:
     rows = facts.where(K.is_spending() & K.is_issuer_charge())
     return rows.groupBy(*by).agg(F.sum(F.abs("amount")).alias("amount"), F.count(F.lit(1)).alias("transaction_count"))

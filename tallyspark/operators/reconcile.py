@@ -251,6 +251,13 @@ def stamp(facts: DataFrame, matches: DataFrame, kind: str = "internal_transfer")
     return out.withColumns({"kind": F.when(hit, kind).otherwise(F.col("kind")), "kind_confidence": F.coalesce("__sure", "kind_confidence")}).drop("leg", "__sure")
 
 
+def stamp_payments(facts: DataFrame, paid: DataFrame) -> DataFrame:
+    """Facts with both legs of each paired card payment marked as one, with the other's fingerprint. paid: ``match_card_payments``."""
+    named = lambda side, leg: legs(facts).select(F.col("leg").alias(leg), F.col("fingerprint").alias(f"{side}_fingerprint"))
+    pairs = paid.where("credit is not null").select(F.col("payment").alias("o_leg"), F.col("credit").alias("i_leg"), "confidence")
+    return stamp(facts, pairs.join(named("o", "o_leg"), "o_leg").join(named("i", "i_leg"), "i_leg"), "credit_card_payment")
+
+
 def window(facts: DataFrame, start: str, end: str) -> DataFrame:
     """Movements of the days from start to end, both included."""
     return facts.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

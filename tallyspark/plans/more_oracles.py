@@ -331,4 +331,6 @@ ORACLES |= {
         f AS (SELECT c AS file, section, count(*) FILTER (grouped AND k % 9 <> 0) AS rows FROM g GROUP BY ALL),
         e AS (SELECT DISTINCT o_custkey AS file, section FROM orders, (VALUES ('COMPRAS NACIONALES'), ('COMPRAS INTERNACIONALES'), ('OTROS'), ('CARGOS COMISIONES IMPUESTOS Y ABONOS'), (NULL)) v(section))
         SELECT e.file, e.section, e.section IS NOT NULL AND f.file IS NOT NULL AS found, coalesce(rows, 0) AS rows FROM e LEFT JOIN f ON e.file = f.file AND e.section IS NOT DISTINCT FROM f.section""",
+    "stamped_payments": f"""WITH RECURSIVE paid AS ({ORACLES["card_payments"]}), pairs AS (SELECT payment AS a, credit AS b FROM paid WHERE credit IS NOT NULL UNION ALL SELECT credit, payment FROM paid WHERE credit IS NOT NULL)
+        SELECT split_part(a, ':', 2)::BIGINT AS row_id, 'credit_card_payment' AS kind, 'confirmed' AS kind_confidence, split_part(b, ':', 2) AS counterpart_fingerprint FROM pairs""",
 }

@@ -125,6 +125,13 @@ def card_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.match_card_payments(facts.from_events(spark, sf_dir))
 
 
+def stamped_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are legs of a paired card payment, once both legs are stamped."""
+    rows = facts.from_events(spark, sf_dir).withColumns({"kind": F.lit("unknown"), "kind_confidence": F.lit("unresolved")})
+    out = reconcile.stamp_payments(rows, reconcile.match_card_payments(rows))
+    return out.where("kind != 'unknown'").select("row_id", "kind", "kind_confidence", "counterpart_fingerprint")
+
+
 def file_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as files of several kinds, encodings, delimiters and quotings, read back from their bytes: rows of each file's data sheet below its header."""
     files = stored(facts.order_files(spark, sf_dir), "files")
@@ -466,7 +473,7 @@ def kind_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     monthly_summary, month_comparison, category_totals, merchant_totals, unattributed_spending, issuer_charges, cost_breakdown, recurring_charges, installment_plans, installment_outlook, transfer_candidates,
-    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
+    transfer_candidates_all, transfer_matches, ambiguous_transfers, transfer_summary, card_payments, stamped_payments, file_movements, ledger_readings, import_batches, fingerprints, duplicates, legacy_conflicts, import_totals, idempotency_keys, rule_outcomes, rule_cases, text_keys, redactions, calendar, date_readings, date_shapes, date_orders, balance_walk,
     bag_diff, month_insights, dashboard, calibration_profile, charge_insights, import_readiness, page_sections, attribution, kind_defaults, parser_ranking, statement_rows, statement_balances, amount_readings, card_facts, import_breakdown, activity_types, monthly_charges,
 )
 

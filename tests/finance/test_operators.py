@@ -137,3 +137,12 @@ def test_recurring(spark):
     df = spark.createDataFrame([(m, D(d), Decimal(a), f, t, "CLP", "out", "expense", None, None) for m, d, a, f, t in rows], kinds).withColumn("normalized_description", F.col("description"))
     got = {r.merchant_key: (r.confidence, r.mandate, r.occurrences, r.typical_amount) for r in C.ordered(C.recurring_charges(df)).collect()}
     assert got == {"N": ("likely", "pac", 5, Decimal(1003)), "Q": ("possible", None, 3, Decimal(1000))}
+
+
+def test_orders_of_totals(spark):
+    from tallyspark.operators import metrics as M
+
+    cats = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9)], "category string, amount int")
+    assert [r.category for r in M.ordered_categories(cats).collect()] == ["c", "a", "b"]
+    hidden = spark.createDataFrame([("webpay", 1), ("flow", 4), ("google", 4)], "processor_id string, amount int")
+    assert [r.processor_id for r in M.ordered_processors(hidden).collect()] == ["flow", "google", "webpay"]
