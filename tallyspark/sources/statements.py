@@ -79,12 +79,12 @@ def layouts(rows: DataFrame) -> DataFrame:
     header row of every sheet; sheets: how many have any content. header_row is null where no row names what a header must.
     """
     rows = rows.where("cells is not null")
-    plausible = sheets.header_rows(rows)
+    plausible = stored(sheets.header_rows(rows), "headers")
     first = plausible.groupBy("file_hash", "sheet_index").agg(F.min_by(F.struct(F.col("row_index").alias("header_row"), "header", "roles"), "row_index").alias("h"))
     top = rows.where(F.col("row_index") <= 30).select("file_hash", "sheet_index", "row_index", F.array_join("cells", " ").alias("line")).join(first, ["file_hash", "sheet_index"], "left")
     top = top.where(F.col("row_index") <= F.coalesce("h.header_row", F.lit(PREAMBLE_ROWS - 1)))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda x: x["line"]), "\n")
-    by_sheet = top.groupBy("file_hash", "sheet_index").agg(lines.alias("preamble"), F.any_value("h").alias("h"))
+    by_sheet = stored(top.groupBy("file_hash", "sheet_index").agg(lines.alias("preamble"), F.any_value("h").alias("h")), "preambles")
     all_sheets = by_sheet.groupBy("file_hash").agg(fold_case(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_index", "preamble"))), lambda x: x["preamble"]), "\n")).alias("vocabulary"))
     named = plausible.groupBy("file_hash").agg(F.collect_list("header").alias("layouts"))
     filled = rows.where(F.exists("cells", lambda c: c != ""))
@@ -230,7 +230,8 @@ def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:
     Adds currency, currencies, date_order, date_source, ambiguous_dates, formats_by_role (role to number format), conflicts,
     period_from, period_to, anchor_opening and anchor_closing.
     """
-    below = _data(rows, files)
+    files = stored(files, "described")  # what follows reads both several times
+    below = stored(_data(rows, files), "data-rows")
     moving = below.where("not blank and not passed")
     code = F.when(_cell("currency") == "$", "CLP").otherwise(F.coalesce(currency_code(_cell("currency")), F.upper(_cell("currency"))))
     named = moving.where(_cell("currency") != "").groupBy("file_hash", code.alias("code")).agg(F.min("row_index").alias("at"))
