@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.money import canonical
 from tallyspark.functions.text import normalize_description
 from tallyspark.operators.enrich import CARD_SIDE, CASH_SIDE, begins, card_inflow
-from tallyspark.session import discard, stored, with_checkpoints
+from tallyspark.session import discard, stored
 
 # Wording of transfers, own accounts and third parties, and names of banks.
 TRANSFER = ("TRANSFERENCIA", "TRASPASO", "TRANSF", "TEF", "ABONO TRANSFERENCIA", "CARGO TRANSFERENCIA", "ENTRE CUENTAS", "CUENTA PROPIA")
@@ -41,12 +41,18 @@ def _names(text: Column, institution: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def legs(facts: DataFrame) -> DataFrame:
-    """One row per leg: repeats of an account's fingerprint are one."""
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the legs: never by a copy of one of them in the driver and on every executor, as Spark would
+    plan from the size of a well compressed file."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def legs(facts: DataFrame, *more: str) -> DataFrame:
+    """One row per leg, with columns named in ``more``: repeats of an account's fingerprint are one."""
     key = F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")
     text = normalize_description(F.col("description"))
     return facts.select(
-        key.alias("leg"), "account_id", "date", "direction", "currency", canonical(F.abs("amount")).alias("amount_key"), text.alias("text"), F.coalesce("institution", F.lit("")).alias("institution"), "reference", "fingerprint"
+        key.alias("leg"), "account_id", "date", "direction", "currency", canonical(F.abs("amount")).alias("amount_key"), text.alias("text"), F.coalesce("institution", F.lit("")).alias("institution"), "reference", "fingerprint", *more
     ).dropDuplicates(["leg"])
 
 
@@ -109,7 +115,7 @@ def _wording_rank(a: str, b: str) -> Column:
 
 
 def _bests(cells: DataFrame, window: int) -> DataFrame:
-    """(side, leg, quality, rivals, partner): of every cell that has one, the best quality of its pairs, how many legs of the other
+    """(side, leg, amount, quality, rivals, partner): of every cell that has one, the best quality of its pairs, how many legs of the other
     side share it, and one of these (the only one, if it is one)."""
     banded = cells.withColumn("band", F.explode(F.array_compact(F.array(F.lit(""), F.when(F.col("reference_key") != "", F.col("reference_key"))))))
     other = banded.select(
@@ -119,13 +125,13 @@ def _bests(cells: DataFrame, window: int) -> DataFrame:
     total = other.groupBy(*on).agg(F.sum("legs").alias("total"), F.min("who").alias("low"), F.max("who").alias("high"))
     own = other.groupBy(*on, "owner").agg(F.sum("legs").alias("own"))
     days = banded.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
-    met = days.join(total, [*on[:-1]]).join(own, [*on, "owner"], "left").withColumn("rivals", F.col("total") - F.coalesce("own", F.lit(0))).where("rivals > 0")
+    met = _merge(_merge(days, total, on[:-1]), own, [*on, "owner"], "left").withColumn("rivals", F.col("total") - F.coalesce("own", F.lit(0))).where("rivals > 0")
     rank = F.when(F.col("band") != "", 3).otherwise(_wording_rank("wording", "their_wording"))
     # where one leg is left besides those of the own account, it is at an end of the order by account
     partner = F.when(F.col("low.owner") != F.col("owner"), F.col("low.leg")).otherwise(F.col("high.leg"))
     quality = (rank * (window + 1) + window - F.abs(F.datediff("day", "date"))).alias("quality")
-    each = met.select("side", "leg", quality, "rivals", partner.alias("partner")).groupBy("side", "leg", "quality").agg(F.sum("rivals").alias("rivals"), F.max("partner").alias("partner"))
-    return each.groupBy("side", "leg").agg(F.max(F.struct("quality", "rivals", "partner")).alias("best")).select("side", "leg", "best.*")
+    each = met.select("side", "leg", *_AMOUNT, quality, "rivals", partner.alias("partner")).groupBy("side", "leg", *_AMOUNT, "quality").agg(F.sum("rivals").alias("rivals"), F.max("partner").alias("partner"))
+    return each.groupBy("side", "leg", *_AMOUNT).agg(F.max(F.struct("quality", "rivals", "partner")).alias("best")).select("side", "leg", *_AMOUNT, "best.*")
 
 
 def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,38 +141,47 @@ def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     some: leg, side (0 out, 1 in), currency, amount_key, date, owner (legs of one owner make no pair), wording, reference_key."""
     some = some.where(" and ".join(f"{c} is not null" for c in _CELL))
     cells = stored(some.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("legs"), F.min("leg").alias("leg")), "cells")
-    rounds = []
+    rounds, open_cells = [], []
     while True:
         bests = stored(_bests(cells, window), "bests")
         sure = bests.where("rivals = 1")
-        a, b = sure.where("side = 0").select(F.col("leg").alias("o_leg"), F.col("partner").alias("i_leg")), sure.where("side = 1").select(F.col("partner").alias("o_leg"), F.col("leg").alias("i_leg"))
-        now = stored(a.join(b, ["o_leg", "i_leg"]), "settled")
+        a, b = sure.where("side = 0").select(*_AMOUNT, F.col("leg").alias("o_leg"), F.col("partner").alias("i_leg")), sure.where("side = 1").select(F.col("partner").alias("o_leg"), F.col("leg").alias("i_leg"))
+        now = stored(_merge(a, b, ["o_leg", "i_leg"]), "settled")
+        rounds.append(now.select("o_leg", "i_leg"))
         if now.isEmpty():
             break
-        rounds.append(now)
+        # pairs are of one amount: where none was settled, all is as it was, and a cell without a pair never gets one
         gone = now.select(F.col("o_leg").alias("leg")).unionAll(now.select(F.col("i_leg").alias("leg")))
-        before, cells = cells, stored(cells.join(gone, "leg", "left_anti"), "cells")
+        moved = now.select(*_AMOUNT).distinct()
+        paired = _merge(cells, bests.select("leg"), "leg", "left_semi")
+        open_cells.append(stored(_merge(paired, moved, _AMOUNT, "left_anti").select(*_CELL), "open"))
+        before, cells = cells, stored(_merge(_merge(paired, moved, _AMOUNT, "left_semi"), gone, "leg", "left_anti"), "cells")
         discard(before, bests)
-    settled = now
-    for more in rounds:
+    settled, still = rounds[0], _merge(cells, bests.select("leg"), "leg", "left_semi").select(*_CELL)
+    for more in rounds[1:]:
         settled = settled.unionAll(more)
-    left = some.join(cells.select(*_CELL), _CELL, "left_semi")
-    open_ = some.join(cells.join(bests.select("leg"), "leg").select(*_CELL), _CELL, "left_semi")
-    return settled, left, open_
+    for more in open_cells:
+        still = still.unionAll(more)
+    gone = settled.select(F.col("o_leg").alias("leg")).unionAll(settled.select(F.col("i_leg").alias("leg")))
+    return settled, _merge(some, gone, "leg", "left_anti"), _merge(some, still, _CELL, "left_semi")
 
 
 def _ties(open_: DataFrame, window: int) -> DataFrame:
     """(o_leg, i_leg): of the pairs among open legs as many as hold together what all of them hold together.
 
-    Each leg with a leg of each of the three first owners of the other side on each day: any two legs of a day thus share one, and where
-    there are no more than three owners these are all."""
-    first = open_.groupBy("side", *_AMOUNT, "date", "owner").agg(F.min("leg").alias("other"))
-    place = F.row_number().over(Window.partitionBy("side", *_AMOUNT, "date").orderBy("owner"))
-    three = first.withColumn("place", place).where("place <= 3").select((1 - F.col("side")).alias("side"), *_AMOUNT, F.col("date").alias("day"), F.col("owner").alias("owner_"), "other")
-    days = open_.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
-    met = days.join(three, ["side", *_AMOUNT, "day"]).where("owner != owner_")
+    The first leg of each of the three first owners of a side and day meets those of the other side; every other leg meets one of them
+    that its owner lets it meet. Two legs that meet a day of three owners share one of these, so a leg beyond the first three owners
+    meets by any one of its pairs all that it meets."""
+    day = ["side", *_AMOUNT, "date"]
+    first = open_.groupBy(*day, "owner").agg(F.min("leg").alias("first"))
+    three = stored(first.withColumn("place", F.row_number().over(Window.partitionBy(*day).orderBy("owner"))).where("place <= 3").drop("place"), "three")
+    other = three.select((1 - F.col("side")).alias("side"), *_AMOUNT, F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))).alias("date"), F.struct(F.col("owner").alias("owner_"), F.col("first").alias("other")).alias("who"))
+    among = _merge(three, other, day).where("owner != who.owner_").select("side", F.col("first").alias("leg"), "who.other")
+    rest = _merge(open_, three.select("first"), F.col("leg") == F.col("first"), "left_anti")
+    ends = other.groupBy(*day).agg(F.min("who").alias("low"), F.max("who").alias("high"))
+    hung = _merge(rest, ends, day).select("side", "leg", F.when(F.col("low.owner_") != F.col("owner"), F.col("low.other")).when(F.col("high.owner_") != F.col("owner"), F.col("high.other")).alias("other")).where("other is not null")
     leg = lambda side: F.when(F.col("side") == side, F.col("leg")).otherwise(F.col("other"))
-    return met.select(leg(0).alias("o_leg"), leg(1).alias("i_leg")).distinct()
+    return among.unionAll(hung).select(leg(0).alias("o_leg"), leg(1).alias("i_leg")).distinct()
 
 
 def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +194,7 @@ def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2)
     settled, _, open_ = settle(sided, window)
     ambiguous = _ties(open_, window)
     side = lambda p: some.select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
-    matched = _evidence(settled.join(side("o"), "o_leg").join(side("i"), "i_leg"))
+    matched = _evidence(_merge(_merge(settled, side("o"), "o_leg"), side("i"), "i_leg"))
     strong = F.col("shared_reference") | F.col("transfer_wording") & (F.col("own_account") | F.col("bank_named"))
     confidence = F.when(~F.col("third_party") & strong & (F.col("gap_days") <= confirm_window), "confirmed").otherwise("suggested")
     reason = F.concat(
@@ -199,32 +214,44 @@ def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2)
 
 
 def knots(ambiguous: DataFrame) -> DataFrame:
-    """(leg, knot): the open legs by connected component, named by the least leg; labels spread until they settle."""
-    with_checkpoints(ambiguous.sparkSession)
-    edges = ambiguous.select(F.col("o_leg").alias("a"), F.col("i_leg").alias("b"))
-    edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("knot")).select(F.col("a").alias("leg"), "knot").checkpoint()
+    """(leg, knot): the open legs by connected component, named by the least leg; labels spread until they settle. Legs of one pair wait
+    and take what the other leg got."""
+    pairs = stored(ambiguous, "pairs")
+    edges = pairs.select(F.col("o_leg").alias("a"), F.col("i_leg").alias("b"))
+    edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    some = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("one"))
+    some = stored(some.select(F.col("a").alias("leg"), "n", "one", F.least("a", "one").alias("knot")), "legs")
+    many = some.where("n > 1").select("leg")
+    inner = _merge(_merge(edges, many.select(F.col("leg").alias("a")), "a", "left_semi"), many.select(F.col("leg").alias("b")), "b", "left_semi")
+    inner, new = stored(inner, "inner"), stored(some.where("n > 1").select("leg", "knot"), "labels")
     while True:
-        near = edges.join(labels, F.col("b") == F.col("leg")).groupBy("a").agg(F.min("knot").alias("other"))
+        before, labels = new, new.select("leg", "knot")
+        near = _merge(inner, labels, F.col("b") == F.col("leg")).groupBy("a").agg(F.min("knot").alias("other"))
         hop = labels.select(F.col("leg").alias("at"), F.col("knot").alias("further"))
-        new = labels.join(near, F.col("leg") == F.col("a")).select("leg", F.least("knot", "other").alias("knot"), F.col("knot").alias("old"))
-        new = new.join(hop, F.col("knot") == F.col("at"), "left").select("leg", F.coalesce("further", "knot").alias("knot"), "old").checkpoint()
+        new = _merge(labels, near, F.col("leg") == F.col("a"), "left").select("leg", F.least("knot", "other").alias("knot"), F.col("knot").alias("old"))
+        new = _merge(new, hop, F.col("knot") == F.col("at"), "left").select("leg", F.least("further", "knot").alias("knot"), "old")
+        new = stored(new, "labels")
         labels = new.select("leg", "knot")
+        discard(before)
         if new.where("knot != old").isEmpty():
-            return labels
+            break
+    # of a pair that has nothing else, each leg is the other's only one
+    named = labels.select(F.col("leg").alias("at"), F.col("knot").alias("got"))
+    hung = _merge(some.where("n = 1"), named, F.col("one") == F.col("at"), "left").select("leg", F.coalesce("got", "knot").alias("knot"))
+    return labels.unionAll(hung)
 
 
 def _within(some: DataFrame, others: DataFrame, window: int) -> DataFrame:
     """(leg, rivals): how many of ``others`` have the amount of a leg of ``some`` within the window; legs without any are left out."""
     counts = others.groupBy(*_AMOUNT, F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     days = some.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
-    return days.join(counts, [*_AMOUNT, "day"]).groupBy("leg").agg(F.sum("n").alias("rivals"))
+    return _merge(days, counts, [*_AMOUNT, "day"]).groupBy("leg").agg(F.sum("n").alias("rivals"))
 
 
 def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:
     """Card payments of cash accounts with the card's credit where one is nearest and the only one; then payments without (``rivals``:
     credits left open in their window), and credits worded as payments that no payment could be paired with. facts need is_card."""
-    some = legs(facts).join(facts.select(F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint").alias("leg"), "is_card").dropDuplicates(["leg"]), "leg")
+    some = stored(legs(facts, "is_card"), "legs")
     out = some.where((F.col("direction") == "out") & ~F.col("is_card") & begins(F.col("text"), CASH_SIDE))
     credit = some.where((F.col("direction") == "in") & F.col("is_card") & (card_inflow(F.col("text")) != "reversal"))
     sided = lambda df, k: df.select("leg", F.lit(k).alias("side"), *_AMOUNT, "date", F.lit(str(k)).alias("owner"), F.lit(0).alias("wording"), F.lit("").alias("reference_key"))
@@ -232,11 +259,11 @@ def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:
     matched, left, _ = settle(both, window)
     found = matched.select(F.col("o_leg").alias("payment"), F.col("i_leg").alias("credit"), F.lit("confirmed").alias("confidence"), F.lit("paired").alias("reason"), F.lit(0).cast("bigint").alias("rivals"))
     rivals = _within(left.where("side = 0"), left.where("side = 1"), window)
-    open_ = out.select("leg").join(matched.select(F.col("o_leg").alias("leg")), "leg", "left_anti").join(rivals, "leg", "left")
+    open_ = _merge(_merge(out.select("leg"), matched.select(F.col("o_leg").alias("leg")), "leg", "left_anti"), rivals, "leg", "left")
     none = F.lit(None).cast("string")
     open_ = open_.select(F.col("leg").alias("payment"), none.alias("credit"), F.lit("suggested").alias("confidence"), F.when(F.col("rivals") > 0, "equal-rivals").otherwise("statement-missing").alias("reason"), F.coalesce("rivals", F.lit(0)).alias("rivals"))
     paired = _within(both.where("side = 1"), both.where("side = 0"), window)
-    lone = credit.where(begins(F.col("text"), CARD_SIDE)).select("leg").join(paired, "leg", "left_anti")
+    lone = _merge(credit.where(begins(F.col("text"), CARD_SIDE)).select("leg"), paired, "leg", "left_anti")
     lone = lone.select(F.col("leg").alias("payment"), none.alias("credit"), F.lit("suggested").alias("confidence"), F.lit("charge-missing").alias("reason"), F.lit(0).cast("bigint").alias("rivals"))
     return found.unionByName(open_).unionByName(lone)
 
@@ -246,7 +273,7 @@ def stamp(facts: DataFrame, matches: DataFrame, kind: str = "internal_transfer")
     one = matches.select(F.col("o_leg").alias("leg"), F.col("i_fingerprint").alias("counterpart_fingerprint"), "confidence")
     two = matches.select(F.col("i_leg").alias("leg"), F.col("o_fingerprint").alias("counterpart_fingerprint"), "confidence")
     both = one.unionByName(two).withColumnRenamed("confidence", "__sure")
-    out = facts.withColumn("leg", F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")).join(both, "leg", "left")
+    out = _merge(facts.withColumn("leg", F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")), both, "leg", "left")
     hit = F.col("__sure").isNotNull()
     return out.withColumns({"kind": F.when(hit, kind).otherwise(F.col("kind")), "kind_confidence": F.coalesce("__sure", "kind_confidence")}).drop("leg", "__sure")
 
@@ -255,7 +282,7 @@ def stamp_payments(facts: DataFrame, paid: DataFrame) -> DataFrame:
     """Facts with both legs of each paired card payment marked as one, with the other's fingerprint. paid: ``match_card_payments``."""
     named = lambda side, leg: legs(facts).select(F.col("leg").alias(leg), F.col("fingerprint").alias(f"{side}_fingerprint"))
     pairs = paid.where("credit is not null").select(F.col("payment").alias("o_leg"), F.col("credit").alias("i_leg"), "confidence")
-    return stamp(facts, pairs.join(named("o", "o_leg"), "o_leg").join(named("i", "i_leg"), "i_leg"), "credit_card_payment")
+    return stamp(facts, _merge(_merge(pairs, named("o", "o_leg"), "o_leg"), named("i", "i_leg"), "i_leg"), "credit_card_payment")
 
 
 def window(facts: DataFrame, start: str, end: str) -> DataFrame:
