@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["transfer_matches", "ambiguous_transfers", "transfer_summary", "card_payments"])
+@pytest.mark.parametrize("name", ["transfer_matches", "ambiguous_transfers", "transfer_summary", "card_payments", "stamped_payments"])
 def test_joins_of_legs_are_merged(spark, monkeypatch, name):
     plans, stored = [], reconcile.stored
 
