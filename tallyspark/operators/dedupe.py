@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import hashing as H
 from tallyspark.functions.text import description_key, similarity
+from tallyspark.session import stored
 
 # Readers that once read amounts of these sources in another way.
 LEGACY = (("banco-chile.tarjeta", "generico.tarjeta", None), ("banco-chile.tarjeta", "banco-chile.tarjeta", "0.1.0"), ("banco-falabella.cmr", "generico.tarjeta", None), ("banco-falabella.cmr", "banco-falabella.cmr", "0.1.0"))
 
+#: So many files with conflicts are sent to all executors.
+FEW = 10_000
+
 
 def with_fingerprints(df: DataFrame) -> DataFrame:
     """Adds fingerprint, weak_fingerprint, legacy_fingerprint and legacy_weak_fingerprint."""
@@ -44,14 +48,16 @@ def classify(candidates: DataFrame, existing: DataFrame, *, threshold: float = 0
     known = e.where(F.col("e_fingerprint").isNotNull()).withColumn("__n", F.row_number().over(last)).where("__n = 1")
     known = known.select("e_fingerprint", F.col("e_activity_id").alias("k_activity"), F.coalesce("e_host_modified", F.lit(False)).alias("k_modified"))
     older = known.select(F.col("e_fingerprint").alias("o_fingerprint"), F.col("k_activity").alias("o_activity"), F.col("k_modified").alias("o_modified"))
-    rows = candidates.join(known, F.col("fingerprint") == F.col("e_fingerprint"), "left").join(older, F.col("legacy_fingerprint") == F.col("o_fingerprint"), "left")
+    # most rows have no legacy fingerprint: each gets a name of its own, which is none, as nulls would all meet in one task
+    legacy = F.coalesce("legacy_fingerprint", F.concat(F.lit("-"), F.col("row_id").cast("string")))
+    rows = candidates.join(known, F.col("fingerprint") == F.col("e_fingerprint"), "left").join(older, legacy == F.col("o_fingerprint"), "left")
     rows = rows.withColumns({"__stored": F.coalesce("k_activity", "o_activity"), "__edited": F.when(F.col("k_activity").isNotNull(), F.col("k_modified")).otherwise(F.col("o_modified"))})
 
-    was = [(F.col("source_parser") == a) & (F.col("e_parser") == b) & (F.lit(True) if v is None else F.col("e_parser_version") == v) for a, b, v in LEGACY]
-    conflict = was[0] | was[1] | was[2] | was[3]
-    files = candidates.select("source_file_hash", "source_parser").distinct()
-    odd = files.join(e, F.col("source_file_hash") == F.col("e_file_hash")).where(conflict).groupBy("source_file_hash", "source_parser").agg(F.min_by("e_activity_id", "e_ord").alias("c_activity"))
-    rows = rows.join(odd, ["source_file_hash", "source_parser"], "left")
+    # of each file of the ledger one row for each parser whose older reading it is; the rows of a file never meet in one task
+    was = F.array_compact(F.array(*(F.when((F.col("e_parser") == b) & (F.lit(True) if v is None else F.col("e_parser_version") == v), a) for a, b, v in LEGACY)))
+    odd = e.select(F.col("e_file_hash").alias("source_file_hash"), F.explode(was).alias("source_parser"), "e_activity_id", "e_ord")
+    odd = stored(odd.groupBy("source_file_hash", "source_parser").agg(F.min_by("e_activity_id", "e_ord").alias("c_activity")), "conflicts")
+    rows = rows.join(odd.hint("broadcast" if odd.count() <= FEW else "merge"), ["source_file_hash", "source_parser"], "left")
 
     keys = candidates.select("row_id", "date", "amount", "currency", "description", "installment_remaining", F.explode(F.array_compact(F.array("weak_fingerprint", "legacy_weak_fingerprint"))).alias("weak"))
     near = keys.join(e, F.col("weak") == F.col("e_weak_fingerprint")).where(

@@ -24,3 +24,16 @@ def test_joins_of_legs_are_merged(spark, monkeypatch, name):
     plans.append(plan(registry.queries()[name](spark, DIR)))
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+@pytest.mark.parametrize("name", ["legacy_conflicts"])
+def test_no_task_gets_all_rows_of_a_file_or_all_without_a_legacy_fingerprint(spark, name):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = plan(registry.queries()[name](spark, DIR))
+    finally:
+        spark.conf.set(key, before)
+    assert "hashpartitioning(fingerprint" in found
+    assert "hashpartitioning(legacy_fingerprint" not in found and "hashpartitioning(source_file_hash" not in found
