@@ -26,7 +26,7 @@ def test_joins_of_legs_are_merged(spark, monkeypatch, name):
     assert not any("BroadcastHashJoin" in p for p in plans)
 
 
-@pytest.mark.parametrize("name", ["legacy_conflicts", "import_breakdown", "import_totals"])
+@pytest.mark.parametrize("name", ["legacy_conflicts", "duplicates", "import_breakdown", "import_totals"])
 def test_no_task_gets_all_rows_of_a_file_or_all_without_a_legacy_fingerprint(spark, name):
     key = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(key)
