@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyspark.functions.binding import let
+from tallyspark.functions.text import lower
 
 #: Month names and their short forms, and full labels in order.
 MONTHS = {
@@ -78,7 +79,7 @@ def parse_date(c: Column, order: str | Column = "DMY", start: Column | None = No
 
 
 def _read_date(only: Column, order: str | Column, start: Column, end: Column, pivot: int) -> Column:
-    low = F.lower(only)
+    low = lower(only)
     number = lambda x, pattern, g: F.regexp_extract(x, pattern, g).try_cast("int")
     iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
     named = r"^(\d{1,2})[\s\-/.]+([a-zà-ÿ]+)[\s\-/.]+(\d{2,4})$"

@@ -57,6 +57,12 @@ def once_per(df: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFra
     return df.join(some, on, "left").drop(*(f"__{k}" for k in keys))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to three tasks a core, at random: for costly work on rows of a table that few tasks read, as Spark does with a small or
+    well compressed file. The number is given, so that Spark doesn't merge small parts again."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def session(name: str = "tallyspark", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in conf.items():
