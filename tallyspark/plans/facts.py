@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import amount
+from tallyspark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +148,7 @@ def statement_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(head("Movimientos"), head("Moneda: CLP"), head("Fecha", "Glosa", "Monto", "Cargo Abono")),
     )
     top = F.when(layout == 0, tops[0]).when(layout == 1, tops[1]).otherwise(tops[2])
-    heads = o.select("o_custkey").distinct().select("o_custkey", F.posexplode(top).alias("row_index", "cells"))
+    heads = spread(o.select("o_custkey").distinct()).select("o_custkey", F.posexplode(top).alias("row_index", "cells"))
     rows = data.unionByName(heads)
     return rows.select(
         F.concat(F.lit("/s/"), "o_custkey", F.lit(".csv")).alias("path"), F.col("o_custkey").cast("string").alias("file_hash"), F.lit("csv").alias("kind"), F.lit(0).alias("sheet_index"), F.lit("").alias("sheet"), "row_index", "cells",

@@ -273,7 +273,8 @@ def _read_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def parser_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(statements.detection(statements.layouts(facts.statement_sheets(spark, sf_dir))).select("file_hash", "parser", "institution", "score", "rank", F.array_join("reasons", ",").alias("reasons")))
+    rows = stored(facts.statement_sheets(spark, sf_dir), "sheets")  # layouts read them several times
+    return _plain(statements.detection(statements.layouts(rows)).select("file_hash", "parser", "institution", "score", "rank", F.array_join("reasons", ",").alias("reasons")))
 
 
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

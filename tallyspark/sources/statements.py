@@ -19,7 +19,7 @@ from tallyspark.functions.money import AMOUNT, amount, parse_amount, with_amount
 from tallyspark.functions.text import fold_case, normalize_description
 from tallyspark.operators import balances
 from tallyspark.operators.enrich import default_kind, installment, remaining_installments
-from tallyspark.session import once_per, stored
+from tallyspark.session import once_per, spread, stored
 from tallyspark.sources import sheets
 from tallyspark.sources.profiles import BY_PARSER, FLOOR, IGNORED, PROFILES, Profile
 
@@ -105,7 +105,7 @@ def currency_code(text: Column) -> Column:
 
 
 def _has_layout(headers: tuple[str, ...]) -> Column:
-    wanted = F.transform(F.array(*map(F.lit, headers)), sheets.normalize_header)
+    wanted = F.array(*(F.lit(_plain_header(h)) for h in headers))
     return F.exists("layouts", lambda h: F.size(F.array_except(wanted, h)) == 0)
 
 
@@ -141,7 +141,7 @@ def detection(files: DataFrame) -> DataFrame:
         reasons = F.array_compact(F.array(*(F.when(on, k) for k, (on, _) in marks.items())))
         return F.struct(F.lit(i).alias("place"), F.lit(p.parser).alias("parser"), F.lit(p.institution).alias("institution"), F.when(none, 0).otherwise(F.least(F.lit(100), total)).alias("points"), reasons.alias("reasons"))
 
-    every = files.select("file_hash", F.inline(F.array(*(judged(i, p) for i, p in enumerate(PROFILES))))).where(F.col("points") >= FLOOR)
+    every = spread(files).select("file_hash", F.inline(F.array(*(judged(i, p) for i, p in enumerate(PROFILES))))).where(F.col("points") >= FLOOR)
     rank = F.row_number().over(Window.partitionBy("file_hash").orderBy(F.desc("points"), "place"))
     return every.select("file_hash", "parser", "institution", "points", (F.col("points") / 100).alias("score"), rank.alias("rank"), "reasons")
 
@@ -157,10 +157,11 @@ def merge_roles(header: list[str], roles: dict[str, int], parser: str) -> dict[s
 
 
 def _plain_header(name: str) -> str:
+    """``sheets.normalize_header`` of a fixed name."""
     import re
     import unicodedata
 
-    folded = "".join(c for c in unicodedata.normalize("NFD", name) if not 0x300 <= ord(c) <= 0x36F).upper()
+    folded = "".join(c for c in unicodedata.normalize("NFD", re.sub("[º°ª]", " ", name)) if not 0x300 <= ord(c) <= 0x36F).upper()
     return re.sub("[^A-Z0-9$]+", " ", folded).strip()
 
 

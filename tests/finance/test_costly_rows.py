@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
+from tallyspark.plans import registry
+from tallyspark.sources import statements
 from tallyspark.sources.card_facts import card_facts
 
 
@@ -22,3 +24,18 @@ def test_folding_without_upper_and_lower_is_the_same_for_every_letter(spark):
 
 def test_common_texts_are_folded_without_upper(spark):
     assert spark.createDataFrame([("Descripción N° $ €",)], "c string").where(F.col("c").rlike(T._FOLDABLE)).count() == 1
+
+
+def test_parser_ranking_makes_sheets_once_and_knows_its_headers_beforehand(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def layouts(rows):
+        raise Seen(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(statements, "layouts", layouts)
+    try:
+        registry.parser_ranking(spark, "/root/testdata/sf0.001")
+    except Seen as e:
+        assert "Window" not in str(e) and "Relation" in str(e)
+    assert statements._plain_header("Nº Operación") == "N OPERACION"
