@@ -15,7 +15,7 @@ from tallyspark.operators.categories import labelled
 from tallyspark.plans import facts
 from tallyspark.plans import more_oracles
 from tallyspark.plans.oracles import ORACLES
-from tallyspark.session import shared_path, stored
+from tallyspark.session import shared_path, spread, stored
 from tallyspark.sources import card_facts as labelled_facts
 from tallyspark.sources import ledger, sections, sheets, statements
 from tallyspark.sources.profiles import PROFILES
@@ -202,7 +202,7 @@ def activity_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as activities with metadata of all five versions, read back; some were given another type or comment since."""
-    o = facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    o = spread(facts.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
     k, odd = F.col("o_orderkey"), F.col("o_custkey") % 2 == 1
     kinds = ("income", "expense", "credit_card_purchase", "cash_advance", "internal_transfer", "investment", "credit_card_payment", "refund", "fee", "tax", "interest", "unknown")
     out = F.floor(k / 12) % 2 == 0

@@ -39,3 +39,8 @@ def test_parser_ranking_makes_sheets_once_and_knows_its_headers_beforehand(spark
     except Seen as e:
         assert "Window" not in str(e) and "Relation" in str(e)
     assert statements._plain_header("Nº Operación") == "N OPERACION"
+
+
+def test_ledger_readings_deal_the_orders(spark):
+    plan = registry.ledger_readings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {3 * spark.sparkContext.defaultParallelism}, true" in plan
