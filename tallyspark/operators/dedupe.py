@@ -64,7 +64,8 @@ def classify(candidates: DataFrame, existing: DataFrame, *, threshold: float = 0
         (F.abs(F.datediff("date", "e_date")) <= tolerance) & (F.col("amount") == F.col("e_amount")) & (F.col("currency") == F.col("e_currency"))
         & F.coalesce(F.col("installment_remaining") == F.col("e_installment_remaining"), F.lit(True))
     )
-    near = near.withColumn("score", similarity(description_key(F.col("description")), description_key(F.col("e_description"))))
+    # keys are named before they are compared, as similarity looks at each several times
+    near = near.withColumns({"__key": description_key(F.col("description")), "__e_key": description_key(F.col("e_description"))}).withColumn("score", similarity(F.col("__key"), F.col("__e_key")))
     best = near.groupBy("row_id").agg(F.max_by(F.struct("e_activity_id", "score"), F.struct("score", -F.col("e_ord"))).alias("best"))
     rows = rows.join(best, "row_id", "left").withColumn("__similar", F.col("best.score") >= threshold)
 
