@@ -19,14 +19,14 @@ def plan_key(institution: Column, merchant: Column, total: Column, minor: Column
     return hash_fields(F.lit("installment-plan"), institution, F.upper(merchant), total.cast("string"), band.cast("string"), currency)
 
 
-def runs(charges: DataFrame) -> DataFrame:
+def runs(charges: DataFrame, current: Column | None = None) -> DataFrame:
     """Adds run: a counter that came before in its run opens a new one, and forgets what was seen.
 
     Each plan's charges pass in order of day, fingerprint and counter; of a run only its counters, of which there are at most some
     dozen, are remembered. So no plan is ever held, however many charges it has.
     """
     counter = "__counter"
-    ordered = charges.withColumn(counter, F.col("installment.current").cast("int")).repartition("plan_key").sortWithinPartitions("plan_key", "date", "fingerprint", counter)
+    ordered = charges.withColumn(counter, (F.col("installment.current") if current is None else current).cast("int")).repartition("plan_key").sortWithinPartitions("plan_key", "date", "fingerprint", counter)
     places = [ordered.columns.index(c) for c in ("plan_key", counter)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,17 +52,21 @@ def build_plans(facts: DataFrame, least: str = "suggested") -> DataFrame:
         rows = rows.where(F.col("installment.confidence") == "confirmed")
     minor = F.abs("amount") * F.pow(F.lit(10), F.col("amount_scale")).cast("decimal(7,0)")
     rows = rows.withColumn("plan_key", plan_key(F.col("institution"), F.col("merchant"), F.col("installment.total"), minor, F.col("currency")))
-    first = F.struct("date", "fingerprint", "merchant", "description", "institution", "currency", F.abs("amount").alias("amount"), "installment.total")
-    unsure = F.coalesce(F.bool_or(F.exists("warnings", lambda w: w["code"] == "ambiguous-installment-amount")), F.lit(False))
-    some = runs(rows).groupBy("plan_key", "run").agg(
-        F.min(first).alias("first"),
-        F.array_sort(F.collect_set("installment.current")).alias("observed_installments"),
-        unsure.alias("unsure"),
-        F.bool_or(F.col("installment.confidence") == "confirmed").alias("sure"),
+    unsure = F.exists("warnings", lambda w: w["code"] == "ambiguous-installment-amount")
+    # what passes by Python is flat and no more than plans are made of
+    rows = rows.select("plan_key", "date", "fingerprint", "merchant", "description", "institution", "currency", F.abs("amount").alias("amount"), "installment.total", "installment.current", unsure.alias("unsure"), (F.col("installment.confidence") == "confirmed").alias("sure"))
+    # counters of a run differ, so that their count tells of gaps; lists are made only where they are asked for
+    some = runs(rows, F.col("current")).groupBy("plan_key", "run").agg(
+        F.min(F.struct("date", "fingerprint", "merchant", "description", "institution", "currency", "amount", "total")).alias("first"),
+        F.max("current").alias("highest"),
+        F.min("current").alias("lowest"),
+        F.count("current").alias("counted"),
+        F.array_sort(F.collect_set("current")).alias("observed_installments"),
+        F.coalesce(F.bool_or("unsure"), F.lit(False)).alias("unsure"),
+        F.bool_or("sure").alias("sure"),
         F.transform(F.array_sort(F.collect_list(F.struct("date", "fingerprint"))), lambda x: x["fingerprint"]).alias("source_fingerprints"),
     )
-    f, seen = F.col("first"), F.col("observed_installments")
-    current, low = F.array_max(seen), F.array_min(seen)
+    f, current, low = F.col("first"), F.col("highest"), F.col("lowest")
     left = F.greatest(F.lit(0), f["total"] - current)
     start = F.add_months(f["date"], 1 - low)
     return some.select(
@@ -70,8 +74,8 @@ def build_plans(facts: DataFrame, least: str = "suggested") -> DataFrame:
         f["merchant"].alias("merchant"), f["description"].alias("description"), f["institution"].alias("institution"), f["currency"].alias("currency"),
         F.when(~F.col("unsure"), f["amount"] * f["total"]).cast("decimal(32,6)").alias("original_amount"), f["amount"].alias("installment_amount"), f["total"].alias("total_installments"),
         current.alias("current_installment"), left.alias("remaining_installments"), (f["amount"] * left).cast("decimal(32,6)").alias("remaining_amount"),
-        start.alias("start_date"), F.add_months(start, f["total"] - 1).alias("estimated_end_date"), "source_fingerprints", seen.alias("observed_installments"),
-        (F.size(seen) != current - low + 1).alias("has_gaps"), F.when(~F.col("unsure") & F.col("sure"), "confirmed").otherwise("suggested").alias("confidence"),
+        start.alias("start_date"), F.add_months(start, f["total"] - 1).alias("estimated_end_date"), "source_fingerprints", "observed_installments",
+        (F.col("counted") != current - low + 1).alias("has_gaps"), F.when(~F.col("unsure") & F.col("sure"), "confirmed").otherwise("suggested").alias("confidence"),
     )
 
 

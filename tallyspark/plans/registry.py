@@ -241,7 +241,8 @@ def import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring charges under the usual thresholds: one charge a month and supplier, of a third of them nearly steady, of a third
     wavering, of a third anything."""
-    line = facts.table(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month")).distinct()
+    line = facts.table(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month"))
+    line = stored(line.distinct(), "months")  # or Spark would read texts of each line, not of each month
     k, odd = F.col("l_suppkey"), F.month("month") % 2
     wave = F.when(k % 3 == 0, 100).when(k % 3 == 1, 300).otherwise(900) * odd
     word = F.when(k % 2 == 0, "PAC CUENTA").otherwise("COMPRA")
@@ -426,7 +427,7 @@ def calibration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def charge_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remarks on instalments due from January 1998 on and on recurring charges, in their fixed order."""
-    plans = stored(installments.build_plans(_card_charges(spark, sf_dir)), "plans")
+    plans = stored(installments.build_plans(_card_charges(spark, sf_dir)).drop("source_fingerprints", "observed_installments"), "plans")
     due = insights.installments(installments.schedule(plans, "1998-01"), "1998-01", plans)
     return _plain(insights.ordered(due, insights.recurring(monthly_charges(spark, sf_dir), "1998-01")))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tallyspark.operators import dedupe
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from tallyspark.operators import dedupe, installments
 from tallyspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +20,25 @@ def test_keys_of_similar_movements_are_read_before_they_are_compared(spark):
     rows, old = registry._new_and_old(spark, SF)
     compared = [line for line in _plan(dedupe.classify(rows, old)).splitlines() if "levenshtein" in line]
     assert compared and not any("regexp_replace" in line for line in compared)
+
+
+def test_plans_make_lists_only_where_they_are_asked_for(spark):
+    plans = installments.build_plans(registry._card_charges(spark, SF))
+    assert "collect_" in _plan(plans)
+    assert "collect_" not in _plan(plans.drop("source_fingerprints", "observed_installments"))
+
+
+def test_gaps_of_plans_follow_from_counts(spark):
+    schema = "fingerprint string, date date, current int"
+    days = [("a", 1, 1), ("b", 2, 3), ("c", 3, 1), ("d", 4, 2), ("e", 5, None), ("f", 6, None)]
+    rows = spark.createDataFrame([(f, dt.date(2024, m, 1), c) for f, m, c in days], schema).select(
+        "fingerprint", "date", F.lit("credit_card_purchase").alias("kind"), F.lit("M").alias("merchant"), F.lit("b").alias("institution"), F.lit("CLP").alias("currency"), F.lit(2).alias("amount_scale"),
+        F.lit(-10).cast("decimal(22,6)").alias("amount"), F.lit("x").alias("description"), F.struct("current", F.lit(9).alias("total"), F.lit("confirmed").alias("confidence")).alias("installment"),
+        F.array().cast("array<struct<code:string,message:string>>").alias("warnings"),
+    )
+    got = {r["start"]: (r["observed_installments"], r["has_gaps"], r["source_fingerprints"]) for r in installments.build_plans(rows).withColumn("start", F.col("source_fingerprints")[0]).collect()}
+    assert got == {"a": ([1, 3], True, ["a", "b"]), "c": ([1, 2], False, ["c", "d", "e"]), "f": ([], None, ["f"])}
+
+
+def test_texts_of_monthly_charges_are_read_by_month_not_by_line(spark):
+    assert not any("lineitem" in f for f in registry.monthly_charges(spark, SF).inputFiles())
