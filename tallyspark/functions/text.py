@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def fold_case(c: Column) -> Column:
     return F.when(c.rlike(_FOLDABLE), F.translate(c, _SMALL, _LARGE)).otherwise(F.upper(F.translate(c, ACCENTED, PLAIN)))
 
 
+def may_hold(c: Column, words: Iterable[str]) -> Column:
+    """Whether one of these words, folded, may be in c once it is folded: true for sure of texts that hold one and of uncommon texts.
+    Far cheaper than folding, for passing over most rows."""
+    folded = dict(zip(_SMALL, _LARGE))
+    like = lambda letter: f"[{letter}{''.join(c for c in _SMALL if folded[c] == letter)}]"
+    return ~c.rlike(_FOLDABLE) | c.rlike("|".join("".join(map(like, w)) for w in words))
+
+
 def lower(c: Column) -> Column:
     """F.lower, for where it is interpreted (see ``fold_case``)."""
     large = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _LATIN

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyspark.functions.dates import parse_date
-from tallyspark.functions.text import fold_case
+from tallyspark.functions.text import fold_case, may_hold
 from tallyspark.sources.xlsx import read_xlsx
 
 MOST_BYTES = 10 << 20
@@ -227,11 +227,15 @@ def header_rows(rows: DataFrame, within: int = 30) -> DataFrame:
             maps = pa.array([list(roles[i].items()) for i in keep], pa.map_(pa.string(), pa.int32()))
             yield pa.RecordBatch.from_arrays([*some.columns, maps], [*some.schema.names, "roles"])
 
-    some = rows.where((F.col("row_index") < within) & F.exists("cells", lambda c: c != ""))
+    # Every header names a date: rows without the first word of such a name are passed over before anything is folded, which is most.
+    dates = {n.split()[0] for r in ("date", "posted_date") for n in ROLES[r]}
+    some = rows.where((F.col("row_index") < within) & may_hold(F.array_join("cells", " "), sorted(dates)))
     named = some.select("file_hash", "sheet_index", "row_index", F.transform("cells", normalize_header).alias("header"))
-    # A header holds a name of each kind somewhere; few other rows do, so few are read by name.
-    has = lambda *roles: F.array_join("header", "\n").rlike("|".join(re.escape(n) for r in roles for n in ROLES[r]))
-    named = named.where(has("date", "posted_date") & has("description") & has("amount", "installment_amount", "purchase_amount", "debit", "credit"))
+    # A header holds a name of each kind somewhere; few other rows do, so few are read by name. One pattern asks for all kinds: Spark
+    # would fold every row's cells ahead of the whole condition if it named them more than once.
+    a_name = lambda *roles: rf"(?=[\s\S]*(?:{'|'.join(re.escape(n) for r in roles for n in ROLES[r])}))"
+    kinds = a_name("date", "posted_date") + a_name("description") + a_name("amount", "installment_amount", "purchase_amount", "debit", "credit")
+    named = named.where(F.array_join("header", "\n").rlike(rf"\A{kinds}"))
     return named.mapInArrow(run, "file_hash string, sheet_index int, row_index int, header array<string>, roles map<string,int>")
 
 
@@ -253,8 +257,8 @@ def date_order(rows: DataFrame, file: str, cell: str, declared: str) -> DataFram
     """(file, date_order, source, ambiguous_rows): a field over 12 proves that it is the day; proofs of both are a conflict."""
     shape = r"^(\d{1,2})[-/.](\d{1,2})(?:[-/.]\d{2,4})?$"
     text = F.trim(F.regexp_replace(F.trim(F.col(cell)), _TIME, ""))
-    a, b = (F.regexp_extract(text, shape, g).try_cast("int") for g in (1, 2))
-    some = rows.select(file, a.alias("a"), b.alias("b")).groupBy(file).agg(
+    a, b = (F.regexp_extract("__text", shape, g).try_cast("int") for g in (1, 2))
+    some = rows.select(file, text.alias("__text")).select(file, a.alias("a"), b.alias("b")).groupBy(file).agg(
         F.coalesce(F.bool_or((F.col("a") > 12) & (F.col("b") <= 12)), F.lit(False)).alias("dmy"),
         F.coalesce(F.bool_or((F.col("b") > 12) & (F.col("a") <= 12)), F.lit(False)).alias("mdy"),
         F.count_if((F.col("a") <= 12) & (F.col("b") <= 12) & (F.col("a") != F.col("b"))).alias("n"),
