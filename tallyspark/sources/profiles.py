@@ -78,7 +78,7 @@ PROFILES = (
         "banco-chile.tarjeta", "0.2.0", "banco-chile", "Banco de Chile — tarjeta de crédito", product="credit_card", amount_sign="debit-positive", ambiguous_is_error=True,
         strong=(
             r"(?i)BANCO\s+DE\s+CHILE", r"(?i)\bBANCHILE\b",
-            r"(?i)(?=[\s\S]*MOVIMIENTOS\s+(?:NACIONALES|INTERNACIONALES))(?=[\s\S]*(?:MOVIMIENTOS\s+FACTURADOS|MONTO\s+FACTURADO|PAGO\s+MINIMO|FECHA\s+DE\s+FACTURACION|PAGAR\s+HASTA))",
+            r"(?i)\A(?=[\s\S]*MOVIMIENTOS\s+(?:NACIONALES|INTERNACIONALES))(?=[\s\S]*(?:MOVIMIENTOS\s+FACTURADOS|MONTO\s+FACTURADO|PAGO\s+MINIMO|FECHA\s+DE\s+FACTURACION|PAGAR\s+HASTA))",
         ),
         weak=(r"(?i)TARJETA\s+DE\s+CR[EÉ]DITO", r"(?i)FACTURACI[OÓ]N", r"(?i)CUPO\s+(?:TOTAL|UTILIZADO)"),
         file_names=(r"(?i)tarjeta", r"(?i)estado.?cuenta"),

@@ -125,23 +125,30 @@ def detection(files: DataFrame) -> DataFrame:
     files: ``layouts``. Scores count in hundredths, so that sums are exact; equals keep the order of the registry.
     """
     text, name = F.col("vocabulary"), _file_name(F.col("path"))
-    number = account_number(F.col("preamble")).isNotNull()
 
-    def judged(i: int, p: Profile) -> Column:
-        weak = sum((text.rlike(w).cast("int") for w in p.weak), F.lit(0))
+    def seen(p: Profile) -> Column:
+        """What a file shows of a profile: each pattern is sought once, whatever is made of it."""
         signature = F.lit(False)
         for headers in p.signatures:
             signature = signature | _has_layout(headers)
+        return F.struct(
+            _any(text, p.strong).alias("strong"), sum((text.rlike(w).cast("int") for w in p.weak), F.lit(0)).alias("weak"), _any(name, p.file_names).alias("named"),
+            structural_fit(p, F.col("roles")).alias("fit"), signature.alias("signature"), _any(text, p.disqualifying).alias("other"),
+        )
+
+    def judged(i: int, p: Profile) -> Column:
+        at = lambda what: F.col(f"__{i}.{what}")
         marks = {
-            "marker": (_any(text, p.strong), F.lit(50)), "vocabulary": (weak > 0, F.least(F.lit(30), weak * 10)), "file-name": (_any(name, p.file_names), F.lit(15)),
-            "header": (F.lit(True), F.lit(25)), "columns": (structural_fit(p, F.col("roles")) != 0, structural_fit(p, F.col("roles"))), "layout": (signature, F.lit(35)), "account": (number, F.lit(5)),
+            "marker": (at("strong"), F.lit(50)), "vocabulary": (at("weak") > 0, F.least(F.lit(30), at("weak") * 10)), "file-name": (at("named"), F.lit(15)),
+            "header": (F.lit(True), F.lit(25)), "columns": (at("fit") != 0, at("fit")), "layout": (at("signature"), F.lit(35)), "account": (F.col("__number"), F.lit(5)),
         }
         total = sum((F.when(on, n).otherwise(0) for on, n in marks.values()), F.lit(0))
-        none = F.col("header_row").isNull() | _any(text, p.disqualifying)
+        none = F.col("header_row").isNull() | at("other")
         reasons = F.array_compact(F.array(*(F.when(on, k) for k, (on, _) in marks.items())))
         return F.struct(F.lit(i).alias("place"), F.lit(p.parser).alias("parser"), F.lit(p.institution).alias("institution"), F.when(none, 0).otherwise(F.least(F.lit(100), total)).alias("points"), reasons.alias("reasons"))
 
-    every = spread(files).select("file_hash", F.inline(F.array(*(judged(i, p) for i, p in enumerate(PROFILES))))).where(F.col("points") >= FLOOR)
+    shown = spread(files).select("file_hash", "header_row", account_number(F.col("preamble")).isNotNull().alias("__number"), *(seen(p).alias(f"__{i}") for i, p in enumerate(PROFILES)))
+    every = shown.select("file_hash", F.inline(F.array(*(judged(i, p) for i, p in enumerate(PROFILES))))).where(F.col("points") >= FLOOR)
     rank = F.row_number().over(Window.partitionBy("file_hash").orderBy(F.desc("points"), "place"))
     return every.select("file_hash", "parser", "institution", "points", (F.col("points") / 100).alias("score"), rank.alias("rank"), "reasons")
 
@@ -174,7 +181,7 @@ def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def described(files: DataFrame, chosen: DataFrame) -> DataFrame:
     """``layouts`` of the files with a chosen parser (file_hash, parser), with what the parser's profile adds: roles, account,
     declared currency, period and balances, whether the layout is one that can't be imported."""
-    files = files.join(chosen.select("file_hash", "parser"), "file_hash")
+    files = stored(spread(files.join(chosen.select("file_hash", "parser"), "file_hash")), "chosen")  # texts of each are read at length
     merged = files.select("file_hash", "header", "roles", "parser").mapInArrow(_merging, "file_hash string, roles map<string,int>")
     files = files.drop("roles").join(merged, "file_hash")
     text = F.col("preamble")
@@ -237,7 +244,7 @@ def evidence(rows: DataFrame, files: DataFrame) -> DataFrame:
     code = F.when(_cell("currency") == "$", "CLP").otherwise(F.coalesce(currency_code(_cell("currency")), F.upper(_cell("currency"))))
     named = moving.where(_cell("currency") != "").groupBy("file_hash", code.alias("code")).agg(F.min("row_index").alias("at"))
     named = named.groupBy("file_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("currencies"))
-    votes = moving.select("file_hash", F.explode(F.array(_cell("date"), _cell("posted_date"))).alias("cell"))
+    votes = moving.select("file_hash", F.explode(F.array(_cell("date"), _cell("posted_date"))).alias("cell")).where("cell != ''")  # others vote for nothing
     order = sheets.date_order(votes, "file_hash", "cell", "DMY").select("file_hash", "date_order", F.col("source").alias("date_source"), F.col("ambiguous_rows").alias("ambiguous_dates"))
 
     sheet = F.col("kind").isin("xlsx", "xls")
