@@ -34,13 +34,6 @@ def _says(text: Column, markers: tuple[str, ...]) -> Column:
     return text.rlike(rf"(?:^| )(?:{'|'.join(markers)})(?: |$)")
 
 
-def _names(text: Column, institution: Column) -> Column:
-    out = F.lit(False)
-    for bank, words in BANKS.items():
-        out = F.when(institution == bank, _says(text, words)).otherwise(out)
-    return F.coalesce(out, F.lit(False))
-
-
 def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A join of two tables that grow with the legs: never by a copy of one of them in the driver and on every executor, as Spark would
     plan from the size of a well compressed file."""
@@ -57,29 +50,49 @@ def legs(facts: DataFrame, *more: str) -> DataFrame:
 
 
 def _band(left: DataFrame, right: DataFrame, window: int, extra: Column) -> DataFrame:
-    """Pairs with equal currency and amount at most ``window`` days apart; each right row goes to the bins it can reach."""
+    """Pairs with equal currency and amount at most ``window`` days apart; each right row goes to the bins it can reach.
+
+    Pairs are far more than legs, so the number of tasks is given: Spark, which goes by bytes read, would merge them to a few long ones."""
     width = window + 1
+    session = left.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
     day = lambda c: F.unix_date(c)
     a = left.withColumn("__bin", F.floor(day(F.col("o_date")) / width))
     b = right.withColumn("__bin", F.explode(F.array_distinct(F.array(*(F.floor((day(F.col("i_date")) + d) / width) for d in (-window, 0, window))))))
+    a, b = a.repartition(tasks, "o_currency", "o_amount_key", "__bin"), b.repartition(tasks, "i_currency", "i_amount_key", "__bin")
     gap = F.abs(F.datediff("o_date", "i_date"))
     on = (F.col("o_currency") == F.col("i_currency")) & (F.col("o_amount_key") == F.col("i_amount_key")) & (a["__bin"] == b["__bin"]) & (gap <= window) & extra
-    return a.join(b, on).drop("__bin").withColumn("gap_days", gap)
+    return _merge(a, b, on).drop("__bin").withColumn("gap_days", gap)
+
+
+_TOLD = ["says_transfer", "says_own", "says_third", "bank", "banks", "long_reference"]
+
+
+def _told(df: DataFrame, p: str = "") -> DataFrame:
+    """Adds what the text, bank and reference of a leg tell (``_TOLD``; columns begin with p): its wordings, its bank and the banks it
+    names as bits, and its reference if that is long enough. Read once a leg, as a leg may be in very many pairs."""
+    text, institution, reference = (F.col(f"{p}{c}") for c in ("text", "institution", "reference"))
+    bank = banks = F.lit(0)
+    for k, (name, words) in enumerate(BANKS.items()):
+        bank = F.when(institution == name, 1 << k).otherwise(bank)
+        banks = banks + F.when(_says(text, words), 1 << k).otherwise(0)
+    told = (_says(text, TRANSFER), _says(text, OWN), _says(text, THIRD), bank, banks, F.when(_long(reference), reference))
+    return df.withColumns({f"{p}{name}": c for name, c in zip(_TOLD, told, strict=True)})
 
 
 def _evidence(pairs: DataFrame) -> DataFrame:
-    """Pairs (o_ and i_ columns) with the gap, the evidence and its rank."""
-    both = lambda words: _says(F.col("o_text"), words) | _says(F.col("i_text"), words)
+    """Pairs (o_ and i_ columns, told) with the gap, the evidence and its rank."""
+    o, i = (lambda name: F.col(f"o_{name}")), (lambda name: F.col(f"i_{name}"))
     pairs = pairs.withColumns(
         {
             "gap_days": F.abs(F.datediff("o_date", "i_date")),
-            "transfer_wording": both(TRANSFER),
-            "own_account": both(OWN),
-            "bank_named": _names(F.col("o_text"), F.col("i_institution")) | _names(F.col("i_text"), F.col("o_institution")),
-            "shared_reference": F.coalesce(_long(F.col("o_reference")) & (F.col("o_reference") == F.col("i_reference")), F.lit(False)),
-            "third_party": both(THIRD),
+            "transfer_wording": o("says_transfer") | i("says_transfer"),
+            "own_account": o("says_own") | i("says_own"),
+            "bank_named": (o("banks").bitwiseAND(i("bank")) != 0) | (i("banks").bitwiseAND(o("bank")) != 0),
+            "shared_reference": F.coalesce(o("long_reference") == i("long_reference"), F.lit(False)),
+            "third_party": o("says_third") | i("says_third"),
         }
-    )
+    ).drop(*(f"{p}_{name}" for p in "oi" for name in _TOLD))
     strong = F.col("transfer_wording") & (F.col("own_account") | F.col("bank_named"))
     return pairs.withColumn("rank", F.when(F.col("shared_reference"), 3).when(strong, 2).when(F.col("transfer_wording"), 1).otherwise(0))
 
@@ -90,7 +103,7 @@ def _long(reference: Column) -> Column:
 
 def candidates(facts: DataFrame, window: int = 5) -> DataFrame:
     """Every outflow and inflow of one amount in different accounts within the window, with the evidence and its rank."""
-    some = legs(facts)
+    some = _told(legs(facts))
     side = lambda p, d: some.where(F.col("direction") == d).select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
     return _evidence(_band(side("o", "out"), side("i", "in"), window, F.col("o_account_id") != F.col("i_account_id")))
 
@@ -194,7 +207,7 @@ def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2)
     settled, _, open_ = settle(sided, window)
     ambiguous = _ties(open_, window)
     side = lambda p: some.select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
-    matched = _evidence(_merge(_merge(settled, side("o"), "o_leg"), side("i"), "i_leg"))
+    matched = _evidence(_told(_told(_merge(_merge(settled, side("o"), "o_leg"), side("i"), "i_leg"), "o_"), "i_"))
     strong = F.col("shared_reference") | F.col("transfer_wording") & (F.col("own_account") | F.col("bank_named"))
     confidence = F.when(~F.col("third_party") & strong & (F.col("gap_days") <= confirm_window), "confirmed").otherwise("suggested")
     reason = F.concat(
