@@ -1,11 +1,12 @@
 """Pairing the two legs of transfers, and card payments with the card's credits.
 
 A pair is taken if it is the only best of both its legs; a tie is no answer. Taking pairs may settle others, so rounds follow until
-nothing changes. Matching never lists pairs. Legs that no other leg can tell apart (equal in side, currency, amount, day, account, wording
-and reference) are one counted cell, and a cell meets, on each day of its window, the counts of each wording and of its
-reference, less those of its own account; the best of these, how many legs share it and, if one does, which, is all that a round
-asks. Rows grow with the legs, also where very many have one amount in one week. Rounds are DataFrame joins whose state is stored:
-no group is collected into one task. ``candidates`` lists pairs for whoever wants to see them all.
+nothing changes. Matching never lists pairs. Legs that no other leg can tell apart (equal in side, currency, amount, day and wording, or
+day and reference; in account too, if that has legs of the amount on both sides) are one counted spot. A spot meets the counts of the
+spots of the other side, less those of its own account: the best of these, how many legs share it and, if one does, which (exclusive
+or of numbers of legs, which leaves the only one) is all that a round asks. Rows grow with the legs, also where very many have one
+amount in one week. Rounds are DataFrame joins whose state is stored, step by step, so that no more is on disk than a step's shuffle
+and its inputs: no group is collected into one task. ``candidates`` lists pairs for whoever wants to see them all.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def candidates(facts: DataFrame, window: int = 5) -> DataFrame:
 
 
 _AMOUNT = ["currency", "amount_key"]
-_CELL = ["side", *_AMOUNT, "date", "owner", "wording", "reference_key"]
+_KEYS = ["side", *_AMOUNT, "date", "owner", "wording", "reference_key"]
+_SPOT = ["side", *_AMOUNT, "band", "day", "wording", "owner"]
 
 
 def _wording(text: Column, institution: Column) -> Column:
@@ -122,29 +124,130 @@ def _wording(text: Column, institution: Column) -> Column:
     return out
 
 
-def _wording_rank(a: str, b: str) -> Column:
-    names = lambda x, y: f"(shiftright({y}, 2) & 3) > 0 and (shiftright({x}, 3 + (shiftright({y}, 2) & 3)) & 1) = 1"
-    return F.expr(f"case when ({a} | {b}) & 1 = 0 then 0 when ({a} | {b}) & 2 > 0 or {names(a, b)} or {names(b, a)} then 2 else 1 end")
+def _wording_rank(a: Column, b: Column) -> Column:
+    either, bank = a.bitwiseOR(b), lambda c: F.shiftright(c, 2).bitwiseAND(3)
+    names = lambda x, y: (bank(y) > 0) & (F.call_function("shiftright", x, bank(y) + 3).bitwiseAND(1) == 1)
+    return F.when(either.bitwiseAND(1) == 0, 0).when((either.bitwiseAND(2) > 0) | names(a, b) | names(b, a), 2).otherwise(1)
 
 
-def _bests(cells: DataFrame, window: int) -> DataFrame:
-    """(side, leg, amount, quality, rivals, partner): of every cell that has one, the best quality of its pairs, how many legs of the other
-    side share it, and one of these (the only one, if it is one)."""
-    banded = cells.withColumn("band", F.explode(F.array_compact(F.array(F.lit(""), F.when(F.col("reference_key") != "", F.col("reference_key"))))))
-    other = banded.select(
-        (1 - F.col("side")).alias("side"), *_AMOUNT, F.col("date").alias("day"), "band", F.when(F.col("band") == "", F.col("wording")).otherwise(-1).alias("their_wording"), F.col("owner"), F.struct("owner", "leg").alias("who"), "legs"
-    )
-    on = ["side", *_AMOUNT, "day", "band", "their_wording"]
-    total = other.groupBy(*on).agg(F.sum("legs").alias("total"), F.min("who").alias("low"), F.max("who").alias("high"))
-    own = other.groupBy(*on, "owner").agg(F.sum("legs").alias("own"))
-    days = banded.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
-    met = _merge(_merge(days, total, on[:-1]), own, [*on, "owner"], "left").withColumn("rivals", F.col("total") - F.coalesce("own", F.lit(0))).where("rivals > 0")
-    rank = F.when(F.col("band") != "", 3).otherwise(_wording_rank("wording", "their_wording"))
-    # where one leg is left besides those of the own account, it is at an end of the order by account
-    partner = F.when(F.col("low.owner") != F.col("owner"), F.col("low.leg")).otherwise(F.col("high.leg"))
-    quality = (rank * (window + 1) + window - F.abs(F.datediff("day", "date"))).alias("quality")
-    each = met.select("side", "leg", *_AMOUNT, quality, "rivals", partner.alias("partner")).groupBy("side", "leg", *_AMOUNT, "quality").agg(F.sum("rivals").alias("rivals"), F.max("partner").alias("partner"))
-    return each.groupBy("side", "leg", *_AMOUNT).agg(F.max(F.struct("quality", "rivals", "partner")).alias("best")).select("side", "leg", *_AMOUNT, "best.*")
+def _numbered(df: DataFrame, what: str) -> DataFrame:
+    """df stored, with a number for each row (``id``): what rounds carry instead of texts."""
+    return stored(df.withColumn("id", F.monotonically_increasing_id()), what)
+
+
+def _width(window: int) -> int:
+    return 4 * window + 2
+
+
+def _bin(day: Column, window: int) -> Column:
+    return F.floor(day / _width(window)).cast("int")
+
+
+def _bins(day: Column, window: int) -> Column:
+    """The bins, two at most, whose days are within the window of day."""
+    return F.explode(F.array_distinct(F.array(_bin(day - window, window), _bin(day + window, window))))
+
+
+def _sided(some: DataFrame) -> DataFrame:
+    """What rounds need of each leg. Its owner counts only if it has legs of the amount on both sides; else it is empty, as then nothing
+    has to be left out."""
+    on = [*_AMOUNT, "owner"]
+    both = some.groupBy(*on).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
+    both = stored(both.select(*on, F.lit(True).alias("both")), "owners")
+    one = some.select("id", "side", *_AMOUNT, F.unix_date("date").alias("day"), "wording", "reference_key", "owner")
+    out = stored(_merge(one, both, on, "left").withColumn("owner", F.when(F.col("both"), F.concat(F.lit("="), "owner")).otherwise("")).drop("both"), "sided")
+    discard(both)
+    return out
+
+
+def _spots(sided: DataFrame) -> DataFrame:
+    """Legs counted by spot: each is in the spot of its wording (band empty) and, if it has one, in that of its reference."""
+    bands = F.explode(F.array_compact(F.array(F.lit(""), F.when(F.col("reference_key") != "", F.col("reference_key")))))
+    banded = sided.withColumn("band", bands).withColumn("wording", F.when(F.col("band") == "", F.col("wording")).otherwise(-1))
+    return banded.groupBy(*_SPOT).agg(F.count(F.lit(1)).alias("legs"), F.bit_xor("id").alias("which"))
+
+
+def _best(met: Column, window: int) -> Column:
+    """Of the counts that a spot meets (own ones are negative): the best quality that some leg is left of, how many, and which."""
+    gap = lambda e: F.abs(e["day"] - F.col("day"))
+    rank = lambda e: F.when(F.col("band") != "", 3).otherwise(_wording_rank(F.col("wording"), e["wording"]))
+    near = F.transform(F.filter(met, lambda e: gap(e) <= window), lambda e: F.struct((rank(e) * (window + 1) + window - gap(e)).alias("quality"), e["legs"].alias("legs"), e["which"].alias("which")))
+    first = F.struct(F.lit(-1).alias("quality"), F.lit(0).cast("bigint").alias("legs"), F.lit(0).cast("bigint").alias("which"))
+    add = lambda a, e: F.struct(e["quality"].alias("quality"), (a["legs"] + e["legs"]).alias("legs"), a["which"].bitwiseXOR(e["which"]).alias("which"))
+    return F.aggregate(F.sort_array(near, asc=False), first, lambda a, e: F.when(a["quality"] == e["quality"], add(a, e)).when(a["legs"] > 0, a).otherwise(e))
+
+
+def _bests(spots: DataFrame, window: int) -> DataFrame:
+    """(spot, partner) of every spot that has a pair; partner is the only leg of the best quality, or null if several share it.
+
+    Counts of the other side are gathered by bins of days: at most so many as there are days and wordings."""
+    entry = F.struct("day", "wording", "legs", "which")
+    total = spots.groupBy((1 - F.col("side")).alias("side"), *_AMOUNT, "band", "day", "wording").agg(F.sum("legs").alias("legs"), F.bit_xor("which").alias("which"))
+    on = ["side", *_AMOUNT, "band", "bin"]
+    total = stored(total.withColumn("bin", _bins(F.col("day"), window)).groupBy(*on).agg(F.collect_list(entry).alias("met")), "counts")
+    own = spots.where("owner != ''").withColumns({"side": 1 - F.col("side"), "legs": -F.col("legs"), "bin": _bins(F.col("day"), window)})
+    own = own.groupBy(*on, "owner").agg(F.collect_list(entry).alias("own"))
+    spots = spots.drop("legs", "which").withColumn("bin", _bin(F.col("day"), window))
+    owned = _merge(spots.where("owner != ''"), own, [*on, "owner"], "left")
+    plain = spots.where("owner = ''").withColumn("own", F.lit(None).cast(own.schema["own"].dataType))
+    met = _merge(plain.unionByName(owned), total, on)
+    best = met.select(*_SPOT, _best(F.when(F.col("own").isNull(), F.col("met")).otherwise(F.concat("met", "own")), window).alias("best"))
+    out = stored(best.where("best.legs > 0").select(*_SPOT, F.when(F.col("best.legs") == 1, F.col("best.which")).alias("partner")), "bests")
+    discard(total)
+    return out
+
+
+def _paired(sided: DataFrame, bests: DataFrame) -> DataFrame:
+    """The legs that have a pair, with the partner of their best one, or null; a pair by reference is better than any other."""
+    spot = [c for c in _SPOT if c != "band"]
+    worded = bests.where("band = ''").drop("band")
+    plain = _merge(sided.where("reference_key = ''"), worded, spot)
+    by_reference = bests.where("band != ''").select("side", *_AMOUNT, F.col("band").alias("reference_key"), "day", "owner", F.struct("partner").alias("best"))
+    some = _merge(sided.where("reference_key != ''"), worded.select(*spot, F.struct("partner").alias("next")), spot, "left")
+    some = _merge(some, by_reference, ["side", *_AMOUNT, "reference_key", "day", "owner"], "left").where("best is not null or next is not null")
+    return plain.unionByName(some.withColumn("partner", F.coalesce("best", "next")["partner"]).drop("best", "next"))
+
+
+def _ends(settled: DataFrame) -> DataFrame:
+    """(id, pair, side): both legs of each pair, which is named by its outgoing one."""
+    end = lambda c, side: F.struct(F.col(c).alias("id"), F.col("o_id").alias("pair"), F.lit(side).alias("side"))
+    return settled.select(F.inline(F.array(end("o_id", 0), end("i_id", 1))))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _rounds(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(settled o_id and i_id, id of what is left and still has a pair), by rounds of unique mutual bests until a round settles none.
+    some: see ``settle``, with id."""
+    sided, rounds, still = _sided(some), [], []
+    while True:
+        spots = stored(_spots(sided), "spots")
+        bests = _bests(spots, window)
+        discard(spots)
+        paired = stored(_paired(sided, bests), "paired")
+        discard(sided, bests)
+        sure = paired.where("partner is not null")
+        a, b = sure.where("side = 0").select(*_AMOUNT, F.col("id").alias("o_id"), F.col("partner").alias("i_id")), sure.where("side = 1").select(F.col("partner").alias("o_id"), F.col("id").alias("i_id"))
+        now = stored(_merge(a, b, ["o_id", "i_id"]), "settled")
+        rounds.append(now.select("o_id", "i_id"))
+        if now.isEmpty():
+            still.append(paired.select("id"))
+            return _union(rounds), _union(still)
+        # pairs are of one amount: where none was settled, all is as it was, and a leg without a pair never gets one
+        moved = now.select(*_AMOUNT).distinct()
+        still.append(stored(_merge(paired, moved, _AMOUNT, "left_anti").select("id"), "open"))
+        sided = _merge(_merge(paired.drop("partner"), moved, _AMOUNT, "left_semi"), _ends(now).select("id"), "id", "left_anti")
+        sided = stored(sided, "sided")
+        discard(paired)
+
+
+def _known(some: DataFrame) -> DataFrame:
+    return some.where(" and ".join(f"{c} is not null" for c in _KEYS))
 
 
 def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -152,62 +255,49 @@ def settle(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     round settles none.
 
     some: leg, side (0 out, 1 in), currency, amount_key, date, owner (legs of one owner make no pair), wording, reference_key."""
-    some = some.where(" and ".join(f"{c} is not null" for c in _CELL))
-    cells = stored(some.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("legs"), F.min("leg").alias("leg")), "cells")
-    rounds, open_cells = [], []
-    while True:
-        bests = stored(_bests(cells, window), "bests")
-        sure = bests.where("rivals = 1")
-        a, b = sure.where("side = 0").select(*_AMOUNT, F.col("leg").alias("o_leg"), F.col("partner").alias("i_leg")), sure.where("side = 1").select(F.col("partner").alias("o_leg"), F.col("leg").alias("i_leg"))
-        now = stored(_merge(a, b, ["o_leg", "i_leg"]), "settled")
-        rounds.append(now.select("o_leg", "i_leg"))
-        if now.isEmpty():
-            break
-        # pairs are of one amount: where none was settled, all is as it was, and a cell without a pair never gets one
-        gone = now.select(F.col("o_leg").alias("leg")).unionAll(now.select(F.col("i_leg").alias("leg")))
-        moved = now.select(*_AMOUNT).distinct()
-        paired = _merge(cells, bests.select("leg"), "leg", "left_semi")
-        open_cells.append(stored(_merge(paired, moved, _AMOUNT, "left_anti").select(*_CELL), "open"))
-        before, cells = cells, stored(_merge(_merge(paired, moved, _AMOUNT, "left_semi"), gone, "leg", "left_anti"), "cells")
-        discard(before, bests)
-    settled, still = rounds[0], _merge(cells, bests.select("leg"), "leg", "left_semi").select(*_CELL)
-    for more in rounds[1:]:
-        settled = settled.unionAll(more)
-    for more in open_cells:
-        still = still.unionAll(more)
-    gone = settled.select(F.col("o_leg").alias("leg")).unionAll(settled.select(F.col("i_leg").alias("leg")))
-    return settled, _merge(some, gone, "leg", "left_anti"), _merge(some, still, _CELL, "left_semi")
+    some = _numbered(_known(some), "numbered")
+    settled, still = _rounds(some, window)
+    ends = stored(_merge(_ends(settled), some.select("id", "leg"), "id"), "ends")
+    leg = lambda name, side: F.max(F.when(F.col("side") == side, F.col("leg"))).alias(name)
+    named = ends.groupBy("pair").agg(leg("o_leg", 0), leg("i_leg", 1)).drop("pair")
+    return named, _merge(some, ends.select("id"), "id", "left_anti").drop("id"), _merge(some, still, "id", "left_semi").drop("id")
 
 
 def _ties(open_: DataFrame, window: int) -> DataFrame:
-    """(o_leg, i_leg): of the pairs among open legs as many as hold together what all of them hold together.
+    """(o_leg, i_leg, hung): of the pairs among open legs as many as hold together what all of them hold together; hung, 0 out, 1 in, is
+    the side of a leg that is in no other of them.
 
     The first leg of each of the three first owners of a side and day meets those of the other side; every other leg meets one of them
     that its owner lets it meet. Two legs that meet a day of three owners share one of these, so a leg beyond the first three owners
     meets by any one of its pairs all that it meets."""
-    day = ["side", *_AMOUNT, "date"]
-    first = open_.groupBy(*day, "owner").agg(F.min("leg").alias("first"))
+    day = ["side", *_AMOUNT, "day"]
+    first = open_.groupBy(*day, "owner").agg(F.min("leg").alias("leg"))
     three = stored(first.withColumn("place", F.row_number().over(Window.partitionBy(*day).orderBy("owner"))).where("place <= 3").drop("place"), "three")
-    other = three.select((1 - F.col("side")).alias("side"), *_AMOUNT, F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))).alias("date"), F.struct(F.col("owner").alias("owner_"), F.col("first").alias("other")).alias("who"))
-    among = _merge(three, other, day).where("owner != who.owner_").select("side", F.col("first").alias("leg"), "who.other")
-    rest = _merge(open_, three.select("first"), F.col("leg") == F.col("first"), "left_anti")
-    ends = other.groupBy(*day).agg(F.min("who").alias("low"), F.max("who").alias("high"))
-    hung = _merge(rest, ends, day).select("side", "leg", F.when(F.col("low.owner_") != F.col("owner"), F.col("low.other")).when(F.col("high.owner_") != F.col("owner"), F.col("high.other")).alias("other")).where("other is not null")
+    on = [*_AMOUNT, "bin"]
+    met = three.withColumn("bin", _bins(F.col("day"), window)).groupBy(*on).agg(F.collect_list(F.struct("side", "day", "owner", "leg")).alias("met"))
+    legs_ = _merge(open_.withColumn("bin", _bin(F.col("day"), window)), stored(met, "met"), on)
+    is_first = F.exists("met", lambda e: (e["side"] == F.col("side")) & (e["day"] == F.col("day")) & (e["leg"] == F.col("leg")))
+    others = F.filter("met", lambda e: (e["side"] != F.col("side")) & (F.abs(e["day"] - F.col("day")) <= window) & (e["owner"] != F.col("owner")))
+    # pairs of two firsts are listed by the outgoing one
+    legs_ = legs_.select("side", "leg", is_first.alias("is_first"), F.transform(others, lambda e: e["leg"]).alias("others")).where("not is_first or side = 0")
+    pairs = legs_.select("side", "leg", F.when(~F.col("is_first"), F.col("side")).alias("hung"), F.explode(F.when(F.col("is_first"), F.col("others")).otherwise(F.slice("others", 1, 1))).alias("other"))
     leg = lambda side: F.when(F.col("side") == side, F.col("leg")).otherwise(F.col("other"))
-    return among.unionAll(hung).select(leg(0).alias("o_leg"), leg(1).alias("i_leg")).distinct()
+    return pairs.select(leg(0).alias("o_leg"), leg(1).alias("i_leg"), "hung")
 
 
-def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(matches with confidence and reason, pairs that hold the open legs together)."""
-    some = stored(legs(facts), "legs")
+def transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(matches with confidence and reason, the open legs)."""
+    some = _numbered(legs(facts), "legs")
     reference = F.when(F.coalesce(_long(F.col("reference")), F.lit(False)), F.col("reference")).otherwise("")
-    sided = some.where(F.col("direction").isin("out", "in")).select(
-        "leg", (F.col("direction") == "in").cast("int").alias("side"), *_AMOUNT, "date", F.col("account_id").cast("string").alias("owner"), _wording(F.col("text"), F.col("institution")).alias("wording"), reference.alias("reference_key")
-    )
-    settled, _, open_ = settle(sided, window)
-    ambiguous = _ties(open_, window)
-    side = lambda p: some.select([F.col(c).alias(f"{p}_{c}") for c in some.columns])
-    matched = _evidence(_told(_told(_merge(_merge(settled, side("o"), "o_leg"), side("i"), "i_leg"), "o_"), "i_"))
+    side, owner = (F.col("direction") == "in").cast("int").alias("side"), F.col("account_id").cast("string").alias("owner")
+    sided = some.where(F.col("direction").isin("out", "in"))
+    settled, still = _rounds(_known(sided.select("id", side, *_AMOUNT, "date", owner, _wording(F.col("text"), F.col("institution")).alias("wording"), reference.alias("reference_key"))), window)
+    open_ = _merge(sided.select("id", "leg", side, *_AMOUNT, F.unix_date("date").alias("day"), owner), still, "id", "left_semi").drop("id")
+    # the legs of a pair are sought at once: all legs move once
+    found, columns = _merge(_ends(settled), some, "id"), [c for c in some.columns if c != "id"]
+    leg = lambda p, k: F.first(F.when(F.col("side") == k, F.struct(*columns)), ignorenulls=True).alias(p)
+    pairs = found.groupBy("pair").agg(leg("o", 0), leg("i", 1))
+    matched = _evidence(_told(_told(pairs.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "oi" for c in columns)), "o_"), "i_"))
     strong = F.col("shared_reference") | F.col("transfer_wording") & (F.col("own_account") | F.col("bank_named"))
     confidence = F.when(~F.col("third_party") & strong & (F.col("gap_days") <= confirm_window), "confirmed").otherwise("suggested")
     reason = F.concat(
@@ -223,16 +313,24 @@ def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2)
         ),
         F.lit("."),
     )
-    return matched.withColumns({"confidence": confidence, "reason": reason}), ambiguous
+    return matched.withColumns({"confidence": confidence, "reason": reason}), open_
+
+
+def match_transfers(facts: DataFrame, window: int = 5, confirm_window: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(matches with confidence and reason, pairs that hold the open legs together)."""
+    matched, open_ = transfers(facts, window, confirm_window)
+    return matched, _ties(stored(open_, "open"), window)
 
 
 def knots(ambiguous: DataFrame) -> DataFrame:
     """(leg, knot): the open legs by connected component, named by the least leg; labels spread until they settle. Legs of one pair wait
     and take what the other leg got."""
     pairs = stored(ambiguous, "pairs")
-    edges = pairs.select(F.col("o_leg").alias("a"), F.col("i_leg").alias("b"))
+    leg = lambda out, name: F.when(out, F.col("o_leg")).otherwise(F.col("i_leg")).alias(name)
+    alone = pairs.where("hung is not null").select(leg(F.col("hung") == 0, "leg"), leg(F.col("hung") == 1, "one"))
+    edges = pairs.where("hung is null").select(F.col("o_leg").alias("a"), F.col("i_leg").alias("b"))
     edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    some = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("one"))
+    some = edges.unionAll(alone.select(F.col("one").alias("a"), F.col("leg").alias("b"))).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("one"))
     some = stored(some.select(F.col("a").alias("leg"), "n", "one", F.least("a", "one").alias("knot")), "legs")
     many = some.where("n > 1").select("leg")
     inner = _merge(_merge(edges, many.select(F.col("leg").alias("a")), "a", "left_semi"), many.select(F.col("leg").alias("b")), "b", "left_semi")
@@ -248,9 +346,11 @@ def knots(ambiguous: DataFrame) -> DataFrame:
         discard(before)
         if new.where("knot != old").isEmpty():
             break
+    discard(inner)
     # of a pair that has nothing else, each leg is the other's only one
     named = labels.select(F.col("leg").alias("at"), F.col("knot").alias("got"))
-    hung = _merge(some.where("n = 1"), named, F.col("one") == F.col("at"), "left").select("leg", F.coalesce("got", "knot").alias("knot"))
+    alone = some.where("n = 1").select("leg", "one", "knot").unionAll(alone.select("leg", "one", F.lit(None).cast("string").alias("knot")))
+    hung = _merge(alone, named, F.col("one") == F.col("at"), "left").select("leg", F.coalesce("got", "knot").alias("knot"))
     return labels.unionAll(hung)
 
 

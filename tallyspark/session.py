@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,24 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a statement are deleted when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once to the checkpoint folder and read again: cuts lineage, and Spark knows its size."""
+    """df written once to the checkpoint folder and read again: cuts lineage, and Spark knows its size. Nothing else reads the shuffles
+    that made it, so they are deleted."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
