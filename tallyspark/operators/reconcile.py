@@ -356,9 +356,12 @@ def knots(ambiguous: DataFrame) -> DataFrame:
 
 def _within(some: DataFrame, others: DataFrame, window: int) -> DataFrame:
     """(leg, rivals): how many of ``others`` have the amount of a leg of ``some`` within the window; legs without any are left out."""
-    counts = others.groupBy(*_AMOUNT, F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    days = some.withColumn("day", F.explode(F.sequence(F.date_sub("date", window), F.date_add("date", window))))
-    return _merge(days, counts, [*_AMOUNT, "day"]).groupBy("leg").agg(F.sum("n").alias("rivals"))
+    on = [*_AMOUNT, "bin"]
+    counts = others.groupBy(*_AMOUNT, F.unix_date("date").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("bin", _bins(F.col("day"), window))
+    met = some.withColumn("day", F.unix_date("date")).withColumn("bin", _bin(F.col("day"), window))
+    met = _merge(met, counts.groupBy(*on).agg(F.collect_list(F.struct("day", "n")).alias("near")), on)
+    rivals = F.aggregate(F.filter("near", lambda e: F.abs(e["day"] - F.col("day")) <= window), F.lit(0).cast("bigint"), lambda n, e: n + e["n"])
+    return met.select("leg", rivals.alias("rivals")).where("rivals > 0")
 
 
 def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:

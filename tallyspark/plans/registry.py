@@ -105,7 +105,7 @@ def transfer_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transfer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(reconcile.match_transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason"))
+    return _plain(reconcile.transfers(facts.from_events(spark, sf_dir))[0].select("o_leg", "i_leg", "gap_days", "confidence", "reason"))
 
 
 def ambiguous_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
