@@ -386,9 +386,8 @@ def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:
 
 def stamp(facts: DataFrame, matches: DataFrame, kind: str = "internal_transfer") -> DataFrame:
     """Facts with kind, confidence and counterpart set on both legs of each match."""
-    one = matches.select(F.col("o_leg").alias("leg"), F.col("i_fingerprint").alias("counterpart_fingerprint"), "confidence")
-    two = matches.select(F.col("i_leg").alias("leg"), F.col("o_fingerprint").alias("counterpart_fingerprint"), "confidence")
-    both = one.unionByName(two).withColumnRenamed("confidence", "__sure")
+    end = lambda a, b: F.struct(F.col(f"{a}_leg").alias("leg"), F.col(f"{b}_fingerprint").alias("counterpart_fingerprint"), F.col("confidence").alias("__sure"))
+    both = stored(matches.select(F.inline(F.array(end("o", "i"), end("i", "o")))), "stamps")
     out = _merge(facts.withColumn("leg", F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")), both, "leg", "left")
     hit = F.col("__sure").isNotNull()
     return out.withColumns({"kind": F.when(hit, kind).otherwise(F.col("kind")), "kind_confidence": F.coalesce("__sure", "kind_confidence")}).drop("leg", "__sure")

@@ -118,7 +118,7 @@ def transfer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind="string": F.lit(None).cast(kind)
     out, paid = F.col("direction") == "out", (F.col("description") == "PAGO TARJETA") & ~F.col("is_card")
     more = {"kind": F.when(out & paid, "credit_card_payment").when(out, "expense").otherwise("income"), "kind_confidence": F.lit("suggested"), "category": none(), "merchant": none(), "cost_kind": none(), "cost_confidence": none()}
-    return _plain(metrics.summaries(reconcile.stamp(rows.withColumns(more), reconcile.match_transfers(rows)[0])))
+    return _plain(metrics.summaries(reconcile.stamp(rows.withColumns(more), reconcile.transfers(rows)[0])))
 
 
 def card_payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_shuffles_of_stored_tables_are_deleted(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
-@pytest.mark.parametrize("name", ["ambiguous_transfers", "transfer_matches", "card_payments"])
+@pytest.mark.parametrize("name", ["ambiguous_transfers", "transfer_matches", "transfer_summary", "card_payments"])
 def test_no_leg_is_repeated_by_day(spark, monkeypatch, name):
     plans, kept = [], reconcile.stored
 
