@@ -211,7 +211,7 @@ def _paired(sided: DataFrame, bests: DataFrame) -> DataFrame:
 def _ends(settled: DataFrame) -> DataFrame:
     """(id, pair, side): both legs of each pair, which is named by its outgoing one."""
     end = lambda c, side: F.struct(F.col(c).alias("id"), F.col("o_id").alias("pair"), F.lit(side).alias("side"))
-    return settled.select(F.inline(F.array(end("o_id", 0), end("i_id", 1))))
+    return settled.select(F.explode(F.array(end("o_id", 0), end("i_id", 1))).alias("end")).select("end.*")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -237,7 +237,8 @@ def _rounds(some: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
         rounds.append(now.select("o_id", "i_id"))
         if now.isEmpty():
             still.append(paired.select("id"))
-            return _union(rounds), _union(still)
+            # the last round is empty: said so, or Spark would move all legs before it finds that no pair asks for them
+            return _union(rounds[:-1] or [now.select("o_id", "i_id").limit(0)]), _union(still)
         # pairs are of one amount: where none was settled, all is as it was, and a leg without a pair never gets one
         moved = now.select(*_AMOUNT).distinct()
         still.append(stored(_merge(paired, moved, _AMOUNT, "left_anti").select("id"), "open"))
@@ -387,7 +388,7 @@ def match_card_payments(facts: DataFrame, window: int = 5) -> DataFrame:
 def stamp(facts: DataFrame, matches: DataFrame, kind: str = "internal_transfer") -> DataFrame:
     """Facts with kind, confidence and counterpart set on both legs of each match."""
     end = lambda a, b: F.struct(F.col(f"{a}_leg").alias("leg"), F.col(f"{b}_fingerprint").alias("counterpart_fingerprint"), F.col("confidence").alias("__sure"))
-    both = stored(matches.select(F.inline(F.array(end("o", "i"), end("i", "o")))), "stamps")
+    both = stored(matches.select(F.explode(F.array(end("o", "i"), end("i", "o"))).alias("end")).select("end.*"), "stamps")
     out = _merge(facts.withColumn("leg", F.concat_ws(":", F.col("account_id").cast("string"), "fingerprint")), both, "leg", "left")
     hit = F.col("__sure").isNotNull()
     return out.withColumns({"kind": F.when(hit, kind).otherwise(F.col("kind")), "kind_confidence": F.coalesce("__sure", "kind_confidence")}).drop("leg", "__sure")

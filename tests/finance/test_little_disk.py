@@ -1,5 +1,6 @@
 """What matching leaves on disk: shuffles are deleted once their result is stored, and no leg is moved once for each day of its window."""
 
+import datetime as dt
 import time
 from pathlib import Path
 
@@ -41,6 +42,13 @@ def test_no_leg_is_repeated_by_day(spark, monkeypatch, name):
     assert not [p for p in plans if "sequence(" in p]
 
 
+def test_without_a_pair_no_leg_is_moved_to_find_it(spark, tmp_path):
+    rows = [(n, dt.datetime(2024, 1, 10), n, "purchase", 12.5 + n) for n in range(9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = registry.queries()["transfer_matches"](spark, str(tmp_path))
+    assert "Exchange" not in plan(df) and df.count() == 0
+
+
 def test_legs_beyond_the_first_three_owners_of_a_day_keep_their_knot(spark):
     """Six owners a day on each side, out on one day and in on the next, and a second group of which the least leg is in none of the
     pairs of first legs."""
